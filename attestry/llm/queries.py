@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, quality
 from .common import Query, table
 
 
@@ -33,9 +33,50 @@ from d left join h using (doc_id) left join i using (doc_id)
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+tri as (select r, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as p from d where len(w) >= 3)),
+rep as (select r, p from (select r, p, count(*) over (partition by r, g) as c from tri) where c > 1),
+cov as (select r, count(distinct q) as n from (select r, unnest(range(p, p + 3)) as q from rep) group by r),
+m as (select d.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+        len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from d left join cov using (r)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        case when n_words > 0 then 1000 * word_chars // n_words else 0 end as word_len,
+        case when word_chars > 0 then 10000 * n_symbols // word_chars else 0 end as symbols,
+        case when n_lines > 0 then 10000 * n_dup_lines // n_lines else 0 end as dup_lines,
+        case when n_words > 0 then 10000 * n_repeat_words // n_words else 0 end as repeats from m),
+u as (select lang, source, 'word_len' as metric, word_len as v from f where not base_failed
+  union all select lang, source, 'symbols', symbols from f where not base_failed
+  union all select lang, source, 'dup_lines', dup_lines from f where not base_failed
+  union all select lang, source, 'repeats', repeats from f where not base_failed),
+b as (select lang, source, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) as v from u),
+g as (select distinct lang, source from b),
+a as (select g.lang, g.source, metric, v, 0 as rank from g join b on g.lang = b.lang and g.source = b.source
+  union all select g.lang, g.source, metric, v, 1 from g join b on g.lang = b.lang
+  union all select g.lang, g.source, metric, v, 2 from g, b),
+n as (select *, row_number() over (partition by lang, source, metric, rank order by v) as i, count(*) over (partition by lang, source, metric, rank) as c from a),
+q as (select lang, source, metric, rank, min(c) as c, min(v) filter (4 * i >= c) as q1, min(v) filter (4 * i >= 3 * c) as q3 from n group by all),
+z as (select lang, source, metric, arg_min(q1, rank) as q1, arg_min(q3, rank) as q3 from q where c >= 50 or rank = 2 group by all),
+k as (select lang, source,
+        max(q1 - 3 * (q3 - q1) - 500) filter (metric = 'word_len') as wl, max(q3 + 3 * (q3 - q1) + 500) filter (metric = 'word_len') as wh,
+        max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbols') as sh, max(q3 + 3 * (q3 - q1) + 3000) filter (metric = 'dup_lines') as dh,
+        max(q3 + 3 * (q3 - q1) + 1000) filter (metric = 'repeats') as rh from z group by all)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+  not base_failed and coalesce(word_len between wl and wh and symbols <= sh and dup_lines <= dh and repeats <= rh, false) as kept
+from f left join k using (lang, source)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_decontamination": op4_decontamination}
+    return {"op4_decontamination": op4_decontamination, "op7_quality_rules": op7_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op4_decontamination": OP4_SQL, "op7_quality_rules": OP7_SQL}
