@@ -20,8 +20,8 @@ from .common import small_side, space_words, written
 METRICS = {
     "word_len": (500, True),  # thousandths of a character per word
     "symbols": (200, False),  # ten-thousandths of the word characters
-    "dup_lines": (3000, False),  # ten-thousandths of the lines with words
-    "repeats": (1000, False),  # ten-thousandths of the words
+    "dup_lines": (6000, False),  # ten-thousandths of the lines with words
+    "repeats": (3000, False),  # ten-thousandths of the words
 }
 
 

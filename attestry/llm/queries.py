@@ -65,8 +65,8 @@ q as (select lang, source, metric, rank, min(c) as c, min(v) filter (4 * i >= c)
 z as (select lang, source, metric, arg_min(q1, rank) as q1, arg_min(q3, rank) as q3 from q where c >= 50 or rank = 2 group by all),
 k as (select lang, source,
         max(q1 - 3 * (q3 - q1) - 500) filter (metric = 'word_len') as wl, max(q3 + 3 * (q3 - q1) + 500) filter (metric = 'word_len') as wh,
-        max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbols') as sh, max(q3 + 3 * (q3 - q1) + 3000) filter (metric = 'dup_lines') as dh,
-        max(q3 + 3 * (q3 - q1) + 1000) filter (metric = 'repeats') as rh from z group by all)
+        max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbols') as sh, max(q3 + 3 * (q3 - q1) + 6000) filter (metric = 'dup_lines') as dh,
+        max(q3 + 3 * (q3 - q1) + 3000) filter (metric = 'repeats') as rh from z group by all)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
   not base_failed and coalesce(word_len between wl and wh and symbols <= sh and dup_lines <= dh and repeats <= rh, false) as kept
