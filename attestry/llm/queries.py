@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, partenum, quality
 from .common import Query, table
 
 
@@ -33,6 +33,23 @@ from d left join h using (doc_id) left join i using (doc_id)
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, p, least(p + 4, len(w))), ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r as (select doc_id as a, doc_id as b from d union select r.a, l.b from r join l on r.b = l.a),
+m as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, m.component_id from d left join n using (doc_id) join m using (doc_id)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -75,8 +92,8 @@ from f left join k using (lang, source)
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_decontamination": op4_decontamination, "op7_quality_rules": op7_quality_rules}
+    return {"op4_decontamination": op4_decontamination, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_quality_rules": op7_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_quality_rules": OP7_SQL}
