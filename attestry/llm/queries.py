@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, partenum, quality
-from .common import Query, table
+from . import bpe, decontaminate, partenum, quality, token_file
+from .common import Query, table, work_dir
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_file.checksums(token_file.read(spark, path))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +106,13 @@ from f left join k using (lang, source)
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_decontamination": op4_decontamination, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_quality_rules": op7_quality_rules}
+    return {
+        "op2_token_file": op2_token_file,
+        "op4_decontamination": op4_decontamination,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_byte_bpe": op9_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
