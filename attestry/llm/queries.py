@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, partenum, quality, token_file
+from . import attribution, bpe, chat, decontaminate, partenum, quality, token_file
 from .common import Query, table, work_dir
 
 
@@ -17,6 +17,30 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.checksums(token_file.read(spark, path))
 
 
+def op3_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return attribution.attribute(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = r"""
+with c as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<\|im_(start|end)\|>', '', 'g'), '\s+', '_', 'g') as speaker,
+             regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '', 'g') as said from conversations),
+p as (select distinct conv_id as o, speaker as perspective from c where speaker <> 'system'),
+j as (select *, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as role
+      from c join p on conv_id is not distinct from o),
+h as (select *, case when role = 'user' then speaker end as name,
+        '<|im_start|>' || role || case when role = 'user' then ' name=' || speaker else '' end || chr(10) as head from j)
+select conv_id, perspective, turn, role, name, head || said || '<|im_end|>' || chr(10) as segment,
+  cast(case when role = 'assistant' then length(head) else 0 end as bigint) as mask_start,
+  cast(case when role = 'assistant' then length(head) + length(said) + 10 else 0 end as bigint) as mask_end,
+  role = 'assistant' as trained from h
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
@@ -108,12 +132,14 @@ from f left join k using (lang, source)
 def queries() -> dict[str, Query]:
     return {
         "op2_token_file": op2_token_file,
+        "op3_token_attribution": op3_token_attribution,
         "op4_decontamination": op4_decontamination,
         "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_chat_rotation": op6_chat_rotation,
         "op7_quality_rules": op7_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op7_quality_rules": OP7_SQL}
