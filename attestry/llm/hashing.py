@@ -49,10 +49,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word, plus the end).
 
-    A word is a run of bytes other than space and \\x09-\\x0D inside one text; A-Z count as a-z.
+    A word is a run of bytes inside one text for which `space` is false (the default: other than space and
+    \\x09-\\x0D); A-Z count as a-z.
     Memory beyond the result is a few times STEP, or the longest word.
     """
     cuts = np.zeros(len(data) + 1, dtype=bool)
@@ -61,16 +62,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while at < len(data):
         to = min(at + STEP, len(data))
         if to < len(data):  # go back to the last place that no word crosses
-            ends = np.flatnonzero(_SPACE[data[at:to]] | cuts[at + 1 : to + 1])
+            ends = np.flatnonzero(space[data[at:to]] | cuts[at + 1 : to + 1])
             if len(ends):
                 to = at + int(ends[-1]) + 1
             else:
-                while to < len(data) and not (_SPACE[data[to - 1]] or cuts[to]):
+                while to < len(data) and not (space[data[to - 1]] or cuts[to]):
                     to += 1
         piece, n = data[at:to], to - at
-        solid = ~_SPACE[piece]
+        solid = ~space[piece]
         before = np.empty(n, dtype=bool)
-        before[0], before[1:] = True, _SPACE[piece[:-1]]
+        before[0], before[1:] = True, space[piece[:-1]]
         first = np.flatnonzero(solid & (before | cuts[at:to]))
         if len(first):
             up, down = (_POW, _UNPOW) if n <= STEP else (powers(_BASE, n), powers(_UNBASE, n))

@@ -6,11 +6,22 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import attribution, bpe, chat, decontaminate, line_dedup, partenum, quality, token_file
+from . import attribution, bpe, chat, decontaminate, line_dedup, partenum, pii, quality, token_file, toxicity
 from .common import Query, table, work_dir
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(documents, labels.where(third != 1))
+    scored = toxicity.score(documents.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_file.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
@@ -70,6 +81,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.scan(documents, pii.train(documents))
+
+
 ALNUM = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP4_SQL = f"""
@@ -149,8 +165,16 @@ from f left join k using (lang, source)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
+        "op1_toxicity": op1_toxicity,
         "op2_token_file": op2_token_file,
         "op3_token_attribution": op3_token_attribution,
         "op4_decontamination": op4_decontamination,
@@ -159,6 +183,7 @@ def queries() -> dict[str, Query]:
         "op7_quality_rules": op7_quality_rules,
         "op8_line_dedup": op8_line_dedup,
         "op9_byte_bpe": op9_byte_bpe,
+        "op10_pii": op10_pii,
     }
 
 

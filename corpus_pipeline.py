@@ -1 +1,69 @@
-"""placeholder until the stages exist"""
+"""The corpus pipeline: five stages, each written as Parquet and read again before the next.
+
+toxicity -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> byte-level BPE. All but the last
+keep the columns of documents. Counted as part of attestry.llm.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestry.llm import bpe, decontaminate, line_dedup, partenum, toxicity
+from attestry.llm.common import small_side, table, work_dir
+
+#: A document that scores at least this much is rejected.
+TOXIC = 0.7
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; the classifier is trained on the labelled rows of the input."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier line of the corpus; those left without words go."""
+    return line_dedup.dedup_lines(docs).where(F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate class; repeated rows count once."""
+    classes = partenum.near_classes(docs).select("doc_id", "component_id").distinct()
+    dropped = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
+    dropped, _ = small_side(dropped.distinct())
+    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti").dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of any benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the hashes of ids and of the text they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", one_of_each_class),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+
+#: Training and byte-pair merging are beyond SQL; tests compare run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    base = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs
