@@ -35,7 +35,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     classes = partenum.near_classes(docs).select("doc_id", "component_id").distinct()
     dropped = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
     dropped, _ = small_side(dropped.distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti").dropDuplicates(["doc_id"])
+    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
