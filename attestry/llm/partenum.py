@@ -5,13 +5,14 @@ elements. Size bands make instances: instance j joins sets whose larger size lie
 the feature domain (shingle hashes) is cut into parts; sets that differ in at most k elements differ in at
 most k parts, so they agree on some choice of the others. With few differences all subsets of n - k of
 n = k + 2 parts are enumerated. With more, each part is a group of its own and a set emits its first
-k + 1 non-empty parts: the first part on which two similar sets agree is among those of both. A set with
+k + 1 non-empty parts, largest first: the first part on which two similar sets agree is among those of both. A set with
 too few non-empty parts for that also emits its first k + 1 elements, as a prefix filter. So similar sets
 always share a signature; every candidate is verified on the whole sets.
 
-Classes: exact copies of a set collapse first. Members of a signature group are linked to the group's
-first member and to their predecessor; verified links give classes, and only pairs of a group that are
-still in different classes are compared after that. No group is expanded into all its pairs.
+Classes: exact copies of a set collapse first. Each set's elements that no other candidate has bound what it
+can have in common with any, and parities of hashed elements bound in how many two sets differ at least. Members of a signature group meet the member with the
+fewest such elements; verified links give classes, and only pairs that the bound allows and that are still in
+different classes are compared after that.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, small_side, written
@@ -57,6 +58,16 @@ def _instances(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+_PARITY = [f"p{i}" for i in range(8)]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """512 bits as eight integers: whether an odd number of hashes falls on each. Sets differ in at least as many
+    elements as their parities differ in bits."""
+    odd = (np.bincount((mix(hashes ^ _C) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
     """Distinct signatures (uint64) of a set given as sorted hashes."""
     if not len(hashes):
@@ -64,7 +75,7 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
     mixed, high, out = mix(hashes ^ _A), hashes >> np.uint64(32), []
     for j, most, own in _instances(len(hashes), percent):
         seed = np.uint64((j + 1) * int(_C) & _ALL)
-        parts = 1 if not most else most + 2 if most <= _ENUMERATED else most + 2 + most // 6
+        parts = 1 if not most else most + 2 if most <= _ENUMERATED else most + 2 + most // 4
         part = (high * np.uint64(parts)) >> np.uint64(32)
         at = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         sums, ids = np.add.reduceat(mixed, at), part[at]
@@ -78,7 +89,9 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
                     out.append(mix(np.array([(int(total) + int(seed) + code) & _ALL], np.uint64)))
             short, prefix = len(ids) <= most, most + 1
         else:
-            out.append(mix(mix(sums + ids * _B)[: own + 1] + seed))
+            # Any order that depends on parts and their contents alone will do; large parts are the rarest.
+            first = np.argsort(-np.diff(at, append=len(mixed)), kind="stable")[: own + 1]
+            out.append(mix(mix(sums + ids * _B)[first] + seed))
             short, prefix = len(ids) <= own, own + 1
         if short:
             out.append(mix(hashes[:prefix] ^ _B))
@@ -102,45 +115,32 @@ def _documents(shingle_words: int, percent: int, what: str):
                     values = np.concatenate(each).view(np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
                     names.append("hashes")
+                if what == "set":
+                    bits = np.stack([parities(s) for s in sets])
+                    columns += [pa.array(bits[:, i]) for i in range(8)]
+                    names += _PARITY
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, node, n) sorted by sig and node -> rows of groups of two or more, with the group's first
-    node and the node before. Holds one row between batches."""
-    held, first, tied = None, None, False  # the last row, its group's first node, whether it goes with the row before
-    before = None
-
-    def rows(sig, node, n, firsts, befores, keep):
-        names = ["sig", "node", "n", "first", "before"]
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig, node, n, firsts, befores)], names)
-
+    """Of rows (sig, node) sorted by sig, those whose sig is not theirs alone. Holds one row between batches."""
+    held, tied = None, False  # the last row, and whether it goes with the row before it
     for batch in batches:
-        sig, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if not len(sig):
             continue
         if held is not None:
-            sig, node, n = (np.concatenate(([h], x)) for h, x in zip(held, (sig, node, n), strict=True))
+            sig, node = np.concatenate(([held[0]], sig)), np.concatenate(([held[1]], node))
         same = sig[1:] == sig[:-1]
-        with_before = np.concatenate(([tied], same))
-        with_next = np.concatenate((same, [False]))
-        heads = np.maximum.accumulate(np.where(~np.concatenate(([False], same)), np.arange(len(sig)), 0))
-        firsts = node[heads]
-        befores = np.concatenate((node[:1], node[:-1]))
-        befores = np.where(np.concatenate(([False], same)), befores, node)
-        if tied:  # the held row's group began earlier
-            firsts[heads == 0] = first
-            befores[0] = before
-        keep = with_before | with_next
-        held, tied, first, before = (sig[-1], node[-1], n[-1]), bool(with_before[-1]), firsts[-1], befores[-1]
-        keep[-1] = False
+        keep = np.concatenate(([tied], same)) | np.concatenate((same, [False]))
+        held, tied = (sig[-1], node[-1]), bool(same[-1]) if len(same) else tied
+        keep[-1] = False  # decided with the next batch
         if keep.any():
-            yield rows(sig, node, n, firsts, befores, keep)
-    if held is not None and tied:
-        one = [np.array([x]) for x in (*held, first, before)]
-        yield rows(*one, np.array([True]))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
+    if tied:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["sig", "node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,8 +156,13 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _sized(a: str, b: str, percent: int):
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _may_match(percent: int) -> Column:
+    """Whether sets of sizes na and nb, of which ua and ub elements are in no other set, can be similar: they
+    have at most the smaller rest in common, and differ in at least as many elements as their parities do."""
+    both = F.col("na") + F.col("nb")
+    common = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in _PARITY), F.lit(0))
+    return (common * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
 
 
 def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -171,7 +176,7 @@ def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80
     docs = documents.select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     head = f"doc_id {kind}, n bigint, k1 bigint, k2 bigint"
-    keyed = written(docs.mapInArrow(_documents(shingle_words, percent, "key"), head), "sets")
+    keyed = written(docs.mapInArrow(_documents(shingle_words, percent, "key"), head), "keys")
 
     # A node for each distinct set, numbered by its smallest doc_id; by a hash where that number isn't unique.
     nodes = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
@@ -182,7 +187,7 @@ def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80
     )
     nodes = written(nodes, "nodes")
     # Rows that don't stand for their node under their own doc_id: copies (dropped), and renumbered nodes.
-    renamed = keyed.where("n > 0").join(nodes.drop("n"), ["k1", "k2"])
+    renamed = keyed.where("n > 0").select("doc_id", "k1", "k2").join(nodes.select("k1", "k2", "rep", "node"), ["k1", "k2"])
     renamed = renamed.where(~F.col("doc_id").cast("long").eqNullSafe(F.col("node"))).groupBy("doc_id", "k1", "k2").agg(
         F.min(F.when(F.col("doc_id").eqNullSafe(F.col("rep")), F.col("node"))).alias("other")
     )
@@ -196,35 +201,43 @@ def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80
 
     signed = standing(docs.mapInArrow(_documents(shingle_words, percent, "signatures"), head + ", hashes array<bigint>"))
     shuffles = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = signed.select(F.explode("hashes").alias("sig"), "node", F.col("n").cast("int").alias("n")).repartition(shuffles, "sig")
-    groups = signed.sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig bigint, node bigint, n int, first bigint, before bigint")
+    signed = signed.select(F.explode("hashes").alias("sig"), "node").repartition(shuffles, "sig")
+    groups = signed.sortWithinPartitions("sig").mapInArrow(_runs, "sig bigint, node bigint")
     groups = written(groups, "groups")
 
+    # Whole sets of all members of groups. An element that no other member has is in no other document's set
+    # that could be similar; a set with too many of these has no links and leaves its groups.
+    need, _ = small_side(written(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "rep"), "members"), broadcast_rows)
+    texts = docs.join(need.select(F.col("rep").alias("r")), F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
+    sets = standing(texts.mapInArrow(_documents(shingle_words, percent, "set"), head + ", hashes array<bigint>" + "".join(f", {p} bigint" for p in _PARITY)))
+    sets = written(sets.join(need.select("node"), "node", "left_semi").select("node", "n", "hashes", *_PARITY).dropDuplicates(["node"]), "sets")
+    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+    alone = alone.where("holders = 1").groupBy("node").agg(F.count("*").alias("u"))
+    members = sets.drop("hashes").join(alone, "node", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    members = written(members.where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent), "able")
+    groups = written(groups.select("sig", "node").join(members, "node"), "able-groups")
+
+    def side(x: str) -> list[Column]:
+        return [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}"), *[F.col(p).alias(f"{x}{p}") for p in _PARITY]]
+
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = written(pairs.distinct(), f"{label}-pairs")
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        need, _ = small_side(written(nodes.join(need, "node", "left_semi").select("node", "rep"), f"{label}-nodes"), broadcast_rows)
-        texts = docs.join(need.select(F.col("rep").alias("r")), F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
-        sets = standing(texts.mapInArrow(_documents(shingle_words, percent, "set"), head + ", hashes array<bigint>"))
-        sets = written(sets.join(need.select("node"), "node", "left_semi").select("node", "hashes").dropDuplicates(["node"]), f"{label}-hashes")
-        return written(similar(pairs, sets, percent), f"{label}-links")
-
-    sizes = groups.select(F.col("node").alias("b"), "first", "before").distinct()
-    near = sizes.select(F.col("first").alias("a"), "b").unionByName(sizes.select(F.col("before").alias("a"), "b")).where("a <> b")
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    n_of = groups.select("node", "n").distinct()
-    near = near.join(n_of.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(n_of.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    links = verified(near.where(_sized("na", "nb", percent)).select("a", "b"), "star")
+        return written(similar(written(pairs.distinct(), f"{label}-pairs"), sets, percent), f"{label}-links")
+
+    # Every member meets the one with the fewest elements of its own, which is near to most of its group.
+    hub = groups.groupBy("sig").agg(F.min("u").alias("u"), F.count("*").alias("size")).where("size > 1")
+    hub = groups.join(hub, ["sig", "u"]).groupBy("sig").agg(F.min("node").alias("a")).join(members.select(*side("a")), "a")
+    star = groups.select("sig", *side("b")).join(hub, "sig")
+    star = star.where(F.col("a") != F.col("b")).where(_may_match(percent))
+    links = verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "star")
     classes = components(links)
 
     # Groups that still span classes: members outside the group's largest class meet all members of others.
-    placed = groups.join(classes, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = groups.join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     placed = written(placed.join(split, "sig", "left_semi"), "split")
     largest = placed.groupBy("sig", "c").agg(F.count("*").alias("size")).groupBy("sig").agg(F.max(F.struct("size", "c"))["c"].alias("main"))
-    stray = placed.join(largest, "sig").where("c <> main").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    others = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = stray.join(others, "sig").where((F.col("ca") != F.col("cb")) & _sized("na", "nb", percent))
+    stray = placed.join(largest, "sig").where("c <> main").select("sig", F.col("c").alias("ca"), *side("a"))
+    rest = stray.join(placed.select("sig", F.col("c").alias("cb"), *side("b")), "sig").where((F.col("ca") != F.col("cb")) & _may_match(percent))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(verified(rest, "rest"))
     classes = components(links)
