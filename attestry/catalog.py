@@ -1,19 +1,416 @@
-"""All jobs of the library by name, over the tables of one folder."""
+"""All jobs of the library by name, bound to the tables of one folder, with SQL that says the same.
+
+Stand-ins: a document set is a `source`, its files are `doc_id`; `events` is the request log (key = user_id,
+errors carry observed limits in `value`, purchases the user's own); drafts are turns of `conversations`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import audits, corpus, facts, ledgers, pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+JOBS: dict[str, tuple[Query, str | None]] = {}
+
+
+def job(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        JOBS[name] = f, sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("file_name"), "text")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts", "event_type", "value")
+
+
+# Documents
+
+
+@job("load_corpus", r"""select source as set_id, doc_id as file_name, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as text,
+  cast(length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as bigint) as n_chars, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') = '' as empty from documents""")
+def load_corpus(spark, sf_dir):
+    return corpus.load_corpus(documents(spark, sf_dir))
+
+
+NOTES = r"""select source as set_id, doc_id as file_name, cast(length(coalesce(text, '')) as bigint) as n_chars,
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}\s.,:/@+()''’-]')) as bigint) as n_odd from documents"""
+NOTED = f"""select *, case when n_chars = 0 then 'no text' when n_chars < 200 then 'short' when n_odd / n_chars > 0.08 then 'noisy' else 'clean' end as note from ({NOTES})"""
+
+
+@job("read_quality", f"""select set_id, count(*) as n_files, cast(sum(n_chars) as bigint) as chars, cast(sum(n_odd) as bigint) as odd,
+  count(*) filter (note = 'no text') as n_no_text, count(*) filter (note = 'short') as n_short, count(*) filter (note = 'noisy') as n_noisy,
+  count(*) filter (note = 'clean') as n_clean from ({NOTED}) group by set_id""")
+def read_quality(spark, sf_dir):
+    return corpus.read_quality(documents(spark, sf_dir))
+
+
+@job("extraction_report", f"""select n.set_id, n.file_name, n_chars, note, coalesce(f, 0) as n_facts from ({NOTED}) n left join
+  (select doc_id, count(*) as f from (select distinct doc_id, lower(e) from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{tx.EMAIL}')) as e from documents)) x(doc_id, e) group by doc_id) g on g.doc_id = n.file_name""")
+def extraction_report(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    emails = facts.typed_candidates(docs).where("field = 'email'").groupBy("set_id", F.col("source").alias("file_name")).agg(F.countDistinct(F.lower("value")).alias("n_facts"))
+    joined = corpus.file_notes(docs).join(emails, ["set_id", "file_name"], "left")
+    return joined.select("set_id", "file_name", "n_chars", "note", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+
+
+_TALLY = ", ".join(f"sum(len(regexp_extract_all(coalesce(text, ''), '{p}'))) as \"{c}\"" for c, p in tx.SCRIPTS)
+_NAMES = ", ".join(f'"{c}"' for c, _ in tx.SCRIPTS)
+_CASE = " ".join(f"when \"{c}\" = greatest({_NAMES}) then '{c}'" for c, _ in tx.SCRIPTS)
+
+
+@job("language_by_script", f"""select set_id, cast(n as bigint) as n_letters, language, coalesce(language in ('ar', 'he'), false) as rtl from
+  (select set_id, n, case when n >= 3 then case {_CASE} end end as language from (select *, {' + '.join(f'"{c}"' for c, _ in tx.SCRIPTS)} as n from (select source as set_id, {_TALLY} from documents group by source)))""")
+def language_by_script(spark, sf_dir):
+    return corpus.language_by_script(documents(spark, sf_dir))
+
+
+@job("set_fingerprint", """select set_id, count(*) as n_files, sha256(string_agg(e, '|' order by e)) as fingerprint from
+  (select source as set_id, sha256(cast(doc_id as varchar) || '#' || length(coalesce(text, '')) || ':' || sha256(coalesce(text, ''))) as e from documents) group by set_id""")
+def set_fingerprint(spark, sf_dir):
+    return corpus.set_fingerprint(documents(spark, sf_dir))
+
+
+@job("change_verdict", """with c as (select source as set_id, count(*) as n, sum(length(text)) as f from documents where doc_id % 7 <> 3 or source <> 'src1' group by source),
+  o as (select source as set_id, sum(length(text)) as f from documents where source <> 'src2' group by source)
+  select coalesce(c.set_id, o.set_id) as set_id, case when o.set_id is null then 'nothing cached' when c.set_id is null then 'removed'
+    when o.f <> c.f then 'files changed' when coalesce(c.set_id, o.set_id) = 'src3' then 'version' else 'reuse' end as verdict from c full join o on c.set_id = o.set_id""")
+def change_verdict(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("set_id", F.col("source"))
+    state = lambda d, v: d.groupBy("set_id").agg(F.sum(F.length("text")).alias("fingerprint")).select("set_id", "fingerprint", v.alias("version"), F.lit("p").alias("provider"))
+    now = state(docs.where((F.col("doc_id") % 7 != 3) | (F.col("source") != "src1")), F.lit(2))
+    return corpus.change_verdict(now, state(docs.where("source <> 'src2'"), F.when(F.col("set_id") == "src3", 1).otherwise(2)))
+
+
+@job("dedupe_keep_first", """select doc_id, f as duplicate_of from (select doc_id, min(doc_id) over (partition by text) as f from documents where text is not null) where doc_id <> f""")
+def dedupe_keep_first(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    _, removed = corpus.dedupe_keep_first(docs, F.sha2("text", 256), "doc_id")
+    return removed.select("doc_id", "duplicate_of")
+
+
+@job("coverage_report", """select source, lang, count(*) as n, cast(sum(n_chars) as bigint) as total, cast(grouping(source, lang) as bigint) as level
+  from documents group by grouping sets ((source, lang), (source), ())""")
+def coverage_report(spark, sf_dir):
+    return corpus.coverage_report(read(spark, sf_dir, "documents"), "source", "lang", "n_chars")
+
+
+@job("header_names", r"""select set_id, file_name, line_no, value from (select set_id, file_name, unnest(range(0, len(ls))) as line_no, unnest(ls) as value from
+  (select source as set_id, doc_id as file_name, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from documents))
+  where regexp_matches(value, '^[A-Z][A-Za-z''.-]*( [A-Z][A-Za-z''.-]*){1,3}$')""")
+def header_names(spark, sf_dir):
+    return corpus.header_names(documents(spark, sf_dir))
+
+
+@job("payload_budget", """with s as (select source as set_id, doc_id, strlen(coalesce(text, '')) as b, row_number() over (partition by source order by strlen(coalesce(text, '')) desc, cast(doc_id as varchar)) as r from documents)
+  select set_id, cast(sum(b) as bigint) as bytes, cast(ceil(sum(b) * 4 / 3) as bigint) as encoded, cast(greatest(ceil(sum(b) * 4 / 3) - 100000, 0) as bigint) as over,
+    string_agg(cast(doc_id as varchar), ',' order by r) filter (r <= 5) as largest from s group by set_id""")
+def payload_budget(spark, sf_dir):
+    return corpus.payload_budget(documents(spark, sf_dir), ceiling=100_000)
+
+
+@job("batches", """select doc_id, source, cast((row_number() over (partition by source order by doc_id) - 1) // 12 as bigint) as batch_no from documents""")
+def batches(spark, sf_dir):
+    return corpus.batches(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@job("grounding_check", r"""with c as (select item_id as claim_id, source as set_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) as v from benchmark, (select distinct source from documents where source in ('src1', 'src2'))),
+  t as (select distinct claim_id, set_id, unnest(string_split(v, ' ')) as token from c),
+  h as (select distinct source as set_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) as token from documents)
+  select claim_id * 10 + case set_id when 'src1' then 1 else 2 end as claim_id, count(*) filter (length(t.token) > 2 and h.token is null) = 0 as grounded,
+    cast(count(*) filter (length(t.token) > 2 and h.token is null) as bigint) as n_missing from t left join h using (set_id, token) group by claim_id, set_id""")
+def grounding_check(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").withColumn("set_id", F.explode(F.array(F.lit("src1"), F.lit("src2"))))
+    claims = items.select((F.col("item_id") * 10 + F.substring("set_id", 4, 1).cast("int")).alias("claim_id"), "set_id", F.col("text").alias("value"))
+    return corpus.grounding_check(claims, documents(spark, sf_dir))
+
+
+# Facts
+
+CANDIDATES = rf"""select distinct source as set_id, doc_id as file, field, value from (
+  select source, doc_id, 'email' as field, unnest(regexp_extract_all(coalesce(text, ''), '{tx.EMAIL}')) as value from documents union all
+  select source, doc_id, 'phone', regexp_replace(trim(unnest(regexp_extract_all(coalesce(text, ''), '{tx.PHONE}'))), '\s{{2,}}', ' ', 'g') from documents)
+  where field = 'email' or length(regexp_replace(value, '[^0-9]', '', 'g')) between 7 and 15"""
+
+
+@job("distinct_typed", CANDIDATES)
+def distinct_typed(spark, sf_dir):
+    return facts.typed_candidates(documents(spark, sf_dir)).select("set_id", F.col("source").alias("file"), "field", "value")
+
+
+@job("corroborate", f"""select set_id, field, lower(trim(value)) as key, count(distinct file) as corroboration from ({CANDIDATES}) group by all""")
+def corroborate(spark, sf_dir):
+    return facts.corroborate(facts.typed_candidates(documents(spark, sf_dir))).select("set_id", "field", "key", "corroboration")
+
+
+@job("reconcile_facts", f"""select set_id, field, lower(trim(value)) as value, count(distinct file) as corroboration, case when count(distinct file) >= 2 then 'high' else 'medium' end as confidence from ({CANDIDATES}) group by all""")
+def reconcile_facts(spark, sf_dir):
+    found = facts.reconcile_facts(facts.typed_candidates(documents(spark, sf_dir)))
+    return found.select("set_id", "field", F.lower(F.trim("value")).alias("value"), "corroboration", "confidence")
+
+
+@job("manual_override", """select c_custkey as set_id, 'segment' as field, c_mktsegment as value, 'manual' as origin from customer where c_acctbal > 5000
+  union all select c_custkey, 'segment', 'derived', 'derived' from customer where c_acctbal <= 5000 union all select c_custkey, 'name', c_name, 'derived' from customer""")
+def manual_override(spark, sf_dir):
+    people = read(spark, sf_dir, "customer")
+    row = lambda d, f, v, o: d.select(F.col("c_custkey").alias("set_id"), F.lit(f).alias("field"), v.alias("value"), F.lit(o).alias("origin"))
+    derived = row(people, "segment", F.lit("derived"), "derived").unionByName(row(people, "name", F.col("c_name"), "derived"))
+    return facts.manual_override(derived, row(people.where("c_acctbal > 5000"), "segment", F.col("c_mktsegment"), "manual"))
+
+
+@job("plausibility_gate", rf"""select field, cast(count(*) filter (ok) as bigint) as accepted, cast(count(*) filter (not ok) as bigint) as rejected from (select field,
+  case when field = 'email' then regexp_matches(value, '^[^\s@]+@[^\s@]+\.[^\s@]{{2,}}$') when field = 'phone' then length(regexp_replace(value, '[^0-9]', '', 'g')) between 7 and 15
+    when field = 'id' then regexp_matches(value, '[0-9]') and length(value) <= 40 else regexp_matches(value, '^[A-Za-z0-9][A-Za-z0-9 -]{{1,11}}$') end as ok from (
+  select 'email' as field, trim(unnest(string_split(coalesce(text, ''), ' '))) as value from documents union all select 'phone', trim(unnest(string_split(coalesce(text, ''), ' '))) from documents
+  union all select 'id', c_name from customer union all select 'postal_code', p_brand from part) where value <> '') group by field""")
+def plausibility_gate(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("value")).where(F.trim("value") != "")
+    row = lambda d, f: d.select(F.lit(f).alias("field"), F.trim("value").alias("value"))
+    ids = read(spark, sf_dir, "customer").select(F.col("c_name").alias("value"))
+    codes = read(spark, sf_dir, "part").select(F.col("p_brand").alias("value"))
+    return facts.plausibility_gate(row(words, "email").unionByName(row(words, "phone")).unionByName(row(ids, "id")).unionByName(row(codes, "postal_code")))
+
+
+@job("dossier_reconcile", r"""with f as (select n_nationkey as key, n_name as value, 3 + n_nationkey % 2 as r from nation),
+  d as (select n_nationkey as key, case n_nationkey % 4 when 0 then lower(n_name) when 1 then n_name || ' region' when 2 then 'other' end as o, case when n_nationkey % 3 = 0 then 'high' else 'low' end as c from nation where n_nationkey % 5 <> 4),
+  j as (select f.key, value, r, o, c, regexp_replace(lower(value), '[^a-z0-9@+]', '', 'g') as a, regexp_replace(lower(o), '[^a-z0-9@+]', '', 'g') as b from f left join d on f.key = d.key),
+  v as (select *, case when o is null then 'only fact' when a = b then 'agree' when contains(a, b) or contains(b, a) then 'contained' when r >= 4 and c <> 'high' then 'fact wins' else 'conflict' end as verdict from j)
+  select key, verdict, case when verdict = 'contained' then case when length(o) > length(value) then o else value end when verdict <> 'conflict' then value end as resolved from v""")
+def dossier_reconcile(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").withColumn("key", F.col("n_nationkey"))
+    mine = n.select("key", F.col("n_name").alias("value"), (F.lit(3) + F.col("key") % 2).alias("rule_rank"))
+    k = F.col("key") % 4
+    told = F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat("n_name", F.lit(" region"))).when(k == 2, F.lit("other"))
+    other = n.where("key % 5 <> 4").select("key", told.alias("value"), F.when(F.col("key") % 3 == 0, "high").otherwise("low").alias("confidence"))
+    return facts.dossier_reconcile(mine, other)
+
+
+@job("date_audit", """with o as (select o_custkey % 10 as set_id, o_orderkey % 4 as form, day(o_orderdate) as d, o_custkey % 3 as h from orders)
+  select cast(set_id as varchar) as set_id, case when form = 0 then 'accepted' when form = 3 then 'unknown format' when d > 12 or h = 0 then 'accepted' else 'ambiguous' end as outcome, count(*) as n from o group by all""")
+def date_audit(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    form, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    raw = F.when(form == 0, F.date_format(d, "yyyy-MM-dd")).when(form == 3, F.date_format(d, "yyyy.MM.dd")).otherwise(F.date_format(d, "d/M/yyyy"))
+    hint = F.when(F.col("o_custkey") % 3 == 0, "DMY")
+    return facts.date_counts(o.select((F.col("o_custkey") % 10).cast("string").alias("set_id"), raw.alias("raw"), hint.alias("order_hint")))
+
+
+# Ledgers
+
+DAY = "cast(cast(ts at time zone 'UTC' at time zone 'America/Los_Angeles' as date) as varchar)"
+
+
+@job("quota_ledger", f"""select user_id as key, {DAY} as day, count(*) as used, max(case when event_type = 'error' then cast(floor(value) as bigint) end) as limit,
+  cast(greatest(max(case when event_type = 'error' then cast(floor(value) as bigint) end) - count(*), 0) as bigint) as remaining from events group by all""".replace("as limit,", 'as "limit",').replace(
+    "cast(greatest(max(", "case when max(case when event_type = 'error' then 1 end) is not null then cast(greatest(max(").replace("0) as bigint) as remaining", "0) as bigint) end as remaining"))
+def quota_ledger(spark, sf_dir):
+    limit = F.when(F.col("event_type") == "error", F.floor("value"))
+    ledger = ledgers.quota_ledger(events(spark, sf_dir).select("key", "ts", limit.alias("limit")))
+    return ledger.withColumn("day", F.col("day").cast("string"))
+
+
+@job("limit_carry_forward", f"""with d as (select user_id as key, {DAY} as day, count(*) as used, max(case when event_type = 'purchase' and value > 40 then cast(floor(value) as bigint) end) as u,
+    max(case when event_type = 'error' then cast(floor(value) as bigint) end) as o from events group by all),
+  c as (select key, day, used, last_value(u ignore nulls) over w as u, last_value(o ignore nulls) over w as o from d window w as (partition by key order by day rows unbounded preceding))
+  select key, day, used, coalesce(u, o) as "limit", case when u is not null then 'user' when o is not null then 'observed' else 'unknown' end as limit_source from c""")
+def limit_carry_forward(spark, sf_dir):
+    e = events(spark, sf_dir)
+    daily = e.groupBy("key", ledgers.pacific_day(F.col("ts")).alias("day")).agg(
+        F.count("*").alias("used"),
+        F.max(F.when((F.col("event_type") == "purchase") & (F.col("value") > 40), F.floor("value"))).alias("user_limit"),
+        F.max(F.when(F.col("event_type") == "error", F.floor("value"))).alias("observed_limit"),
+    )
+    return ledgers.limit_carry_forward(daily).withColumn("day", F.col("day").cast("string"))
+
+
+@job("rolling_rate", """with m as (select event_id, event_type as key, (epoch_us(ts) // 1000) as ms from events),
+  w as (select *, count(*) over x as n, min(ms) over x as o from m window x as (partition by key order by ms range between 3600000 preceding and current row))
+  select event_id, key, n as in_window, n > 2 as over, case when n > 2 then greatest(250, o + 3600000 - ms + 50) else 0 end as wait_ms from w""")
+def rolling_rate(spark, sf_dir):
+    log = events(spark, sf_dir).select("event_id", F.col("event_type").alias("key"), "ts")
+    return ledgers.rolling_rate(log, rpm=4, window_ms=3_600_000)
+
+
+@job("spacing_gaps", """with g as (select user_id as key, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as gap from events)
+  select key, count(*) as n, min(gap) as least_gap_ms, cast(count(*) filter (gap < 5400000) as bigint) as violations from g group by key""")
+def spacing_gaps(spark, sf_dir):
+    return ledgers.spacing_gaps(events(spark, sf_dir), rpm=0.01)
+
+
+@job("pacing_basis", """with l as (select event_id, user_id as key, last_value(case when event_type = 'error' then cast(floor(value) as bigint) end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) as r from events)
+  select event_id, key, coalesce(r, 5) as rpm, case when r is null then 'fallback' else 'learned' end as basis from l""")
+def pacing_basis(spark, sf_dir):
+    header = F.when(F.col("event_type") == "error", F.floor("value"))
+    return ledgers.pacing_basis(events(spark, sf_dir).withColumn("rate_header", header))
+
+
+@job("ttl_split", """select event_id as key, u as expires_at, u > timestamp '2024-01-15 00:00:00' as live from (select event_id,
+  case when event_type = 'view' then date_trunc('second', ts) + interval 5 days else ts + interval 48 hours end - interval 1 hour as u from events)""")
+def ttl_split(spark, sf_dir):
+    e = events(spark, sf_dir)
+    given = F.when(F.col("event_type") == "view", F.date_format(F.col("ts") + F.expr("interval 5 days"), "yyyy-MM-dd HH:mm:ss")).when(F.col("event_type") == "click", "soon")
+    entries = e.select(F.col("event_id").alias("key"), F.col("ts").alias("uploaded_at"), given.alias("server_expiry"))
+    return ledgers.ttl_split(entries, "2024-01-15 00:00:00").withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+
+
+@job("retention_purge", """select user_id as key, max(ts) as last_used from events where event_type = 'signup' group by user_id having max(ts) < timestamp '2024-01-31 00:00:00' - interval 3 days""")
+def retention_purge(spark, sf_dir):
+    old = ledgers.retention_purge(events(spark, sf_dir).where("event_type = 'signup'"), "2024-01-31 00:00:00", days=3)
+    return old.withColumn("last_used", F.col("last_used").cast("timestamp_ntz"))
+
+
+@job("version_check", """with k as (select event_id, user_id as key, ts, case event_type when 'signup' then 'navigate' when 'view' then 'scan' when 'error' then 'remove' else 'answer' end as kind from events),
+  g as (select *, sum(case when kind = 'navigate' then 1 else 0 end) over (partition by key order by ts, event_id rows unbounded preceding) as generation from k),
+  s as (select *, last_value(case when kind = 'scan' then generation end ignore nulls) over w as s, last_value(case when kind = 'remove' then generation end ignore nulls) over w as r from g window w as (partition by key order by ts, event_id rows unbounded preceding))
+  select event_id, key, cast(generation as bigint) as generation, case when r = generation then 'gone' when s is null then 'not scanned' when s < generation then 'navigated' else 'current' end as verdict from s where kind = 'answer'""")
+def version_check(spark, sf_dir):
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "navigate").when(t == "view", "scan").when(t == "error", "remove").otherwise("answer")
+    return ledgers.version_check(events(spark, sf_dir).withColumn("kind", kind))
+
+
+@job("job_snapshot", """with l as (select user_id % 7 as run_id, user_id as job, ts, event_id, case event_type when 'view' then 'queued' when 'click' then 'running' else event_type end as state from events),
+  s as (select run_id, job, arg_max(state, ts) as state, max(ts) as ts from l group by all)
+  select run_id, job, state, case when state = 'queued' then row_number() over (partition by run_id, state order by ts) end as position from s""")
+def job_snapshot(spark, sf_dir):
+    t = F.col("event_type")
+    log = events(spark, sf_dir).select("event_id", (F.col("key") % 7).alias("run_id"), F.col("key").alias("job"), "ts", F.when(t == "view", "queued").when(t == "click", "running").otherwise(t).alias("state"))
+    return ledgers.job_snapshot(log)
+
+
+@job("error_rollup", """with r as (select user_id % 3 as provider, case event_type when 'error' then 429 when 'view' then 500 when 'click' then 401 when 'signup' then 404 else 200 end as s, cast(floor(value) as bigint) as m from events)
+  select provider, case s when 429 then 'rate limit' when 500 then 'server' when 401 then 'auth' when 404 then 'not found' else 'ok' end as kind, count(*) as n, max(s in (429, 500)) as retryable, max(m) as longest_retry_ms from r group by provider, s""")
+def error_rollup(spark, sf_dir):
+    t = F.col("event_type")
+    status = F.when(t == "error", 429).when(t == "view", 500).when(t == "click", 401).when(t == "signup", 404).otherwise(200)
+    return ledgers.error_rollup(events(spark, sf_dir).select((F.col("key") % 3).alias("provider"), status.alias("status"), F.floor("value").alias("retry_ms")))
+
+
+@job("preflight", """with w as (select source as set_id, count(*) as q, source in ('src1', 'src2') as c from documents group by source),
+  l as (select 'src' || (user_id % 18) as set_id, 40 - count(*) % 37 as r from events group by user_id % 18)
+  select w.set_id, cast(case when c then 0 else 1 end + ceil(q / 12) as bigint) as requests, case when r is null then 'unknown limit' when case when c then 0 else 1 end + ceil(q / 12) > r then 'exceeds'
+    when (case when c then 0 else 1 end + ceil(q / 12)) * 5 > r * 4 then 'tight' else 'ok' end as verdict,
+    cast(case when r is null then q else least(q, greatest(r - case when c then 0 else 1 end, 0) * 12) end as bigint) as answerable from w left join l on w.set_id = l.set_id""")
+def preflight(spark, sf_dir):
+    work = documents(spark, sf_dir).groupBy("set_id").agg(F.count("*").alias("questions")).withColumn("cached", F.col("set_id").isin("src1", "src2"))
+    left = events(spark, sf_dir).groupBy((F.col("key") % 18).alias("k")).agg(F.count("*").alias("n"))
+    return ledgers.preflight(work, left.select(F.concat(F.lit("src"), F.col("k").cast("string")).alias("set_id"), (40 - F.col("n") % 37).alias("remaining")))
+
+
+# Audits
+
+
+@job("leak_guard", r"""select role, count(*) as n, cast(count(*) filter (regexp_matches(coalesce(text, ''), '(?i)\b(as an ai|as a language model|i cannot|i can''t|i''m unable to|i am unable to|i don''t have access|i do not have access|please provide|write something|based on the uploaded|as a placeholder)\b')) as bigint) as leaked from conversations group by role""")
+def leak_guard(spark, sf_dir):
+    return audits.leak_guard(read(spark, sf_dir, "conversations"))
+
+
+@job("provenance_audit", """select source as form_id, count(*) as n, cast(count(*) filter (doc_id % 3 = 0 and doc_id % 5 <> 0) as bigint) as violations from documents group by source""")
+def provenance_audit(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).otherwise("a guess")
+    state = F.when(F.col("doc_id") % 3 == 0, "from documents").otherwise("draft")
+    return audits.provenance_audit(read(spark, sf_dir, "documents").select(F.col("source").alias("form_id"), F.col("doc_id").alias("q_idx"), state.alias("state"), name.alias("source")))
+
+
+_STATE = "case when doc_id % 11 = 0 then 'manual only' when doc_id % 7 = 0 then 'conflict' when n_chars < 300 then 'needs input' when doc_id % 2 = 0 then 'from documents' else 'from profile' end"
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    state = audits.answer_state(
+        F.col("doc_id") % 11 == 0, F.col("doc_id") % 7 == 0, F.when(F.col("n_chars") >= 300, F.col("lang")),
+        F.when(F.col("doc_id") % 2 == 0, "a.pdf").otherwise("profile"), F.lit(False), F.lit(False), F.lit(False),
+    )
+    return d.select(F.col("source").alias("form_id"), F.col("doc_id").alias("q_idx"), state.alias("state"))
+
+
+@job("state_distribution", f"""select source as form_id, state, count(*) as n, cast(grouping(source, state) as bigint) as level from (select source, {_STATE} as state from documents) group by rollup (source, state)""")
+def state_distribution(spark, sf_dir):
+    return audits.state_distribution(_answers(spark, sf_dir))
+
+
+@job("answer_state", f"""select source as form_id, doc_id as q_idx, {_STATE} as state from documents""")
+def answer_state(spark, sf_dir):
+    return _answers(spark, sf_dir)
+
+
+@job("report_gate", f"""select form_id, cast(0 as bigint) as drafts, cast(count(*) filter (state = 'conflict') as bigint) as conflicts, cast(count(*) filter (state = 'needs input') as bigint) as needs_input,
+  count(*) filter (state in ('conflict', 'needs input')) = 0 as verified from (select source as form_id, {_STATE} as state from documents) group by form_id""")
+def report_gate(spark, sf_dir):
+    return audits.report_gate(_answers(spark, sf_dir))
+
+
+@job("section_fingerprint", """select conv_id, count(*) as n, sha256(string_agg(sha256(coalesce(text, '')), '|' order by turn)) as fingerprint from conversations group by conv_id""")
+def section_fingerprint(spark, sf_dir):
+    return audits.section_fingerprint(read(spark, sf_dir, "conversations"))
+
+
+@job("section_changes", """select conv_id, turn, role, coalesce(role <> lag(role) over (partition by conv_id order by turn), true) as changed from conversations""")
+def section_changes(spark, sf_dir):
+    return audits.section_changes(read(spark, sf_dir, "conversations"))
+
+
+@job("fuzzy_pairs", """with p as (select p_partkey as id, p_brand || p_size as block, trim(regexp_replace(lower(trim(p_name)), '[*?!.,:;]+$', '')) as l, length(p_name) as n from part)
+  select a.id as a, b.id as b, round(1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l)), 6) as score from p a join p b on a.block = b.block and a.id < b.id
+  where least(a.n, b.n) >= greatest(a.n, b.n) * 0.6 and round(1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l)), 6) >= 0.6""")
+def fuzzy_pairs(spark, sf_dir):
+    labels = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("block"), F.col("p_name").alias("label"))
+    return audits.fuzzy_pairs(labels, 0.6)
+
+
+# Pages and nesting
+
+
+@job("url_language_hint", r"""select page_id, nullif(lower(regexp_extract(html, '<html[^>]*\slang="([A-Za-z]{2,3})', 1)), '') as language from pages""")
+def url_language_hint(spark, sf_dir):
+    return pages.url_language_hint(read(spark, sf_dir, "pages"))
+
+
+@job("url_coverage", r"""with u as (select url, regexp_extract(url, '^([a-z]+)://', 1) as s, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as h from pages)
+  select s || '://' || h as origin, count(*) as n from u where not ((h = 'example.com' or ends_with(h, '.example.com')) and s = 'https') and not (h = 'example.org' or ends_with(h, '.example.org')) group by 1""")
+def url_coverage(spark, sf_dir):
+    patterns = spark.createDataFrame([("https", "example.com"), ("*", "example.org")], "scheme string, suffix string")
+    return pages.url_coverage(read(spark, sf_dir, "pages").select("url"), patterns)
+
+
+@job("hierarchy_splice", """with n as (select 1 as depth, n_nationkey as id, n_regionkey as root, [n_nationkey] as p from nation),
+  a as (select 0 as depth, r_regionkey as id, r_regionkey as root, [-1, -1] as k from region union all select 1, id, root, [id, -1] from n
+    union all select 2, c_custkey, n_regionkey, [c_nationkey, c_custkey] from customer join nation on c_nationkey = n_nationkey)
+  select depth, id, root, row_number() over (partition by root order by k[1], k[2]) as position from a""")
+def hierarchy_splice(spark, sf_dir):
+    r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    level = lambda d, i, p: d.select(F.col(i).cast("long").alias("id"), (F.col(p).cast("long") if p else F.lit(None).cast("long")).alias("parent"), F.col(i).cast("long").alias("ord"))
+    return pages.hierarchy_splice([level(r, "r_regionkey", None), level(n, "n_nationkey", "n_regionkey"), level(c, "c_custkey", "c_nationkey")])
+
+
+@job("reading_order", """select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_tax = 0, case when l_tax <> 0 then round(l_quantity / 8) end, l_extendedprice, l_linenumber) as position from lineitem""")
+def reading_order(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") != 0, F.col("l_quantity")).alias("top"), F.col("l_extendedprice").alias("left"), F.col("l_linenumber").alias("doc_order"))
+    return pages.reading_order(items, "l_orderkey").select("l_orderkey", "l_linenumber", "position")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in JOBS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in JOBS.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Typed candidates of every document set, corroborated and reconciled into facts."""
+    return facts.reconcile_facts(facts.typed_candidates(documents(spark, sf_dir)))
