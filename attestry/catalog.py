@@ -6,6 +6,8 @@ errors carry observed limits in `value`, purchases the user's own); drafts are t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import audits, corpus, facts, ledgers, pages
+from .streaming import ledger as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, tuple[Query, str | None]] = {}
@@ -403,6 +406,40 @@ def reading_order(spark, sf_dir):
     return pages.reading_order(items, "l_orderkey").select("l_orderkey", "l_linenumber", "position")
 
 
+# Streams, drained over the same events as their batch twins
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The event table as a stream, and a folder for state and rows."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    schema = read(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.select("event_id", F.col("user_id").alias("key"), "ts", "event_type"), f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@job("stream_ledger", f"""select user_id as key, {DAY} as day, count(*) as used from events group by all""")
+def stream_ledger(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir)
+    out = streams.drained(spark, streams.day_counts(rows), path, "update")
+    return out.groupBy("key", F.col("day").cast("string").alias("day")).agg(F.max_by("used", "_batch").alias("used"))
+
+
+@job("stream_rate", """with s as (select user_id as key, epoch_us(ts) as us from events), w as (select key, us, unnest(range(0, 6)) as i from s),
+  c as (select key, (us // 600000000 - i) * 600000000 as start, count(*) as n from w group by all)
+  select key, cast(make_timestamp(start) as varchar) as start, n from c where n > 1""")
+def stream_rate(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir)
+    out = streams.drained(spark, streams.rate_alerts(rows, rpm=3, window="1 hour", slide="10 minutes"), path, "update")
+    return out.groupBy("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")).agg(F.max_by("n", "_batch").alias("n"))
+
+
+@job("stream_dedupe", """select distinct user_id as key, event_type from events""")
+def stream_dedupe(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir)
+    once = streams.admitted_once(rows.select("ts", "key", "event_type"), ["key", "event_type"])
+    return streams.drained(spark, once, path, "append").select("key", "event_type").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in JOBS.items()}
 
