@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import audits, corpus, facts, ledgers, pages
+from .operators import audits, corpus, facts, ledgers, pages, questions
 from .streaming import ledger as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,6 +406,105 @@ def reading_order(spark, sf_dir):
     return pages.reading_order(items, "l_orderkey").select("l_orderkey", "l_linenumber", "position")
 
 
+# Questions: turns of conversations; their rules and facts come from other tables
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations")
+    kind = F.when(F.col("turn") % 3 == 0, "paragraph").when(F.col("turn") % 3 == 1, "short_answer").otherwise("file")
+    return c.select(
+        F.col("conv_id").alias("form_id"), F.col("turn").alias("q_idx"), (F.col("conv_id") % 25).cast("long").alias("set_id"), (F.col("turn") % 4).cast("long").alias("key"),
+        F.col("text").alias("label"), kind.alias("kind"), (F.col("conv_id") % 13 == 5).alias("manual_only"),
+    )
+
+
+_Q = """(select conv_id as form_id, turn as q_idx, conv_id % 25 as set_id, turn % 4 as key, text as label,
+  case turn % 3 when 0 then 'paragraph' when 1 then 'short_answer' else 'file' end as kind, conv_id % 13 = 5 as manual_only from conversations)"""
+
+
+@job("semantic_key_join", f"""with k as (select item_id % 20 as key, item_id as ord, lower(string_split(text, ' ')[2]) as keyword from benchmark),
+  h as (select low, keyword, ord, key, row_number() over (partition by low order by length(keyword) desc, ord) as r from (select distinct lower(label) as low from {_Q}) join k on contains(low, keyword))
+  select form_id, q_idx, h.key from {_Q} q left join h on lower(label) = low and r = 1""")
+def semantic_key_join(spark, sf_dir):
+    rules = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("key"), F.split("text", " ")[1].alias("keyword"), F.col("item_id").alias("ord"))
+    return questions.semantic_key_join(_questions(spark, sf_dir).drop("key"), rules).select("form_id", "q_idx", "key")
+
+
+@job("compose_eligible", f"""select form_id, cast(count(*) filter (not manual_only and (kind = 'paragraph' or (kind = 'short_answer' and regexp_matches(lower(label), '{questions.OPEN_HINTS}') and not regexp_matches(lower(label), '{questions.DISCRETE_HINTS}')))) as bigint) as n
+  from {_Q} group by form_id""")
+def compose_eligible(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    ok = questions.composable(F.col("kind"), F.coalesce("label", F.lit("")), F.col("manual_only"))
+    return q.groupBy("form_id").agg(F.sum(F.when(ok, 1).otherwise(0)).alias("n"))
+
+
+_DECLARED = "coalesce(" + ", ".join(f"case when regexp_matches(label, '{p}') then '{k}' end" for k, p in questions.DECLARATIONS) + ")"
+
+
+@job("declaration_match", f"""select coalesce({_DECLARED}, 'none') as declaration, count(*) as n from {_Q} group by 1""")
+def declaration_match(spark, sf_dir):
+    kind = F.coalesce(questions.declaration_kind(F.col("label")), F.lit("none"))
+    return _questions(spark, sf_dir).groupBy(kind.alias("declaration")).agg(F.count("*").alias("n"))
+
+
+@job("resolution_waterfall", f"""with q as {_Q}, f as (select n_nationkey as set_id, n_regionkey as key, arg_max(n_name, n_nationkey) as fact from nation group by all),
+  g as (select conv_id as form_id, turn as q_idx, role as given from conversations where turn % 5 = 3)
+  select q.form_id, q.q_idx, case when manual_only then 'manual' when fact is not null then 'facts' when {_DECLARED} = 'certification' then 'declaration' when given is not null then 'supplied' when kind = 'file' then 'file' else 'needs input' end as tier,
+    case when not manual_only then coalesce(fact, case when {_DECLARED} = 'certification' then 'yes' end, given) end as answer
+  from q left join f on f.set_id = q.set_id and f.key = q.key left join g on g.form_id = q.form_id and g.q_idx = q.q_idx""")
+def resolution_waterfall(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    known = n.select(F.col("n_nationkey").cast("long").alias("set_id"), F.col("n_regionkey").cast("long").alias("key"), F.col("n_name").alias("value"), F.lit("high").alias("confidence"))
+    defaults = spark.createDataFrame([("certification", "yes")], "declaration string, value string")
+    c = read(spark, sf_dir, "conversations").where("turn % 5 in (3, 4)")
+    given = c.select(F.col("conv_id").alias("form_id"), F.col("turn").alias("q_idx"), F.col("role").alias("value"), F.when(F.col("turn") % 5 == 3, "cv.pdf").otherwise("memory").alias("source"))
+    return questions.resolution_waterfall(_questions(spark, sf_dir), known, defaults, given)
+
+
+@job("evidence_agreement", """with e as (select o_custkey as a, lower(o_orderpriority) as v, o_orderkey from orders), g as (select a, count(distinct v) as n, count(distinct o_orderkey % 3) as files from e group by a)
+  select a as answer_id, n <= 1 as agree, files from g""")
+def evidence_agreement(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("answer_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 3).alias("source"), F.col("o_orderpriority").alias("value"))
+    return questions.evidence_agreement(rows).select("answer_id", "agree", "files")
+
+
+@job("commit_reviews", """with s as (select c_custkey as f, c_mktsegment as v from customer where c_custkey % 3 <> 0), r as (select c_custkey as f, case when c_custkey % 4 = 0 then ' ' when c_custkey % 4 = 1 then c_mktsegment else c_name end as v from customer where c_custkey % 2 = 0 or c_custkey % 4 = 1),
+  t as (select * from r where trim(v) <> '')
+  select coalesce(s.f, t.f) as form_id, 0 as q_idx, coalesce(t.v, s.v) as value, t.v is not null and t.v is distinct from s.v as committed from s full join t on s.f = t.f""")
+def commit_reviews(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("form_id"), F.lit(0).alias("q_idx"), "c_mktsegment", "c_name")
+    k = F.col("form_id") % 4
+    reviews = c.where((F.col("form_id") % 2 == 0) | (k == 1)).withColumn("value", F.when(k == 0, " ").when(k == 1, F.col("c_mktsegment")).otherwise(F.col("c_name")))
+    return questions.commit_reviews(c.where("form_id % 3 <> 0").withColumn("value", F.col("c_mktsegment")), reviews)
+
+
+@job("budget_cut", """select conv_id as form_id, turn as q_idx, row_number() over (partition by conv_id order by turn) <= 3 as sent from conversations""")
+def budget_cut(spark, sf_dir):
+    return questions.budget_cut(_questions(spark, sf_dir).select("form_id", "q_idx"), 3)
+
+
+@job("removed_frames", """select distinct user_id as key from events where ts < timestamp '2024-01-10' and event_type = 'click' and user_id not in (select user_id from events where ts >= timestamp '2024-01-25' and event_type = 'click')""")
+def removed_frames(spark, sf_dir):
+    e = events(spark, sf_dir).where("event_type = 'click'")
+    known, live = e.where("ts < timestamp_ntz'2024-01-10'").select("key"), e.where("ts >= timestamp_ntz'2024-01-25'").select("key")
+    return known.join(live, "key", "left_anti").distinct()
+
+
+@job("retry_set", """select distinct user_id % 50 as question from events where event_type in ('error') and value > 20""")
+def retry_set(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("question", F.col("key") % 50)
+    failed = e.where("event_type = 'error' and value > 20").select("question")
+    return e.select("question").distinct().join(failed, "question", "left_semi")
+
+
+@job("fill_outcomes", """select outcome, key, count(*) as n from (select case event_type when 'purchase' then 'filled' when 'error' then 'failed' else 'skipped' end as outcome, user_id % 5 as key from events) group by all""")
+def fill_outcomes(spark, sf_dir):
+    t = F.col("event_type")
+    outcome = F.when(t == "purchase", "filled").when(t == "error", "failed").otherwise("skipped")
+    return events(spark, sf_dir).groupBy(outcome.alias("outcome"), (F.col("key") % 5).alias("key")).agg(F.count("*").alias("n"))
+
+
 # Streams, drained over the same events as their batch twins
 
 

@@ -65,3 +65,19 @@ def test_url_patterns(spark):
     urls = spark.createDataFrame([("https://jobs.workday.com/x",), ("https://workday.com:8080/",), ("https://notworkday.com/",), ("http://a.org/",)], "url string")
     hosts = spark.createDataFrame([("https", "workday.com")], "scheme string, suffix string")
     assert sorted(r.origin for r in pages.url_coverage(urls, hosts).collect()) == ["http://a.org", "https://notworkday.com"]
+
+
+def test_evidence_agrees_or_conflicts(spark):
+    from attestry.operators import questions
+
+    cases = {
+        1: ([("a", "Jane Quinn"), ("b", "jane  quinn")], True, 2),
+        2: ([("a", "+15550123456"), ("b", "+15550199999")], False, 2),
+        3: ([("a", "Jane Quinn Doe"), ("b", "Jane Kquinn Doe")], False, 2),
+        4: ([("a", "x")], True, 1),
+        5: ([("a", "Quinn"), ("b", "Jane Quinn Doe"), ("c", "Jane Quinn")], True, 3),
+    }
+    rows = [(k, i, s, v) for k, (values, _, _) in cases.items() for i, (s, v) in enumerate(values)]
+    out = questions.evidence_agreement(spark.createDataFrame(rows, "answer_id long, seq long, source string, value string")).collect()
+    assert {r.answer_id: (r.agree, r.files) for r in out} == {k: (agree, files) for k, (_, agree, files) in cases.items()}
+    assert next(r.value for r in out if r.answer_id == 5) == "Jane Quinn Doe"
