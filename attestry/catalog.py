@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import audits, corpus, facts, ledgers, pages, questions
+from .plans import fact_pipeline as plans
+from .sources import facts as sources
 from .streaming import ledger as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -505,6 +507,69 @@ def fill_outcomes(spark, sf_dir):
     return events(spark, sf_dir).groupBy(outcome.alias("outcome"), (F.col("key") % 5).alias("key")).agg(F.count("*").alias("n"))
 
 
+@job("fillable_answers", f"""select q.form_id, q.q_idx, c.role as value from {_Q} q join conversations c on c.conv_id = q.form_id and c.turn = q.q_idx where not manual_only and trim(c.role) <> ''""")
+def fillable_answers(spark, sf_dir):
+    answers = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("form_id"), F.col("turn").alias("q_idx"), F.col("role").alias("value"))
+    return questions.fillable_answers(answers, _questions(spark, sf_dir))
+
+
+@job("unresolved_questions", f"""select form_id, q_idx from {_Q} where not manual_only and kind <> 'file' and not (q_idx = 0)""")
+def unresolved_questions(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return questions.unresolved_questions(q, q.where("q_idx = 0")).select("form_id", "q_idx")
+
+
+@job("boundary_leak_check", f"""select form_id, q_idx from {_Q} where not manual_only and kind = 'paragraph'""")
+def boundary_leak_check(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return questions.boundary_leak_check(q.where("not manual_only and kind = 'paragraph'").select("form_id", "q_idx"), q)
+
+
+@job("placeholder_options", r"""select p_partkey as id, list_filter([p_brand, case when p_size % 3 = 0 then 'Select one' else p_type end, '--', p_name], lambda x: not regexp_full_match(trim(x), '(?i)(select|choose|please select|pick)\b.*|[\p{P}\s]*')) as kept from part""")
+def placeholder_options(spark, sf_dir):
+    second = F.when(F.col("p_size") % 3 == 0, "Select one").otherwise(F.col("p_type"))
+    lists = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array("p_brand", second, F.lit("--"), "p_name").alias("options"))
+    return questions.placeholder_options(lists)
+
+
+@job("option_resolve", r"""with v as (select p_partkey as id, p_size as set_id, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) as v from part),
+  o as (select p_size as set_id, p_partkey as pos, p_type as option, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) as o from part where p_partkey % 5 = 0),
+  s as (select id, pos, option, v, o, 1 - levenshtein(v, o) / greatest(length(v), length(o)) as sc from v join o using (set_id)),
+  t as (select *, case when v = o then 1 when least(length(v), length(o)) >= 3 and (contains(' ' || v || ' ', ' ' || o || ' ') or contains(' ' || o || ' ', ' ' || v || ' ')) then 2 when sc >= 0.8 then 3 end as tier from s),
+  r as (select *, row_number() over (partition by id order by tier, sc desc, pos) as n from t where tier is not null)
+  select v.id, option, tier from v left join r on r.id = v.id and n = 1""")
+def option_resolve(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    options = p.where("p_partkey % 5 = 0").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("option"))
+    return questions.option_resolve(p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("set_id"), F.col("p_type").alias("value")), options)
+
+
+@job("file_inventory", """with f as (select case doc_id % 4 when 0 then 'pdf' when 1 then 'text' when 2 then 'media' else 'unsupported' end as kind, n_chars as l from documents)
+  select kind, count(*) as n, cast(sum(l) as bigint) as bytes, cast(count(*) filter (l = 0 or l > case kind when 'pdf' then 5000 when 'media' then 1000 else 20000 end) as bigint) as rejected from f group by kind""")
+def file_inventory(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".PDF").when(k == 1, ".txt").when(k == 2, ".mp4").otherwise(".bin"))
+    files = read(spark, sf_dir, "documents").select(name.alias("file_name"), F.col("n_chars").alias("length"))
+    return sources.file_inventory(files, pdf_limit=5000, any_limit=20_000, media_limit=1000)
+
+
+@job("fact_pipeline", f"""with c as ({CANDIDATES}), s as (select distinct source as set_id from documents where source <> 'src1'),
+  h as (select source as set_id, doc_id, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from documents),
+  n as (select set_id, doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as value from h),
+  g as (select set_id, lower(trim(value)) as k, min(doc_id * 100000 + i) as seq, count(distinct doc_id) as c, arg_min(value, doc_id * 100000 + i) as value from n
+    where regexp_matches(value, '^[A-Z][A-Za-z''.-]*( [A-Z][A-Za-z''.-]*){{1,3}}$') group by all),
+  b as (select *, row_number() over (partition by set_id order by c desc, seq) as r from g)
+  select set_id, field, lower(trim(value)) as value, case when count(distinct file) >= 2 then 'high' else 'medium' end as confidence from c join s using (set_id) where field <> 'phone' group by all
+  union all select set_id, 'name', value, case when c >= 2 then 'medium' else 'low' end from b join s using (set_id) where r = 1
+  union all select set_id, 'phone', 'none', 'high' from s""")
+def fact_pipeline(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    known = corpus.set_fingerprint(docs.where("set_id = 'src1'")).select("set_id", "fingerprint", F.lit(1).alias("version"), F.lit("p").alias("provider"))
+    manual = docs.select("set_id", F.lit("phone").alias("field"), F.lit("none").alias("value"), F.lit("high").alias("confidence")).distinct()
+    out = plans.fact_pipeline(docs, known, manual, 1, "p")
+    return out.withColumn("value", F.when(F.col("field") == "email", F.lower(F.trim("value"))).otherwise(F.col("value")))
+
+
 # Streams, drained over the same events as their batch twins
 
 

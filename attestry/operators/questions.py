@@ -100,3 +100,48 @@ def commit_reviews(stored: DataFrame, reviews: DataFrame) -> DataFrame:
 def budget_cut(questions: DataFrame, budget: int) -> DataFrame:
     """questions with `sent`: the first `budget` of each form go, the rest wait."""
     return questions.withColumn("sent", F.row_number().over(W.partitionBy("form_id").orderBy("q_idx")) <= budget)
+
+
+def fillable_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Answers (form_id, q_idx, value) with text whose question isn't for the person alone."""
+    free = questions.where(~F.col("manual_only")).select("form_id", "q_idx")
+    return answers.where(F.trim(F.coalesce("value", F.lit(""))) != "").join(free, ["form_id", "q_idx"], "left_semi")
+
+
+def unresolved_questions(questions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Questions that still need an answer from elsewhere: no uploads, none for the person alone, none resolved."""
+    return questions.where(~F.col("manual_only") & (F.col("kind") != "file")).join(resolved.select("form_id", "q_idx"), ["form_id", "q_idx"], "left_anti")
+
+
+def boundary_leak_check(outgoing: DataFrame, questions: DataFrame) -> DataFrame:
+    """outgoing, unless it holds a question for the person alone: then reading it fails."""
+    own = questions.where("manual_only").select("form_id", "q_idx", F.lit(True).alias("own"))
+    checked = outgoing.join(own, ["form_id", "q_idx"], "left")
+    failed = F.when(F.col("own"), F.raise_error(F.concat(F.lit("manual-only question goes out: "), F.col("form_id").cast("string")))).otherwise(F.lit(True))
+    return checked.withColumn("ok", failed.cast("boolean")).where("ok").drop("ok", "own")
+
+
+def placeholder_options(options: DataFrame) -> DataFrame:
+    """(id, kept): option lists without prompts such as "Select...", "--" or marks alone."""
+    prompt = lambda x: F.trim(x).rlike(r"(?i)^(select|choose|please select|pick)\b.*$|^[\p{P}\s]*$")
+    return options.select("id", F.filter("options", lambda x: ~prompt(x)).alias("kept"))
+
+
+def option_resolve(values: DataFrame, options: DataFrame, least: float = 0.8) -> DataFrame:
+    """values (id, set_id, value) to one of their set's own options (set_id, pos, option), or null.
+
+    Tiers: equal without marks and case, contained as whole words (3 characters or more), similar by at least
+    `least`; the lowest tier wins, then the score, then the first option.
+    """
+    from ..functions.text import plain_words, similarity
+
+    v = values.select("id", "set_id", plain_words(F.col("value")).alias("v"))
+    o = options.select("set_id", "pos", "option", plain_words(F.col("option")).alias("o"))
+    pairs = v.join(o, "set_id")
+    words = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    within = (F.least(F.length("v"), F.length("o")) >= 3) & (F.contains(words(F.col("v")), words(F.col("o"))) | F.contains(words(F.col("o")), words(F.col("v"))))
+    score = similarity(F.col("v"), F.col("o"))
+    tier = F.when(F.col("v") == F.col("o"), 1).when(within, 2).when(score >= least, 3)
+    best = pairs.select("id", tier.alias("tier"), (-score).alias("worse"), "pos", "option").where(F.col("tier").isNotNull())
+    best = best.groupBy("id").agg(F.min(F.struct("tier", "worse", "pos", "option")).alias("b"))
+    return values.join(best, "id", "left").select("id", F.col("b.option").alias("option"), F.col("b.tier").alias("tier"))

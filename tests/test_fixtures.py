@@ -81,3 +81,27 @@ def test_evidence_agrees_or_conflicts(spark):
     out = questions.evidence_agreement(spark.createDataFrame(rows, "answer_id long, seq long, source string, value string")).collect()
     assert {r.answer_id: (r.agree, r.files) for r in out} == {k: (agree, files) for k, (_, agree, files) in cases.items()}
     assert next(r.value for r in out if r.answer_id == 5) == "Jane Quinn Doe"
+
+
+def test_leaking_a_manual_question_fails(spark):
+    import pytest
+
+    from attestry.operators import questions
+
+    q = spark.createDataFrame([(1, 1, True), (1, 2, False)], "form_id int, q_idx int, manual_only boolean")
+    assert questions.boundary_leak_check(q.where("q_idx = 2").select("form_id", "q_idx"), q).count() == 1
+    with pytest.raises(Exception, match="manual-only"):
+        questions.boundary_leak_check(q.select("form_id", "q_idx"), q).collect()
+
+
+def test_facts_of_one_set_replace_only_that_set(spark, tmp_path):
+    from attestry.sources.facts import read_documents, write_facts
+
+    make = lambda rows: spark.createDataFrame(rows, "set_id string, field string, value string")
+    path = str(tmp_path / "facts")
+    write_facts(make([("a", "email", "1"), ("b", "email", "2")]), path)
+    write_facts(make([("a", "email", "3")]), path)
+    assert sorted((r.set_id, r.value) for r in spark.read.parquet(path).collect()) == [("a", "3"), ("b", "2")]
+    (tmp_path / "docs" / "s1").mkdir(parents=True)
+    (tmp_path / "docs" / "s1" / "x.txt").write_text("one\ntwo")
+    assert [tuple(r) for r in read_documents(spark, str(tmp_path / "docs")).collect()] == [("s1", "x.txt", "one\ntwo")]
