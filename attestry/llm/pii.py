@@ -231,8 +231,10 @@ def train(documents: DataFrame, sample: int = 600, runs_used: int = 800) -> Semi
     """Fits the field on runs of at most `sample` documents with a digit or at sign (least hash of doc_id first),
     at most `runs_used` runs. Without any, the field adds nothing."""
     texts = documents.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20000))
-    rows = texts.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h").limit(sample).select("text").collect()
-    examples = [x for r in rows for x in _examples(r["text"])][:runs_used]
+    keyed = texts.withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = keyed.select("h").orderBy("h").limit(sample)  # narrow rows; texts of the chosen only reach the driver
+    rows = keyed.join(F.broadcast(chosen.distinct()), "h").select("h", "text").distinct().collect()
+    examples = [x for r in sorted(rows) for x in _examples(r["text"])][:runs_used]
     model = SemiCrf()
     model.w[0, 0] = 2.0
     return model.fit(examples) if examples else model
