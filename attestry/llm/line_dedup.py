@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, small_side, space_words, written
+from .common import BROADCAST_ROWS, small_side, written
 
 COUNTERS = 1 << 13
 
@@ -27,13 +27,23 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _lines(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, text_key, line_no, hashes: a row for each line with words."""
-    at = documents.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    at = at.select("doc_id", "text_key", "line_no", space_words(F.col("line")).alias("words")).where(F.size("words") > 0)
+def line_words(line: Column) -> Column:
+    """Words of a line: runs without spaces, tabs and returns. Only lines that hold others than spaces need a pattern."""
+    plain = F.when(line.rlike("[\\x09-\\x0D]"), F.regexp_replace(line, "[\\x09-\\x0D]", " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _split(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key, line_no, line: a row for each line."""
+    return documents.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _hashed(lines: DataFrame, shingle_words: int) -> DataFrame:
+    """lines that have words, with `hashes` of their shingles in place of `line`."""
+    at = lines.withColumn("words", line_words(F.col("line"))).where(F.size("words") > 0)
     count = F.greatest(F.size("words") - shingle_words + 1, F.lit(1))
     hashed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(shingle_words)]))
-    return at.select("doc_id", "text_key", "line_no", hashed.alias("hashes"))
+    return at.withColumn("hashes", hashed).drop("line", "words")
 
 
 def _packed(counts: list[int]) -> Column:
@@ -62,11 +72,19 @@ def _overlap(percent: int) -> Column:
     return F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
+def _parity(codes: str) -> Column:
+    """64 bits: whether an odd number of codes falls on each. Sets differ in at least as many codes as in bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+
 def _may_match(percent: int) -> Column:
-    """Length bound, and positional bound: no more in common than what lies before and after this shingle."""
+    """Length bound; positional bound: no more in common than what lies before and after this shingle; and
+    parity bound: no more differences than the sizes allow."""
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return sized & (most >= _overlap(percent))
+    apart = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
+    return sized & (most >= _overlap(percent)) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def decisions(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,44 +94,53 @@ def decisions(documents: DataFrame, shingle_words: int = 5, percent: int = 80, b
     order of documents is that of doc_id, null first; equal ids with other texts tie by their sets.
     """
     docs = documents.select("doc_id", "text")
-    # (outer: explode alone would add a filter that computes every hash again, with the words inside the loop)
-    counted = _lines(docs, shingle_words).select(F.explode_outer("hashes").alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).cast("int").alias("slot")).count()
+    # Counting needs no arrays of hashes: rows of words stay in generated code.
+    at = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
+    at = at.select("words", F.posexplode_outer("words").alias("i", "word")).where((F.col("i") == 0) | (F.col("i") + shingle_words <= F.size("words")))
+    hashed = F.xxhash64(*[F.get("words", F.col("i") + j) for j in range(shingle_words)])
+    counted = at.groupBy(F.pmod(hashed, F.lit(COUNTERS)).cast("int").alias("slot")).count()
     counts = [0] * COUNTERS
     for row in counted.collect():  # COUNTERS numbers whatever the input
         counts[row["slot"]] = int(row["count"])
     classes = _packed(counts)
 
-    ranked = _lines(docs, shingle_words).select("doc_id", "text_key", "line_no", _ranked("hashes", classes).alias("codes"))
+    ranked = _hashed(_split(docs), shingle_words).select("doc_id", "text_key", "line_no", _ranked("hashes", classes).alias("codes"))
     n = F.size("codes")
     lines = written(
         ranked.select(
-            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"),
+            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), _parity("codes").alias("v"),
             F.slice("codes", 1, n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1).alias("prefix"),
         ),
         "lines",
     )
     place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    firsts = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("n").alias("n")), "firsts")
+    firsts = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("v").alias("v")), "firsts")
 
     # Prefix shingles of one line for each set. Groups of one set drop out.
     standing = lines.join(firsts.select("k1", "k2", "first"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l")))
-    postings = standing.select("k1", "k2", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.posexplode("prefix").alias("p", "code"))
+    # Narrow rows for the one large shuffle: size and position share a number.
+    postings = standing.select("k1", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("p", "code"))
+    postings = postings.select("code", "k1", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("n_p"))
     by_code = W.partitionBy("code")
-    earliest = F.min(F.struct("d", "l", "k1", "k2", "n", "p")).over(by_code).alias("least")
-    spread = (F.min("k1").over(by_code) != F.max("k1").over(by_code)) | (F.min("k2").over(by_code) != F.max("k2").over(by_code))
-    groups = written(postings.select("*", earliest, spread.alias("spread")).where("spread").drop("spread"), "postings")
+    spread = F.min("k1").over(by_code) != F.max("k1").over(by_code)
+    postings = written(postings.select("*", spread.alias("spread")).where("spread").drop("spread"), "postings")
+    n, p = F.shiftright("n_p", 32), F.col("n_p").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+    groups = postings.join(firsts.select("k1", "k2", "v", "first.d", "first.l"), "k1").select("code", "k1", "k2", "v", "d", "l", n.alias("n"), p.alias("p"))
+    earliest = groups.groupBy("code").agg(F.min(F.struct("d", "l", "k1", "k2", "n", "p", "v")).alias("least"))
+    groups = written(groups.join(earliest, "code"), "groups")
 
     def losers(pairs: DataFrame, label: str) -> DataFrame:
         """Of distinct pairs (a1, a2, b1, b2) of sets, the later ones of those that are similar: (k1, k2)."""
         pairs = written(pairs.distinct(), f"{label}-pairs")
         need = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
         need = written(firsts.join(need, ["k1", "k2"], "left_semi"), f"{label}-sets")
-        where, _ = small_side(need.select(F.col("first.d").alias("d")).distinct(), broadcast_rows)
-        texts = docs.join(where, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        sets = _lines(texts, shingle_words).select("doc_id", "line_no", _ranked("hashes", classes).alias("codes"))
-        sets = sets.withColumns({"k1": F.xxhash64("codes"), "k2": F.hash("codes")})
-        sets = sets.join(need.drop("n"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l")))
-        sets = written(sets.select("k1", "k2", "first", "codes").dropDuplicates(["k1", "k2"]), f"{label}-codes")
+        # Only the lines that stand for the sets in question are hashed again.
+        rows, _ = small_side(need.select("k1", "k2", "first", F.col("first.d").alias("d"), F.col("first.l").alias("l")), broadcast_rows)
+        here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
+        sets = _hashed(_split(docs).join(rows, here), shingle_words).withColumn("codes", _ranked("hashes", classes))
+        # (written before the comparison, which would otherwise be pushed down and hash every line again)
+        sets = written(sets.select("k1", "k2", "first", "codes", F.xxhash64("codes").alias("c1"), F.hash("codes").alias("c2")), f"{label}-codes")
+        sets = sets.where("c1 = k1 and c2 = k2").select("k1", "k2", "first", "codes").dropDuplicates(["k1", "k2"])
         side = lambda x: sets.select(*[F.col(c).alias(f"{x}{c[1:] if c[0] == 'k' else c}") for c in sets.columns])
         both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
         common = F.size(F.array_intersect("acodes", "bcodes"))
@@ -127,15 +154,15 @@ def decisions(documents: DataFrame, shingle_words: int = 5, percent: int = 80, b
         return [F.when(turn, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ((f"{a}1", f"{b}1", "a1"), (f"{a}2", f"{b}2", "a2"), (f"{b}1", f"{a}1", "b1"), (f"{b}2", f"{a}2", "b2"))]
 
     star = groups.select(
-        F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"),
-        F.col("least.k1").alias("y1"), F.col("least.k2").alias("y2"), F.col("least.n").alias("nb"), F.col("least.p").alias("pb"),
+        F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("v").alias("va"),
+        F.col("least.v").alias("vb"), F.col("least.k1").alias("y1"), F.col("least.k2").alias("y2"), F.col("least.n").alias("nb"), F.col("least.p").alias("pb"),
     )
     star = star.where(((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2"))) & _may_match(percent)).select(*paired("x", "y"))
     gone = losers(star, "star")
 
     # Lines that the earliest of their groups didn't remove meet every earlier line of the group.
-    left = groups.join(gone, ["k1", "k2"], "left_anti").select("code", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"), F.struct("d", "l", "k1", "k2").alias("xat"))
-    other = groups.select("code", F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.struct("d", "l", "k1", "k2").alias("yat"))
+    left = groups.join(gone, ["k1", "k2"], "left_anti").select("code", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("v").alias("va"), F.struct("d", "l", "k1", "k2").alias("xat"))
+    other = groups.select("code", F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("v").alias("vb"), F.struct("d", "l", "k1", "k2").alias("yat"))
     rest = left.join(other, "code").where((F.col("yat") < F.col("xat")) & _may_match(percent)).select(*paired("x", "y"))
     rest = rest.distinct().join(written(star.distinct(), "met"), ["a1", "a2", "b1", "b2"], "left_anti")
     gone = gone.unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
