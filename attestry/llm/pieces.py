@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_TWO_SPACES = re.compile(r"\s\s")
+_SPACE_PAIR = re.compile(r" \s|\s ")
+_ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -15,30 +16,57 @@ def chunks(text: str) -> list[str]:
     A byte-level pattern never matches across a space with no white space on either side: the space begins
     the next piece. So chunks encode apart as they do in the text.
     """
-    return _INNER_SPACE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
+    return _INNER_SPACE.split(text) if _paired(text) else text.split(" ")
+
+
+def _paired(text: str) -> bool:
+    """Whether a space may stand beside other white space, or at an end. Plain searches settle most ASCII texts."""
+    if text[:1].isspace() or text[-1:].isspace():
+        return True
+    if not text.isascii() or any(c in text for c in _ODD_SPACES):
+        return bool(_SPACE_PAIR.search(text))
+    return "  " in text or " \n" in text or "\n " in text
 
 
 class Encoder:
-    """Encodes texts to bytes of ids by way of chunks; `encode` maps distinct chunks to id bytes.
+    """Encodes texts to bytes of ids by way of chunks; `encode` maps distinct strings to id bytes.
 
-    The cache holds at most `limit` chunks and is emptied when full, which changes no result.
+    A mark that follows a letter at a chunk's end is a piece of its own, so such a chunk is put together from
+    its word and the mark. The cache holds about `limit` chunks and is emptied when full, which changes no
+    result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    MARKS = ".,;:!?"
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_200_000):
         self.encode, self.limit = encode, limit
-        self.spaced: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # chunks after a space
+        self.heads: dict[str, bytes] = {}  # chunks that begin a text
+        self.marks = dict(zip(self.MARKS, encode(list(self.MARKS)), strict=True))
+
+    def _learn(self, missing: set[str]) -> None:
+        marked = [c for c in missing if len(c) > 1 and c[-1] in self.marks and c[-2].isalpha()]
+        whole = missing.difference(marked)
+        whole.update(w for c in marked if (w := c[:-1]) not in self.spaced)
+        new = list(whole)
+        self.spaced.update(zip(new, self.encode([" " + c for c in new]), strict=True))
+        for c in marked:
+            self.spaced[c] = self.spaced[c[:-1]] + self.marks[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [chunks(t) for t in texts]
-        missing = {c for parts in split for c in parts[1:] if c not in self.spaced}
-        if len(self.spaced) + len(missing) > self.limit:
+        if len(self.spaced) > self.limit:
             self.spaced.clear()
-            missing = {c for parts in split for c in parts[1:]}
-        new = list(missing)
-        for c, ids in zip(new, self.encode([" " + c for c in new]), strict=True):
-            self.spaced[c] = ids
-        heads, get = self.encode([parts[0] for parts in split]), self.spaced.__getitem__
-        return [h + b"".join(map(get, parts[1:])) for h, parts in zip(heads, split, strict=True)]
+        found = [list(map(self.spaced.get, parts[1:])) for parts in split]
+        gaps = [(parts, ids) for parts, ids in zip(split, found, strict=True) if None in ids]
+        self._learn({c for parts, ids in gaps for c, x in zip(parts[1:], ids, strict=True) if x is None})
+        for parts, ids in gaps:
+            ids[:] = map(self.spaced.__getitem__, parts[1:])
+        if len(self.heads) > self.limit // 4:
+            self.heads.clear()
+        new = list({parts[0] for parts in split if parts[0] not in self.heads})
+        self.heads.update(zip(new, self.encode(new), strict=True))
+        return [self.heads[parts[0]] + b"".join(ids) for parts, ids in zip(split, found, strict=True)]
 
 
 def batches_of(texts: list, size: int = 4 << 20):

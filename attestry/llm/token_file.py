@@ -38,9 +38,14 @@ def _encoder(blob: str, width: str) -> Encoder:
 
         def encode(chunks: list[str]) -> list[bytes]:
             out: list[bytes] = []
-            for at in range(0, len(chunks), 4096):
-                coded = tokenizer.encode_batch(chunks[at : at + 4096], add_special_tokens=False)
-                out += [np.array(x.ids, width).tobytes() for x in coded]
+            for at in range(0, len(chunks), 8192):
+                some = chunks[at : at + 8192]
+                coded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(coded.ids, width)
+                of = np.array(coded.word_ids, np.int64)  # ascending
+                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * ids.itemsize).tolist()
+                flat = ids.tobytes()
+                out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             return out
 
         _made.clear()
