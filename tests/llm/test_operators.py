@@ -162,6 +162,16 @@ def test_line_dedup(corpus, spark):
     assert line_dedup.dedup_lines(both.limit(0)).count() == 0
 
 
+def test_line_dedup_on_distinct_words(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"u{x}" for x in rng.permutation(14)[: rng.integers(8, 13)]) for _ in range(60)] + ["one two three four", "two one four three", "a b a", "b a"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [frozenset(spaced(x)) for x in lines]
+    want = {i for i, s in enumerate(sets) if any(jaccard(s, o) for o in sets[:i])}
+    assert {r.doc_id for r in line_dedup.decisions(docs, shingle_words=1).collect()} == want
+    assert {r.doc_id for r in line_dedup.decisions(docs).collect()} < want
+
+
 # Quality
 
 
