@@ -99,7 +99,8 @@ def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _documents(shingle_words: int, percent: int, what: str):
-    """A mapInArrow function: (doc_id, text) -> (doc_id, n, k1, k2) and `signatures` or the `set` itself."""
+    """A mapInArrow function: (doc_id, text) -> (doc_id, n, k1, k2) and `signatures` or the `set` itself; as `key`
+    (doc_id, text, text_key) -> (doc_id, n, k1, k2, text_key)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,7 +110,10 @@ def _documents(shingle_words: int, percent: int, what: str):
                 key = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ _C).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
                 columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1])]
                 names = ["doc_id", "n", "k1", "k2"]
-                if what != "key":
+                if what == "key":
+                    columns.append(batch.column(2))
+                    names.append("text_key")
+                else:
                     each = [signatures(s, percent) for s in sets] if what == "signatures" else sets
                     offsets = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
                     values = np.concatenate(each).view(np.int64)
@@ -165,18 +169,25 @@ def _may_match(percent: int) -> Column:
     return (common * (100 + percent) >= both * percent) & (apart * (100 + percent) <= both * (100 - percent))
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells the texts of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id, k1, k2 (the two hashes that stand for the set).
+    """Per input row: doc_id, n_shingles, component_id, k1, k2 (the two hashes that stand for the set), text_key, class_id.
 
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts have an empty set,
     no links and their own doc_id. Repeated rows have equal results. Rows of one doc_id with other texts are
     documents of their own that share a number. Null doc_ids never become a component_id unless no member
-    has one. Other columns are ignored.
+    has one. Other columns are ignored. Classes of such rows can have equal component_ids; class_id tells every
+    class apart (null for empty sets), text_key the texts of one doc_id.
     """
     docs = documents.select("doc_id", "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
     head = f"doc_id {kind}, n bigint, k1 bigint, k2 bigint"
-    keyed = written(docs.mapInArrow(_documents(shingle_words, percent, "key"), head), "keys")
+    texts = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    keyed = written(texts.mapInArrow(_documents(shingle_words, percent, "key"), head + ", text_key bigint"), "keys")
 
     # A node for each distinct set, numbered by its smallest doc_id; by a hash where that number isn't unique.
     nodes = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
@@ -244,11 +255,13 @@ def near_classes(documents: DataFrame, shingle_words: int = 5, percent: int = 80
 
     named = nodes.join(classes, "node", "left").select("k1", "k2", "rep", F.coalesce("component", "node").alias("c"))
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "c").select("k1", "k2", "component_id")
+    named = named.join(lowest, "c").select("k1", "k2", "component_id", F.col("c").alias("class_id"))
     return keyed.join(named, ["k1", "k2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "k1",
         "k2",
+        "text_key",
+        "class_id",
     )

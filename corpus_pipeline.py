@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import bpe, decontaminate, line_dedup, partenum, toxicity
-from attestry.llm.common import small_side, table, work_dir
+from attestry.llm.common import small_side, table, work_dir, written
 
 #: A document that scores at least this much is rejected.
 TOXIC = 0.7
@@ -31,11 +31,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class; repeated rows count once."""
-    classes = partenum.near_classes(docs).select("doc_id", "component_id").distinct()
-    dropped = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    dropped, _ = small_side(dropped.distinct())
-    return docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti").dropDuplicates(["doc_id", "text"])
+    """One text of each near-duplicate class, that with the smallest doc_id, null last; repeated rows count once.
+
+    Texts that share a doc_id are judged one by one; in one class the smaller text_key stays.
+    """
+    classes = partenum.near_classes(docs).where(F.col("class_id").isNotNull())
+    classes = written(classes.select("class_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key").alias("at")), "classes")
+    first = classes.groupBy("class_id").agg(F.min("at").alias("first"), F.max("at").alias("other")).where("first <> other").select("class_id", "first")
+    dropped = classes.join(first, "class_id").where("at <> first").select(F.col("at.doc_id").alias("_d"), F.col("at.text_key").alias("_t"))
+    dropped, _ = small_side(written(dropped.distinct(), "dropped"))
+    same = docs["doc_id"].eqNullSafe(dropped["_d"]) & (partenum.text_key(docs["text"]) == dropped["_t"])
+    return docs.join(dropped, same, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

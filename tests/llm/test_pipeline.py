@@ -79,3 +79,20 @@ def test_stages_keep_columns_and_take_empty_input(spark, folder):
         out = stage(spark, none, at)
         assert out.count() == 0
         assert name == "byte_bpe" or out.columns == none.columns
+
+
+def test_one_text_of_each_class_stays_when_ids_are_shared_or_null(spark):
+    base = {x: [f"{x}{i}" for i in range(60)] for x in "abcde"}
+    text = lambda x, at=None: " ".join("changed" if i == at else w for i, w in enumerate(base[x]))
+    rows = [
+        (1, text("a")), (5, text("a", 0)), (5, text("b")), (1, text("c")), (None, text("a", 59)),  # a: only that of 1 stays
+        (7, text("d")), (7, text("d", 0)), (7, text("d").upper()), (None, text("e")), (None, text("e", 0)), (None, text("e")),
+        (5, ""), (5, None), (1, " "), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_class(spark, docs, "").collect()]
+    assert len(got) == len(set(got))
+    of = lambda x: [(i, t) for i, t in got if t and f"{x}30" in t.lower()]
+    assert of("a") == [(1, text("a"))] and of("b") == [(5, text("b"))] and of("c") == [(1, text("c"))]
+    assert len(of("d")) == 1 and len(of("e")) == 1
+    assert {(5, ""), (5, None), (1, " "), (None, "")} <= set(got)
