@@ -55,6 +55,22 @@ def test_fingerprint_ignores_order_only(spark):
     assert mark([("s", "a", "x"), ("s", "b", "y")]) != mark([("s", "a", "x"), ("s", "b", "z")])
 
 
+def test_fingerprint_streams_over_batches(spark):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(s, f"f{i}", f"t{i}") for s, n in (("a", 25), ("b", 1), (None, 7)) for i in range(n)] + [("c", None, "x"), ("d", None, "x"), ("d", "e", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        marks = corpus.set_fingerprint(spark.createDataFrame(rows, "set_id string, file_name string, text string"))
+        got = {r.set_id: (r.n_files, r.fingerprint) for r in marks.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    entries = lambda s: sorted(sha(f"{f}#{len(t or '')}:{sha(t or '')}") for i, f, t in rows if i == s and f is not None)
+    assert got == {s: (sum(r[0] == s for r in rows), sha("|".join(entries(s)))) for s in ("a", "b", None, "c", "d")}
+    assert "collect_list" not in marks._jdf.queryExecution().toString()
+
+
 def test_states_and_provenance(spark):
     rows = [("f", 1, "from documents", "cv.pdf"), ("f", 2, "from documents", "my memory"), ("f", 3, "draft", None)]
     out = audits.provenance_audit(spark.createDataFrame(rows, "form_id string, q_idx int, state string, source string")).first()
