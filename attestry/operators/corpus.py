@@ -146,7 +146,26 @@ def payload_budget(documents: DataFrame, ceiling: int = 18_000_000, named: int =
 
 def batches(items: DataFrame, by: str, order: str, size: int = 12) -> DataFrame:
     """items with batch_no: chunks of `size` in order within each `by`."""
-    return items.withColumn("batch_no", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+    return numbered(items, by, order, "_n").withColumn("batch_no", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
+
+
+def numbered(items: DataFrame, by: str, order: str, name: str, pieces: int = 64) -> DataFrame:
+    """items with `name`, their row number by `order` within `by`.
+
+    Up to `pieces` values of `order` in each group, those with the smallest hashes, cut it into ranges; ranges are
+    numbered apart and moved on by the rows before them. The cuts depend on values only, so every evaluation agrees.
+    """
+    keys = items.select(F.col(by).alias("_by"), F.col(order).alias("_o")).where(F.col("_o").isNotNull()).distinct()
+    keys = keys.withColumn("_r", F.row_number().over(W.partitionBy("_by").orderBy(F.xxhash64("_o"), "_o"))).where(F.col("_r") <= pieces)
+    cuts = keys.groupBy("_by").agg(F.collect_list("_o").alias("_cuts"))
+    piece = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda x: x <= F.col(order)))
+    cut = items.join(cuts, items[by].eqNullSafe(cuts["_by"]), "left").withColumn("_piece", piece).drop("_by", "_cuts")
+    sums = cut.groupBy(F.col(by).alias("_b"), F.col("_piece").alias("_p")).count()
+    before = F.sum("count").over(W.partitionBy("_b").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("_b", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = cut.withColumn("_at", F.row_number().over(W.partitionBy(by, "_piece").orderBy(order)))
+    out = at.join(sums, at[by].eqNullSafe(sums["_b"]) & (at["_piece"] == sums["_p"]))
+    return out.withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).select(*items.columns, name)
 
 
 def grounding_check(claims: DataFrame, documents: DataFrame) -> DataFrame:

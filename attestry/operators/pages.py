@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .corpus import numbered
+
 
 def url_coverage(urls: DataFrame, hosts: DataFrame) -> DataFrame:
     """Distinct origins of urls that no pattern covers: (origin, n). hosts: patterns (scheme, suffix), `*` any scheme.
@@ -45,8 +47,7 @@ def hierarchy_splice(levels: list[DataFrame]) -> DataFrame:
         path = level.join(up, "parent").select("id", F.concat("above", F.array(F.struct("ord", "id"))).alias("path"))
         every = every.unionByName(path.select(F.lit(depth).alias("depth"), "id", "path"))
     root = F.col("path")[0]
-    within = F.row_number().over(W.partitionBy("root").orderBy("path"))
-    return every.withColumn("root", root["id"]).select("depth", "id", "root", within.cast("long").alias("position"))
+    return numbered(every.withColumn("root", root["id"]), "root", "path", "position").select("depth", "id", "root", "position")
 
 
 def reading_order(items: DataFrame, by: str) -> DataFrame:

@@ -71,6 +71,23 @@ def test_fingerprint_streams_over_batches(spark):
     assert "collect_list" not in marks._jdf.queryExecution().toString()
 
 
+def test_rows_of_a_group_are_numbered_in_ranges(spark):
+    rows = [(("a", "b", None)[i % 7 % 3], (i * 37) % 501) for i in range(501)] + [("c", None), ("c", 3), ("d", None)]
+    out = corpus.numbered(spark.createDataFrame(rows, "g string, o long"), "g", "o", "n", pieces=5)
+    order = lambda g: sorted((o for x, o in rows if x == g), key=lambda o: (o is not None, o or 0))
+    want = {(g, o, i) for g in ("a", "b", "c", "d", None) for i, o in enumerate(order(g), 1)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows) and set(got) == want
+    assert "_piece" in out._jdf.queryExecution().toString()
+
+
+def test_largest_files_are_limited_before_the_shuffle(spark):
+    docs = spark.createDataFrame([("s", f"f{i}", "x" * i) for i in range(9)], "set_id string, file_name string, text string")
+    plan = corpus.payload_budget(docs)
+    assert plan.first().largest == "f8,f7,f6,f5,f4"
+    assert "row_number(), 5, Partial" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_states_and_provenance(spark):
     rows = [("f", 1, "from documents", "cv.pdf"), ("f", 2, "from documents", "my memory"), ("f", 3, "draft", None)]
     out = audits.provenance_audit(spark.createDataFrame(rows, "form_id string, q_idx int, state string, source string")).first()
