@@ -169,10 +169,10 @@ def numbered(items: DataFrame, by: str, order: str, name: str, pieces: int = 64)
 
 
 def grounding_check(claims: DataFrame, documents: DataFrame) -> DataFrame:
-    """Which claims (claim_id, set_id, value) stand in their set's texts: (claim_id, grounded, n_missing).
+    """Which claims (claim_id, set_id, value) have all their tokens in their set's texts: (claim_id, grounded, n_missing).
 
-    A claim is grounded if one text holds it whole after normalising, or if the set's texts hold every token
-    of more than 2 characters. Tokens are joined as rows, whole values only where a text has all of its tokens.
+    A claim is grounded if the set's texts hold every token of more than 2 characters as a word; one without such
+    tokens, a blank one too, is. Tokens are joined as rows. grounded_values has the other rules.
     """
     norm = claims.select("claim_id", "set_id", tx.plain_words(F.col("value")).alias("value"))
     tokens = norm.select("claim_id", "set_id", F.explode(F.array_distinct(F.split("value", " "))).alias("token")).where(F.length("token") > 2)
@@ -189,3 +189,34 @@ def grounding_check(claims: DataFrame, documents: DataFrame) -> DataFrame:
         (F.coalesce("n_tokens", F.lit(0)) == F.coalesce("n_found", F.lit(0))).alias("grounded"),
         (F.coalesce("n_tokens", F.lit(0)) - F.coalesce("n_found", F.lit(0))).cast("long").alias("n_missing"),
     )
+
+
+#: Tokens too general to ground a value.
+STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "was", "are", "not", "yes", "no", "n/a", "na", "none")
+
+
+def grounded_values(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """Which claims (claim_id, set_id, value) their set's texts support, by all rules: (claim_id, grounded, missing).
+
+    Grounded is a value that a text contains after normalising; or with 5 digits or more that a text contains when
+    both keep digits only; or whose tokens of more than 2 characters, stopwords aside, are all contained in the
+    set's texts. missing has the first four tokens that are not. A blank value, and any value of a set without
+    text, is not grounded. Containment needs each value to meet the texts of its set.
+    """
+    raw = F.coalesce("value", F.lit(""))
+    norm = claims.select("claim_id", "set_id", tx.plain_words(raw).alias("v"), tx.digits_of(raw).alias("d"))
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select("set_id", tx.plain_words(text).alias("t"), tx.digits_of(text).alias("td")).where("t <> ''")
+    values = norm.where("v <> ''").select("set_id", "v", "d").distinct()
+    whole = F.contains("t", F.col("v")) | ((F.length("d") >= 5) & F.contains("td", F.col("d")))
+    found = values.join(texts, "set_id").where(whole).select("set_id", "v", "d", F.lit(True).alias("whole")).distinct()
+    split = F.filter(F.split("v", " "), lambda x: (F.length(x) > 2) & ~x.isin(*STOPWORDS))
+    tokens = values.select("set_id", "v", "d", F.posexplode(split).alias("at", "token"))
+    wanted = tokens.select("set_id", "token").distinct()
+    held = wanted.join(texts, "set_id").where(F.contains("t", F.col("token"))).select("set_id", "token").distinct()
+    absent = tokens.join(held, ["set_id", "token"], "left_anti").groupBy("set_id", "v", "d").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("absent"))
+    known = texts.select("set_id", F.lit(True).alias("known")).distinct()
+    out = norm.join(found, ["set_id", "v", "d"], "left").join(absent, ["set_id", "v", "d"], "left").join(known, "set_id", "left")
+    grounded = (F.col("v") != "") & F.col("known").isNotNull() & (F.col("whole").isNotNull() | F.col("absent").isNull())
+    names = F.transform(F.slice(F.coalesce("absent", F.array().cast("array<struct<at:int,token:string>>")), 1, 4), lambda x: x["token"])
+    return out.select("claim_id", grounded.alias("grounded"), F.when(grounded, F.array().cast("array<string>")).otherwise(names).alias("missing"))

@@ -88,6 +88,18 @@ def test_largest_files_are_limited_before_the_shuffle(spark):
     assert "row_number(), 5, Partial" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_values_are_grounded_by_every_rule(spark):
+    docs = spark.createDataFrame([("s", "Jane Quinn, tel. +1 (555) 012-3456"), ("s", "Studied Biochemistry at Northfield"), ("s", None), ("e", " ")], "set_id string, text string")
+    cases = {
+        1: ("s", "jane  QUINN", True, []), 2: ("s", "15550123456", True, []), 3: ("s", "1-555-012-3457", False, ["3457"]),
+        4: ("s", "chem", True, []), 5: ("s", "Quinn of the Northfield", True, []), 6: ("s", "yes", True, []), 7: ("s", " ?", False, []), 8: ("s", None, False, []),
+        9: ("s", "aaa Jane bbb ccc ddd eee", False, ["aaa", "bbb", "ccc", "ddd"]), 10: ("e", "yes", False, []), 11: ("none", "Jane", False, ["jane"]),
+    }
+    claims = spark.createDataFrame([(k, s, v) for k, (s, v, _, _) in cases.items()], "claim_id long, set_id string, value string")
+    got = {r.claim_id: (r.grounded, r.missing) for r in corpus.grounded_values(claims, docs).collect()}
+    assert got == {k: (g, m) for k, (_, _, g, m) in cases.items()}
+
+
 def test_states_and_provenance(spark):
     rows = [("f", 1, "from documents", "cv.pdf"), ("f", 2, "from documents", "my memory"), ("f", 3, "draft", None)]
     out = audits.provenance_audit(spark.createDataFrame(rows, "form_id string, q_idx int, state string, source string")).first()
