@@ -47,9 +47,13 @@ def plain_words(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " "))
 
 
+def cleaned(label: Column) -> Column:
+    """Trimmed lower-case label without trailing marks."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(label)), r"[*?!.,:;]+$", ""))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of trimmed lower-case labels without trailing marks; 0 if either is blank."""
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(F.trim(c)), r"[*?!.,:;]+$", ""))
-    x, y = clean(a), clean(b)
+    x, y = cleaned(a), cleaned(b)
     longer = F.greatest(F.length(x), F.length(y))
     return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(1 - F.levenshtein(x, y) / longer)

@@ -100,6 +100,11 @@ def test_values_are_grounded_by_every_rule(spark):
     assert got == {k: (g, m) for k, (_, _, g, m) in cases.items()}
 
 
+def test_marks_do_not_count_for_the_length_of_labels(spark):
+    labels = spark.createDataFrame([(1, "b", "Age"), (2, "b", "Age:*?!...;;"), (3, "b", "Name")], "id long, block string, label string")
+    assert [tuple(r) for r in audits.fuzzy_pairs(labels, 0.6).collect()] == [(1, 2, 1.0)]
+
+
 def test_states_and_provenance(spark):
     rows = [("f", 1, "from documents", "cv.pdf"), ("f", 2, "from documents", "my memory"), ("f", 3, "draft", None)]
     out = audits.provenance_audit(spark.createDataFrame(rows, "form_id string, q_idx int, state string, source string")).first()
