@@ -8,9 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of at most this many narrow rows may be broadcast; beyond it the join shuffles.
+#: A side of at most this many rows and bytes may be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if it has at most `rows` rows, else df as it is; and which of both."""
-    fits = df.limit(rows + 1).count() <= rows
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(0), lambda n, x: n + _width(inner, x).cast("int")), F.lit(0)) + 16
+        fields = len(inner.fields) + 2 if isinstance(inner, T.StructType) else 1
+        return F.coalesce(F.size(value), F.lit(0)) * (8 * fields) + 16
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if it has at most `rows` rows and `size` bytes, else df as it is; and which of both."""
+    width = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(8))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("size")).first()
+    fits = found["n"] <= rows and (found["size"] or 0) <= size
     return (F.broadcast(df) if fits else df), fits
 
 

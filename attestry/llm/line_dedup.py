@@ -1,26 +1,42 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set holds its distinct shingles of `shingle_words` words (a line with fewer words is one shingle).
-Lines with equal sets collapse first. The rest is a prefix-filtered join: shingles are ordered by rarity,
-only the first n - ceil(percent * n / 100) + 1 of a set are joined, pairs must pass the length and the
-positional bound, and the Jaccard similarity of what remains is verified on whole sets. A line with words is
-removed if an earlier line, by (doc_id, line number), has an equal or similar set.
-
-Rarity comes from a counting table of fixed size over all lines: hashes fall into COUNTERS counters. Counters
-up to the median are class 0; above it each doubling is a class, up to 15. Any order gives the same result; this one keeps common
-shingles out of the prefixes. No group of lines is expanded into all its pairs: members first meet the
-group's earliest line, and only lines that are still kept meet the others before them.
+A line's set holds its distinct words (or, with `shingle_words` over 1, its distinct shingles of so many words; a
+line with fewer is one shingle). Lines with equal sets collapse first. A line with words is removed if an
+earlier line, by (doc_id, line number), has an equal or similar set.
+
+Rarity. Occurrences of every token are counted over all lines. The RANKED most frequent tokens are ordered by
+their counts, ties by hash; all others are rarer than these and come before them, by hash. Tokens of a set are
+sorted by that order. (Any total order gives the same result; this one keeps frequent tokens out of prefixes.)
+
+Prefix. Sets of na and nb tokens with similarity t share o >= t (na + nb) / (1 + t) tokens, so that d = na + nb - 2 o
+are in one of both only. These d cut the shared tokens, taken in order, into d + 1 runs at most: of any d + 2
+shared tokens some two are neighbours in both sets. The first d + 2 shared tokens stand among the first
+(na - o) + d + 2 <= 2 na (1 - t) + 2 of a set. So similar sets share a pair of neighbours within that prefix, and such pairs
+are the join keys. A single token would do with a shorter prefix, but the number of lines that share one
+frequent-enough token grows with the input, and their pairs with its square; two neighbours are rarely
+shared by chance.
+
+Pairs. Each key's lines meet one line of the key (its hub); lines that no hub removed meet the earlier lines of their
+keys. Pairs must pass the length bound, the positional bound, and a parity bound (sets differ in at
+least as many tokens as parities of hashed tokens do) before whole sets are compared. No group is expanded into
+all its pairs, and keys of very many lines are set apart so that no task gathers them.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, small_side, written
+from .common import BROADCAST_ROWS, forget, fresh, small_side, written
 
-COUNTERS = 1 << 13
+#: So many tokens at most have a rank of their own, in a table that every task holds.
+RANKED = (1 << 13) - 1
+_SLOTS, _RANK_BITS = 1 << 15, 13
+#: A key that this part of a sample of all sets shares is set apart. There are at most HOT_PART * keys a set of them.
+HOT_PART, _SAMPLE = 256, 64
 
 
 def _text_key(text: Column) -> Column:
@@ -38,167 +54,215 @@ def _split(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _hashed(lines: DataFrame, shingle_words: int) -> DataFrame:
-    """lines that have words, with `hashes` of their shingles in place of `line`."""
-    at = lines.withColumn("words", line_words(F.col("line"))).where(F.size("words") > 0)
-    count = F.greatest(F.size("words") - shingle_words + 1, F.lit(1))
-    hashed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(shingle_words)]))
-    return at.withColumn("hashes", hashed).drop("line", "words")
+def _hashes(words: str, shingle_words: int) -> Column:
+    """Hashes of the tokens of an array of words."""
+    if shingle_words == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
+    count = F.greatest(F.size(words) - shingle_words + 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(shingle_words)]))
+
+
+def _slots(h: int) -> tuple[int, int]:
+    return h & (_SLOTS - 1), (h >> 32) & (_SLOTS - 1)
 
 
-def _packed(counts: list[int]) -> Column:
-    """Classes of all counters, sixteen to an integer, as a literal array."""
-    middle = sorted(counts)[len(counts) // 2].bit_length()
-    classes = [min(15, max(0, n.bit_length() - middle)) for n in counts]
-    words = [sum(c << 4 * i for i, c in enumerate(classes[at : at + 16])) for at in range(0, len(classes), 16)]
-    return F.array(*[F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words])
+def rank_table(hashes: list[int]) -> list[int]:
+    """A table in which the token hashes[r - 1] has rank r: its entry stands in one of two slots, as the token's
+    hash with the rank in the lowest bits. Tokens that find no slot stay without a rank."""
+    table: list[int | None] = [None] * _SLOTS
+    for rank, h in enumerate(hashes, 1):
+        entry, to = (h >> _RANK_BITS << _RANK_BITS) | rank, _slots(h)[0]
+        held = {rank: h}
+        for _ in range(200):
+            table[to], entry = entry, table[to]
+            if entry is None:
+                break
+            of = entry & ((1 << _RANK_BITS) - 1)
+            a, b = _slots(held.setdefault(of, hashes[of - 1]))
+            to = b if to == a else a
+    return [e or 0 for e in table]
 
 
-def _ranked(hashes: str, classes: Column) -> Column:
-    """The distinct hashes as sorted codes, rarest class first: class in the upper bits, hash below."""
+def _ranks(docs: DataFrame, shingle_words: int) -> Column:
+    """The rank table of the RANKED most frequent tokens of all lines, as a column of one array."""
+    at = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
+    if shingle_words == 1:
+        tokens = at.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h"))
+    else:
+        tokens = at.where(F.size("words") > 0).select(F.explode(_hashes("words", shingle_words)).alias("h"))
+    top = tokens.groupBy("h").count().orderBy(F.desc("count"), "h").limit(RANKED)
+    hashes = [r["h"] for r in top.select("h").collect()][::-1]  # RANKED numbers at most
+    return F.from_json(F.lit(json.dumps(rank_table(hashes))), "array<bigint>")  # a constant, read once
+
+
+def _codes(hashes: str, table: Column) -> Column:
+    """The distinct tokens as sorted codes, rarest first: rank in the upper bits (0: none), the hash's upper bits below."""
 
     def coded(h: Column) -> Column:
-        slot = F.pmod(h, F.lit(COUNTERS)).cast("int")
-        word = F.get(classes, F.shiftright(slot, 4))
-        rank = F.call_function("shiftright", word, slot.bitwiseAND(15) * 4).bitwiseAND(F.lit(15).cast("long"))
-        return F.shiftleft(rank, 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))
+        a = F.get(table, h.bitwiseAND(F.lit(_SLOTS - 1).cast("long")).cast("int"))
+        b = F.get(table, F.shiftright(h, 32).bitwiseAND(F.lit(_SLOTS - 1).cast("long")).cast("int"))
+        same = lambda e: F.shiftright(e.bitwiseXOR(h), _RANK_BITS) == 0
+        low = F.lit((1 << _RANK_BITS) - 1).cast("long")
+        rank = F.when(same(a), a.bitwiseAND(low)).when(same(b), b.bitwiseAND(low)).otherwise(F.lit(0).cast("long"))
+        return F.shiftleft(rank, 63 - _RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, _RANK_BITS + 1))  # (the sign stays free)
+
+    return F.sort_array(F.array_distinct(F.transform(hashes, coded)))
 
-    code = F.transform(hashes, coded)
-    return F.sort_array(F.array_distinct(code))
+
+def _coded(lines: DataFrame, table: Column, shingle_words: int) -> DataFrame:
+    """lines that have words, with their `codes` in place of `line`."""
+    at = lines.withColumn("words", line_words(F.col("line"))).where(F.size("words") > 0)
+    return at.withColumn("hashes", _hashes("words", shingle_words)).withColumn("codes", _codes("hashes", table)).drop("line", "words", "hashes")
 
 
 def _overlap(percent: int) -> Column:
-    """Least common shingles of similar sets of sizes na and nb."""
+    """Least number of tokens that similar sets of na and nb have in common."""
     return F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _parity(codes: str) -> Column:
-    """64 bits: whether an odd number of codes falls on each. Sets differ in at least as many codes as in bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+def _parity(codes: str, half: int) -> Column:
+    """64 of 128 places: whether an odd number of codes falls on each, by seven bits of their hash."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def bit(h: Column) -> Column:
+        place = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        return F.when(h.bitwiseAND(F.lit(64).cast("long")) == 64 * half, place).otherwise(none)
+
+    return F.aggregate(codes, none, lambda bits, h: bits.bitwiseXOR(bit(h)))
 
 
 def _may_match(percent: int) -> Column:
-    """Length bound; positional bound: no more in common than what lies before and after this shingle; and
-    parity bound: no more differences than the sizes allow."""
+    """Length bound; and parity bound: no more differences than the sizes allow."""
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    apart = F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))
-    return sized & (most >= _overlap(percent)) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    apart = F.bit_count(F.col("v0a").bitwiseXOR(F.col("v0b"))) + F.bit_count(F.col("v1a").bitwiseXOR(F.col("v1b")))
+    return sized & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
-def decisions(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _in_place(percent: int) -> Column:
+    """Positional bound: no more in common than the neighbours and what lies before and after them."""
+    most = F.least("pa", "pb") + 2 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 2
+    return most >= _overlap(percent)
+
+
+def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Lines to remove: (doc_id, text_key, dropped array of line numbers), a row for each document with any.
 
     Null texts have no lines. Lines without words stay. Of repeated rows each loses the same lines. The
-    order of documents is that of doc_id, null first; equal ids with other texts tie by their sets.
+    order of documents is that of doc_id, null first; equal ids with other texts tie by their sets. Texts and lines may
+    be of any length; other columns are ignored. `percent` is 70 or more (below, small sets may share no neighbours).
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("percent from 70 to 100")
     docs = documents.select("doc_id", "text")
-    # Counting needs no arrays of hashes: rows of words stay in generated code.
-    at = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
-    at = at.select("words", F.posexplode_outer("words").alias("i", "word")).where((F.col("i") == 0) | (F.col("i") + shingle_words <= F.size("words")))
-    hashed = F.xxhash64(*[F.get("words", F.col("i") + j) for j in range(shingle_words)])
-    counted = at.groupBy(F.pmod(hashed, F.lit(COUNTERS)).cast("int").alias("slot")).count()
-    counts = [0] * COUNTERS
-    for row in counted.collect():  # COUNTERS numbers whatever the input
-        counts[row["slot"]] = int(row["count"])
-    classes = _packed(counts)
-
-    ranked = _hashed(_split(docs), shingle_words).select("doc_id", "text_key", "line_no", _ranked("hashes", classes).alias("codes"))
+    table = _ranks(docs, shingle_words)
     n = F.size("codes")
-    lines = written(
-        ranked.select(
-            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), _parity("codes").alias("v"),
-            F.slice("codes", 1, n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1).alias("prefix"),
+    reach = F.floor(n * (200 - 2 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 2
+    wide = written(
+        _coded(_split(docs), table, shingle_words).select(
+            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), _parity("codes", 0).alias("v0"), _parity("codes", 1).alias("v1"),
+            # Neighbours are hashed in pairs later; here 32 bits of each token are enough.
+            F.transform(F.slice("codes", 1, reach), lambda c: F.hash(c)).alias("prefix"),
         ),
-        "lines",
+        "wide-lines",
     )
+    lines = written(wide.select("doc_id", "text_key", "line_no", "k1", "k2"), "lines")
     place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    firsts = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("v").alias("v")), "firsts")
-
-    # Prefix shingles of one line for each set. Groups of one set drop out.
-    standing = lines.join(firsts.select("k1", "k2", "first"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l")))
-    # Narrow rows for the one large shuffle: size and position share a number.
-    postings = standing.select("k1", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("p", "code"))
-    postings = postings.select("code", "k1", F.shiftleft("n", 32).bitwiseOR(F.col("p").cast("long")).alias("n_p"))
-    by_code = W.partitionBy("code")
-    spread = F.min("k1").over(by_code) != F.max("k1").over(by_code)
-    postings = written(postings.select("*", spread.alias("spread")).where("spread").drop("spread"), "postings")
-    n, p = F.shiftright("n_p", 32), F.col("n_p").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-    groups = postings.join(firsts.select("k1", "k2", "v", "first.d", "first.l"), "k1").select("code", "k1", "k2", "v", "d", "l", n.alias("n"), p.alias("p"))
-    earliest = groups.groupBy("code").agg(F.min(F.struct("d", "l", "k1", "k2", "n", "p", "v")).alias("least"))
-    groups = written(groups.join(earliest, "code"), "groups")
+    sets = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "v0", "v1", "prefix")])
+    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
+    forget(wide)
+
+    def keys(some: DataFrame) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(0), F.size("prefix") - 2), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
+        return some.where(F.size("prefix") > 1).select("sid", F.posexplode(pairs).alias("p", "key")).select("key", "sid", "p")
+
+    sampled = sets.where(F.pmod("k1", F.lit(_SAMPLE)) == 0)
+    least = max(64, sampled.count() // HOT_PART)
+    hot = written(keys(sampled).groupBy("key").count().where(F.col("count") >= least).select("key"), "hot-keys")
+    by_key = W.partitionBy("key")
+    met = keys(sets)
+    if any_hot := not hot.isEmpty():
+        hot, _ = small_side(hot, broadcast_rows)
+        met = met.join(hot, "key", "left_anti")
+    met = met.select("*", F.min("sid").over(by_key).alias("hub"), F.max("sid").over(by_key).alias("last"), F.count("*").over(by_key).alias("size"))
+    met = met.where("hub <> last").drop("last")
+    if any_hot:
+        hot_rows = written(keys(sets).join(hot, "key", "left_semi"), "hot-rows")
+        hubs, _ = small_side(hot_rows.groupBy("key").agg(F.min("sid").alias("hub"), F.count("*").alias("size")), broadcast_rows)
+        met = met.unionByName(hot_rows.join(hubs, "key").select("key", "sid", "p", "hub", "size"))
+    met = written(met, "keys")
+
+    facts = sets.select("sid", "n", "v0", "v1")
+
+    def side(x: str) -> DataFrame:
+        return facts.select(*[F.col(c).alias(f"{c}{x}") for c in facts.columns])
 
     def losers(pairs: DataFrame, label: str) -> DataFrame:
-        """Of distinct pairs (a1, a2, b1, b2) of sets, the later ones of those that are similar: (k1, k2)."""
-        pairs = written(pairs.distinct(), f"{label}-pairs")
-        need = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-        need = written(firsts.join(need, ["k1", "k2"], "left_semi"), f"{label}-sets")
-        # Only the lines that stand for the sets in question are hashed again.
-        rows, _ = small_side(need.select("k1", "k2", "first", F.col("first.d").alias("d"), F.col("first.l").alias("l")), broadcast_rows)
-        here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))
-        sets = _hashed(_split(docs).join(rows, here), shingle_words).withColumn("codes", _ranked("hashes", classes))
-        # (written before the comparison, which would otherwise be pushed down and hash every line again)
-        sets = written(sets.select("k1", "k2", "first", "codes", F.xxhash64("codes").alias("c1"), F.hash("codes").alias("c2")), f"{label}-codes")
-        sets = sets.where("c1 = k1 and c2 = k2").select("k1", "k2", "first", "codes").dropDuplicates(["k1", "k2"])
-        side = lambda x: sets.select(*[F.col(c).alias(f"{x}{c[1:] if c[0] == 'k' else c}") for c in sets.columns])
-        both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+        """Of pairs (sida, sidb) of sets, the later ones of those that are similar: sid."""
+        pairs = written(pairs.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct(), f"{label}-pairs")
+        need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        need = written(sets.select("sid", "k1", "k2", "first").join(need, "sid"), f"{label}-sets")
+        # Only documents whose lines stand for the sets in question are split again.
+        wanted = need.groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct("first.l", "sid", "k1", "k2", "first")).alias("wanted"))
+        wanted, _ = small_side(written(wanted, f"{label}-wanted"), broadcast_rows)
+        rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.split("text", "\n").alias("all"), "wanted")
+        # (a document of the same id with another text may have fewer lines)
+        rows = rows.select("all", F.explode("wanted").alias("x")).select("x.*", F.get("all", F.col("x.l")).alias("line")).where("line is not null")
+        known = _coded(rows, table, shingle_words).where((F.xxhash64("codes") == F.col("k1")) & (F.hash("codes") == F.col("k2")))
+        known = written(known.select("sid", "k1", "k2", "first", "codes").dropDuplicates(["sid"]), f"{label}-codes")
+        at = lambda x: known.select(F.col("sid").alias(x), F.struct("first", "k1", "k2", "sid").alias(f"{x}at"), F.col("codes").alias(f"{x}codes"))
         common = F.size(F.array_intersect("acodes", "bcodes"))
-        alike = both.withColumn("common", common).where(F.col("common") * 100 >= (F.size("acodes") + F.size("bcodes") - F.col("common")) * percent)
-        later = F.struct("bfirst", "b1", "b2") > F.struct("afirst", "a1", "a2")
-        return written(alike.select(F.when(later, F.col("b1")).otherwise(F.col("a1")).alias("k1"), F.when(later, F.col("b2")).otherwise(F.col("a2")).alias("k2")).distinct(), f"{label}-losers")
-
-    def paired(a: str, b: str) -> list[Column]:
-        """The two sets in a fixed order, so that a pair is one row whichever side it came from."""
-        turn = F.struct(f"{a}1", f"{a}2") < F.struct(f"{b}1", f"{b}2")
-        return [F.when(turn, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in ((f"{a}1", f"{b}1", "a1"), (f"{a}2", f"{b}2", "a2"), (f"{b}1", f"{a}1", "b1"), (f"{b}2", f"{a}2", "b2"))]
-
-    star = groups.select(
-        F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("v").alias("va"),
-        F.col("least.v").alias("vb"), F.col("least.k1").alias("y1"), F.col("least.k2").alias("y2"), F.col("least.n").alias("nb"), F.col("least.p").alias("pb"),
-    )
-    star = star.where(((F.col("x1") != F.col("y1")) | (F.col("x2") != F.col("y2"))) & _may_match(percent)).select(*paired("x", "y"))
-    gone = losers(star, "star")
-
-    # Lines that the earliest of their groups didn't remove meet every earlier line of the group.
-    left = groups.join(gone, ["k1", "k2"], "left_anti").select("code", F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("v").alias("va"), F.struct("d", "l", "k1", "k2").alias("xat"))
-    other = groups.select("code", F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("v").alias("vb"), F.struct("d", "l", "k1", "k2").alias("yat"))
-    rest = left.join(other, "code").where((F.col("yat") < F.col("xat")) & _may_match(percent)).select(*paired("x", "y"))
-    rest = rest.distinct().join(written(star.distinct(), "met"), ["a1", "a2", "b1", "b2"], "left_anti")
+        alike = pairs.join(at("a"), "a").join(at("b"), "b").withColumn("common", common)
+        alike = alike.where(F.col("common") * 100 >= (F.size("acodes") + F.size("bcodes") - F.col("common")) * percent)
+        return written(alike.select(F.greatest("aat", "bat")["sid"].alias("sid")).distinct(), f"{label}-losers")
+
+    star = met.where("sid <> hub").select(F.col("sid").alias("sida"), F.col("hub").alias("sidb")).distinct()
+    gone = losers(star.join(side("a"), "sida").join(side("b"), "sidb").where(_may_match(percent)), "star")
+
+    # In keys of more than two sets, those that stand meet the earlier ones (all have met the hub).
+    members = met.where("size > 2 and sid <> hub").select("key", "sid", "p")
+    members = written(members.join(sets.select("sid", "n", "v0", "v1", F.struct("first", "k1", "k2", "sid").alias("at")), "sid"), "members")
+    out, _ = small_side(gone, broadcast_rows)
+    left = members.join(out, "sid", "left_anti")
+    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("sid", "p", "n", "v0", "v1", "at")])
+    rest = named(left, "a").join(named(members, "b"), "key").where((F.col("atb") < F.col("ata")) & _may_match(percent) & _in_place(percent))
     gone = gone.unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
 
-    judged = lines.join(firsts.select("k1", "k2", "first"), ["k1", "k2"]).join(gone, ["k1", "k2"], "left")
+    judged = lines.join(sets.join(gone, "sid", "left").select("k1", "k2", "first", "gone"), ["k1", "k2"])
     first = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
     dropped = judged.where(F.col("gone").isNotNull() | ~first).select("doc_id", "text_key", "line_no").distinct()
     return written(dropped.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("dropped")), "dropped")
 
 
-def dedup_lines(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """documents with removed lines taken out of `text`; all columns and rows stay, n_chars follows the text if there.
 
     A text that loses all its lines becomes empty; null stays null. Other cases as in decisions().
     """
-    out = _applied(documents, decisions(documents, shingle_words, percent, broadcast_rows), broadcast_rows)
-    changed = {"text": F.col("_kept")}
+    out, gone, kept = _applied(documents, decisions(documents, shingle_words, percent, broadcast_rows), broadcast_rows)
+    changed = {"text": F.col(kept)}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("_dropped").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(gone).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
     return out.withColumns(changed).select(*documents.columns)
 
 
-def _applied(documents: DataFrame, dropped: DataFrame, broadcast_rows: int) -> DataFrame:
-    dropped, _ = small_side(dropped.withColumnsRenamed({"doc_id": "_d", "text_key": "_t", "dropped": "_dropped"}), broadcast_rows)
-    same = documents["doc_id"].eqNullSafe(dropped["_d"]) & (_text_key(documents["text"]) == dropped["_t"])
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    return documents.join(dropped, same, "left").withColumn("_kept", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept))
+def _applied(documents: DataFrame, dropped: DataFrame, broadcast_rows: int) -> tuple[DataFrame, str, str]:
+    """documents with two more columns, named in the result: numbers of removed lines (or null), and the text that stays."""
+    d, t, gone, kept = (fresh(documents, c) for c in ("d", "t", "gone", "kept"))
+    dropped, _ = small_side(dropped.withColumnsRenamed({"doc_id": d, "text_key": t, "dropped": gone}), broadcast_rows)
+    same = documents["doc_id"].eqNullSafe(dropped[d]) & (_text_key(documents["text"]) == dropped[t])
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    return documents.join(dropped, same, "left").withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)), gone, kept
 
 
-def report(documents: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def report(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per input row: doc_id, n_lines, n_removed, kept_sha256 (of the text that stays; null counts as empty)."""
     docs = documents.select("doc_id", "text")
-    out = _applied(docs, decisions(docs, shingle_words, percent, broadcast_rows), broadcast_rows)
+    out, gone, kept = _applied(docs, decisions(docs, shingle_words, percent, broadcast_rows), broadcast_rows)
     return out.select(
         "doc_id",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
     )

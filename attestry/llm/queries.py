@@ -59,10 +59,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 with l as (select doc_id, pos - 1 as no, lines[pos] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as pos from (select doc_id, string_split(text, chr(10)) as lines from documents))),
 w as (select doc_id, no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from l),
-g as (select doc_id, no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda p: array_to_string(list_slice(w, p, least(p + 4, len(w))), ' ')))) as s from w where len(w) > 0),
+g as (select doc_id, no, list_sort(list_distinct(w)) as s from w where len(w) > 0),
 k as (select array_to_string(s, chr(10)) as k, any_value(s) as s, min(doc_id * 1000000 + no) as first from g group by 1),
 t as (select k, first, len(s) as n, unnest(s) as t from k),
-c as (select b.k as k, count(*) as common, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.t = b.t and a.first < b.first group by a.k, b.k),
+c as (select b.k as k, count(*) as common, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.t = b.t and a.first < b.first and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n group by a.k, b.k),
 x as (select distinct k from c where 100 * common >= 80 * (na + nb - common)),
 r as (select doc_id, no from g join k on array_to_string(g.s, chr(10)) = k.k where k.k in (select k from x) or doc_id * 1000000 + no <> first),
 o as (select l.doc_id, count(*) as n_lines, count(r.no) as n_removed, coalesce(string_agg(line, chr(10) order by l.no) filter (r.no is null), '') as kept

@@ -144,12 +144,15 @@ def test_word_hashes_do_not_depend_on_batches():
 def test_line_dedup(corpus, spark):
     docs = docs_of(corpus)
     extra = [(20, "alpha " + " ".join(f"x{i}" for i in range(40))), (21, "beta " + " ".join(f"x{i}" for i in range(40)) + "\nfree words")]
+    for n in range(10, 41, 3):  # one word of a line changed
+        words = [f"y{n}-{i}" for i in range(n)]
+        extra += [(100 + n, "\n".join((" ".join(words), f"own {n}", " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]]))))]
     both = corpus.select("doc_id", "text", "n_chars").unionByName(spark.createDataFrame(extra, "doc_id long, text string").selectExpr("doc_id", "text", "length(text) as n_chars"))
     lines = []
     for number, text in dict.fromkeys(docs + extra):
         for i, line in enumerate((text or "").split("\n") if text is not None else []):
             if spaced(line):
-                lines.append(((number is not None, number or 0, i), text, shingles(spaced(line))))
+                lines.append(((number is not None, number or 0, i), text, frozenset(spaced(line))))
     gone = {(at[1] if at[0] else None, t, at[2]) for at, t, s in lines if any(o < at and (s == r or jaccard(s, r)) for o, _, r in lines)}
     want = []
     for number, text in docs + extra:
@@ -162,14 +165,53 @@ def test_line_dedup(corpus, spark):
     assert line_dedup.dedup_lines(both.limit(0)).count() == 0
 
 
-def test_line_dedup_on_distinct_words(spark):
+@pytest.mark.parametrize("words", [1, 3])
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_line_dedup_of_words_and_shingles(spark, words, rows):
     rng = np.random.default_rng(8)
-    lines = [" ".join(f"u{x}" for x in rng.permutation(14)[: rng.integers(8, 13)]) for _ in range(60)] + ["one two three four", "two one four three", "a b a", "b a"]
+    lines = [" ".join(f"u{x}" for x in rng.permutation(14)[: rng.integers(8, 13)]) for _ in range(60)]
+    lines += ["one two three four", "two one four three", "a b a", "b a", "a", "a b c d", "a b c d e", "e d c b a f"]
+    lines += [" ".join(f"z{x}" for x in np.sort(rng.permutation(44)[:40])) for _ in range(40)]
+    lines += [" ".join(f"q{x}" for x in range(a, a + 30)) for a in (0, 2, 4, 90, 91)]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    sets = [frozenset(spaced(x)) for x in lines]
+    sets = [frozenset(spaced(x)) if words == 1 else shingles(spaced(x), words) for x in lines]
     want = {i for i, s in enumerate(sets) if any(jaccard(s, o) for o in sets[:i])}
-    assert {r.doc_id for r in line_dedup.decisions(docs, shingle_words=1).collect()} == want
-    assert {r.doc_id for r in line_dedup.decisions(docs).collect()} < want
+    assert want
+    assert {r.doc_id for r in line_dedup.decisions(docs, shingle_words=words, broadcast_rows=rows).collect()} == want
+
+
+def test_similar_lines_share_neighbours():
+    """For all sizes and sets that differ as much as they may: neighbours shared within both prefixes."""
+    rng = np.random.default_rng(3)
+    for percent in (70, 80, 90):
+        for na in range(2, 40):
+            for nb in range(na, na * 100 // percent + 1):
+                o = -(-(na + nb) * percent // (100 + percent))
+                if 100 * o < percent * (na + nb - o) or o > na or na == nb == o:
+                    continue
+                for _ in range(8):
+                    order = rng.permutation(na + nb - o)
+                    common, a, b = order[:o], order[o:na], order[na:]
+                    x, y = np.sort(np.concatenate((common, a))), np.sort(np.concatenate((common, b)))
+                    pairs = [set(zip(s, s[1:], strict=False)) for s in (x[: len(x) * (200 - 2 * percent) // 100 + 2].tolist(), y[: len(y) * (200 - 2 * percent) // 100 + 2].tolist())]
+                    assert pairs[0] & pairs[1], (percent, na, nb)
+
+
+def test_rank_table_holds_every_token_in_one_of_its_slots():
+    rng = np.random.default_rng(9)
+    hashes = [int(x) for x in rng.integers(-(2**63), 2**63, line_dedup.RANKED, dtype=np.int64)]
+    table, bits = line_dedup.rank_table(hashes), line_dedup._RANK_BITS
+    held = [any(table[at] >> bits == h >> bits and table[at] & ((1 << bits) - 1) == r for at in line_dedup._slots(h)) for r, h in enumerate(hashes, 1)]
+    assert sum(held) >= len(hashes) - 2
+
+
+def test_line_dedup_keeps_columns_of_any_name_and_very_long_texts(spark):
+    long = "\n".join(f"row {i} of {i * i}" for i in range(20000))
+    docs = spark.createDataFrame([(1, long, 5), (2, long, 6), (3, None, 7)], "doc_id long, text string, x long").selectExpr("*", "x as gone", "x as d", "x as t", "x as kept")
+    out = line_dedup.dedup_lines(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == docs.columns and got[2].text == "" and got[1].text == long and got[3].text is None
+    assert [got[2][c] for c in ("gone", "d", "t", "kept")] == [6] * 4
 
 
 # Quality

@@ -44,7 +44,7 @@ def test_pipeline(spark, folder):
     for i, text in kept:
         lines = []
         for line in (text or "").split("\n"):
-            s = shingles(spaced(line))
+            s = frozenset(spaced(line))
             if not s or not any(s == o or jaccard(s, o) for o in earlier):
                 lines.append(line)
             if s:
