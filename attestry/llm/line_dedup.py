@@ -4,9 +4,10 @@ A line's set holds its distinct words (or, with `shingle_words` over 1, its dist
 line with fewer is one shingle). Lines with equal sets collapse first. A line with words is removed if an
 earlier line, by (doc_id, line number), has an equal or similar set.
 
-Rarity. Occurrences of every token are counted over all lines. The RANKED most frequent tokens are ordered by
-their counts, ties by hash; all others are rarer than these and come before them, by hash. Tokens of a set are
-sorted by that order. (Any total order gives the same result; this one keeps frequent tokens out of prefixes.)
+Rarity. The documents that hold a token are counted for every token (lines, for shingles). The RANKED most frequent
+tokens are ordered by their counts, ties by hash; all others come before them, by hash. (So do the few whose place in the table of
+ranks a more frequent token holds.) Tokens of a set are sorted by that order. Any total order gives the same result;
+this one keeps frequent tokens out of prefixes, and neighbours below are rare without a finer one.
 
 Prefix. Sets of na and nb tokens with similarity t share o >= t (na + nb) / (1 + t) tokens, so that d = na + nb - 2 o
 are in one of both only. These d cut the shared tokens, taken in order, into d + 1 runs at most: of any d + 2
@@ -33,8 +34,8 @@ from pyspark.sql import Window as W
 from .common import BROADCAST_ROWS, forget, fresh, small_side, written
 
 #: So many tokens at most have a rank of their own, in a table that every task holds.
-RANKED = (1 << 13) - 1
-_SLOTS, _RANK_BITS = 1 << 15, 13
+RANKED = (1 << 12) - 1
+_SLOTS, _RANK_BITS = 1 << 14, 12
 #: A key that this part of a sample of all sets shares is set apart. There are at most HOT_PART * keys a set of them.
 HOT_PART, _SAMPLE = 256, 64
 
@@ -43,15 +44,27 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _plain(text: Column) -> Column:
+    """Text whose words are split by spaces and line ends only. Few texts hold other white space and need a pattern."""
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
+
+
 def line_words(line: Column) -> Column:
-    """Words of a line: runs without spaces, tabs and returns. Only lines that hold others than spaces need a pattern."""
-    plain = F.when(line.rlike("[\\x09-\\x0D]"), F.regexp_replace(line, "[\\x09-\\x0D]", " ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    """Words of a plain line. Only a space at an end or beside another leaves empty ones to remove."""
+    words = F.split(line, " ")
+    return F.when(F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  ")) | (line == ""), F.array_remove(words, "")).otherwise(words)
 
 
 def _split(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, line: a row for each line."""
-    return documents.select("doc_id", _text_key(F.col("text")).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, text_key, line_no, line: a row for each plain line."""
+    # (keyed first: what stands beside the generator is computed, and the text carried, for each line)
+    keyed = documents.select("doc_id", _text_key(F.col("text")).alias("text_key"), _plain(F.col("text")).alias("plain"))
+    return keyed.select("doc_id", "text_key", F.posexplode(F.split("plain", "\n")).alias("line_no", "line"))
+
+
+def _once(array: Column) -> Column:
+    """A generated column, so that the array is made once a row and not again for each element of a function that uses it."""
+    return F.explode(F.array(array))
 
 
 def _hashes(words: str, shingle_words: int) -> Column:
@@ -62,34 +75,24 @@ def _hashes(words: str, shingle_words: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(shingle_words)]))
 
 
-def _slots(h: int) -> tuple[int, int]:
-    return h & (_SLOTS - 1), (h >> 32) & (_SLOTS - 1)
-
-
 def rank_table(hashes: list[int]) -> list[int]:
-    """A table in which the token hashes[r - 1] has rank r: its entry stands in one of two slots, as the token's
-    hash with the rank in the lowest bits. Tokens that find no slot stay without a rank."""
-    table: list[int | None] = [None] * _SLOTS
+    """A table of _SLOTS entries in which the token hashes[r - 1] has rank r: its slot, the lowest bits of its hash, holds the
+    hash with the rank in the lowest bits. Of tokens of one slot the last, most frequent one stays."""
+    table = [0] * _SLOTS
     for rank, h in enumerate(hashes, 1):
-        entry, to = (h >> _RANK_BITS << _RANK_BITS) | rank, _slots(h)[0]
-        held = {rank: h}
-        for _ in range(200):
-            table[to], entry = entry, table[to]
-            if entry is None:
-                break
-            of = entry & ((1 << _RANK_BITS) - 1)
-            a, b = _slots(held.setdefault(of, hashes[of - 1]))
-            to = b if to == a else a
-    return [e or 0 for e in table]
+        table[h & (_SLOTS - 1)] = (h >> _RANK_BITS << _RANK_BITS) | rank
+    return table
 
 
 def _ranks(docs: DataFrame, shingle_words: int) -> Column:
     """The rank table of the RANKED most frequent tokens of all lines, as a column of one array."""
-    at = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
+    plain = _plain(F.col("text"))
     if shingle_words == 1:
-        tokens = at.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("h"))
+        words = F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " ")
+        tokens = docs.select(F.explode(F.array_distinct(words)).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("h"))
     else:
-        tokens = at.where(F.size("words") > 0).select(F.explode(_hashes("words", shingle_words)).alias("h"))
+        at = docs.select(F.explode(F.split(plain, "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
+        tokens = at.where(F.size("words") > 0).select(F.explode(F.array_distinct(_hashes("words", shingle_words))).alias("h"))
     top = tokens.groupBy("h").count().orderBy(F.desc("count"), "h").limit(RANKED)
     hashes = [r["h"] for r in top.select("h").collect()][::-1]  # RANKED numbers at most
     return F.from_json(F.lit(json.dumps(rank_table(hashes))), "array<bigint>")  # a constant, read once
@@ -98,15 +101,15 @@ def _ranks(docs: DataFrame, shingle_words: int) -> Column:
 def _codes(hashes: str, table: Column) -> Column:
     """The distinct tokens as sorted codes, rarest first: rank in the upper bits (0: none), the hash's upper bits below."""
 
+    slot, low = F.lit(_SLOTS - 1).cast("long"), F.lit((1 << _RANK_BITS) - 1).cast("long")
+
     def coded(h: Column) -> Column:
-        a = F.get(table, h.bitwiseAND(F.lit(_SLOTS - 1).cast("long")).cast("int"))
-        b = F.get(table, F.shiftright(h, 32).bitwiseAND(F.lit(_SLOTS - 1).cast("long")).cast("int"))
-        same = lambda e: F.shiftright(e.bitwiseXOR(h), _RANK_BITS) == 0
-        low = F.lit((1 << _RANK_BITS) - 1).cast("long")
-        rank = F.when(same(a), a.bitwiseAND(low)).when(same(b), b.bitwiseAND(low)).otherwise(F.lit(0).cast("long"))
-        return F.shiftleft(rank, 63 - _RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, _RANK_BITS + 1))  # (the sign stays free)
+        entry = F.get(table, h.bitwiseAND(slot).cast("int"))
+        bare = F.shiftrightunsigned(h, _RANK_BITS + 1)  # (the sign stays free)
+        ranked = bare.bitwiseOR(F.shiftleft(entry.bitwiseAND(low), 63 - _RANK_BITS))
+        return F.when(F.shiftright(entry.bitwiseXOR(h), _RANK_BITS) == 0, ranked).otherwise(bare)
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, coded)))
+    return F.sort_array(F.transform(F.array_distinct(hashes), coded))
 
 
 def _coded(lines: DataFrame, table: Column, shingle_words: int) -> DataFrame:
@@ -191,40 +194,37 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
         met = met.unionByName(hot_rows.join(hubs, "key").select("key", "sid", "p", "hub", "size"))
     met = written(met, "keys")
 
-    facts = sets.select("sid", "n", "v0", "v1")
-
-    def side(x: str) -> DataFrame:
-        return facts.select(*[F.col(c).alias(f"{c}{x}") for c in facts.columns])
+    facts = sets.select("sid", "n", "v0", "v1", F.struct("first", "k1", "k2", "sid").alias("at"))
+    named = lambda df, x, key: df.select(*key, *[F.col(c).alias(f"{c}{x}") for c in df.columns if c not in key])
 
     def losers(pairs: DataFrame, label: str) -> DataFrame:
-        """Of pairs (sida, sidb) of sets, the later ones of those that are similar: sid."""
-        pairs = written(pairs.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct(), f"{label}-pairs")
-        need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        need = written(sets.select("sid", "k1", "k2", "first").join(need, "sid"), f"{label}-sets")
+        """Of pairs (ata, atb) of sets, the later ones of those that are similar: sid."""
+        pairs = written(pairs.select(F.least("ata", "atb").alias("ata"), F.greatest("ata", "atb").alias("atb")).distinct(), f"{label}-pairs")
+        need = pairs.select(F.col("ata").alias("at")).unionByName(pairs.select(F.col("atb").alias("at"))).distinct()
         # Only documents whose lines stand for the sets in question are split again.
-        wanted = need.groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct("first.l", "sid", "k1", "k2", "first")).alias("wanted"))
+        wanted = need.groupBy(F.col("at.first.d").alias("d")).agg(F.collect_list("at").alias("wanted"))
         wanted, _ = small_side(written(wanted, f"{label}-wanted"), broadcast_rows)
-        rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.split("text", "\n").alias("all"), "wanted")
-        # (a document of the same id with another text may have fewer lines)
-        rows = rows.select("all", F.explode("wanted").alias("x")).select("x.*", F.get("all", F.col("x.l")).alias("line")).where("line is not null")
-        known = _coded(rows, table, shingle_words).where((F.xxhash64("codes") == F.col("k1")) & (F.hash("codes") == F.col("k2")))
-        known = written(known.select("sid", "k1", "k2", "first", "codes").dropDuplicates(["sid"]), f"{label}-codes")
-        at = lambda x: known.select(F.col("sid").alias(x), F.struct("first", "k1", "k2", "sid").alias(f"{x}at"), F.col("codes").alias(f"{x}codes"))
+        rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("wanted", _once(F.split(_plain(F.col("text")), "\n")).alias("all"))
+        rows = rows.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("at"), F.get("all", x["first"]["l"]).alias("line")))).alias("x"))
+        rows = rows.select("x.*").where("line is not null")  # (another text of that id may have fewer lines)
+        known = _coded(rows, table, shingle_words).where((F.xxhash64("codes") == F.col("at.k1")) & (F.hash("codes") == F.col("at.k2")))
+        known = known.select(F.col("at.sid").alias("sid"), "codes").dropDuplicates(["sid"])
+        known = written(known, f"{label}-codes")
+        side = lambda x: known.select(F.col("sid").alias(x), F.col("codes").alias(f"{x}codes"))
         common = F.size(F.array_intersect("acodes", "bcodes"))
-        alike = pairs.join(at("a"), "a").join(at("b"), "b").withColumn("common", common)
+        alike = pairs.select(F.col("ata.sid").alias("a"), F.col("atb.sid").alias("b")).join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
         alike = alike.where(F.col("common") * 100 >= (F.size("acodes") + F.size("bcodes") - F.col("common")) * percent)
-        return written(alike.select(F.greatest("aat", "bat")["sid"].alias("sid")).distinct(), f"{label}-losers")
+        return written(alike.select(F.col("b").alias("sid")).distinct(), f"{label}-losers")
 
-    star = met.where("sid <> hub").select(F.col("sid").alias("sida"), F.col("hub").alias("sidb")).distinct()
-    gone = losers(star.join(side("a"), "sida").join(side("b"), "sidb").where(_may_match(percent)), "star")
+    star = met.where("sid <> hub").select("sid", "hub").distinct().join(facts, "sid")
+    star = named(star.select("hub", "n", "v0", "v1", "at"), "a", ["hub"]).join(named(facts.withColumnRenamed("sid", "hub"), "b", ["hub"]), "hub")
+    gone = losers(star.where(_may_match(percent)), "star")
 
     # In keys of more than two sets, those that stand meet the earlier ones (all have met the hub).
-    members = met.where("size > 2 and sid <> hub").select("key", "sid", "p")
-    members = written(members.join(sets.select("sid", "n", "v0", "v1", F.struct("first", "k1", "k2", "sid").alias("at")), "sid"), "members")
-    out, _ = small_side(gone, broadcast_rows)
-    left = members.join(out, "sid", "left_anti")
-    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("sid", "p", "n", "v0", "v1", "at")])
-    rest = named(left, "a").join(named(members, "b"), "key").where((F.col("atb") < F.col("ata")) & _may_match(percent) & _in_place(percent))
+    members = met.where("size > 2 and sid <> hub").select("key", "sid", "p").join(facts, "sid").join(gone.withColumn("out", F.lit(True)), "sid", "left")
+    members = written(members.drop("sid"), "members")
+    left = named(members.where("out is null").drop("out"), "a", ["key"])
+    rest = left.join(named(members.drop("out"), "b", ["key"]), "key").where((F.col("atb") < F.col("ata")) & _may_match(percent) & _in_place(percent))
     gone = gone.unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
 
     judged = lines.join(sets.join(gone, "sid", "left").select("k1", "k2", "first", "gone"), ["k1", "k2"])
@@ -250,10 +250,11 @@ def _applied(documents: DataFrame, dropped: DataFrame, broadcast_rows: int) -> t
     d, t, gone, kept = (fresh(documents, c) for c in ("d", "t", "gone", "kept"))
     dropped, _ = small_side(dropped.withColumnsRenamed({"doc_id": d, "text_key": t, "dropped": gone}), broadcast_rows)
     same = documents["doc_id"].eqNullSafe(dropped[d]) & (_text_key(documents["text"]) == dropped[t])
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return documents.join(dropped, same, "left").withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)), gone, kept
+    every = fresh(documents, "every")
+    joined = documents.join(dropped, same, "left").select("*", _once(F.when(F.col(gone).isNotNull(), F.split("text", "\n"))).alias(every))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone))
+    text = F.array_join(F.transform(stay, lambda i: F.get(F.col(every), i)), "\n")
+    return joined.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)).drop(every), gone, kept
 
 
 def report(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -262,7 +263,7 @@ def report(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broa
     out, gone, kept = _applied(docs, decisions(docs, shingle_words, percent, broadcast_rows), broadcast_rows)
     return out.select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
         F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"),
     )
