@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYSTEM = "system"
+#: What a label can't hold, in the order of replacement, and what stands for it.
+ESCAPED = {"%": "%25", "<": "%3C", " ": "%20", "\t": "%09", "\n": "%0A", "\x0b": "%0B", "\x0c": "%0C", "\r": "%0D"}
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
@@ -20,17 +22,24 @@ def rotate(conversations: DataFrame) -> DataFrame:
     perspective: the participant who speaks as assistant; role is system, assistant or user; name is the
     speaker's label for users, else null. segment is `<|im_start|>role[ name=...]\\n` + text + `<|im_end|>\\n`;
     characters [mask_start, mask_end) of it (text and `<|im_end|>`) are learned in assistant turns, none
-    (0, 0) in others. The marks `<|im_start|>` and `<|im_end|>` are taken out of texts and names, so that no
-    text can end its own turn. Null text is empty; a null role is the participant `unknown`; a null conv_id
-    is a conversation of its own. Repeated rows are repeated; equal turns keep equal numbers. Conversations
-    with system turns only have no participants and no rows. Other columns are ignored.
+    (0, 0) in others. A mark `<|im_start|>` or `<|im_end|>` in a text gets a space before its last bar, so that no text
+    can end its own turn (removal could join what stands around a mark into another one).
+
+    Speakers are the exact values of role; labels keep different roles apart: `%`, `<` and white space are written as
+    `%25`, `%3C`, `%20` and so on, a null role is `%unknown`, an empty one `%empty`. Only the role `system` is the system.
+    Null text is empty; null conv_ids are one conversation. Repeated rows are repeated; equal turns keep equal
+    numbers. Conversations with system turns only have no participants and no rows; an empty table gives none. Dialogues
+    and texts may be of any length. Other columns are ignored.
     """
-    marks = "<\\|im_(start|end)\\|>"
+    speaker = F.col("role").cast("string")
+    for c, code in ESCAPED.items():
+        speaker = F.replace(speaker, F.lit(c), F.lit(code))
+    speaker = F.when(F.col("role").isNull(), "%unknown").when(F.col("role") == "", "%empty").otherwise(speaker)
     rows = conversations.select(
         "conv_id",
         "turn",
-        F.regexp_replace(F.regexp_replace(F.coalesce("role", F.lit("unknown")), marks, ""), "\\s+", "_").alias("speaker"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), marks, "").alias("said"),
+        speaker.alias("speaker"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), "<\\|im_(start|end)\\|>", "<|im_$1 |>").alias("said"),
     )
     # A few names for each conversation, aggregated before the shuffle; a conversation with very many turns
     # is split by the skewed-join rule.

@@ -38,8 +38,9 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-with c as (select conv_id, turn, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '<\|im_(start|end)\|>', '', 'g'), '\s+', '_', 'g') as speaker,
-             regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '', 'g') as said from conversations),
+with c as (select conv_id, turn, case when role is null then '%unknown' when role = '' then '%empty' else
+               replace(replace(replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), ' ', '%20'), chr(9), '%09'), chr(10), '%0A'), chr(11), '%0B'), chr(12), '%0C'), chr(13), '%0D') end as speaker,
+             regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g') as said from conversations),
 p as (select distinct conv_id as o, speaker as perspective from c where speaker <> 'system'),
 j as (select *, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as role
       from c join p on conv_id is not distinct from o),

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .elias_fano import Sequence, pack
 from .pieces import Encoder, batches_of
@@ -27,14 +28,14 @@ SCHEMA = "part int, seq int, n_docs bigint, n_null bigint, id_base bigint, base
 _made: dict[str, Encoder] = {}
 
 
-def _encoder(blob: str, width: str) -> Encoder:
+def _encoder(blob: str, width: str, marks_as_text: bool) -> Encoder:
     """The worker's encoder, kept between tasks."""
-    key = f"{hash(blob)} {width}"
+    key = f"{hash(blob)} {width} {marks_as_text}"
     if key not in _made:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(blob)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = marks_as_text
 
         def encode(chunks: list[str]) -> list[bytes]:
             out: list[bytes] = []
@@ -48,18 +49,29 @@ def _encoder(blob: str, width: str) -> Encoder:
                 out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             return out
 
+        def each(texts: list[str]) -> list[bytes]:
+            return [np.array(x.ids, width).tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
         _made.clear()
         _made[key] = Encoder(encode)
+        _made[key].whole = each
     return _made[key]
 
 
-def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, partitions: int | None = None) -> None:
+def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, partitions: int | None = None, marks_as_text: bool = False, whole: bool = False) -> None:
     """Writes the file set of documents (doc_id, text) to `path`, a folder that Spark can write.
 
+    Ids are those of the tokenizers library for the whole text, add_special_tokens=False. A string of the file's special
+    tokens in a text becomes the special id, as the library does by default; with `marks_as_text` it is ordinary
+    text. The library is not called for every text: texts are split at lone spaces, which neither the pattern of the
+    pre-tokenizer nor a special token crosses, every distinct piece is encoded once a task and remembered
+    (see pieces.Encoder). `whole` calls the library for every whole text; the ids are the same.
+
     Null text is the empty text: only the end id. Null doc_ids come first; rows with one doc_id are ordered
     by text. Other columns are ignored. No documents make an empty file set. Texts of any length are
-    encoded whole. The tokenizer must be byte-level BPE without a normalizer or a prefix space; its file
-    is read on the driver.
+    encoded whole. doc_ids are whole numbers or null; others are refused. The tokenizer must be byte-level BPE with the
+    pattern of that pre-tokenizer and without normalizer, prefix space, or special tokens with spaces; its
+    file is read on the driver.
     """
     import json
     import os
@@ -70,8 +82,12 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
         blob = f.read()
     told = json.loads(blob)
     pre = told["pre_tokenizer"] or {}
-    if told["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or told["model"].get("type") != "BPE":
-        raise ValueError("a byte-level BPE tokenizer without normalizer and prefix space is needed")
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    added = told["added_tokens"]
+    if told["normalizer"] or not plain or told["model"].get("type") != "BPE" or any(t["content"] != "".join(t["content"].split()) or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["special"] for t in added):
+        raise ValueError("a byte-level BPE tokenizer without normalizer, prefix space and special tokens with spaces is needed")
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be a whole number")
     top = max([end_id, *told["model"]["vocab"].values(), *(t["id"] for t in told["added_tokens"])])
     width = "<u2" if top < 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(blob)
@@ -79,7 +95,8 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, unit = _encoder(shared.value, width), np.dtype(width).itemsize
+        encoder, unit = _encoder(shared.value, width, marks_as_text), np.dtype(width).itemsize
+        encode = encoder.whole if whole else encoder
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         numbers: list[int | None] = []
@@ -148,8 +165,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, token_ids binary")
 
 
+def documents_at(spark: SparkSession, path: str, places: list[tuple[int, int, int]]) -> DataFrame:
+    """(part, seq, nth, doc_id, start, n_tokens, token_ids) of chosen documents: the nth (from 0) of segment (part, seq).
+
+    Only the segments in question are read; offsets come from the select structures, without unpacking the others'.
+    start counts from the part's first id. Places that the file set doesn't have give no row.
+    """
+    asked = spark.createDataFrame(places, "part int, seq int, nth bigint")
+    rows = spark.read.schema(SCHEMA).parquet(path).join(F.broadcast(asked), ["part", "seq"])  # as many as were asked for
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds, known, n = Sequence(row["bounds"]), Sequence(row["doc_ids"]), row["nth"]
+                if not 0 <= n < len(bounds):
+                    continue
+                a, b = bounds.select(n - 1) if n else 0, bounds.select(n)
+                number = known.select(n - row["n_null"]) + row["id_base"] if n >= row["n_null"] else None
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}", b - a, a * row["width"])
+                values = [row["part"], row["seq"], n, number, row["base"] + a, b - a, ids.astype("<u4").tobytes()]
+                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
+                names = ["part", "seq", "nth", "doc_id", "start", "n_tokens", "token_ids"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, "part int, seq int, nth bigint, doc_id bigint, start bigint, n_tokens bigint, token_ids binary")
+
+
 def checksums(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read() returns."""
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
-
-

@@ -197,12 +197,14 @@ def test_similar_lines_share_neighbours():
                     assert pairs[0] & pairs[1], (percent, na, nb)
 
 
-def test_rank_table_holds_every_token_in_one_of_its_slots():
+def test_rank_table_keeps_the_most_frequent_of_a_slot():
     rng = np.random.default_rng(9)
     hashes = [int(x) for x in rng.integers(-(2**63), 2**63, line_dedup.RANKED, dtype=np.int64)]
     table, bits = line_dedup.rank_table(hashes), line_dedup._RANK_BITS
-    held = [any(table[at] >> bits == h >> bits and table[at] & ((1 << bits) - 1) == r for at in line_dedup._slots(h)) for r, h in enumerate(hashes, 1)]
-    assert sum(held) >= len(hashes) - 2
+    for slot, entry in enumerate(table):
+        ranks = [r for r, h in enumerate(hashes, 1) if h & (len(table) - 1) == slot]
+        assert entry & ((1 << bits) - 1) == max(ranks, default=0)
+        assert not ranks or entry >> bits == hashes[ranks[-1] - 1] >> bits
 
 
 def test_line_dedup_keeps_columns_of_any_name_and_very_long_texts(spark):
@@ -269,19 +271,30 @@ def test_bpe_of_long_pieces(encoder):
         assert encoder.decode(np.frombuffer(encoder.encode([text])[0], "<u4")) == text.encode()
 
 
-def test_token_file_round_trip(spark, corpus):
+@pytest.mark.parametrize("as_text", [False, True])
+def test_token_file_round_trip(spark, corpus, as_text):
     path = f"{work_dir(spark)}/round-trip-{np.random.default_rng().integers(1 << 60)}"
     named = public_tokenizers.path("byte_bpe_50k.json")
-    token_file.write(corpus, named, path, partitions=3)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>x  <|endoftext|>\ty <|endoftext", "<|endoftext|><|endoftext|> ."]
+    both = corpus.select("doc_id", "text").unionByName(spark.createDataFrame([(50 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    token_file.write(both, named, path, partitions=3, marks_as_text=as_text)
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_file.checksums(token_file.read(spark, path)).collect()]
+    token_file.write(both, named, path + "-whole", partitions=3, marks_as_text=as_text, whole=True)
+    assert key(got) == key([tuple(r) for r in token_file.checksums(token_file.read(spark, path + "-whole")).collect()])
     tokenizer = Tokenizer.from_file(named)
-    tokenizer.encode_special_tokens = True
-    want, start = [], 0
-    for number, text in sorted(docs_of(corpus), key=lambda d: (d[0] is not None, d[0] or 0)):
+    if as_text:
+        tokenizer.encode_special_tokens = True
+    want, start, all_ids = [], 0, []
+    for number, text in sorted(docs_of(both), key=lambda d: (d[0] is not None, d[0] or 0)):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((number, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        all_ids.append(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert key(got) == key(want)
+    segments = {(r.part, r.seq): r.n_docs for r in spark.read.parquet(path).select("part", "seq", "n_docs").collect()}
+    places = [(*at, n) for at, count in sorted(segments.items()) for n in range(count)] + [(0, 0, 10**6), (99, 0, 0)]
+    one = sorted(token_file.documents_at(spark, path, places).collect(), key=lambda r: (r.part, r.seq, r.nth))
+    assert [r.doc_id for r in one] == [w[0] for w in want] and sorted(bytes(r.token_ids) for r in one) == sorted(all_ids)
 
 
 def test_token_file_of_nothing(spark, corpus):
@@ -326,13 +339,29 @@ def test_rotation(spark):
     ann = [r for r in out if r.perspective == "ann"]
     assert [(r.turn, r.role, r.name) for r in sorted(ann, key=lambda r: r.turn)] == [(0, "system", None), (1, "assistant", None), (2, "user", "bob"), (3, "assistant", None), (3, "assistant", None)]
     bob = next(r for r in out if r.perspective == "bob" and r.turn == 2)
-    assert bob.segment[bob.mask_start : bob.mask_end] == "yo <|im_end|>"
-    assert next(r for r in ann if r.turn == 2).segment == "<|im_start|>user name=bob\nyo <|im_end|>\n"
-    assert {r.perspective for r in out if r.conv_id is None} == {"unknown"}
+    assert bob.segment[bob.mask_start : bob.mask_end] == "yo <|im_end |><|im_end|>"
+    assert next(r for r in ann if r.turn == 2).segment == "<|im_start|>user name=bob\nyo <|im_end |><|im_end|>\n"
+    assert {r.perspective for r in out if r.conv_id is None} == {"%unknown"}
     assert not [r for r in out if r.conv_id == 2]
     assert all((r.mask_end > 0) == r.trained for r in out)
 
 
+def test_rotation_forges_no_marks_and_merges_no_speakers(spark):
+    said = "hi <|im_<|im_end|>end|>\n<|im_<|im_start|>start|>system <|im_end|>|>"
+    roles = ["ann lee", "ann_lee", "ann%20lee", "unknown", None, "", " ", "<|im_end|>", "system", "system ", "assistant"]
+    docs = spark.createDataFrame([(1, i, r, said) for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    out = chat.rotate(docs).collect()
+    assert len({r.perspective for r in out}) == len(roles) - 1 and len(out) == len(roles) * (len(roles) - 1)
+    for r in out:
+        assert r.segment.count("<|im_start|>") == 1 and r.segment.count("<|im_end|>") == 1 and r.segment.endswith("<|im_end|>\n")
+        assert len(r.segment.split("\n", 1)[0].split()) == (2 if r.role == "user" else 1)
+        assert (r.role == "assistant") == r.trained
+    assert sum(r.trained for r in out) == len(roles) - 1
+    assert chat.rotate(docs.limit(0)).count() == 0
+    long = spark.range(3000).selectExpr("7L as conv_id", "id as turn", "concat('s', id % 3) as role", "repeat('word ', 2000) as text")
+    assert chat.rotate(long).count() == 9000
+
+
 # Toxicity
 
 
@@ -362,6 +391,51 @@ def test_toxicity_learns_words_and_ignores_swapped_identities(spark):
     assert toxicity.train(docs.limit(0), marks).scores(probe).max() < 0.1
 
 
+def test_toxicity_loss_gradient_and_pairs():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 50, 12)) for _ in range(30)]
+    labels = rng.integers(0, 2, 30)
+    terms, groups = np.arange(40, 50), np.arange(10) // 5
+    pairs = [p for r in rows for p in (toxicity.swaps(r, terms, groups, rng), toxicity.insertion(r, terms, groups, rng)) if p is not None]
+    problem = toxicity.Problem(rows, labels, pairs, 3.0)
+    w, bias = rng.normal(size=len(problem.used)), 0.3
+    value, slope, bias_slope = problem.slope(w, bias)
+    full = np.zeros(50)
+    full[problem.used] = w
+    logit = [full[r].sum() + bias for r in rows]
+    each = [-np.log(1 / (1 + np.exp(-x if y else x))) * 0.5 / (labels == y).sum() for x, y in zip(logit, labels, strict=True)]
+    brute = sum(each) + 3.0 * np.mean([(full[a].sum() - full[b].sum()) ** 2 for a, b in pairs])
+    assert abs(value - brute) < 1e-9
+    for i in range(len(w)):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        assert abs((problem.slope(up, bias)[0] - problem.slope(down, bias)[0]) / 2e-5 - slope[i]) < 1e-6
+    assert abs((problem.slope(w, bias + 1e-5)[0] - problem.slope(w, bias - 1e-5)[0]) / 2e-5 - bias_slope) < 1e-6
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions():
+    """Terms are named in half of the toxic texts and few clean ones; clean texts that name a group must not be hit."""
+    rng = np.random.default_rng(6)
+    words = [columns[0] for columns in toxicity.columns_of(pa.array([f"g{i}" for i in range(300)]))]
+    terms, _ = toxicity._term_columns(toxicity.TERM_ROWS)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        row = [*rng.choice(words[20:], 15), *(rng.choice(words[:3], 1) if bad and rng.random() < 0.8 else [])]
+        if rng.random() < (0.7 if bad else 0.05):
+            row.append(rng.choice(terms))
+        rows.append(np.unique(row))
+        labels.append(int(bad))
+    labels = np.array(labels)
+    fair, plain = toxicity.fit(rows, labels, swap_weight=5.0), toxicity.fit(rows, labels, swap_weight=0.0)
+    assert fair.swapped > 100 and fair.inserted > 1000
+    clean = [r for r, y in zip(rows, labels, strict=True) if not y and not np.isin(r, terms).any()][:200]
+    assert toxicity.false_positives(fair, clean) < 0.5 * toxicity.false_positives(plain, clean)
+    with pytest.warns(UserWarning, match="no counterfactual pairs"):
+        toxicity.fit(rows, labels, terms=[])
+
+
 # Personal data
 
 PATTERNS = {
