@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import audits, corpus, facts, ledgers, pages, questions
+from .operators import audits, corpus, facts, forms, ledgers, pages, questions
 from .plans import fact_pipeline as plans
 from .sources import facts as sources
 from .streaming import ledger as streams
@@ -35,6 +35,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for tables that a job writes: under spark.checkpoint.dir, which must be shared on a cluster; a local session
+    without the setting gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written once and read back: its lineage ends there."""
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("file_name"), "text")
 
@@ -116,7 +135,7 @@ def coverage_report(spark, sf_dir):
 
 @job("header_names", r"""select set_id, file_name, line_no, value from (select set_id, file_name, unnest(range(0, len(ls))) as line_no, unnest(ls) as value from
   (select source as set_id, doc_id as file_name, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from documents))
-  where regexp_matches(value, '^[A-Z][A-Za-z''.-]*( [A-Z][A-Za-z''.-]*){1,3}$')""")
+  where length(value) <= 60 and regexp_matches(value, '^[A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*( [A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*){1,3}$')""")
 def header_names(spark, sf_dir):
     return corpus.header_names(documents(spark, sf_dir))
 
@@ -144,6 +163,21 @@ def grounding_check(spark, sf_dir):
     return corpus.grounding_check(claims, documents(spark, sf_dir))
 
 
+@job("grounded_values", r"""with b as (select item_id * 10 + k as claim_id, 'src' || (1 + item_id % 2) as set_id, case k when 0 then text when 1 then string_split(text, ' ')[1] || ' and ' || string_split(text, ' ')[2] when 2 then '55-' || item_id || ' 000-1' else ' ' end as value from benchmark, (select unnest([0, 1, 2, 3]) as k)),
+  c as (select *, trim(regexp_replace(lower(value), '[^\p{L}\p{N}]+', ' ', 'g')) as v, regexp_replace(value, '[^0-9]', '', 'g') as d from b),
+  d as (select source as set_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) as t, regexp_replace(coalesce(text, ''), '[^0-9]', '', 'g') as td from documents),
+  w as (select distinct claim_id from c join d using (set_id) where v <> '' and t <> '' and (contains(t, v) or (length(d) >= 5 and contains(td, d)))),
+  k as (select claim_id, set_id, token from (select claim_id, set_id, unnest(string_split(v, ' ')) as token from c where v <> '') where length(token) > 2 and token not in ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'was', 'are', 'not', 'yes', 'no', 'n/a', 'na', 'none')),
+  a as (select distinct claim_id from k where not exists (select 1 from d where d.set_id = k.set_id and contains(t, token)))
+  select claim_id, v <> '' and (claim_id in (select claim_id from w) or claim_id not in (select claim_id from a)) and set_id in (select set_id from d where t <> '') as grounded from c""")
+def grounded_values(spark, sf_dir):
+    words = F.split("text", " ")
+    claims = F.array(F.col("text"), F.concat(words[0], F.lit(" and "), words[1]), F.concat(F.lit("55-"), F.col("item_id").cast("string"), F.lit(" 000-1")), F.lit(" "))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(claims).alias("k", "value"))
+    items = items.select((F.col("item_id") * 10 + F.col("k")).alias("claim_id"), F.concat(F.lit("src"), (F.col("item_id") % 2 + 1).cast("string")).alias("set_id"), "value")
+    return corpus.grounded_values(items, documents(spark, sf_dir)).select("claim_id", "grounded")
+
+
 # Facts
 
 CANDIDATES = rf"""select distinct source as set_id, doc_id as file, field, value from (
@@ -395,7 +429,7 @@ def url_coverage(spark, sf_dir):
 @job("hierarchy_splice", """with n as (select 1 as depth, n_nationkey as id, n_regionkey as root, [n_nationkey] as p from nation),
   a as (select 0 as depth, r_regionkey as id, r_regionkey as root, [-1, -1] as k from region union all select 1, id, root, [id, -1] from n
     union all select 2, c_custkey, n_regionkey, [c_nationkey, c_custkey] from customer join nation on c_nationkey = n_nationkey)
-  select depth, id, root, row_number() over (partition by root order by k[1], k[2]) as position from a""")
+  select depth, id, root, row_number() over (partition by root order by k[1], k[2]) as position, false as orphan from a""")
 def hierarchy_splice(spark, sf_dir):
     r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     level = lambda d, i, p: d.select(F.col(i).cast("long").alias("id"), (F.col(p).cast("long") if p else F.lit(None).cast("long")).alias("parent"), F.col(i).cast("long").alias("ord"))
@@ -424,9 +458,10 @@ _Q = """(select conv_id as form_id, turn as q_idx, conv_id % 25 as set_id, turn
   case turn % 3 when 0 then 'paragraph' when 1 then 'short_answer' else 'file' end as kind, conv_id % 13 = 5 as manual_only from conversations)"""
 
 
-@job("semantic_key_join", f"""with k as (select item_id % 20 as key, item_id as ord, lower(string_split(text, ' ')[2]) as keyword from benchmark),
-  h as (select low, keyword, ord, key, row_number() over (partition by low order by length(keyword) desc, ord) as r from (select distinct lower(label) as low from {_Q}) join k on contains(low, keyword))
-  select form_id, q_idx, h.key from {_Q} q left join h on lower(label) = low and r = 1""")
+@job("semantic_key_join", rf"""with k as (select item_id % 20 as key, item_id as ord, trim(regexp_replace(translate(lower(string_split(text, ' ')[2]), '{questions.ACCENTED}', '{questions.PLAIN}'), '\s+', ' ', 'g')) as keyword from benchmark),
+  l as (select distinct label, trim(regexp_replace(translate(lower(label), '{questions.ACCENTED}', '{questions.PLAIN}'), '\s+', ' ', 'g')) as low from {_Q}),
+  h as (select label, key, row_number() over (partition by label order by length(keyword) desc, ord) as r from l join k on contains(low, keyword))
+  select form_id, q_idx, h.key from {_Q} q left join h on h.label = q.label and r = 1""")
 def semantic_key_join(spark, sf_dir):
     rules = read(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("key"), F.split("text", " ")[1].alias("keyword"), F.col("item_id").alias("ord"))
     return questions.semantic_key_join(_questions(spark, sf_dir).drop("key"), rules).select("form_id", "q_idx", "key")
@@ -489,22 +524,23 @@ def budget_cut(spark, sf_dir):
 @job("removed_frames", """select distinct user_id as key from events where ts < timestamp '2024-01-10' and event_type = 'click' and user_id not in (select user_id from events where ts >= timestamp '2024-01-25' and event_type = 'click')""")
 def removed_frames(spark, sf_dir):
     e = events(spark, sf_dir).where("event_type = 'click'")
-    known, live = e.where("ts < timestamp_ntz'2024-01-10'").select("key"), e.where("ts >= timestamp_ntz'2024-01-25'").select("key")
-    return known.join(live, "key", "left_anti").distinct()
+    return forms.removed_frames(e.where("ts < timestamp_ntz'2024-01-10'"), e.where("ts >= timestamp_ntz'2024-01-25'"))
 
 
 @job("retry_set", """select distinct user_id % 50 as question from events where event_type in ('error') and value > 20""")
 def retry_set(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("question", F.col("key") % 50)
-    failed = e.where("event_type = 'error' and value > 20").select("question")
-    return e.select("question").distinct().join(failed, "question", "left_semi")
+    log = e.select("question", F.when((F.col("event_type") == "error") & (F.col("value") > 20), "failed").otherwise("filled").alias("outcome"))
+    return forms.retry_set(e.select("question").distinct(), log)
 
 
-@job("fill_outcomes", """select outcome, key, count(*) as n from (select case event_type when 'purchase' then 'filled' when 'error' then 'failed' else 'skipped' end as outcome, user_id % 5 as key from events) group by all""")
+@job("fill_outcomes", """with l as (select user_id % 5 as frame, case event_type when 'purchase' then 'filled' when 'error' then 'failed' else 'skipped' end as outcome, event_type as reason from events),
+  c as (select frame, outcome, reason, count(*) as n from l group by all)
+  select frame, outcome, reason, n, row_number() over (partition by frame order by case outcome when 'failed' then 0 when 'skipped' then 1 else 2 end, n desc, reason) as place from c""")
 def fill_outcomes(spark, sf_dir):
     t = F.col("event_type")
     outcome = F.when(t == "purchase", "filled").when(t == "error", "failed").otherwise("skipped")
-    return events(spark, sf_dir).groupBy(outcome.alias("outcome"), (F.col("key") % 5).alias("key")).agg(F.count("*").alias("n"))
+    return forms.fill_outcomes(events(spark, sf_dir).select((F.col("key") % 5).alias("frame"), outcome.alias("outcome"), t.alias("reason")))
 
 
 @job("fillable_answers", f"""select q.form_id, q.q_idx, c.role as value from {_Q} q join conversations c on c.conv_id = q.form_id and c.turn = q.q_idx where not manual_only and trim(c.role) <> ''""")
@@ -533,14 +569,14 @@ def placeholder_options(spark, sf_dir):
 
 
 @job("option_resolve", r"""with v as (select p_partkey as id, p_size as set_id, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) as v from part),
-  o as (select p_size as set_id, p_partkey as pos, p_type as option, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) as o from part where p_partkey % 5 = 0),
+  o as (select p_size as set_id, p_partkey as pos, p_type as option, trim(regexp_replace(lower(p_type), '[^\p{L}\p{N}]+', ' ', 'g')) as o from part),
   s as (select id, pos, option, v, o, 1 - levenshtein(v, o) / greatest(length(v), length(o)) as sc from v join o using (set_id)),
   t as (select *, case when v = o then 1 when least(length(v), length(o)) >= 3 and (contains(' ' || v || ' ', ' ' || o || ' ') or contains(' ' || o || ' ', ' ' || v || ' ')) then 2 when sc >= 0.8 then 3 end as tier from s),
   r as (select *, row_number() over (partition by id order by tier, sc desc, pos) as n from t where tier is not null)
   select v.id, option, tier from v left join r on r.id = v.id and n = 1""")
 def option_resolve(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    options = p.where("p_partkey % 5 = 0").select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("option"))
+    options = p.select(F.col("p_size").alias("set_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("option"))
     return questions.option_resolve(p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("set_id"), F.col("p_type").alias("value")), options)
 
 
@@ -557,7 +593,7 @@ def file_inventory(spark, sf_dir):
   h as (select source as set_id, doc_id, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from documents),
   n as (select set_id, doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as value from h),
   g as (select set_id, lower(trim(value)) as k, min(doc_id * 100000 + i) as seq, count(distinct doc_id) as c, arg_min(value, doc_id * 100000 + i) as value from n
-    where regexp_matches(value, '^[A-Z][A-Za-z''.-]*( [A-Z][A-Za-z''.-]*){{1,3}}$') group by all),
+    where length(value) <= 60 and regexp_matches(value, '^[A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*( [A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*){{1,3}}$') group by all),
   b as (select *, row_number() over (partition by set_id order by c desc, seq) as r from g)
   select set_id, field, lower(trim(value)) as value, case when count(distinct file) >= 2 then 'high' else 'medium' end as confidence from c join s using (set_id) where field <> 'phone' group by all
   union all select set_id, 'name', value, case when c >= 2 then 'medium' else 'low' end from b join s using (set_id) where r = 1
@@ -575,10 +611,9 @@ def fact_pipeline(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The event table as a stream, and a folder for state and rows."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
     schema = read(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.select("event_id", F.col("user_id").alias("key"), "ts", "event_type"), f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return rows.select("event_id", F.col("user_id").alias("key"), "ts", "event_type"), work_folder(spark, "stream")
 
 
 @job("stream_ledger", f"""select user_id as key, {DAY} as day, count(*) as used from events group by all""")
@@ -601,14 +636,17 @@ def stream_rate(spark, sf_dir):
 def stream_dedupe(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
     once = streams.admitted_once(rows.select("ts", "key", "event_type"), ["key", "event_type"])
-    return streams.drained(spark, once, path, "append").select("key", "event_type").distinct()
+    return streams.drained(spark, once, path, "append").select("key", "event_type")
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_forms, catalog_reading  # noqa: F401  (they add their jobs)
+
     return {name: query for name, (query, _) in JOBS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in JOBS.items() if sql}
 
 

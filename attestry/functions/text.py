@@ -21,6 +21,7 @@ RIGHT_TO_LEFT = ("ar", "he")
 #: Letters, digits and marks that a clean read may hold; everything else is odd.
 ODD = r"[^\p{L}\p{N}\s.,:/@+()'’-]"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+URL = r"(?i)\b(?:https?://|www\.|linkedin\.com/in/|github\.com/)[^\s)<>\"']+"
 PHONE = r"\+?\d[\d\s().-]{6,}\d"
 
 

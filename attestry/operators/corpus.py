@@ -127,11 +127,15 @@ def coverage_report(items: DataFrame, by: str, kind: str, size: str) -> DataFram
     )
 
 
+#: Two to four words that begin with a capital, accented ones too.
+NAME_SHAPE = r"^[A-ZÀ-Þ][A-Za-zÀ-ÿ'.-]*( [A-ZÀ-Þ][A-Za-zÀ-ÿ'.-]*){1,3}$"
+
+
 def header_names(documents: DataFrame, lines: int = 8) -> DataFrame:
     """(set_id, file_name, line_no, value): name-shaped lines among the first non-blank ones of each file."""
     split = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     at = documents.select("set_id", "file_name", F.posexplode(F.slice(split, 1, lines)).alias("line_no", "value"))
-    return at.where(F.col("value").rlike(r"^[A-Z][A-Za-z'.-]*( [A-Z][A-Za-z'.-]*){1,3}$"))
+    return at.where((F.length("value") <= 60) & F.col("value").rlike(NAME_SHAPE))
 
 
 def payload_budget(documents: DataFrame, ceiling: int = 18_000_000, named: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ MULTI_VALUED = ("email", "url", "phone", "skills", "language")
 
 
 def typed_candidates(documents: DataFrame) -> DataFrame:
-    """Distinct emails and phones of each file as candidates; seq orders them by file, then place."""
+    """Distinct emails and phones of each file as candidates; seq is the struct (file, place), so that file names may be of any kind."""
     text = F.coalesce("text", F.lit(""))
     emails = F.array_distinct(F.regexp_extract_all(text, F.lit(tx.EMAIL), F.lit(0)))
     phones = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(tx.PHONE), F.lit(0)), lambda x: F.regexp_replace(F.trim(x), r"\s{2,}", " ")))
@@ -27,7 +27,7 @@ def typed_candidates(documents: DataFrame) -> DataFrame:
     found = found.where((F.col("field") != "phone") | digits.between(7, 15))
     return found.select(
         "set_id", "field", "value", F.col("file_name").alias("source"), F.lit(RULES["typed"]).alias("rule_rank"),
-        (F.col("file_name") * 100000 + F.col("place")).cast("long").alias("seq"),
+        F.struct(F.col("file_name").alias("file"), F.col("place").alias("place")).alias("seq"),
     )
 
 
@@ -64,21 +64,35 @@ def manual_override(derived: DataFrame, manual: DataFrame) -> DataFrame:
     return manual.unionByName(derived.join(manual.select("set_id", "field").distinct(), ["set_id", "field"], "left_anti"))
 
 
+# Words that make a value an organisation or a heading, not a person, place or gender.
+NO_PERSON = (
+    r"(?i)\b(universit|college|institute|polytechnic|academy|school|faculty|department|dept|ministry|office|registrar|company|ltd|inc|plc|"
+    r"corporation|foundation|hospital|bank|letter|certificate|statement|transcript|curriculum|vitae|resume|application|form)\b"
+)
+
+
 def plausible(field: Column, value: Column) -> Column:
-    """Whether a value has the shape that its field asks for; other fields pass."""
+    """Whether a value has the shape that its field asks for; other fields pass. The shapes are fixed values."""
     v = F.trim(value)
     digits = F.length(tx.digits_of(v))
+    words = F.size(F.split(v, r"\s+"))
+    named = ~v.rlike("[0-9]") & ~v.rlike(NO_PERSON)
     return (
         F.when(F.length(v) == 0, False)
+        .when(field.isin("name", "first_name", "middle_name", "last_name"), named & (F.length(v) <= 60) & (words <= 5))
         .when(field == "email", v.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"))
         .when(field == "phone", digits.between(7, 15))
         .when(field == "dial_code", v.rlike(r"^\+[0-9]{1,4}$"))
         .when(field == "dob_year", v.rlike(r"^(19|20)[0-9]{2}$"))
         .when(field == "dob_month", v.rlike(r"^(0?[1-9]|1[0-2])$"))
         .when(field == "dob_day", v.rlike(r"^(0?[1-9]|[12][0-9]|3[01])$"))
+        .when(field == "dob", v.rlike("[0-9]") & (F.length(v) <= 40))
         .when(field == "url", v.rlike(r"\.") & ~v.rlike(r"\s"))
         .when(field == "postal_code", v.rlike(r"^[A-Za-z0-9][A-Za-z0-9 -]{1,11}$"))
-        .when(field == "id", v.rlike("[0-9]") & (F.length(v) <= 40) & (F.size(F.split(v, r"\s+")) <= 4))
+        .when(field == "id", v.rlike("[0-9]") & (F.length(v) <= 40) & (words <= 4))
+        .when(field.isin("country", "nationality", "city", "state", "gender"), named & (F.length(v) <= 56))
+        .when(field == "years_experience", v.rlike("[0-9]") & (F.length(v) <= 24))
+        .when(field.isin("education", "employer", "job_title", "language", "address"), F.length(v) <= 200)
         .otherwise(True)
     )
 

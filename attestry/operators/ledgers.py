@@ -147,3 +147,24 @@ def preflight(work: DataFrame, ledger: DataFrame, chunk: int = 12) -> DataFrame:
     )
     answerable = F.when(F.col("remaining").isNull(), F.col("questions")).otherwise(F.least(F.col("questions"), left * chunk))
     return out.select("set_id", "requests", verdict.alias("verdict"), answerable.cast("long").alias("answerable"))
+
+
+# What names a daily limit, a limit per minute, and a free tier; a delay up to this long clears soon.
+PER_DAY = r"(?i)per[_ -]?day|perday|\bdaily\b|requests?[_ -]?per[_ -]?day"
+PER_MINUTE = r"(?i)per[_ -]?minute|perminute|per[_ -]?min\b|input[_ -]?token[_ -]?count|\brpm\b"
+FREE_TIER = r"(?i)free[_ -]?tier"
+SHORT_DELAY_MS = 120_000
+
+
+def quota_window_class(errors: DataFrame) -> DataFrame:
+    """(id, window, observed_limit) of quota errors (id, body JSON, retry_ms): daily or per_minute, and the limit that it names.
+
+    A named day counts before a named minute; a bare free tier is per minute if it says to come back within
+    SHORT_DELAY_MS, else daily; all else is per minute. The limit is the first positive quotaValue of the violations.
+    """
+    body = F.coalesce("body", F.lit(""))
+    soon = F.coalesce(F.col("retry_ms").between(1, SHORT_DELAY_MS), F.lit(False))
+    window = F.when(body.rlike(PER_DAY), "daily").when(body.rlike(PER_MINUTE), "per_minute").when(body.rlike(FREE_TIER) & ~soon, "daily").otherwise("per_minute")
+    told = F.from_json(body, "struct<violations:array<struct<quotaValue:string>>>")["violations"]
+    values = F.filter(F.transform(told, lambda v: v["quotaValue"].try_cast("bigint")), lambda n: n > 0)
+    return errors.select("id", window.alias("window"), F.get(values, 0).alias("observed_limit"))

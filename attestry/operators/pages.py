@@ -37,17 +37,20 @@ def hierarchy_splice(levels: list[DataFrame]) -> DataFrame:
     """Depth-first order of a forest: every node right after its parent and earlier siblings' subtrees.
 
     levels: from the roots down, each (id, parent, ord); ids are unique within a level, roots have a null
-    parent. Returns (depth, id, position). A node's sort key is the path of (ord, id) from its root, one
-    join for each level.
+    parent. Returns (depth, id, root, position, orphan). A node's sort key is the path of (ord, id) from its root, one
+    join for each level. A node whose parent isn't there is no less listed: it is a root of its own, flagged `orphan`.
     """
-    path = levels[0].select("id", F.array(F.struct("ord", "id")).alias("path"))
-    every = path.select(F.lit(0).alias("depth"), "id", "path")
+    path = levels[0].select("id", F.array(F.struct(F.lit(0).alias("depth"), "ord", "id")).alias("path"))
+    every = path.select(F.lit(0).alias("depth"), "id", "path", F.lit(False).alias("orphan"))
     for depth, level in enumerate(levels[1:], 1):
         up = path.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        path = level.join(up, "parent").select("id", F.concat("above", F.array(F.struct("ord", "id"))).alias("path"))
-        every = every.unionByName(path.select(F.lit(depth).alias("depth"), "id", "path"))
+        own = F.array(F.struct(F.lit(depth).alias("depth"), "ord", "id"))
+        joined = level.join(up, "parent", "left")
+        path = joined.select("id", F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own)).alias("path"), F.col("above").isNull().alias("orphan"))
+        every = every.unionByName(path.select(F.lit(depth).alias("depth"), "id", "path", "orphan"))
     root = F.col("path")[0]
-    return numbered(every.withColumn("root", root["id"]), "root", "path", "position").select("depth", "id", "root", "position")
+    rooted = every.withColumn("root", root["id"]).withColumn("tree", F.struct(root["depth"].alias("depth"), root["id"].alias("id")))
+    return numbered(rooted, "tree", "path", "position").select("depth", "id", "root", "position", "orphan")
 
 
 def reading_order(items: DataFrame, by: str) -> DataFrame:

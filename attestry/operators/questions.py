@@ -21,17 +21,29 @@ OPEN_HINTS = "describe|explain|why|motivation|objective|experience|tell us|about
 DISCRETE_HINTS = "id number|id no|identification|passport|phone|mobile|email|e-mail|date of birth|dob|zip|postal|postcode|ssn|tax|account number|url|website|first name|last name|full name"
 
 
+#: Up to so many keywords are held by every task.
+VOCABULARY = 10_000
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
 def semantic_key_join(questions: DataFrame, keywords: DataFrame) -> DataFrame:
     """questions with `key`: of the keywords that the label contains the longest, the first declared on a tie; null without any.
 
-    keywords: (key, keyword, ord), a rule table. The containment join runs on distinct labels only; the
-    argmax is aggregated.
+    keywords: (key, keyword, ord), a rule table. Labels and keywords are compared in lower case, without accents and with
+    single spaces. Only distinct labels meet the keywords; the argmax is aggregated.
     """
-    labels = questions.select(F.lower("label").alias("low")).distinct()
-    rules = F.broadcast(keywords.select("key", F.lower("keyword").alias("keyword"), "ord"))  # a vocabulary, not data
-    hits = labels.join(rules, F.contains(F.col("low"), F.col("keyword")))
-    best = hits.groupBy("low").agg(F.min(F.struct((-F.length("keyword")).alias("l"), "ord", "key"))["key"].alias("key"))
-    return questions.join(best, F.lower("label") == F.col("low"), "left").drop("low")
+    tidy = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\s+", " "))
+    labels = questions.select("label").distinct().withColumn("low", tidy(F.col("label")))
+    rules = keywords.select("key", tidy(F.col("keyword")).alias("keyword"), "ord").where("keyword <> ''")
+    few = rules.limit(VOCABULARY + 1).count() <= VOCABULARY
+    if few:
+        hits = labels.join(F.broadcast(rules), F.contains(F.col("low"), F.col("keyword")))
+    else:  # a large vocabulary meets the pieces of a label that are as long as some keyword, by equality
+        widths = F.array(*[F.lit(r[0]) for r in rules.select(F.length("keyword")).distinct().collect()])  # as many as lengths
+        pieces = F.flatten(F.transform(widths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - n + 1, F.lit(1))), lambda i: F.substring(F.col("low"), i, n))))
+        hits = labels.select("label", F.explode(F.array_distinct(pieces)).alias("keyword")).join(rules, "keyword")
+    best = hits.groupBy("label").agg(F.min(F.struct((-F.length("keyword")).alias("l"), "ord", "key"))["key"].alias("key"))
+    return questions.join(best, "label", "left")
 
 
 def declaration_kind(label: Column) -> Column:
@@ -135,13 +147,15 @@ def option_resolve(values: DataFrame, options: DataFrame, least: float = 0.8) ->
     """
     from ..functions.text import plain_words, similarity
 
-    v = values.select("id", "set_id", plain_words(F.col("value")).alias("v"))
-    o = options.select("set_id", "pos", "option", plain_words(F.col("option")).alias("o"))
+    # Distinct values meet distinct options of their set; rows are joined back after that.
+    v = values.select("set_id", plain_words(F.col("value")).alias("v")).distinct()
+    o = options.groupBy("set_id", plain_words(F.col("option")).alias("o")).agg(F.min(F.struct("pos", "option")).alias("p"))
+    o = o.select("set_id", "o", "p.pos", "p.option")
     pairs = v.join(o, "set_id")
     words = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
     within = (F.least(F.length("v"), F.length("o")) >= 3) & (F.contains(words(F.col("v")), words(F.col("o"))) | F.contains(words(F.col("o")), words(F.col("v"))))
     score = similarity(F.col("v"), F.col("o"))
     tier = F.when(F.col("v") == F.col("o"), 1).when(within, 2).when(score >= least, 3)
-    best = pairs.select("id", tier.alias("tier"), (-score).alias("worse"), "pos", "option").where(F.col("tier").isNotNull())
-    best = best.groupBy("id").agg(F.min(F.struct("tier", "worse", "pos", "option")).alias("b"))
-    return values.join(best, "id", "left").select("id", F.col("b.option").alias("option"), F.col("b.tier").alias("tier"))
+    best = pairs.select("set_id", "v", tier.alias("tier"), (-score).alias("worse"), "pos", "option").where(F.col("tier").isNotNull())
+    best = best.groupBy("set_id", "v").agg(F.min(F.struct("tier", "worse", "pos", "option")).alias("b"))
+    return values.withColumn("v", plain_words(F.col("value"))).join(best, ["set_id", "v"], "left").select("id", F.col("b.option").alias("option"), F.col("b.tier").alias("tier"))

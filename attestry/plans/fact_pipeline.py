@@ -23,7 +23,7 @@ def fact_pipeline(documents: DataFrame, manifest: DataFrame, manual: DataFrame,
     some = documents.join(sets, "set_id", "left_semi")
     headers = corpus.header_names(some).select(
         "set_id", F.lit("name").alias("field"), "value", F.col("file_name").alias("source"), F.lit(facts.RULES["positional"]).alias("rule_rank"),
-        (F.col("file_name") * 100000 + F.col("line_no")).cast("long").alias("seq"),
+        F.struct(F.col("file_name").alias("file"), F.col("line_no").alias("place")).alias("seq"),
     )
     found = facts.reconcile_facts(facts.typed_candidates(some).unionByName(headers)).select("set_id", "field", "value", "confidence")
     return facts.manual_override(found, manual.join(sets, "set_id", "left_semi").select("set_id", "field", "value", "confidence"))
