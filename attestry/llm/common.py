@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -52,6 +53,16 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of results that nothing refers to any more.
+
+    It learns of them when the driver's garbage is collected, which a driver with free memory may not do for half an hour; a job of
+    several large shuffles would hold all of them on disk until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _width(kind: T.DataType, value: Column) -> Column:
     """About how many bytes a value takes in a row."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_ROWS, forget, fresh, small_side, written
+from .common import BROADCAST_ROWS, forget, fresh, release, small_side, written
 
 #: So many tokens at most have a rank of their own, in a table that every task holds.
 RANKED = (1 << 12) - 1
 _SLOTS, _RANK_BITS = 1 << 14, 12
+#: Bits of a number that tell sets apart (partition and row), and the largest position beside it.
+SET_BITS, MAX_PLACE = 52, (1 << 11) - 1
 #: A key that this part of a sample of all sets shares is set apart. There are at most HOT_PART * keys a set of them.
 HOT_PART, _SAMPLE = 256, 64
 
@@ -95,6 +97,7 @@ def _ranks(docs: DataFrame, shingle_words: int) -> Column:
         tokens = at.where(F.size("words") > 0).select(F.explode(F.array_distinct(_hashes("words", shingle_words))).alias("h"))
     top = tokens.groupBy("h").count().orderBy(F.desc("count"), "h").limit(RANKED)
     hashes = [r["h"] for r in top.select("h").collect()][::-1]  # RANKED numbers at most
+    release(docs.sparkSession)
     return F.from_json(F.lit(json.dumps(rank_table(hashes))), "array<bigint>")  # a constant, read once
 
 
@@ -144,7 +147,7 @@ def _may_match(percent: int) -> Column:
 def _in_place(percent: int) -> Column:
     """Positional bound: no more in common than the neighbours and what lies before and after them."""
     most = F.least("pa", "pb") + 2 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 2
-    return most >= _overlap(percent)
+    return (most >= _overlap(percent)) | (F.greatest("pa", "pb") >= MAX_PLACE)
 
 
 def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -173,10 +176,15 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     sets = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "v0", "v1", "prefix")])
     sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
     forget(wide)
+    release(docs.sparkSession)
 
     def keys(some: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.size("prefix") - 2), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
-        return some.where(F.size("prefix") > 1).select("sid", F.posexplode(pairs).alias("p", "key")).select("key", "sid", "p")
+        # Set and position share a number, for narrow rows. A position beyond the limit has no bound.
+        rows = some.where(F.size("prefix") > 1).select("sid", F.posexplode(pairs).alias("p", "key"))
+        return rows.select("key", F.shiftleft(F.least("p", F.lit(MAX_PLACE)).cast("long"), SET_BITS).bitwiseOR(F.col("sid")).alias("set_place"))
+
+    sid, place_of = F.col("set_place").bitwiseAND(F.lit((1 << SET_BITS) - 1).cast("long")), F.shiftright("set_place", SET_BITS)
 
     sampled = sets.where(F.pmod("k1", F.lit(_SAMPLE)) == 0)
     least = max(64, sampled.count() // HOT_PART)
@@ -186,13 +194,15 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     if any_hot := not hot.isEmpty():
         hot, _ = small_side(hot, broadcast_rows)
         met = met.join(hot, "key", "left_anti")
-    met = met.select("*", F.min("sid").over(by_key).alias("hub"), F.max("sid").over(by_key).alias("last"), F.count("*").over(by_key).alias("size"))
-    met = met.where("hub <> last").drop("last")
+    # A key stands once in a set, so that two rows of it are two sets. (The hub is any one of them.)
+    met = met.select("*", F.min("set_place").over(by_key).alias("first_row"), F.count("*").over(by_key).alias("size")).where("size > 1")
     if any_hot:
         hot_rows = written(keys(sets).join(hot, "key", "left_semi"), "hot-rows")
-        hubs, _ = small_side(hot_rows.groupBy("key").agg(F.min("sid").alias("hub"), F.count("*").alias("size")), broadcast_rows)
-        met = met.unionByName(hot_rows.join(hubs, "key").select("key", "sid", "p", "hub", "size"))
-    met = written(met, "keys")
+        hubs, _ = small_side(hot_rows.groupBy("key").agg(F.min("set_place").alias("first_row"), F.count("*").alias("size")).where("size > 1"), broadcast_rows)
+        met = met.unionByName(hot_rows.join(hubs, "key").select("key", "set_place", "first_row", "size"))
+    hub = F.col("first_row").bitwiseAND(F.lit((1 << SET_BITS) - 1).cast("long"))
+    met = written(met.select("key", sid.alias("sid"), place_of.cast("int").alias("p"), hub.alias("hub"), "size"), "keys")
+    release(docs.sparkSession)
 
     facts = sets.select("sid", "n", "v0", "v1", F.struct("first", "k1", "k2", "sid").alias("at"))
     named = lambda df, x, key: df.select(*key, *[F.col(c).alias(f"{c}{x}") for c in df.columns if c not in key])
@@ -223,6 +233,7 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     # In keys of more than two sets, those that stand meet the earlier ones (all have met the hub).
     members = met.where("size > 2 and sid <> hub").select("key", "sid", "p").join(facts, "sid").join(gone.withColumn("out", F.lit(True)), "sid", "left")
     members = written(members.drop("sid"), "members")
+    release(docs.sparkSession)
     left = named(members.where("out is null").drop("out"), "a", ["key"])
     rest = left.join(named(members.drop("out"), "b", ["key"]), "key").where((F.col("atb") < F.col("ata")) & _may_match(percent) & _in_place(percent))
     gone = gone.unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
