@@ -52,7 +52,7 @@ class Bpe:
                     values.append(i)
         self._build(np.array(keys, np.uint64), np.array(values, np.int32))
         self.cache: dict[str, bytes] = {}
-        self.texts = Encoder(self._chunks)
+        self.texts = Encoder(self._chunks, limit=400_000)
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, at most a quarter full."""
@@ -187,7 +187,7 @@ class Bpe:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]
         new = list({p for parts in split for p in parts if p not in self.cache})
-        if len(self.cache) + len(new) > 400_000:
+        if len(self.cache) + len(new) > 200_000:
             self.cache.clear()
             new = list({p for parts in split for p in parts})
         self.cache.update(zip(new, self.pieces(new), strict=True))
@@ -226,7 +226,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
         bpe = _worker(shared, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts):
+            for lo, hi in batches_of(texts, 1 << 20):
                 coded = bpe.encode([t or "" for t in texts[lo:hi]])
                 ids = [np.frombuffer(c, "<u4") for c in coded]
                 columns = [
