@@ -1,19 +1,24 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds whole spans.
 
 The field scores candidate segments of up to MAX tokens by features of the whole span (shape, digit count,
-separators, checksum, what stands around) and picks boundaries and kinds together with a dynamic program
-over segments; tokens outside are segments of one token with the kind O. Only runs of words with a digit or
-an at sign are decoded: other tokens have no entity features. It is trained here, by gradient steps on the
-conditional likelihood, on the pattern spans of at most `sample` documents (the documented bound), and
-on copies of them in which phones lack their country prefix. Pattern spans always stay; segments
-that overlap none of them are added.
+separators, checksum, what stands around) and of the words before its run, and picks boundaries and kinds together with
+a dynamic program over segments; tokens outside are segments of one token with the kind O. Only runs of words with a
+digit or an at sign are decoded: other tokens have no entity features. It is trained here, by gradient steps on the
+conditional likelihood: on runs of at most `sample` documents (the documented bound) with the spans of the patterns,
+which teach boundaries and what is no entity, and on labelled template sentences in four languages, which the
+patterns can't label: phone numbers without a country prefix after words that announce a call, against numbers of the
+same shapes after words that count. Pattern spans always stay; segments that overlap none of them are added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +83,57 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-_RUN = re.compile(r"\S*[0-9@]\S*(?:[ ]\S*[0-9@]\S*)*")
+_WORD = re.compile(r"\S+")
+_HOLDS = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CLASSES = "@.-+() "
 N_FEATURES = 40
+#: Tokens whose segments are scored at once: memory doesn't follow the length of a run.
+BLOCK = 2048
+#: Buckets of hashed words before a run, and how many of them count.
+BUCKETS, NEAR = 512, 3
 
 
 def runs(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of runs of words with a digit or an at sign."""
-    for line in re.finditer(r"[^\n]+", text):
-        if re.search("[0-9@]", line[0]):
-            for m in _RUN.finditer(line[0]):
-                yield line.start() + m.start(), m[0]
+    """(start, text) of runs of words with a digit or an at sign, one space between them, in one line. Each word is read once."""
+    if not _HOLDS.search(text):
+        return
+    start = end = -1
+    for m in _WORD.finditer(text):
+        if not _HOLDS.search(m[0]):
+            continue
+        if start >= 0 and m.start() == end + 1 and text[end] == " ":
+            end = m.end()
+            continue
+        if start >= 0:
+            yield start, text[start:end]
+        start, end = m.span()
+    if start >= 0:
+        yield start, text[start:end]
+
+
+def before(text: str, at: int) -> list[int]:
+    """Buckets of the last NEAR words (letters, lower case) before a place, in its line, within 60 characters."""
+    line = text[max(at - 60, text.rfind("\n", max(at - 60, 0), at) + 1) : at].lower()
+    return [zlib.crc32(w.encode()) % BUCKETS for w in re.findall(r"[^\W\d_]{2,}", line)[-NEAR:]]
+
 
+def blocks(run: str) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+    """(first, bounds, features, mask) for every BLOCK ends: segments that end at tokens first, first + 1, ...
 
-def segments(run: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(token bounds, features[end, length - 1], features of single tokens as O)."""
+    Each block reads the MAX tokens before it and the one after, so the features are those of the whole run.
+    """
     tokens = _TOKEN.findall(run)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).tolist()
+    for first in range(0, len(tokens), BLOCK):
+        lo, hi = max(0, first - MAX - 1), min(len(tokens), first + BLOCK)
+        _, features, mask = segments(tokens[lo : hi + 1])
+        yield first, bounds, features[first - lo : hi - lo], mask[first - lo : hi - lo]
+
+
+def segments(run: str | list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(token bounds, features[end, length - 1], mask of segments that would start before the run)."""
+    tokens = _TOKEN.findall(run) if isinstance(run, str) else run
     n = len(tokens)
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
     kind = np.array([9 if t[0].isascii() and t[0].isdigit() else 8 if t[0].isascii() and t[0].isalpha() else _CLASSES.find(t[0]) if t[0] in _CLASSES else 7 for t in tokens])
@@ -135,41 +174,47 @@ def segments(run: str) -> tuple[list[int], np.ndarray, np.ndarray]:
 class SemiCrf:
     """Weights: one row for O (single tokens), one for each kind."""
 
-    def __init__(self, weights: np.ndarray | None = None):
+    def __init__(self, weights: np.ndarray | None = None, near: np.ndarray | None = None):
         self.w = np.zeros((1 + len(KINDS), N_FEATURES)) if weights is None else weights
+        self.near = np.zeros((1 + len(KINDS), BUCKETS)) if near is None else near
 
-    def scores(self, features: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """[end, length - 1, label]; O has length 1 only."""
+    def scores(self, features: np.ndarray, mask: np.ndarray, near: list[int] = ()) -> np.ndarray:
+        """[end, length - 1, label]; O has length 1 only. near: buckets of the words before the run."""
         s = features @ self.w.T + mask[..., None]
+        if near:
+            s[:, :, 1:] += self.near[1:, near].sum(1)
         s[:, 1:, 0] = -1e30
         return s
 
-    def decode(self, run: str) -> list[Span]:
-        """The best segmentation's entities, in the run's characters."""
-        bounds, features, mask = segments(run)
-        s = self.scores(features, mask)
-        best_label = s.argmax(2)
-        best = s.max(2)
-        n = len(best)
-        total = np.full(n + MAX, -1e30)
-        total[MAX - 1] = 0.0  # total[MAX - 1 + i]: best up to token i
-        back = np.zeros(n, np.int64)
-        for e in range(n):
-            there = best[e] + total[e : e + MAX][::-1]
-            back[e] = there.argmax()
-            total[MAX + e] = there[back[e]]
+    def decode(self, run: str, near: list[int] = ()) -> list[Span]:
+        """The best segmentation's entities, in the run's characters; of equal ones the shorter last segment, then the first
+        label. Memory beyond the tokens is that of a block."""
+        n, best_label, back, bounds = 0, [], [], [0]
+        total = np.full(MAX, -1e30)
+        total[-1] = 0.0  # the best up to each of the last MAX tokens
+        for _, bounds, features, mask in blocks(run):
+            s = self.scores(features, mask, near)
+            label, best = s.argmax(2), s.max(2)
+            for e in range(len(best)):
+                there = best[e] + total[::-1]
+                k = int(there.argmax())
+                back.append(k)
+                best_label.append(int(label[e, k]))
+                total[:-1] = total[1:]
+                total[-1] = there[k]
+            total -= total[-1]  # only differences count
+            n += len(best)
         out, e = [], n - 1
         while e >= 0:
-            k = int(back[e])
-            label = int(best_label[e, k])
+            k, label = back[e], best_label[e]
             if label:
                 out.append((KINDS[label - 1], bounds[e - k], bounds[e + 1]))
             e -= k + 1
         return out[::-1]
 
-    def _gradient(self, bounds: list[int], features: np.ndarray, mask: np.ndarray, gold: list[Span]) -> np.ndarray:
-        """Of the log-likelihood of the gold segmentation."""
-        s = self.scores(features, mask)
+    def _gradient(self, bounds: list[int], features: np.ndarray, mask: np.ndarray, gold: list[Span], near: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the log-likelihood of the gold segmentation, by the features and by the words before."""
+        s = self.scores(features, mask, near)
         n = len(s)
         each = np.logaddexp.reduce(s, axis=2)
         ahead, behind = np.full(n + MAX, -1e30), np.full(n + MAX, -1e30)
@@ -183,72 +228,118 @@ class SemiCrf:
         before = np.stack([ahead[e : e + MAX][::-1] for e in range(n)])
         p = np.exp(np.clip(s + (before + behind[:n, None] - ahead[MAX + n - 1])[..., None], -700, 0))
         grad = -np.einsum("ekl,ekf->lf", p, features)
+        pull = -p.sum((0, 1))
         place, covered = {b: i for i, b in enumerate(bounds)}, np.zeros(n, bool)
         for kind, a, b in gold:
             i, j = place[a], place[b]
             grad[1 + KINDS.index(kind)] += features[j - 1, j - i - 1]
+            pull[1 + KINDS.index(kind)] += 1
             covered[i:j] = True
         grad[0] += features[~covered, 0].sum(0)
-        return grad
+        return grad, pull
 
-    def fit(self, examples: list[tuple[str, list[Span]]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-3, seed: int = 3) -> SemiCrf:
-        """AdaGrad on examples (run, spans); spans off token bounds or longer than MAX tokens are left out."""
+    def fit(self, examples: list[tuple[str, list[Span], list[int]]], epochs: int = 6, rate: float = 0.5, l2: float = 1e-3, seed: int = 3) -> SemiCrf:
+        """AdaGrad on examples (run, spans, words before); spans off token bounds or longer than MAX tokens are left out."""
         ready = []
-        for run, gold in examples:
+        for run, gold, near in examples:
             bounds, features, mask = segments(run)
             place = {b: i for i, b in enumerate(bounds)}
             if all(a in place and b in place and place[b] - place[a] <= MAX for _, a, b in gold):
-                ready.append((bounds, features, mask, gold))
-        seen, rng = np.full_like(self.w, 1e-2), np.random.default_rng(seed)
+                ready.append((bounds, features, mask, gold, near))
+        seen, seen_near, rng = np.full_like(self.w, 1e-2), np.full_like(self.near, 1e-2), np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(ready)):
-                g = self._gradient(*ready[i]) - l2 * self.w
+                g, pull = self._gradient(*ready[i])
+                g -= l2 * self.w
                 seen += g * g
                 self.w += rate * g / np.sqrt(seen)
+                for x in ready[i][4]:
+                    h = pull[1:] - l2 * self.near[1:, x]
+                    seen_near[1:, x] += h * h
+                    self.near[1:, x] += rate * h / np.sqrt(seen_near[1:, x])
         return self
 
 
-def _examples(text: str) -> list[tuple[str, list[Span]]]:
-    """Runs of the text with their non-overlapping pattern spans, and copies without phone prefixes."""
-    out, base = [], base_spans(text)
+# Words that announce a number to call, and words before numbers that are nobody's.
+CALLS = "call phone tel telephone mobile ring fax whatsapp telefon handy anrufen rufen rückruf téléphone appeler portable joindre teléfono llamar móvil".split()
+COUNTS = "order invoice page room version year item total bestellung rechnung seite zimmer jahr artikel commande facture page chambre année pedido factura página habitación año".split()
+#: Shapes of phone numbers without a country prefix: no pattern finds them. d is a digit.
+LOCAL_PHONES = ("ddd ddd dddd", "ddd-ddd-dddd", "(ddd) ddd-dddd", "ddd.ddd.dddd", "0dd dddddddd", "0ddd/ddddddd", "dd dd dd dd dd", "ddd ddd ddd")
+
+
+def templates(n: int, seed: int) -> list[tuple[str, list[Span], list[int]]]:
+    """Labelled sentences that the patterns can't label: numbers of the same shapes are phones after words that announce a call,
+    and nobody's after words that count or order. (run, spans in it, words before)."""
+    rng, out = np.random.default_rng(seed), []
+    filled = lambda shape: "".join(str(rng.integers(10)) if c == "d" else c for c in shape)
+    for i in range(n):
+        calls = i % 2 == 0
+        word, fill = str(rng.choice(CALLS if calls else COUNTS)), ["please", "und", "la", "me", "on"][rng.integers(5)]
+        number = filled(str(rng.choice(LOCAL_PHONES)))
+        text = f"{fill} {word}{['', ':', ' at'][rng.integers(3)]} {number}"
+        at = text.index(number)
+        out.append((number, [("phone", 0, len(number))] if calls else [], before(text, at)))
+    return out
+
+
+def _examples(text: str) -> list[tuple[str, list[Span], list[int]]]:
+    """Runs of the text with their non-overlapping pattern spans, cut into pieces of whole words so that long ones train too."""
+    out, base, j = [], base_spans(text), 0
     for at, run in runs(text):
-        if len(run) > 400:
-            continue
-        gold, last = [], at
-        for kind, a, b in base:
-            if a >= last and b <= at + len(run):
-                gold.append((kind, a - at, b - at))
-                last = b
-        out.append((run, gold))
-        for kind, a, b in gold:
-            cut = run.find("(", a, b) if kind == "phone" else -1
-            if cut > 0:
-                out.append((run[cut:b], [("phone", 0, b - cut)]))
+        cut = 0
+        while cut < len(run):
+            stop = len(run) if len(run) - cut <= 400 else (run.rfind(" ", cut, cut + 400) if run.rfind(" ", cut, cut + 400) > cut else cut + 400)
+            gold, last = [], at + cut
+            while j < len(base) and base[j][1] < at + cut:
+                j += 1
+            for kind, a, b in base[j:]:
+                if a >= at + stop:
+                    break
+                if a >= last and b <= at + stop:
+                    gold.append((kind, a - at - cut, b - at - cut))
+                    last = b
+            out.append((run[cut:stop], gold, before(text, at + cut)))
+            cut = stop + (stop < len(run) and run[stop] == " ")
     return out
 
 
-def train(documents: DataFrame, sample: int = 600, runs_used: int = 800) -> SemiCrf:
-    """Fits the field on runs of at most `sample` documents with a digit or at sign (least hash of doc_id first),
-    at most `runs_used` runs. Without any, the field adds nothing."""
-    texts = documents.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20000))
+def train(documents: DataFrame, sample: int = 600, sentences: int = 600) -> SemiCrf:
+    """Fits the field on the runs of at most `sample` documents with a digit or at sign (least hash of doc_id and text first;
+    the documented bound) and on `sentences` labelled templates. Very long texts train like others, in pieces. Without
+    such documents the templates remain."""
+    texts = documents.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
     keyed = texts.withColumn("h", F.xxhash64("doc_id", "text"))
-    chosen = keyed.select("h").orderBy("h").limit(sample)  # narrow rows; texts of the chosen only reach the driver
-    rows = keyed.join(F.broadcast(chosen.distinct()), "h").select("h", "text").distinct().collect()
-    examples = [x for r in sorted(rows) for x in _examples(r["text"])][:runs_used]
+    chosen = keyed.select("h").orderBy("h").limit(sample)  # narrow rows; runs of the chosen only reach the driver
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _examples(text)[:PIECES]
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([pickle.dumps(found)])], ["h", "found"])
+
+    rows = keyed.join(F.broadcast(chosen.distinct()), "h").select("h", "text").distinct().mapInArrow(gather, "h bigint, found binary").collect()
+    examples = [x for _, found in sorted((r["h"], bytes(r["found"])) for r in rows) for x in pickle.loads(found)]
     model = SemiCrf()
     model.w[0, 0] = 2.0
-    return model.fit(examples) if examples else model
+    return model.fit(examples + templates(sentences, 11))
+
+
+#: Of one sampled document at most so many pieces train the field: a part of the sample's documented bound.
+PIECES = 40
 
 
 def find(text: str, model: SemiCrf) -> tuple[list[Span], list[Span]]:
     """(pattern spans, all spans), each by start, then kind."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # how far the spans up to each go
     added = []
     for at, run in runs(text):
-        for kind, a, b in model.decode(run):
+        for kind, a, b in model.decode(run, before(text, at)):
             a, b = a + at, b + at
-            if not any(x < b and a < y for x, y in taken):
+            i = bisect_left(starts, b)  # spans that start before b
+            if not i or reach[i - 1] <= a:
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -260,11 +351,11 @@ def scan(documents: DataFrame, model: SemiCrf) -> DataFrame:
     that list for pattern spans alone. Null and empty texts have none. Texts are read whole. Repeated rows
     give equal rows; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model.w)
+    shared = documents.sparkSession.sparkContext.broadcast((model.w, model.near))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SemiCrf(shared.value)
+        model = SemiCrf(*shared.value)
         said = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         for batch in batches:
             texts = batch.column(1).to_pylist()

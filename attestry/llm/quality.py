@@ -5,7 +5,8 @@ of values by log-linear bucket (exact below 256, then 128 buckets for each power
 off by less than 1/128 of its value). Sketches merge by adding counts, in any order, with the same result:
 partial aggregation builds them before the shuffle. Quartiles from the sketches give fences
 `q3 + spread * (q3 - q1) + slack` (and the mirror image below for word length), which are joined back.
-A group with fewer than `min_group` documents takes the merged sketch of its language, or else of all.
+A group's distribution is mixed with its language's, which counts as `prior` documents: a large group decides by itself,
+a small one mostly by its language, with no size at which the rule changes.
 """
 
 from __future__ import annotations
@@ -89,36 +90,34 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame, spread: int = 3, min_group: int = 50) -> DataFrame:
-    """(lang, source, <metric>_low, <metric>_high) for every (lang, source) of the sketch."""
-    groups = sketch.select("lang", "source").distinct()
-    levels = []
-    for rank, keys in enumerate((["lang", "source"], ["lang"], [])):
-        merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        running = merged.select(
-            *keys, "metric", "bucket",
-            F.sum("n").over(W.partitionBy(*keys, "metric").orderBy("bucket")).alias("upto"),
-            F.sum("n").over(W.partitionBy(*keys, "metric")).alias("total"),
-        )
-        quartiles = running.groupBy(*keys, "metric").agg(
-            F.max("total").alias("total"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-            F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"),
-        )
-        level = groups.join(quartiles, keys) if keys else groups.join(F.broadcast(quartiles))  # one row for each metric
-        levels.append(level.select("lang", "source", "metric", "total", "q1", "q3", F.lit(rank).alias("rank")))
-    of = levels[0].unionByName(levels[1]).unionByName(levels[2]).where((F.col("total") >= min_group) | (F.col("rank") == 2))
-    best = of.groupBy("lang", "source", "metric").agg(F.min(F.struct("rank", "q1", "q3")).alias("b"))
-    width = (F.col("b.q3") - F.col("b.q1")) * spread
+def fences(sketch: DataFrame, spread: int = 3, prior: int = 50) -> DataFrame:
+    """(lang, source, <metric>_low, <metric>_high) for every (lang, source) of the sketch.
+
+    A quartile is the least bucket up to which that share lies of the group's documents and `prior` documents spread like its
+    language's. Sketches are a few thousand buckets at most, whatever they count.
+    """
+    total = F.sum("n").over(W.partitionBy("lang", "metric"))
+    wide = sketch.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")).withColumn("of_lang", total)
+    groups = sketch.select("lang", "source", "metric").distinct()
+    every = groups.join(wide, ["lang", "metric"]).join(sketch.withColumnRenamed("n", "own"), ["lang", "source", "metric", "bucket"], "left")
+    order = W.partitionBy("lang", "source", "metric").orderBy("bucket")
+    upto = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(order)
+    size = F.sum(F.coalesce("own", F.lit(0))).over(W.partitionBy("lang", "source", "metric"))
+    running = every.select("lang", "source", "metric", "bucket", "of_lang", upto("own").alias("own"), upto("n").alias("all"), size.alias("size"))
+    have, need = F.col("own") * F.col("of_lang") + F.col("all") * prior, (F.col("size") + prior) * F.col("of_lang")
+    best = running.groupBy("lang", "source", "metric").agg(
+        F.min(F.when(have * 4 >= need, F.col("bucket"))).alias("q1"), F.min(F.when(have * 4 >= need * 3, F.col("bucket"))).alias("q3")
+    )
+    width = (F.col("q3") - F.col("q1")) * spread
     columns = []
     for m, (slack, low) in METRICS.items():
         if low:
-            columns.append(F.max(F.when(F.col("metric") == m, F.col("b.q1") - width - slack)).alias(f"{m}_low"))
-        columns.append(F.max(F.when(F.col("metric") == m, F.col("b.q3") + width + slack)).alias(f"{m}_high"))
+            columns.append(F.max(F.when(F.col("metric") == m, F.col("q1") - width - slack)).alias(f"{m}_low"))
+        columns.append(F.max(F.when(F.col("metric") == m, F.col("q3") + width + slack)).alias(f"{m}_high"))
     return best.groupBy("lang", "source").agg(*columns)
 
 
-def judge(documents: DataFrame, spread: int = 3, min_group: int = 50) -> DataFrame:
+def judge(documents: DataFrame, spread: int = 3, prior: int = 50) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null texts have no words and fail the base rules; null lang or source count as the empty string.
@@ -140,7 +139,7 @@ def judge(documents: DataFrame, spread: int = 3, min_group: int = 50) -> DataFra
         ),
         "measures",
     )
-    limits, _ = small_side(written(fences(sketches(measured), spread, min_group), "fences"))
+    limits, _ = small_side(written(fences(sketches(measured), spread, prior), "fences"))
     inside = F.lit(True)
     for m, (_, low) in METRICS.items():
         inside = inside & (F.col(m) <= F.col(f"{m}_high"))

@@ -148,13 +148,12 @@ u as (select lang, source, 'word_len' as metric, word_len as v from f where not
   union all select lang, source, 'dup_lines', dup_lines from f where not base_failed
   union all select lang, source, 'repeats', repeats from f where not base_failed),
 b as (select lang, source, metric, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) as v from u),
-g as (select distinct lang, source from b),
-a as (select g.lang, g.source, metric, v, 0 as rank from g join b on g.lang = b.lang and g.source = b.source
-  union all select g.lang, g.source, metric, v, 1 from g join b on g.lang = b.lang
-  union all select g.lang, g.source, metric, v, 2 from g, b),
-n as (select *, row_number() over (partition by lang, source, metric, rank order by v) as i, count(*) over (partition by lang, source, metric, rank) as c from a),
-q as (select lang, source, metric, rank, min(c) as c, min(v) filter (4 * i >= c) as q1, min(v) filter (4 * i >= 3 * c) as q3 from n group by all),
-z as (select lang, source, metric, arg_min(q1, rank) as q1, arg_min(q3, rank) as q3 from q where c >= 50 or rank = 2 group by all),
+l as (select lang, metric, v, count(*) as n, sum(count(*)) over (partition by lang, metric) as t from b group by lang, metric, v),
+g as (select lang, source, metric, v, count(*) as n from b group by all),
+x as (select d.lang, d.source, d.metric, l.v, l.t, sum(coalesce(g.n, 0)) over w as own, sum(l.n) over w as every, sum(coalesce(g.n, 0)) over (partition by d.lang, d.source, d.metric) as size
+      from (select distinct lang, source, metric from b) d join l on l.lang = d.lang and l.metric = d.metric left join g on g.lang = d.lang and g.source = d.source and g.metric = d.metric and g.v = l.v
+      window w as (partition by d.lang, d.source, d.metric order by l.v)),
+z as (select lang, source, metric, min(v) filter (4 * (own * t + 50 * every) >= (size + 50) * t) as q1, min(v) filter (4 * (own * t + 50 * every) >= 3 * (size + 50) * t) as q3 from x group by all),
 k as (select lang, source,
         max(q1 - 3 * (q3 - q1) - 500) filter (metric = 'word_len') as wl, max(q3 + 3 * (q3 - q1) + 500) filter (metric = 'word_len') as wh,
         max(q3 + 3 * (q3 - q1) + 200) filter (metric = 'symbols') as sh, max(q3 + 3 * (q3 - q1) + 6000) filter (metric = 'dup_lines') as dh,
