@@ -238,12 +238,12 @@ def dossier_reconcile(spark, sf_dir):
     return facts.dossier_reconcile(mine, other)
 
 
-@job("date_audit", """with o as (select o_custkey % 10 as set_id, o_orderkey % 4 as form, day(o_orderdate) as d, o_custkey % 3 as h from orders)
-  select cast(set_id as varchar) as set_id, case when form = 0 then 'accepted' when form = 3 then 'unknown format' when d > 12 or h = 0 then 'accepted' else 'ambiguous' end as outcome, count(*) as n from o group by all""")
+@job("date_audit", """with o as (select o_custkey % 10 as set_id, o_orderkey % 6 as form, day(o_orderdate) as d, o_custkey % 3 as h from orders)
+  select cast(set_id as varchar) as set_id, case when form in (0, 4, 5) then 'accepted' when form = 3 then 'unknown format' when d > 12 or h = 0 then 'accepted' else 'ambiguous' end as outcome, count(*) as n from o group by all""")
 def date_audit(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    form, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
-    raw = F.when(form == 0, F.date_format(d, "yyyy-MM-dd")).when(form == 3, F.date_format(d, "yyyy.MM.dd")).otherwise(F.date_format(d, "d/M/yyyy"))
+    form, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    raw = F.when(form == 0, F.date_format(d, "yyyy-MM-dd")).when(form == 3, F.date_format(d, "yyyy.MM.dd")).when(form == 4, F.date_format(d, "d MMMM yyyy")).when(form == 5, F.date_format(d, "MMM d, yyyy")).otherwise(F.date_format(d, "d/M/yyyy"))
     hint = F.when(F.col("o_custkey") % 3 == 0, "DMY")
     return facts.date_counts(o.select((F.col("o_custkey") % 10).cast("string").alias("set_id"), raw.alias("raw"), hint.alias("order_hint")))
 
@@ -312,10 +312,13 @@ def retention_purge(spark, sf_dir):
     return old.withColumn("last_used", F.col("last_used").cast("timestamp_ntz"))
 
 
-@job("version_check", """with k as (select event_id, user_id as key, ts, case event_type when 'signup' then 'navigate' when 'view' then 'scan' when 'error' then 'remove' else 'answer' end as kind from events),
+_VERSIONS = """with k as (select event_id, user_id as key, ts, case event_type when 'signup' then 'navigate' when 'view' then 'scan' when 'error' then 'remove' else 'answer' end as kind from events),
   g as (select *, sum(case when kind = 'navigate' then 1 else 0 end) over (partition by key order by ts, event_id rows unbounded preceding) as generation from k),
   s as (select *, last_value(case when kind = 'scan' then generation end ignore nulls) over w as s, last_value(case when kind = 'remove' then generation end ignore nulls) over w as r from g window w as (partition by key order by ts, event_id rows unbounded preceding))
-  select event_id, key, cast(generation as bigint) as generation, case when r = generation then 'gone' when s is null then 'not scanned' when s < generation then 'navigated' else 'current' end as verdict from s where kind = 'answer'""")
+  select event_id, key, cast(generation as bigint) as generation, case when r = generation then 'gone' when s is null then 'not scanned' when s < generation then 'navigated' else 'current' end as verdict from s where kind = 'answer'"""
+
+
+@job("version_check", _VERSIONS)
 def version_check(spark, sf_dir):
     t = F.col("event_type")
     kind = F.when(t == "signup", "navigate").when(t == "view", "scan").when(t == "error", "remove").otherwise("answer")
@@ -639,6 +642,24 @@ def stream_dedupe(spark, sf_dir):
     return streams.drained(spark, once, path, "append").select("key", "event_type")
 
 
+@job("stream_ttl", """with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as p from events),
+  i as (select key, ts, sum(case when p is null or ts >= p + interval 6 hours then 1 else 0 end) over (partition by key order by ts rows unbounded preceding) as s from e)
+  select key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S') as expires_at, count(*) as n from i group by key, s""")
+def stream_ttl(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir)
+    out = streams.drained(spark, streams.lives(rows.select("key", "ts"), "6 hours"), path, "complete")
+    last = out.join(out.agg(F.max("_batch").alias("_batch")), "_batch")
+    return last.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), "n")
+
+
+@job("stream_versions", _VERSIONS)
+def stream_versions(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir)
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "navigate").when(t == "view", "scan").when(t == "error", "remove").otherwise("answer")
+    return streams.drained(spark, streams.versions(rows.withColumn("kind", kind)), path, "append").drop("_batch")
+
+
 def queries() -> dict[str, Query]:
     from . import catalog_forms, catalog_reading  # noqa: F401  (they add their jobs)
 

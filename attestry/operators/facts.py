@@ -120,19 +120,27 @@ def dossier_reconcile(facts: DataFrame, dossier: DataFrame) -> DataFrame:
     return joined.select("key", "verdict", F.when(F.col("verdict") == "contained", longer).when(F.col("verdict") != "conflict", F.col("value")).alias("resolved"))
 
 
+MONTH_NAMES = "january february march april may june july august september october november december".split()
+
+
 def date_audit(dates: DataFrame) -> DataFrame:
     """(set_id, raw, order_hint) -> raw, normalised date or the reason why it is refused.
 
-    ISO first; then day and month as numbers, settled by a part over 12 or by the stated order, else refused
-    as ambiguous; impossible days are refused.
+    ISO first; then a month in words (three letters or more of its English name); then day and month as numbers, settled by
+    a part over 12 or by the stated order, else refused as ambiguous; impossible days are refused.
     """
+    # A month in words: (pattern, group of the day, of the word, of the year)
+    spelled = [(r"^(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})$", 1, 2, 3), (r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})$", 2, 1, 3)]
+    number = lambda w: F.coalesce(*[F.when((w != "") & F.startswith(F.lit(m), F.lower(w)), F.lit(i)) for i, m in enumerate(MONTH_NAMES, 1)])
+    said = lambda p, d, m, y: F.when(number(F.regexp_extract("raw", p, m)).isNotNull(), F.format_string("%s-%02d-%02d", F.regexp_extract("raw", p, y), number(F.regexp_extract("raw", p, m)), F.regexp_extract("raw", p, d).try_cast("int")))
+    words = F.coalesce(*[said(*x) for x in spelled])
     iso = F.regexp_extract("raw", r"^(\d{4}-\d{2}-\d{2})$", 1)
     part = lambda i: F.regexp_extract("raw", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", i)
     a, b, y = (F.when(part(i) != "", part(i).cast("int")) for i in (1, 2, 3))
     day_first = F.when(a.isNull() | ((a > 12) & (b > 12)), None).when(a > 12, True).when(b > 12, False).when(F.col("order_hint") == "DMY", True).when(F.col("order_hint") == "MDY", False)
     day, month = F.when(day_first, a).otherwise(b), F.when(day_first, b).otherwise(a)
     numeric = F.when(day_first.isNotNull(), F.format_string("%04d-%02d-%02d", y, month, day))
-    text = F.when(iso != "", iso).otherwise(numeric)
+    text = F.when(iso != "", iso).otherwise(F.coalesce(words, numeric))
     date = F.try_to_date(text, "yyyy-MM-dd")
     reason = (
         F.when(date.isNotNull(), None)

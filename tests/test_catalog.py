@@ -34,7 +34,7 @@ def rows(names, table):
     return sorted([tuple(plain(r[i]) for i in order) for r in table], key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.JOBS))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_job(spark, duck, name):
     query, sql = catalog.JOBS[name]
     found = query(spark, SF)

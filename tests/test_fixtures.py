@@ -13,6 +13,7 @@ def test_dates_are_accepted_or_refused_with_a_reason(spark):
         ("03/04/2001", None, None, "ambiguous"), ("03/04/2001", "DMY", "2001-04-03", None), ("03/04/2001", "MDY", "2001-03-04", None),
         ("2001-02-31", None, None, "impossible"), ("25/26/2001", None, None, "impossible"), ("", None, None, "blank"),
         ("sometime in 2001", None, None, "unknown format"), ("2000-02-29", None, "2000-02-29", None), ("1900-02-29", None, None, "impossible"),
+        ("3 April 2001", None, "2001-04-03", None), ("April 3, 2001", None, "2001-04-03", None), ("3 Apr 2001", None, "2001-04-03", None), ("Marble 3, 2001", None, None, "unknown format"), ("31 Feb 2001", None, None, "impossible"),
     ]
     df = spark.createDataFrame([("s", raw, hint) for raw, hint, _, _ in cases], "set_id string, raw string, order_hint string")
     got = {(r.raw, h): (r.date, r.reason) for r, (_, h, _, _) in zip(facts.date_audit(df).collect(), cases, strict=True)}
