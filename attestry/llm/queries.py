@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, chat, decontaminate, line_dedup, partenum, pii, quality, token_file, toxicity
+from . import attribution, bpe, chat, decontaminate, filter_audit, line_dedup, merkle, partenum, piece_bpe, pii, quality, token_file, toxicity
 from .common import Query, table, work_dir
 
 
@@ -165,6 +165,74 @@ from f left join k using (lang, source)
 """
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(documents, filter_audit.RULES, labels)
+
+
+OP11_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+e as (select t, min(doc_id) as first from d group by t),
+y as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+m as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+        case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+        || case when 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 3 * length(d.t) then 'C' else '' end
+        || case when regexp_matches(d.t, '[#$%&*|]') then 'D' else '' end || case when d.doc_id > e.first then 'E' else '' end as fails
+      from d join e on d.t = e.t left join y on y.doc_id = d.doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (select '' as o union all select o || f from o, l where not contains(o, f)),
+s as (select o as filter_order, cast(p as integer) as step, o[p] as f, o[1:p - 1] as before from o, range(1, 6) as x(p) where length(o) = 5),
+j as (select part, filter_order, step, f,
+        sum(case when fails = '' or length(translate(fails, before || f, '')) = length(fails) then n else 0 end) as kept,
+        sum(case when contains(fails, f) and length(translate(fails, before, '')) = length(fails) then n else 0 end) as removed,
+        sum(case when contains(fails, f) and length(translate(fails, before, '')) < length(fails) then n else 0 end) as redundant,
+        sum(case when fails = f then n else 0 end) as unique_fails,
+        sum(case when contains(fails, f) and length(translate(fails, before, '')) = length(fails) then good else 0 end) as good_lost,
+        sum(case when contains(fails, f) and length(translate(fails, before, '')) = length(fails) then toxic else 0 end) as toxic_lost
+      from c, s group by all)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, f) as bigint) as shapley from j
+"""
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    held = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return merkle.manifest(documents, held=held, with_paths=False)
+
+
+_FIELD = "coalesce(cast(strlen(cast({0} as varchar)) as varchar) || ':' || cast({0} as varchar), '-')"
+_ROW = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text"))
+
+OP13_SQL = f"""
+with recursive crc as (select list(v order by i) as crcs from (select i, list_reduce([i] || range(8), lambda c, k: xor(c >> 1, case when c % 2 = 1 then 3988292384 else 0 end)) as v from range(256) as x(i))),
+h as (select *, list_reduce([4294967295] || list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint)), lambda c, b: xor(c >> 8, crcs[xor(c, b) % 256 + 1])) as c from documents, crc),
+l as (select row_number() over () as r, doc_id, lang, sha256({_ROW.format("n_chars")}) as leaf, sha256({_ROW.format("case when xor(c, 4294967295) % 7 = 0 then n_chars + 1 else n_chars end")}) as held from h),
+p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from l),
+u as (select lang, 0 as level, pos as i, leaf as d, n from p
+  union all select lang, level + 1, i // 2, sha256(string_agg(d, '' order by i)), (n + 1) // 2 from u where n > 1 group by lang, level, i // 2, n),
+q as (select lang, d, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n, level from u where n = 1),
+v as (select 0 as level, pos as i, d, n from q
+  union all select level + 1, i // 2, sha256(string_agg(d, '' order by i)), (n + 1) // 2 from v where n > 1 group by level, i // 2, n),
+s as (select p.r, u.level, p.pos >> u.level as own, u.i, u.d from p join u on p.lang is not distinct from u.lang and u.i // 2 = p.pos >> (u.level + 1) and u.n > 1
+  union all select p.r, q.level + v.level, q.pos >> v.level, v.i, v.d from p join q on p.lang is not distinct from q.lang join v on v.i // 2 = q.pos >> (v.level + 1) and v.n > 1),
+k as (select r, level, coalesce(max(d) filter (i < own), '') as before, coalesce(max(d) filter (i > own), '') as after from s group by r, level),
+f as (select r, 0 as level, held as d from p
+  union all select f.r, f.level + 1, sha256(before || d || after) from f join k on f.r = k.r and f.level = k.level),
+o as (select r, string_agg(before || after, '' order by level) as proof from k group by r)
+select p.doc_id, p.leaf, q.d as subroot, v.d as root, sha256(coalesce(proof, '')) as proof_sha256, g.d as folded_root, g.d = v.d as verified
+from p join q on p.lang is not distinct from q.lang join v on v.n = 1 left join o on o.r = p.r join (select r, max_by(d, level) as d from f group by r) g on g.r = p.r
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -184,8 +252,14 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_pii": op10_pii,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_sentencepiece": op12_sentencepiece,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {
+        "op4_decontamination": OP4_SQL, "op5_ngram_jaccard": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL,
+        "op11_filter_audit": OP11_SQL, "op13_merkle": OP13_SQL,
+    }
