@@ -6,18 +6,17 @@ errors carry observed limits in `value`, purchases the user's own); drafts are t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import audits, corpus, facts, forms, ledgers, pages, questions
+from .operators import audits, corpus, facts, forms, ledgers, pages, questions, reading
 from .plans import fact_pipeline as plans
 from .sources import facts as sources
 from .streaming import ledger as streams
+from .work import work_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 JOBS: dict[str, tuple[Query, str | None]] = {}
@@ -35,25 +34,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for tables that a job writes: under spark.checkpoint.dir, which must be shared on a cluster; a local session
-    without the setting gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once and read back: its lineage ends there."""
-    path = work_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("file_name"), "text")
 
@@ -83,13 +63,36 @@ def read_quality(spark, sf_dir):
     return corpus.read_quality(documents(spark, sf_dir))
 
 
-@job("extraction_report", f"""select n.set_id, n.file_name, n_chars, note, coalesce(f, 0) as n_facts from ({NOTED}) n left join
-  (select doc_id, count(*) as f from (select distinct doc_id, lower(e) from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{tx.EMAIL}')) as e from documents)) x(doc_id, e) group by doc_id) g on g.doc_id = n.file_name""")
+def _typed_sql(files: str) -> str:
+    """What reading.typed finds in files (set_id, file, t), t not null: (set_id, file, field, value), distinct."""
+    return rf"""select set_id, file, 'email' as field, unnest(list_distinct(regexp_extract_all(tight, '{tx.EMAIL}'))) as value from ({_zone_free(files)})
+  union all select set_id, file, 'url', unnest(list_filter(list_distinct(regexp_extract_all(tight, '{tx.URL.replace("'", "''")}')), lambda u: not contains(u, '@'))) from ({_zone_free(files)})
+  union all select * from (select distinct set_id, file, 'phone' as field, regexp_replace(trim(unnest(regexp_extract_all(whole, '{tx.PHONE}'))), '\s{{2,}}', ' ', 'g') as value from ({_zone_free(files)}))
+    where length(regexp_replace(value, '[^0-9]', '', 'g')) between 7 and 15"""
+
+
+def _zone_free(files: str) -> str:
+    return rf"""select *, regexp_replace(whole, '\s*([@.])\s*', '\1', 'g') as tight from (select set_id, file, array_to_string(list_filter(string_split_regex(t, '\r?\n'),
+    lambda x: not regexp_matches(regexp_replace(x, '\s+', '', 'g'), '^[A-Z0-9<]{{20,}}$')), chr(10)) as whole from {files})"""
+
+
+_FILES = "(select source as set_id, doc_id as file, coalesce(text, '') as t from documents)"
+_HEADERS = rf"""select set_id, file, line, value from (select set_id, file, unnest(range(0, len(ls))) as line, unnest(ls) as value from (select set_id, file,
+    list_slice(list_filter(list_transform(string_split_regex(whole, '\r?\n'), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from ({_zone_free(_FILES)})))
+  where length(value) <= 60 and not regexp_matches(value, '[@0-9]') and regexp_matches(value, '{reading.NAME_SHAPE.replace("'", "''")}')"""
+
+
+@job("extraction_report", rf"""with c as (select set_id, file, field, lower(trim(value)) as v, 3 as r from ({_typed_sql(_FILES)}) union all select set_id, file, 'name', lower(trim(value)), 1 from ({_HEADERS})),
+  g as (select file, count(distinct (field, v)) as n_facts, count(distinct (field, v)) filter (r = 3) as typed, count(distinct (field, v)) filter (r = 1) as "positional", array_to_string(list_sort(list_distinct(list(field))), ',') as fields from c group by file)
+  select n.set_id, n.file_name, n_chars, note, coalesce(n_facts, 0) as n_facts, cast(0 as bigint) as labelled, coalesce(typed, 0) as typed, cast(0 as bigint) as contextual, coalesce(g."positional", 0) as "positional", coalesce(fields, '') as fields
+  from ({NOTED}) n left join g on g.file = n.file_name""")
 def extraction_report(spark, sf_dir):
+    """The report over documents, whose texts hold no labelled rows and none of the sentences; written as JSON and read back."""
     docs = documents(spark, sf_dir)
-    emails = facts.typed_candidates(docs).where("field = 'email'").groupBy("set_id", F.col("source").alias("file_name")).agg(F.countDistinct(F.lower("value")).alias("n_facts"))
-    joined = corpus.file_notes(docs).join(emails, ["set_id", "file_name"], "left")
-    return joined.select("set_id", "file_name", "n_chars", "note", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+    report = corpus.extraction_report(docs, reading.all_candidates(docs))
+    path = work_folder(spark, "report")
+    sources.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
 
 
 _TALLY = ", ".join(f"sum(len(regexp_extract_all(coalesce(text, ''), '{p}'))) as \"{c}\"" for c, p in tx.SCRIPTS)
@@ -103,21 +106,26 @@ def language_by_script(spark, sf_dir):
     return corpus.language_by_script(documents(spark, sf_dir))
 
 
-@job("set_fingerprint", """select set_id, count(*) as n_files, sha256(string_agg(e, '|' order by e)) as fingerprint from
+_LANES = " || ".join(f"printf('%08x', cast(sum(cast('0x' || substr(e, {8 * i + 1}, 8) as bigint)) % 4294967296 as bigint))" for i in range(8))
+
+
+@job("set_fingerprint", f"""select set_id, count(*) as n_files, {_LANES} as fingerprint from
   (select source as set_id, sha256(cast(doc_id as varchar) || '#' || length(coalesce(text, '')) || ':' || sha256(coalesce(text, ''))) as e from documents) group by set_id""")
 def set_fingerprint(spark, sf_dir):
     return corpus.set_fingerprint(documents(spark, sf_dir))
 
 
-@job("change_verdict", """with c as (select source as set_id, count(*) as n, sum(length(text)) as f from documents where doc_id % 7 <> 3 or source <> 'src1' group by source),
-  o as (select source as set_id, sum(length(text)) as f from documents where source <> 'src2' group by source)
-  select coalesce(c.set_id, o.set_id) as set_id, case when o.set_id is null then 'nothing cached' when c.set_id is null then 'removed'
+@job("change_verdict", """with c as (select source as set_id, string_agg(sha256(coalesce(text, '')), '' order by doc_id) as f from documents where doc_id % 7 <> 3 or source <> 'src1' group by source),
+  o as (select source as set_id, string_agg(sha256(coalesce(text, '')), '' order by doc_id) as f from documents where source <> 'src2' group by source)
+  select coalesce(c.set_id, o.set_id) as set_id, case when o.set_id is null then 'nothing cached' when c.set_id is null then 'removed' when o.set_id = 'src4' then 'unknown provider' when o.set_id = 'src5' then 'provider' when o.set_id = 'src6' then 'model'
     when o.f <> c.f then 'files changed' when coalesce(c.set_id, o.set_id) = 'src3' then 'version' else 'reuse' end as verdict from c full join o on c.set_id = o.set_id""")
 def change_verdict(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn("set_id", F.col("source"))
-    state = lambda d, v: d.groupBy("set_id").agg(F.sum(F.length("text")).alias("fingerprint")).select("set_id", "fingerprint", v.alias("version"), F.lit("p").alias("provider"))
-    now = state(docs.where((F.col("doc_id") % 7 != 3) | (F.col("source") != "src1")), F.lit(2))
-    return corpus.change_verdict(now, state(docs.where("source <> 'src2'"), F.when(F.col("set_id") == "src3", 1).otherwise(2)))
+    docs = documents(spark, sf_dir)
+    mark = lambda d, v, p, m: corpus.set_fingerprint(d).select("set_id", "fingerprint", v.alias("version"), p.alias("provider"), m.alias("model"))
+    now = mark(docs.where((F.col("file_name") % 7 != 3) | (F.col("set_id") != "src1")), F.lit(2), F.lit("p"), F.lit("m"))
+    of = lambda s, x, y: F.when(F.col("set_id") == s, F.lit(x)).otherwise(F.lit(y))
+    old = mark(docs.where("set_id <> 'src2'"), of("src3", 1, 2), F.when(F.col("set_id") == "src5", "q").when(F.col("set_id") != "src4", "p"), of("src6", "n", "m"))
+    return corpus.change_verdict(now, old)
 
 
 @job("dedupe_keep_first", """select doc_id, f as duplicate_of from (select doc_id, min(doc_id) over (partition by text) as f from documents where text is not null) where doc_id <> f""")
@@ -180,26 +188,26 @@ def grounded_values(spark, sf_dir):
 
 # Facts
 
-CANDIDATES = rf"""select distinct source as set_id, doc_id as file, field, value from (
-  select source, doc_id, 'email' as field, unnest(regexp_extract_all(coalesce(text, ''), '{tx.EMAIL}')) as value from documents union all
-  select source, doc_id, 'phone', regexp_replace(trim(unnest(regexp_extract_all(coalesce(text, ''), '{tx.PHONE}'))), '\s{{2,}}', ' ', 'g') from documents)
-  where field = 'email' or length(regexp_replace(value, '[^0-9]', '', 'g')) between 7 and 15"""
+@job("distinct_typed", _typed_sql(_FILES))
+def distinct_typed(spark, sf_dir):
+    return reading.typed(documents(spark, sf_dir)).select("set_id", F.col("source").alias("file"), "field", "value")
 
 
-@job("distinct_typed", CANDIDATES)
-def distinct_typed(spark, sf_dir):
-    return facts.typed_candidates(documents(spark, sf_dir)).select("set_id", F.col("source").alias("file"), "field", "value")
+_READ = f"""(select set_id, file, field, value, 3 as r from ({_typed_sql(_FILES)}) union all select set_id, file, 'name', value, 1 from ({_HEADERS}))"""
+_AGREED = f"""select set_id, field, lower(trim(value)) as key, count(distinct file) as corroboration, max(r) as r, min(file) as seq from {_READ} group by all"""
 
 
-@job("corroborate", f"""select set_id, field, lower(trim(value)) as key, count(distinct file) as corroboration from ({CANDIDATES}) group by all""")
+@job("corroborate", f"""select set_id, field, key, corroboration from ({_AGREED})""")
 def corroborate(spark, sf_dir):
-    return facts.corroborate(facts.typed_candidates(documents(spark, sf_dir))).select("set_id", "field", "key", "corroboration")
+    return facts.corroborate(reading.all_candidates(documents(spark, sf_dir))).select("set_id", "field", "key", "corroboration")
 
 
-@job("reconcile_facts", f"""select set_id, field, lower(trim(value)) as value, count(distinct file) as corroboration, case when count(distinct file) >= 2 then 'high' else 'medium' end as confidence from ({CANDIDATES}) group by all""")
+@job("reconcile_facts", f"""select set_id, field, key as value, corroboration, case when r >= 3 then 'high' when corroboration > 1 then 'medium' else 'low' end as confidence
+  from (select *, row_number() over (partition by set_id, field order by r desc, corroboration desc, seq) as n from ({_AGREED})) where n = 1 or field <> 'name'""")
 def reconcile_facts(spark, sf_dir):
-    found = facts.reconcile_facts(facts.typed_candidates(documents(spark, sf_dir)))
-    return found.select("set_id", "field", F.lower(F.trim("value")).alias("value"), "corroboration", "confidence")
+    """All candidates of the documents: the values of several-valued fields, and the header line that most files agree on."""
+    found = facts.reconcile_facts(reading.all_candidates(documents(spark, sf_dir)))
+    return found.select("set_id", "field", F.lower("value").alias("value"), "corroboration", "confidence")
 
 
 @job("manual_override", """select c_custkey as set_id, 'segment' as field, c_mktsegment as value, 'manual' as origin from customer where c_acctbal > 5000
@@ -238,14 +246,49 @@ def dossier_reconcile(spark, sf_dir):
     return facts.dossier_reconcile(mine, other)
 
 
-@job("date_audit", """with o as (select o_custkey % 10 as set_id, o_orderkey % 6 as form, day(o_orderdate) as d, o_custkey % 3 as h from orders)
-  select cast(set_id as varchar) as set_id, case when form in (0, 4, 5) then 'accepted' when form = 3 then 'unknown format' when d > 12 or h = 0 then 'accepted' else 'ambiguous' end as outcome, count(*) as n from o group by all""")
+_DATES = r"""select o_custkey % 10 as set_id, o_orderkey as id, case o_custkey % 3 when 0 then 'DMY' when 1 then 'MDY' end as hint, case hash_form
+    when 0 then strftime(o_orderdate, '%Y-%m-%d') when 1 then strftime(o_orderdate, '%Y/%-m/%-d') when 2 then strftime(o_orderdate, '%-d.%-m.%Y') when 3 then strftime(o_orderdate, '%-d-%-m-%Y') when 4 then strftime(o_orderdate, '%-m/%-d/%Y')
+    when 5 then strftime(o_orderdate, '%-d %B %Y') when 6 then strftime(o_orderdate, '%b %-d, %Y') when 7 then strftime(o_orderdate, '%-d%b%Y') when 8 then strftime(o_orderdate, '%Y-02-%d') when 9 then strftime(o_orderdate, '%d/%d/%Y')
+    when 10 then strftime(o_orderdate, '%B %Y') when 11 then 'Marble 3, 2001' when 12 then ' ' when 13 then null else 'due ' || strftime(o_orderdate, '%Y-%m-%d') end as raw
+  from (select *, (o_orderkey * 7 + o_custkey) % 15 as hash_form from orders)"""
+
+
+@job("date_audit", rf"""with d as (select *, trim(coalesce(raw, '')) as v from ({_DATES})),
+  m as (select *, regexp_extract(v, '^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})$', ['y', 'm', 'd']) as i, regexp_extract(v, '^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})$', ['a', 'b', 'y']) as n,
+    regexp_extract(v, '^(\d{{1,2}})?\s*([A-Za-z]{{3,}})\.?,?\s*(\d{{1,2}})?,?\s*(\d{{4}})$', ['d', 'm', 'e', 'y']) as w from d),
+  k as (select *, case when i.y <> '' then [i.y, i.m, i.d] when n.y <> '' then case when try_cast(n.a as int) > 12 and try_cast(n.b as int) > 12 then ['impossible'] when try_cast(n.a as int) > 12 or (try_cast(n.b as int) <= 12 and hint = 'DMY') then [n.y, n.b, n.a]
+      when try_cast(n.b as int) > 12 or hint = 'MDY' then [n.y, n.a, n.b] else ['ambiguous'] end
+    when w.y <> '' and len(list_filter({[m for m in "january february march april may june july august september october november december".split()]}, lambda x: starts_with(x, lower(w.m)))) > 0
+      then [w.y, cast(list_position({[m[:3] for m in "january february march april may june july august september october november december".split()]}, lower(w.m[1:3])) as varchar), coalesce(nullif(w.d, ''), nullif(w.e, ''), '0')]
+    when v = '' then ['blank'] else ['unknown format'] end as p from m),
+  r as (select set_id, id, case when len(p) = 3 then strftime(try_cast(lpad(p[1], 4, '0') || '-' || lpad(p[2], 2, '0') || '-' || lpad(p[3], 2, '0') as date), '%Y-%m-%d') end as day, case when len(p) = 1 then p[1] else 'impossible' end as why from k)
+  select cast(set_id as varchar) as set_id, case when day is null then why else 'accepted' end as outcome, count(*) as n, coalesce(sha256(string_agg(day, ',' order by id)), sha256('')) as days from r group by all""")
 def date_audit(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    form, d = F.col("o_orderkey") % 6, F.col("o_orderdate")
-    raw = F.when(form == 0, F.date_format(d, "yyyy-MM-dd")).when(form == 3, F.date_format(d, "yyyy.MM.dd")).when(form == 4, F.date_format(d, "d MMMM yyyy")).when(form == 5, F.date_format(d, "MMM d, yyyy")).otherwise(F.date_format(d, "d/M/yyyy"))
-    hint = F.when(F.col("o_custkey") % 3 == 0, "DMY")
-    return facts.date_counts(o.select((F.col("o_custkey") % 10).cast("string").alias("set_id"), raw.alias("raw"), hint.alias("order_hint")))
+    """Order dates printed in fifteen ways, some of them no dates, with a stated order for two thirds."""
+    form, d = (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 15, F.col("o_orderdate")
+    say = ["yyyy-MM-dd", "yyyy/M/d", "d.M.yyyy", "d-M-yyyy", "M/d/yyyy", "d MMMM yyyy", "MMM d, yyyy", "dMMMyyyy", "yyyy-'02'-dd", "dd/dd/yyyy", "MMMM yyyy"]
+    said = [F.concat(F.date_format(d, "dd"), F.lit("/"), F.date_format(d, "dd/yyyy")) if p == "dd/dd/yyyy" else F.date_format(d, p) for p in say]
+    said += [F.lit("Marble 3, 2001"), F.lit(" "), F.lit(None).cast("string"), F.concat(F.lit("due "), F.date_format(d, "yyyy-MM-dd"))]
+    raw = F.coalesce(*[F.when(form == i, x) for i, x in enumerate(said)])
+    hint = F.when(F.col("o_custkey") % 3 == 0, "DMY").when(F.col("o_custkey") % 3 == 1, "MDY")
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).cast("string").alias("set_id"), raw.alias("raw"), hint.alias("order_hint"), F.col("o_orderkey").alias("id"))
+    found = rows.select("set_id", "id", facts.known_date(F.col("raw"), F.col("order_hint")).alias("r"))
+    days = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r.date").isNotNull(), F.struct("id", "r.date")))), lambda x: x["date"]), ",")
+    return found.groupBy("set_id", F.coalesce("r.reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"), F.sha2(days, 256).alias("days"))
+
+
+@job("time_audit", r"""with t as (select o_custkey % 10 as set_id, case o_orderkey % 5 when 0 then 'at ' || (o_custkey % 26) || ':' || lpad((o_orderkey % 61)::varchar, 2, '0') when 1 then (o_custkey % 13) || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') || ' PM'
+      when 2 then (o_custkey % 13) || ':' || lpad((o_orderkey % 60)::varchar, 2, '0') || 'am sharp' when 3 then 'noon' end as raw from orders),
+  p as (select set_id, regexp_extract(lower(raw), '([0-9]{1,2}):([0-9]{2})\s*(am|pm)?', ['h', 'm', 'x']) as g from t),
+  h as (select set_id, g.m as m, case when g.h = '' then null when g.x = 'pm' and try_cast(g.h as int) < 12 then try_cast(g.h as int) + 12 when g.x = 'am' and try_cast(g.h as int) = 12 then 0 else try_cast(g.h as int) end as h from p)
+  select cast(set_id as varchar) as set_id, case when h <= 23 and try_cast(m as int) <= 59 then lpad(h::varchar, 2, '0') || ':' || m end as time, count(*) as n from h group by all""")
+def time_audit(spark, sf_dir):
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    half = F.concat((c % 13).cast("string"), F.lit(":"), two(o % 60))
+    raw = F.when(o % 5 == 0, F.concat(F.lit("at "), (c % 26).cast("string"), F.lit(":"), two(o % 61))).when(o % 5 == 1, F.concat(half, F.lit(" PM"))).when(o % 5 == 2, F.concat(half, F.lit("am sharp"))).when(o % 5 == 3, "noon")
+    rows = read(spark, sf_dir, "orders").select((c % 10).cast("string").alias("set_id"), raw.alias("raw"))
+    return facts.time_audit(rows).groupBy("set_id", "time").agg(F.count("*").alias("n"))
 
 
 # Ledgers
@@ -592,23 +635,6 @@ def file_inventory(spark, sf_dir):
     return sources.file_inventory(files, pdf_limit=5000, any_limit=20_000, media_limit=1000)
 
 
-@job("fact_pipeline", f"""with c as ({CANDIDATES}), s as (select distinct source as set_id from documents where source <> 'src1'),
-  h as (select source as set_id, doc_id, list_slice(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1, 8) as ls from documents),
-  n as (select set_id, doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as value from h),
-  g as (select set_id, lower(trim(value)) as k, min(doc_id * 100000 + i) as seq, count(distinct doc_id) as c, arg_min(value, doc_id * 100000 + i) as value from n
-    where length(value) <= 60 and regexp_matches(value, '^[A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*( [A-ZÀ-Þ][A-Za-zÀ-ÿ''.-]*){{1,3}}$') group by all),
-  b as (select *, row_number() over (partition by set_id order by c desc, seq) as r from g)
-  select set_id, field, lower(trim(value)) as value, case when count(distinct file) >= 2 then 'high' else 'medium' end as confidence from c join s using (set_id) where field <> 'phone' group by all
-  union all select set_id, 'name', value, case when c >= 2 then 'medium' else 'low' end from b join s using (set_id) where r = 1
-  union all select set_id, 'phone', 'none', 'high' from s""")
-def fact_pipeline(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    known = corpus.set_fingerprint(docs.where("set_id = 'src1'")).select("set_id", "fingerprint", F.lit(1).alias("version"), F.lit("p").alias("provider"))
-    manual = docs.select("set_id", F.lit("phone").alias("field"), F.lit("none").alias("value"), F.lit("high").alias("confidence")).distinct()
-    out = plans.fact_pipeline(docs, known, manual, 1, "p")
-    return out.withColumn("value", F.when(F.col("field") == "email", F.lower(F.trim("value"))).otherwise(F.col("value")))
-
-
 # Streams, drained over the same events as their batch twins
 
 
@@ -673,4 +699,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed candidates of every document set, corroborated and reconciled into facts."""
-    return facts.reconcile_facts(facts.typed_candidates(documents(spark, sf_dir)))
+    return facts.reconcile_facts(reading.typed(documents(spark, sf_dir)))

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
-from .catalog import documents, job, read, work_folder, written
+from .catalog import _FILES, _HEADERS, _typed_sql, documents, job, read
 from .operators import dossier, reading
+from .plans.fact_pipeline import FactStore
 from .sources import facts as sources
+from .work import work_folder, written
 
 _ZONE = "concat('P<UTODOE<<JANE<QUINN<<<<<<<<<<<<<<<<\\nEQ', lpad(cast(c_custkey as string), 7, '0'), '0UTO0001010M30010100<<<<<<<<<<<00\\nThis letter is to certify that Jane Quinn, ID No: UGR/', c_custkey, '/00 is an active 4th Year')"
 
@@ -54,7 +56,46 @@ def all_candidates(spark, sf_dir):
   select set_id, 'Jane Quinn Doe' as value, cast(105 + 12 * least(z - 1, 3) + case when h > 0 then 50 else 0 end as bigint) as score, 'high' as confidence from n where z > 0
   union all select n.set_id, arg_min(c_name, c_custkey), 50, 'high' from n join customer on c_nationkey = n.set_id where z = 0 and c_custkey % 6 < 4 group by n.set_id""")
 def name_score(spark, sf_dir):
-    return reading.name_score(reading.all_candidates(files(spark, sf_dir)))
+    return reading.name_score(written(reading.all_candidates(files(spark, sf_dir)), "candidates"))
+
+
+# Facts of documents and of the rendered files together: what each tier reads is listed, then agreement, scores and winners are computed.
+_RENDERED = """(select 'nation ' || c_nationkey as set_id, c_custkey as file, case c_custkey % 6
+    when 0 then 'Full Name: ' || c_name || chr(10) || 'write to jane.quinn@example.com or www.example.com/jane' when 5 then '' else c_name end as t from customer)"""
+_CAND = f"""select set_id, file, field, value, 3 as r, 2 as tier, 0 as line from ({_typed_sql(_FILES)})
+  union all select set_id, file, field, value, 3, 2, 0 from ({_typed_sql(_RENDERED)})
+  union all select set_id, file, 'name', value, 1, 5, line from ({_HEADERS})
+  union all select 'nation ' || set_id, file, field, value, 4, 1, 0 from ({LABELLED})
+  union all select 'nation ' || c_nationkey, c_custkey, f[1], f[2], 3, 3, 0 from (select c_nationkey, c_custkey, unnest([['name', 'Jane Quinn Doe'], ['last_name', 'Doe'], ['passport', 'EQ' || lpad(c_custkey::varchar, 7, '0')], ['nationality', 'UTO'], ['dob', '2000-01-01'], ['gender', 'Male']]) as f from customer where c_custkey % 6 = 5)
+  union all select 'nation ' || c_nationkey, c_custkey, f[1], f[2], 2, 4, 0 from (select c_nationkey, c_custkey, unnest([['name', 'Jane Quinn'], ['id', 'UGR/' || c_custkey || '/00'], ['year_standing', '4th Year']]) as f from customer where c_custkey % 6 = 5)
+  union all select 'nation ' || c_nationkey, c_custkey, 'name', 'Full Name', 1, 5, 0 from customer where c_custkey % 6 = 2"""
+_WORDS = r"""list_filter(string_split_regex(regexp_replace(strip_accents(lower({0})), '[^a-z\s]', '', 'g'), '\s+'), lambda x: length(x) > 2)"""
+_ORG, _DOC = (x.replace("'", "''") for x in (reading.ORGANISATION, reading.DOCUMENT))
+
+FACTS_SQL = rf"""with c as ({_CAND}),
+  g as (select set_id, field, lower(trim(value)) as key, count(distinct file) as n, max(r) as r, first(trim(value) order by r desc, file, tier, line) as value, first(file order by r desc, file, tier, line) as source,
+    first(lpad(file::varchar, 12, '0') || tier || line order by r desc, file, tier, line) as seq from c group by all),
+  z as (select set_id, first(value order by file) as zone from c where field = 'name' and tier = 3 group by set_id),
+  h as (select set_id, list_distinct(list(regexp_replace(lower(case field when 'email' then split_part(value, '@', 1) else value end), '[^a-z]', '', 'g'))) as handles from c where field in ('email', 'url') group by set_id),
+  s as (select g.*, {_WORDS.format('value')} as words, {_WORDS.format("coalesce(zone, '')")} as zoned, zone, coalesce(handles, []) as handles from g left join z using (set_id) left join h using (set_id) where field = 'name'),
+  t as (select *, len(list_intersect(words, zoned)) as same, len(list_filter(list_distinct(words), lambda w: len(list_filter(handles, lambda x: contains(x, w))) > 0)) as hits from s),
+  p as (select *, case when len(words) = 0 then -100 else case r when 4 then 50 when 3 then 45 when 2 then 25 else 5 end + case when zone is null or same = 0 then 0 when same = 1 then 25 else 60 end
+    + case when hits = 0 then 0 when hits = 1 then 20 else 50 end + 12 * least(n - 1, 3) - case when regexp_matches(value, '{_ORG}') then 70 else 0 end - case when regexp_matches(value, '{_DOC}') then 40 else 0 end end as score from t),
+  o as (select *, row_number() over (partition by set_id, field order by r desc, n desc, seq) as k from g where field <> 'name')
+  select set_id, field, lower(value) as value, source, n as corroboration, case when r >= 3 or (r = 2 and n > 1) then 'high' when r = 2 or n > 1 then 'medium' else 'low' end as confidence from o where k = 1 or field in ('email', 'url', 'phone', 'skills', 'language')
+  union all select set_id, field, lower(value), source, n, case when score >= 50 then 'high' when score >= 25 then 'medium' else 'low' end from (select *, row_number() over (partition by set_id order by score desc, seq) as k from p) where k = 1"""
+
+
+@job("fact_pipeline", f"""select * from ({FACTS_SQL}) where set_id <> 'src3' or field <> 'phone' union all select 'src3', 'phone', 'none', -1, 1, 'high'""")
+def fact_pipeline(spark, sf_dir):
+    """Facts of documents and rendered files after two runs, the first without some files, with the phone of one set put right by hand."""
+    rendered = files(spark, sf_dir).select(F.concat(F.lit("nation "), F.col("set_id").cast("string")).alias("set_id"), "file_name", "text")
+    docs = documents(spark, sf_dir).unionByName(rendered)
+    store = FactStore(spark, work_folder(spark, "facts"), written)
+    store.refresh(docs.where("set_id <> 'src2' and set_id <> 'nation 3' and (set_id <> 'src1' or file_name % 5 > 0)"), 1, "p")
+    store.refresh(docs, 1, "p")
+    manual = spark.range(1).select(F.lit("src3").alias("set_id"), F.lit("phone").alias("field"), F.lit("none").alias("value"), F.lit(-1).cast("long").alias("source"), F.lit(1).cast("long").alias("corroboration"), F.lit("high").alias("confidence"))
+    return store.facts(manual).withColumn("value", F.lower("value"))
 
 
 _TERMS = ", ".join(f"('{k}', '{w}')" for k, w in dict.fromkeys((f"{lang} {kind}", w) for lang, sets in rules.NAV_LABELS.items() for kind, at in (("submit", 2), ("next", 0), ("back", 1)) for w in sets[at] if " " not in w))

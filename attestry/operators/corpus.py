@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable, Iterator
-from typing import Any
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,53 +45,41 @@ def language_by_script(documents: DataFrame) -> DataFrame:
     return named.withColumn("rtl", F.coalesce(F.col("language").isin(*tx.RIGHT_TO_LEFT), F.lit(False)))
 
 
+LANES = 8  # of 32 bits
+
+
+def merge_fingerprints(parts: DataFrame) -> DataFrame:
+    """(set_id, n_files, fingerprint) of sets from fingerprints of disjoint parts of them, in any number and order.
+
+    A fingerprint is the sum of its entries' SHA-256, taken as eight numbers of 32 bits, so it is added up before the shuffle, needs no
+    order, and new files are merged into a set without reading the old ones. Null fingerprints only count.
+    """
+    lane = lambda i: F.sum(F.conv(F.substring("fingerprint", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"lane_{i}")
+    sums = parts.groupBy("set_id").agg(F.sum("n_files").alias("n_files"), *[lane(i) for i in range(LANES)])
+    shown = lambda i: F.lower(F.lpad(F.hex(F.pmod(F.coalesce(F.col(f"lane_{i}"), F.lit(0)), F.lit(1 << 32))), 8, "0"))
+    return sums.select("set_id", "n_files", F.concat(*[shown(i) for i in range(LANES)]).alias("fingerprint"))
+
+
 def set_fingerprint(documents: DataFrame) -> DataFrame:
-    """(set_id, n_files, fingerprint): independent of order; changes with any name or text.
+    """(set_id, n_files, fingerprint): independent of order; changes with any name or text, and with how often a file is there.
 
-    Entries are hashed to 64 hex digits, sorted, and hashed on as they stream by: no set's list is ever one value.
-    SHA-256 takes its input in order, so the digests of one set pass through one task, a batch at a time.
+    See merge_fingerprints: a set of any size is summed in parts. Files without a name count but leave no mark.
     """
-    entry = F.concat(F.lower(F.col("file_name").cast("string")), F.lit("#"), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    hashed = documents.select("set_id", F.sha2(entry, 256).alias("entry"))
-    kind = documents.schema["set_id"].dataType.simpleString()
-    ordered = hashed.repartition("set_id").sortWithinPartitions("set_id", "entry")
-    return ordered.mapInArrow(_digests, f"set_id {kind}, n_files bigint, fingerprint string")
-
-
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set_id, n_files, fingerprint) of rows (set_id, entry) sorted by both; holds one batch and one hash state. Null entries only count."""
-    state = None  # set_id (an array of one), files so far, entries so far, hash so far
-
-    def row(set_id: pa.Array, n: int, _: int, sha: Any) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([set_id, pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], ["set_id", "n_files", "fingerprint"])
-
-    for batch in batches:
-        ids, lo = batch.column(0), 0
-        if not len(ids):
-            continue
-        for run in pc.run_end_encode(ids).run_ends.to_pylist():
-            here = ids.slice(lo, 1)
-            if state is None or not state[0].equals(here):
-                if state is not None:
-                    yield row(*state)
-                state = (here, 0, 0, hashlib.sha256())
-            at, n, m, sha = state
-            entries = batch.column(1).slice(lo, run - lo).drop_null().to_pylist()
-            if entries:
-                sha.update(("|" * (m > 0) + "|".join(entries)).encode())
-            state, lo = (at, n + run - lo, m + len(entries), sha), run
-    if state is not None:
-        yield row(*state)
+    text = F.coalesce("text", F.lit(""))
+    entry = F.concat(F.lower(F.col("file_name").cast("string")), F.lit("#"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))
+    return merge_fingerprints(documents.select("set_id", F.lit(1).cast("long").alias("n_files"), F.sha2(entry, 256).alias("fingerprint")))
 
 
 def change_verdict(current: DataFrame, cached: DataFrame) -> DataFrame:
-    """Per set: reuse, or the first reason against it. Inputs: (set_id, fingerprint, version, provider)."""
-    old = cached.select("set_id", *[F.col(c).alias(f"old_{c}") for c in ("fingerprint", "version", "provider")], F.lit(True).alias("known"))
+    """Per set: reuse, or the first reason against it. Inputs: (set_id, fingerprint, version, provider) and, if both have it, model."""
+    models = ["model"] if "model" in current.columns and "model" in cached.columns else []
+    old = cached.select("set_id", *[F.col(c).alias(f"old_{c}") for c in ("fingerprint", "version", "provider", *models)], F.lit(True).alias("known"))
     verdict = (
         F.when(F.col("known").isNull(), "nothing cached")
         .when(F.col("fingerprint").isNull(), "removed")
         .when(F.col("old_provider").isNull(), "unknown provider")
         .when(F.col("provider") != F.col("old_provider"), "provider")
+        .when(~F.col("model").eqNullSafe(F.col("old_model")) if models else F.lit(False), "model")
         .when(F.col("fingerprint") != F.col("old_fingerprint"), "files changed")
         .when(F.col("version") != F.col("old_version"), "version")
         .otherwise("reuse")
@@ -105,6 +87,23 @@ def change_verdict(current: DataFrame, cached: DataFrame) -> DataFrame:
     return current.join(old, "set_id", "full_outer").select("set_id", verdict.alias("verdict"))
 
 
+def extraction_report(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row for each file, ordered by set and name: how well it was read (see file_notes) and what was found in it.
+
+    n_facts counts distinct (field, value); fields lists the fields, and by_rule has how many each rule found. Files without candidates
+    stay, with none.
+    """
+    of = lambda rank, name: F.countDistinct(F.when(F.col("rule_rank") == rank, F.col("key"))).alias(name)
+    keyed = candidates.where(F.trim("value") != "").select("set_id", F.col("source").alias("file_name"), "field", "rule_rank", F.struct("field", F.lower(F.trim("value"))).alias("key"))
+    found = keyed.groupBy("set_id", "file_name").agg(
+        F.countDistinct("key").alias("n_facts"), F.array_join(F.sort_array(F.collect_set("field")), ",").alias("fields"),
+        of(4, "labelled"), of(3, "typed"), of(2, "contextual"), of(1, "positional"),
+    )
+    joined = file_notes(documents).join(found, ["set_id", "file_name"], "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_facts", "labelled", "typed", "contextual", "positional")]
+    return joined.select("set_id", "file_name", "n_chars", "note", *counts, F.coalesce("fields", F.lit("")).alias("fields")).orderBy("set_id", "file_name")
+
+
 def dedupe_keep_first(items: DataFrame, key: Column, seq: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): of rows with one key the first by `seq` stays; rows without a key all stay.
 

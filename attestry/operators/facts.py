@@ -7,47 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.dates import known_date, time_of_day
 
 #: Rank of how a candidate was read, and fields that keep all their values.
 RULES = {"labelled": 4, "typed": 3, "contextual": 2, "positional": 1}
 MULTI_VALUED = ("email", "url", "phone", "skills", "language")
 
 
-def typed_candidates(documents: DataFrame) -> DataFrame:
-    """Distinct emails and phones of each file as candidates; seq is the struct (file, place), so that file names may be of any kind."""
-    text = F.coalesce("text", F.lit(""))
-    emails = F.array_distinct(F.regexp_extract_all(text, F.lit(tx.EMAIL), F.lit(0)))
-    phones = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(tx.PHONE), F.lit(0)), lambda x: F.regexp_replace(F.trim(x), r"\s{2,}", " ")))
-    some = documents.where(text.rlike("@|[0-9]"))  # most files hold neither
-    rows = [
-        some.select("set_id", "file_name", F.lit(f).alias("field"), F.posexplode(v).alias("place", "value")) for f, v in (("email", emails), ("phone", phones))
-    ]
-    found = rows[0].unionByName(rows[1])
-    digits = F.length(tx.digits_of(F.col("value")))
-    found = found.where((F.col("field") != "phone") | digits.between(7, 15))
-    return found.select(
-        "set_id", "field", "value", F.col("file_name").alias("source"), F.lit(RULES["typed"]).alias("rule_rank"),
-        F.struct(F.col("file_name").alias("file"), F.col("place").alias("place")).alias("seq"),
-    )
-
-
 def corroborate(candidates: DataFrame) -> DataFrame:
     """One row for each (set_id, field, lower(trim(value))): sources that agree, and the value as the best rule,
-    seen first, spells it."""
+    seen first, spells it. Blank values say nothing."""
     key = F.lower(F.trim("value"))
-    grouped = candidates.groupBy("set_id", "field", key.alias("key")).agg(
+    grouped = candidates.where(F.trim("value") != "").groupBy("set_id", "field", key.alias("key")).agg(
         F.countDistinct("source").alias("corroboration"), F.min(F.struct((-F.col("rule_rank")).alias("r"), "seq", "value", "source")).alias("best")
     )
-    return grouped.select("set_id", "field", "key", "corroboration", F.col("best.value").alias("value"), F.col("best.source").alias("source"), (-F.col("best.r")).alias("rule_rank"), F.col("best.seq").alias("seq"))
+    return grouped.select("set_id", "field", "key", "corroboration", F.trim("best.value").alias("value"), F.col("best.source").alias("source"), (-F.col("best.r")).alias("rule_rank"), F.col("best.seq").alias("seq"))
 
 
 def confidence(rule_rank: Column, corroboration: Column) -> Column:
-    """high: labelled, or typed in two files; medium: typed, or any rule in two files; else low."""
-    return (
-        F.when((rule_rank >= 4) | ((rule_rank == 3) & (corroboration >= 2)), "high")
-        .when((rule_rank == 3) | (corroboration >= 2), "medium")
-        .otherwise("low")
-    )
+    """high: labelled or typed; a sentence is medium, a place low, and each one better if several files agree."""
+    several = corroboration > 1
+    return F.when((rule_rank >= 3) | ((rule_rank == 2) & several), "high").when((rule_rank == 2) | several, "medium").otherwise("low")
 
 
 def reconcile_facts(candidates: DataFrame) -> DataFrame:
@@ -120,37 +100,15 @@ def dossier_reconcile(facts: DataFrame, dossier: DataFrame) -> DataFrame:
     return joined.select("key", "verdict", F.when(F.col("verdict") == "contained", longer).when(F.col("verdict") != "conflict", F.col("value")).alias("resolved"))
 
 
-MONTH_NAMES = "january february march april may june july august september october november december".split()
+def date_audit(dates: DataFrame) -> DataFrame:
+    """(set_id, raw, order_hint) -> raw, normalised date or the reason why it is refused; see dates.known_date."""
+    read = dates.select("set_id", "raw", known_date(F.col("raw"), F.col("order_hint")).alias("r"))
+    return read.select("set_id", "raw", "r.date", "r.reason")
 
 
-def date_audit(dates: DataFrame) -> DataFrame:
-    """(set_id, raw, order_hint) -> raw, normalised date or the reason why it is refused.
-
-    ISO first; then a month in words (three letters or more of its English name); then day and month as numbers, settled by
-    a part over 12 or by the stated order, else refused as ambiguous; impossible days are refused.
-    """
-    # A month in words: (pattern, group of the day, of the word, of the year)
-    spelled = [(r"^(\d{1,2})\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})$", 1, 2, 3), (r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})$", 2, 1, 3)]
-    number = lambda w: F.coalesce(*[F.when((w != "") & F.startswith(F.lit(m), F.lower(w)), F.lit(i)) for i, m in enumerate(MONTH_NAMES, 1)])
-    said = lambda p, d, m, y: F.when(number(F.regexp_extract("raw", p, m)).isNotNull(), F.format_string("%s-%02d-%02d", F.regexp_extract("raw", p, y), number(F.regexp_extract("raw", p, m)), F.regexp_extract("raw", p, d).try_cast("int")))
-    words = F.coalesce(*[said(*x) for x in spelled])
-    iso = F.regexp_extract("raw", r"^(\d{4}-\d{2}-\d{2})$", 1)
-    part = lambda i: F.regexp_extract("raw", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", i)
-    a, b, y = (F.when(part(i) != "", part(i).cast("int")) for i in (1, 2, 3))
-    day_first = F.when(a.isNull() | ((a > 12) & (b > 12)), None).when(a > 12, True).when(b > 12, False).when(F.col("order_hint") == "DMY", True).when(F.col("order_hint") == "MDY", False)
-    day, month = F.when(day_first, a).otherwise(b), F.when(day_first, b).otherwise(a)
-    numeric = F.when(day_first.isNotNull(), F.format_string("%04d-%02d-%02d", y, month, day))
-    text = F.when(iso != "", iso).otherwise(F.coalesce(words, numeric))
-    date = F.try_to_date(text, "yyyy-MM-dd")
-    reason = (
-        F.when(date.isNotNull(), None)
-        .when(F.trim("raw") == "", "blank")
-        .when(text.isNotNull(), "impossible")
-        .when(a.isNotNull() & ((a > 12) & (b > 12)), "impossible")
-        .when(a.isNotNull(), "ambiguous")
-        .otherwise("unknown format")
-    )
-    return dates.select("set_id", "raw", F.date_format(date, "yyyy-MM-dd").alias("date"), reason.alias("reason"))
+def time_audit(times: DataFrame) -> DataFrame:
+    """(set_id, raw) -> raw and the time of day as HH:MM, null where it is none; see dates.time_of_day."""
+    return times.select("set_id", "raw", time_of_day(F.col("raw")).alias("time"))
 
 
 def date_counts(dates: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.dates import lenient_date
 from ..rules import LABELS
 from .facts import RULES
 
-# Fields whose values may wrap onto the next line, and month names by their first letters.
+# Fields whose values may wrap onto the next line.
 JOINABLE = ("department", "education", "skills", "address", "degree", "language", "other")
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 # Words of organisations and of documents, which names don't hold.
 ORGANISATION = (
     r"(?i)\b(universit|college|institute|polytechnic|academy|school|faculty|department|dept|engineering|technology|science|sciences|studies|"
@@ -42,26 +42,6 @@ def label_field(head: Column) -> Column:
     return F.coalesce(*[F.when(bare.rlike(f"(?i)^(?:{p})$"), F.lit(field)) for p, field in LABELS])
 
 
-def lenient_date(raw: Column, this_year: int) -> Column:
-    """A printed date as ISO, read day first, two-digit years after `this_year` as 19xx; null for other text.
-
-    Only for comparing spellings of one date; a date column is read by `facts.date_audit`, which refuses to guess.
-    """
-    part = lambda p, i: F.regexp_extract(raw, p, i)
-    year = lambda y: F.when(F.length(y) == 4, y).when(y.cast("int") > this_year % 100, F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
-    month = lambda m: F.lpad(F.coalesce(*[F.when(F.lower(F.substring(m, 1, 3)) == x, F.lit(str(i))) for i, x in enumerate(MONTHS, 1)]), 2, "0")
-    iso, day_first = r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b(\d{1,2})\s+([A-Za-z]{3,9})\.?\s+(\d{4}|\d{2})\b"
-    month_first, numeric = r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4}|\d{2})\b", r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\b"
-    two = lambda d: F.lpad(d, 2, "0")
-    joined = lambda y, m, d: F.concat_ws("-", y, m, d)
-    return (
-        F.when(part(iso, 1) != "", joined(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when((part(day_first, 1) != "") & month(part(day_first, 2)).isNotNull(), joined(year(part(day_first, 3)), month(part(day_first, 2)), two(part(day_first, 1))))
-        .when((part(month_first, 1) != "") & month(part(month_first, 1)).isNotNull(), joined(year(part(month_first, 3)), month(part(month_first, 1)), two(part(month_first, 2))))
-        .when(part(numeric, 1) != "", joined(year(part(numeric, 3)), two(part(numeric, 2)), two(part(numeric, 1))))
-    )
-
-
 def title_case(text: Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -200,16 +180,16 @@ def name_tokens(value: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) > 2)
 
 
-def name_score(candidates: DataFrame) -> DataFrame:
-    """(set_id, value, score, confidence): the best name of each set by what speaks for it.
+def best_names(candidates: DataFrame) -> DataFrame:
+    """(set_id, value, source, corroboration, score, confidence): the best name of each set by what speaks for it.
 
     The rule (50, 45, 25, 5), agreement with the machine-readable zone (two tokens +60, one +25) and with e-mail handles and
     profile URLs (+50, +20), 12 for each further file up to three, less 70 for words of organisations and 40 for
     those of documents. Signals are gathered by set before they meet the candidates: a set with many files is no group.
     """
-    names = candidates.where(F.col("field") == "name")
+    names = candidates.where((F.col("field") == "name") & (F.trim("value") != ""))
     grouped = names.groupBy("set_id", F.lower(F.trim("value")).alias("key")).agg(
-        F.countDistinct("source").alias("files"), F.min(F.struct((-F.col("rule_rank")).alias("r"), "seq", "value")).alias("best")
+        F.countDistinct("source").alias("files"), F.min(F.struct((-F.col("rule_rank")).alias("r"), "seq", "value", "source")).alias("best")
     )
     zoned = names.where(F.col("seq.tier") == 3).groupBy("set_id").agg(F.min(F.struct("seq", "value"))["value"].alias("zone"))
     handle = F.when(F.col("field") == "email", F.substring_index("value", "@", 1)).otherwise(F.col("value"))
@@ -231,7 +211,12 @@ def name_score(candidates: DataFrame) -> DataFrame:
         - F.when(F.col("best.value").rlike(DOCUMENT), 40).otherwise(0)
     )
     score = F.when(F.size(name_tokens(F.col("best.value"))) == 0, -100).otherwise(score).cast("long")
-    best = joined.select("set_id", score.alias("score"), F.col("best.value").alias("value"), F.col("best.seq").alias("seq"))
-    best = best.groupBy("set_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "seq", "value")).alias("b"))
-    out = best.select("set_id", F.col("b.value").alias("value"), (-F.col("b.s")).alias("score"))
+    best = joined.select("set_id", score.alias("score"), F.trim("best.value").alias("value"), F.col("best.seq").alias("seq"), F.col("best.source").alias("source"), F.col("files").alias("corroboration"))
+    best = best.groupBy("set_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "seq", "value", "source", "corroboration")).alias("b"))
+    out = best.select("set_id", "b.value", "b.source", "b.corroboration", (-F.col("b.s")).alias("score"))
     return out.withColumn("confidence", F.when(F.col("score") >= 50, "high").when(F.col("score") >= 25, "medium").otherwise("low"))
+
+
+def name_score(candidates: DataFrame) -> DataFrame:
+    """(set_id, value, score, confidence) of best_names."""
+    return best_names(candidates).select("set_id", "value", "score", "confidence")

@@ -40,3 +40,8 @@ def file_inventory(files: DataFrame, pdf_limit: int = 50 << 20, any_limit: int =
 def write_facts(facts: DataFrame, path: str) -> None:
     """Replaces the partitions of the sets in `facts`; other sets stay."""
     facts.repartition("set_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id").parquet(path)
+
+
+def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
+    """Writes a report in its order as JSON lines, or as CSV with a header."""
+    report.write.mode("overwrite").option("header", True).option("ignoreNullFields", False).format(kind).save(path)

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from attestry.functions import dates
 from attestry.operators import audits, corpus, facts, ledgers, pages
 
 
@@ -14,12 +15,36 @@ def test_dates_are_accepted_or_refused_with_a_reason(spark):
         ("2001-02-31", None, None, "impossible"), ("25/26/2001", None, None, "impossible"), ("", None, None, "blank"),
         ("sometime in 2001", None, None, "unknown format"), ("2000-02-29", None, "2000-02-29", None), ("1900-02-29", None, None, "impossible"),
         ("3 April 2001", None, "2001-04-03", None), ("April 3, 2001", None, "2001-04-03", None), ("3 Apr 2001", None, "2001-04-03", None), ("Marble 3, 2001", None, None, "unknown format"), ("31 Feb 2001", None, None, "impossible"),
+        ("13-04-2001", None, "2001-04-13", None), ("2001/04/13", None, "2001-04-13", None), ("2001.4.3", None, "2001-04-03", None), ("4.3.2001", None, None, "ambiguous"), ("4.3.2001", "DMY", "2001-03-04", None),
+        ("4-3-2001", "MDY", "2001-04-03", None), ("4/3/2001", "YMD", None, "ambiguous"), ("2001-13-01", None, None, "impossible"), ("2001-01-00", None, None, "impossible"), ("0099-1-2", None, "0099-01-02", None),
+        (" 2001-04-03 ", None, "2001-04-03", None), ("3Apr2001", None, "2001-04-03", None), ("April 2001", None, None, "impossible"), ("Sept. 3, 2001", None, "2001-09-03", None), (None, None, None, "blank"), ("03/04/01", None, None, "unknown format"),
     ]
     df = spark.createDataFrame([("s", raw, hint) for raw, hint, _, _ in cases], "set_id string, raw string, order_hint string")
     got = {(r.raw, h): (r.date, r.reason) for r, (_, h, _, _) in zip(facts.date_audit(df).collect(), cases, strict=True)}
     assert got == {(raw, hint): (date, reason) for raw, hint, date, reason in cases}
 
 
+def test_orders_are_stated_or_unknown(spark):
+    cases = {"DD/MM/YYYY": "DMY", "mm-dd-yyyy": "MDY", "YYYY-MM-DD": "YMD", "your date of birth": "unknown", None: "unknown", "": "unknown"}
+    df = spark.createDataFrame([(h,) for h in cases], "h string").select("h", dates.date_order(F.col("h")).alias("o"))
+    assert {r.h: r.o for r in df.collect()} == cases
+
+
+def test_times_of_day(spark):
+    cases = {
+        "14:30": "14:30", "2:30 pm": "14:30", "12:05 AM": "00:05", "12:05pm": "12:05", "at 9:00, sharp": "09:00", "24:00": None, "23:60": None, "noon": None, "": None, None: None,
+        "13:00 pm": "13:00", "7:15\nPM": "19:15", "99:99 1:00": None, "1:005": "01:00",
+    }
+    df = spark.createDataFrame([("s", t) for t in cases], "set_id string, raw string")
+    assert {r.raw: r.time for r in facts.time_audit(df).collect()} == cases
+
+
+def test_lenient_dates(spark):
+    cases = {"born 2001-04-03": "2001-04-03", "3 April 01": "2001-04-03", "Apr 3, 1968": "1968-04-03", "3/4/68": "1968-04-03", "3.4.2001": "2001-04-03", "32 words": None, "3 Foo 2001": None, "": None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", dates.lenient_date(F.col("t"), 2026).alias("d"))
+    assert {r.t: r.d for r in df.collect()} == cases
+
+
 def test_pacific_days(spark):
     cases = {"2026-03-10 05:30": "2026-03-09", "2026-03-10 08:30": "2026-03-10", "2026-07-15 06:30": "2026-07-14", "2026-12-15 07:30": "2026-12-14", "2026-12-15 08:30": "2026-12-15"}
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", ledgers.pacific_day(F.col("t").cast("timestamp_ntz")).alias("d"))
@@ -56,20 +81,21 @@ def test_fingerprint_ignores_order_only(spark):
     assert mark([("s", "a", "x"), ("s", "b", "y")]) != mark([("s", "a", "x"), ("s", "b", "z")])
 
 
-def test_fingerprint_streams_over_batches(spark):
+def test_fingerprints_of_parts_add_up(spark):
     import hashlib
 
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    rows = [(s, f"f{i}", f"t{i}") for s, n in (("a", 25), ("b", 1), (None, 7)) for i in range(n)] + [("c", None, "x"), ("d", None, "x"), ("d", "e", None)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    try:
-        marks = corpus.set_fingerprint(spark.createDataFrame(rows, "set_id string, file_name string, text string"))
-        got = {r.set_id: (r.n_files, r.fingerprint) for r in marks.collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    entries = lambda s: sorted(sha(f"{f}#{len(t or '')}:{sha(t or '')}") for i, f, t in rows if i == s and f is not None)
-    assert got == {s: (sum(r[0] == s for r in rows), sha("|".join(entries(s)))) for s in ("a", "b", None, "c", "d")}
-    assert "collect_list" not in marks._jdf.queryExecution().toString()
+    rows = [(s, f"f{i}", f"t{i}") for s, n in (("a", 25), ("b", 1), (None, 7)) for i in range(n)] + [("c", None, "x"), ("d", None, "x"), ("d", "e", None), ("b", "f0", "t0")]
+    schema = "set_id string, file_name string, text string"
+    marks = corpus.set_fingerprint(spark.createDataFrame(rows, schema))
+    entries = lambda s: [sha(f"{f}#{len(t or '')}:{sha(t or '')}") for i, f, t in rows if i == s and f is not None]
+    added = lambda es: "".join(f"{sum(int(e[8 * i : 8 * i + 8], 16) for e in es) % 2**32:08x}" for i in range(8))
+    want = {s: (sum(r[0] == s for r in rows), added(entries(s))) for s in ("a", "b", None, "c", "d")}
+    assert {r.set_id: (r.n_files, r.fingerprint) for r in marks.collect()} == want
+    halves = [corpus.set_fingerprint(spark.createDataFrame(rows[i::2], schema)) for i in (0, 1)]
+    assert {r.set_id: (r.n_files, r.fingerprint) for r in corpus.merge_fingerprints(halves[0].unionByName(halves[1])).collect()} == want
+    plan = marks._jdf.queryExecution().toString()
+    assert "partial_sum" in plan and "Sort" not in plan and "collect_list" not in plan
 
 
 def test_rows_of_a_group_are_numbered_in_ranges(spark):

@@ -49,7 +49,7 @@ def test_institutions_are_no_confident_names(spark):
 
 
 def test_file_names_of_any_kind_are_ordered(spark):
-    found = facts.reconcile_facts(facts.typed_candidates(docs(spark, [("cv.txt", "a@b.org +44 20 7946 0000"), ("z.txt", "a@b.org")]))).collect()
+    found = facts.reconcile_facts(reading.typed(docs(spark, [("cv.txt", "a@b.org +44 20 7946 0000"), ("z.txt", "a@b.org")]))).collect()
     assert {(r.field, r.value, r.corroboration, r.source) for r in found} == {("email", "a@b.org", 2, "cv.txt"), ("phone", "+44 20 7946 0000", 1, "cv.txt")}
 
 
