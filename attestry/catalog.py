@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import audits, corpus, facts, forms, ledgers, pages, questions, reading
+from .operators import audits, corpus, facts, forms, ledgers, pages, questions, reading, similarity
 from .plans import fact_pipeline as plans
 from .sources import facts as sources
 from .streaming import ledger as streams
@@ -454,7 +454,7 @@ def section_changes(spark, sf_dir):
   where least(a.n, b.n) >= greatest(a.n, b.n) * 0.6 and round(1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l)), 6) >= 0.6""")
 def fuzzy_pairs(spark, sf_dir):
     labels = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.col("p_size").cast("string")).alias("block"), F.col("p_name").alias("label"))
-    return audits.fuzzy_pairs(labels, 0.6)
+    return similarity.fuzzy_pairs(labels, 0.6)
 
 
 # Pages and nesting

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .catalog import events, job, read, written
-from .operators import audits, forms, ledgers, matching
+from .operators import audits, forms, ledgers, matching, similarity
 from .sources import html
 
 
@@ -176,14 +176,21 @@ def nav_label_join(spark, sf_dir):
 # Assignment: forms of customers whose fields and answers are built so that the greedy order is known
 
 
-@job("fuzzy_assign", """with p as (select p_partkey as id, p_size as block, trim(regexp_replace(lower(trim(p_name)), '[*?!.,:;]+$', '')) as l from part where p_name <> '')
-  select block, count(*) as n from (select block, l, least(count(*) filter (id % 2 = 0), count(*) filter (id % 2 = 1)) as c, unnest(range(0, least(count(*) filter (id % 2 = 0), count(*) filter (id % 2 = 1)))) as i from p group by block, l) group by block""")
+# Names with one letter changed, and some cut or longer, as the key says
+_NOISY = """case p_partkey % 5 when 0 then p_name when 1 then left(p_name, 2) || chr(cast(97 + p_partkey % 23 as int)) || substr(p_name, 4) when 2 then p_name || ' ' || (p_partkey % 7) when 3 then left(p_name, length(p_name) - 2) || ':'
+    else chr(cast(97 + p_partkey % 26 as int)) || chr(cast(97 + p_partkey % 11 as int)) || upper(p_name) || '*' end"""
+
+
+@job("fuzzy_assign", f"""with n as (select p_partkey as id, p_size as block, trim(regexp_replace(lower(trim({_NOISY})), '[*?!.,:;]+$', '')) as l from part),
+  p as (select a.block, a.id as a, b.id as b, round(1 - levenshtein(a.l, b.l) / greatest(length(a.l), length(b.l)), 6) as s from n a join n b on a.block = b.block and a.id % 2 = 0 and b.id % 2 = 1),
+  g as (select block, list({{'a': a, 'b': b, 's': s}} order by s desc, a, b) as ps from p where s >= 0.55 group by block),
+  r as (select block, unnest(list_reduce(ps, lambda done, x: case when len(list_filter(done, lambda d: d.a = x.a or d.b = x.b)) > 0 then done else done || [x] end, [{{'a': cast(-1 as bigint), 'b': cast(-1 as bigint), 's': 0.0::double}}])) as x from g)
+  select block, x.a as a, x.b as b, x.s as score from r where x.a >= 0""")
 def fuzzy_assign(spark, sf_dir):
-    """Parts with even and odd keys paired one to one within a size, by equal names only (threshold 1), counted."""
-    p = read(spark, sf_dir, "part").select(F.col("p_size").alias("block"), F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    # Equal labels are numbered on both sides, so that each meets one partner instead of all.
-    pairs = matching.equal_pairs(p.where("id % 2 = 0"), p.where("id % 2 = 1"))
-    return matching.assign(pairs, _keep).groupBy("block").agg(F.count("*").alias("n"))
+    """Parts with even and odd keys paired one to one within a size by the similarity of their noisy names."""
+    p = read(spark, sf_dir, "part").select(F.col("p_size").alias("block"), F.col("p_partkey").alias("id"), F.expr(_NOISY).alias("label"))
+    pairs = similarity.label_pairs(p.where("id % 2 = 0"), p.where("id % 2 = 1"), matching.LABEL_MATCH)
+    return similarity.assign(pairs, _keep)
 
 
 @job("identity_match", """select c_custkey as form_id, a.i as a_id, case when a.i = 2 then 2 when a.i = 3 and c_custkey % 2 = 0 then 4 when a.i = 4 then 5 end as q_id,

@@ -64,17 +64,3 @@ def report_gate(answers: DataFrame) -> DataFrame:
     of = lambda s: F.sum(F.when(F.col("state") == s, 1).otherwise(0))
     sums = answers.groupBy("form_id").agg(of("draft").alias("drafts"), of("conflict").alias("conflicts"), of("needs input").alias("needs_input"))
     return sums.withColumn("verified", (F.col("drafts") + F.col("conflicts") + F.col("needs_input")) == 0)
-
-
-def fuzzy_pairs(labels: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, score) of labels (id, block, label) in one block with similarity of at least `threshold`.
-
-    Labels are compared within their block and only where the lengths of what is scored allow the threshold.
-    """
-    from ..functions.text import cleaned, similarity
-
-    a = labels.select("block", F.col("id").alias("a"), F.col("label").alias("la"), F.length(cleaned(F.col("label"))).alias("na"))
-    b = labels.select("block", F.col("id").alias("b"), F.col("label").alias("lb"), F.length(cleaned(F.col("label"))).alias("nb"))
-    close = F.least("na", "nb") >= F.greatest("na", "nb") * threshold
-    scored = a.join(b, "block").where((F.col("a") < F.col("b")) & close).select("a", "b", F.round(similarity(F.col("la"), F.col("lb")), 6).alias("score"))
-    return scored.where(F.col("score") >= threshold)

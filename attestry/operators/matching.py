@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as tx
 from .facts import plausible
+from .similarity import assign, label_pairs
 
 # Least similarity of an answer's label to a question's, and of an attachment's.
 LABEL_MATCH, ATTACHMENT_MATCH = 0.55, 0.8
@@ -153,7 +153,7 @@ def document_match(questions: DataFrame, files: DataFrame, words: DataFrame, pre
     question meets every file of its set.
     """
     distinct = questions.select("label").distinct()
-    all_words = F.broadcast(words.select("key", "word").distinct())  # a vocabulary, not data
+    all_words = words.select("key", "word").distinct()
     triggers = words.select("key", F.explode(F.array("key", "word")).alias("trigger")).distinct()
     asked = distinct.join(F.broadcast(triggers), F.contains(F.lower("label"), F.col("trigger"))).select("label", "key").distinct()
     asked = asked.join(all_words, "key").select("label", "word").distinct()
@@ -212,66 +212,7 @@ def nav_label_join(labels: DataFrame, rules: DataFrame) -> DataFrame:
 # Similarity of labels
 
 
-def grams(label: Column, n: int = 3) -> Column:
-    """Distinct character n-grams of a cleaned label, padded at both ends."""
-    padded = F.concat(F.lit("^" * (n - 1)), label, F.lit("$" * (n - 1)))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
-
-
-def label_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(block, a, b, score): ids of labels (block, id, label) of both sides in one block with similarity of at least `least`.
-
-    Distinct cleaned labels are compared. Equal ones meet by equality; others must share two of their letters' positions as
-    the bound on edit distance asks: with similarity s the shorter has s of the longer's length, and d = (1 - s) * longer
-    edits leave a run of equal characters between them, so that one of d + 1 equal parts of one label stands
-    in the other. Parts are the join keys, with the block, so that labels that share none never meet.
-    """
-    side = lambda df, x: df.select("block", F.col("id").alias(x), tx.cleaned(F.col("label")).alias(f"l{x}")).where(F.col(f"l{x}") != "")
-    a, b = side(left, "a"), side(right, "b")
-    da, db = a.select("block", "la").distinct(), b.select("block", "lb").distinct()
-    # Edits between the two at most: (1 - s) * longer, and longer <= length / s.
-    edits = lambda l: F.floor(F.length(l) * ((1 - least) / least) + F.lit(1e-9)).cast("int")
-    # la is cut into edits + 1 parts; one of them stands in lb, shifted by no more than the edits.
-    k = edits("la") + 1
-    cut = lambda i: F.floor(F.length("la") * i / k).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring(F.col("la"), cut(i) + 1, cut(i + 1) - cut(i)))
-    parts = F.array_distinct(F.when(F.length("la") <= edits("la"), F.array(F.lit(""))).otherwise(parts))
-    pa = da.select("block", "la", F.explode(parts).alias("part"))
-    widths = pa.select("block", F.length("part").alias("width")).distinct()
-    pieces = lambda: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("lb") - F.col("width") + 1, F.lit(1))), lambda i: F.substring(F.col("lb"), i, F.col("width")))))
-    pb = db.join(widths, "block").where("length(lb) >= width").select("block", "lb", pieces().alias("part")).distinct()
-    fits = F.least(F.length("la"), F.length("lb")) >= F.greatest(F.length("la"), F.length("lb")) * F.lit(least) - F.lit(1e-9)
-    near = pa.join(pb, ["block", "part"]).where(fits).select("block", "la", "lb").distinct()
-    score = F.round(tx.similarity(F.col("la"), F.col("lb")), 6)
-    scored = near.select("block", "la", "lb", score.alias("score")).where(F.col("score") >= least)
-    return scored.join(a, ["block", "la"]).join(b, ["block", "lb"]).select("block", "a", "b", "score")
-
-
-def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(block, a, b, score 1): labels (block, id, label) of both sides that are equal when cleaned, the nth with the nth by id."""
-    side = lambda df, x: df.select("block", F.col("id").alias(x), tx.cleaned(F.col("label")).alias("l")).where("l <> ''").withColumn("n", F.row_number().over(W.partitionBy("block", "l").orderBy(x)))
-    return side(left, "a").join(side(right, "b"), ["block", "l", "n"]).select("block", "a", "b", F.lit(1.0).alias("score"))
-
-
-def assign(pairs: DataFrame, rounds_written) -> DataFrame:
-    """Greedy one-to-one assignment of pairs (block, a, b, score): highest score first, smaller a then b on ties.
-
-    Each round takes the pairs that are best for both sides, which is what the greedy order would take, and drops all others
-    of either side; every round is an aggregation, and `rounds_written(df)` ends its lineage (a written table). It
-    ends when no pair is left.
-    """
-    order = F.struct((-F.col("score")).alias("s"), "a", "b")
-    left, taken = rounds_written(pairs.select("block", "a", "b", "score")), None
-    while not left.isEmpty():
-        by_a = left.groupBy("block", "a").agg(F.min(order).alias("x")).select("block", "a", F.col("x.b").alias("b"))
-        by_b = left.groupBy("block", "b").agg(F.min(order).alias("x")).select("block", F.col("x.a").alias("a"), "b")
-        now = rounds_written(left.join(by_a, ["block", "a", "b"]).join(by_b, ["block", "a", "b"]).select("block", "a", "b", "score"))
-        taken = now if taken is None else taken.unionByName(now)
-        left = rounds_written(left.join(now.select("block", "a"), ["block", "a"], "left_anti").join(now.select("block", "b"), ["block", "b"], "left_anti"))
-    return left if taken is None else taken
-
-
-def identity_match(questions: DataFrame, answers: DataFrame, rounds_written) -> DataFrame:
+def identity_match(questions: DataFrame, answers: DataFrame, keep) -> DataFrame:
     """(form_id, a_id, q_id, how) of answers (form_id, a_id, label, value, identity_key, invalidated) and questions
     (form_id, q_id, label, identity_key): one row for each answer with text.
 
@@ -282,19 +223,19 @@ def identity_match(questions: DataFrame, answers: DataFrame, rounds_written) ->
     told = answers.where(F.trim(F.coalesce("value", F.lit(""))) != "").drop("value")
     firsts = questions.where(F.col("identity_key").isNotNull()).groupBy("form_id", "identity_key").agg(F.min("q_id").alias("q_id"))
     keyed = told.where(F.col("identity_key").isNotNull()).join(firsts, ["form_id", "identity_key"]).groupBy("form_id", "q_id").agg(F.min("a_id").alias("a_id"))
-    keyed = rounds_written(keyed.select("form_id", "a_id", "q_id", F.lit("key").alias("how")))
-    free = rounds_written(questions.join(keyed.select("form_id", "q_id"), ["form_id", "q_id"], "left_anti"))
-    rest = rounds_written(told.join(keyed.select("form_id", "a_id"), ["form_id", "a_id"], "left_anti"))
+    keyed = keep(keyed.select("form_id", "a_id", "q_id", F.lit("key").alias("how")))
+    free = keep(questions.join(keyed.select("form_id", "q_id"), ["form_id", "q_id"], "left_anti"))
+    rest = keep(told.join(keyed.select("form_id", "a_id"), ["form_id", "a_id"], "left_anti"))
     side = lambda df, i: df.select(F.col("form_id").alias("block"), F.col(i).alias("id"), "label")
-    pairs = rounds_written(label_pairs(side(rest, "a_id"), side(free, "q_id"), LABEL_MATCH))
+    pairs = keep(label_pairs(side(rest, "a_id"), side(free, "q_id"), LABEL_MATCH))
     lost = rest.where("invalidated").select(F.col("form_id").alias("block"), F.col("a_id").alias("a"))
     seen = lost.join(pairs, ["block", "a"], "left").groupBy("block", "a").agg(F.count("b").alias("n"), F.min("b").alias("b"))
     sole = seen.where("n = 1").groupBy("block", "b").agg(F.min("a").alias("a"))
-    by_label = rounds_written(sole.select(F.col("block").alias("form_id"), F.col("a").alias("a_id"), F.col("b").alias("q_id"), F.lit("label").alias("how")))
+    by_label = keep(sole.select(F.col("block").alias("form_id"), F.col("a").alias("a_id"), F.col("b").alias("q_id"), F.lit("label").alias("how")))
     refused = lost.select(F.col("block").alias("form_id"), F.col("a").alias("a_id")).join(by_label.select("form_id", "a_id"), ["form_id", "a_id"], "left_anti")
     refused = refused.select("form_id", "a_id", F.lit(None).cast(questions.schema["q_id"].dataType).alias("q_id"), F.lit("refused").alias("how"))
     open_pairs = pairs.join(lost, ["block", "a"], "left_anti").join(by_label.select(F.col("form_id").alias("block"), F.col("q_id").alias("b")), ["block", "b"], "left_anti")
-    similar = assign(open_pairs, rounds_written).select(F.col("block").alias("form_id"), F.col("a").alias("a_id"), F.col("b").alias("q_id"), F.lit("similar").alias("how"))
+    similar = assign(open_pairs, keep).select(F.col("block").alias("form_id"), F.col("a").alias("a_id"), F.col("b").alias("q_id"), F.lit("similar").alias("how"))
     out = keyed.unionByName(by_label).unionByName(refused).unionByName(similar)
     none = told.select("form_id", "a_id").join(out.select("form_id", "a_id"), ["form_id", "a_id"], "left_anti")
     return out.unionByName(none.select("form_id", "a_id", F.lit(None).cast(questions.schema["q_id"].dataType).alias("q_id"), F.lit("none").alias("how")))

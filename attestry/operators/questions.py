@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import plain_words, similarity
+from .similarity import similar_labels
+
 #: Patterns of declarations, in the order in which the first match wins.
 DECLARATIONS = [
     ("disciplinary", r"(?i)disciplinar|misconduct|dismissed for|terminated for cause|separated from service"),
@@ -143,19 +146,30 @@ def option_resolve(values: DataFrame, options: DataFrame, least: float = 0.8) ->
     """values (id, set_id, value) to one of their set's own options (set_id, pos, option), or null.
 
     Tiers: equal without marks and case, contained as whole words (3 characters or more), similar by at least
-    `least`; the lowest tier wins, then the score, then the first option.
+    `least`; the lowest tier wins, then the score, then the first option. Each tier is a join on equality: of the forms, of runs of
+    words no longer than what they could hold or be held by, and, for values that have neither, of tiles (see similarity).
     """
-    from ..functions.text import plain_words, similarity
-
     # Distinct values meet distinct options of their set; rows are joined back after that.
-    v = values.select("set_id", plain_words(F.col("value")).alias("v")).distinct()
-    o = options.groupBy("set_id", plain_words(F.col("option")).alias("o")).agg(F.min(F.struct("pos", "option")).alias("p"))
+    v = values.select("set_id", plain_words(F.col("value")).alias("v")).where("v <> ''").distinct()
+    o = options.groupBy("set_id", plain_words(F.col("option")).alias("o")).agg(F.min(F.struct("pos", "option")).alias("p")).where("o <> ''")
     o = o.select("set_id", "o", "p.pos", "p.option")
-    pairs = v.join(o, "set_id")
-    words = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    within = (F.least(F.length("v"), F.length("o")) >= 3) & (F.contains(words(F.col("v")), words(F.col("o"))) | F.contains(words(F.col("o")), words(F.col("v"))))
-    score = similarity(F.col("v"), F.col("o"))
-    tier = F.when(F.col("v") == F.col("o"), 1).when(within, 2).when(score >= least, 3)
-    best = pairs.select("set_id", "v", tier.alias("tier"), (-score).alias("worse"), "pos", "option").where(F.col("tier").isNotNull())
-    best = best.groupBy("set_id", "v").agg(F.min(F.struct("tier", "worse", "pos", "option")).alias("b"))
+    score = lambda: F.round(similarity(F.col("v"), F.col("o")), 6)
+    equal = v.join(o.withColumn("v", F.col("o")), ["set_id", "v"]).select("set_id", "v", "pos", "option", F.lit(1).alias("tier"), F.lit(-1.0).alias("worse"))
+    within = _runs(v, "v", o, "o").join(o, ["set_id", "o"]).unionByName(_runs(o, "o", v, "v").join(o, ["set_id", "o"]))
+    within = within.where("v <> o").select("set_id", "v", "pos", "option", F.lit(2).alias("tier"), (-score()).alias("worse"))
+    found = equal.unionByName(within)
+    rest = v.join(found.select("set_id", "v").distinct(), ["set_id", "v"], "left_anti")
+    side = lambda df, c: df.select(F.col("set_id").alias("block"), F.col(c).alias("label"))
+    close = similar_labels(side(rest, "v"), side(o, "o"), least).select(F.col("block").alias("set_id"), F.col("la").alias("v"), F.col("lb").alias("o"), (-F.col("score")).alias("worse"))
+    close = close.join(o, ["set_id", "o"]).select("set_id", "v", "pos", "option", F.lit(3).alias("tier"), "worse")
+    best = found.unionByName(close).groupBy("set_id", "v").agg(F.min(F.struct("tier", "worse", "pos", "option")).alias("b"))
     return values.withColumn("v", plain_words(F.col("value"))).join(best, ["set_id", "v"], "left").select("id", F.col("b.option").alias("option"), F.col("b.tier").alias("tier"))
+
+
+def _runs(long: DataFrame, name: str, short: DataFrame, inner: str) -> DataFrame:
+    """(set_id, name, inner): labels of `long` with those of `short` that stand in them as whole words, of 3 characters or more."""
+    sizes = short.where(F.length(inner) >= 3).select("set_id", F.size(F.split(inner, " ")).alias("n")).distinct()
+    words = long.select("set_id", name, F.split(name, " ").alias("words")).join(sizes, "set_id").where(F.size("words") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)
+    runs = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("n")), " ")))
+    return words.select("set_id", name, F.explode(runs).alias(inner)).join(short.where(F.length(inner) >= 3).select("set_id", inner), ["set_id", inner])

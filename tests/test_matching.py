@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from attestry.operators import forms, ledgers, matching
+from attestry.operators import forms, ledgers, matching, questions, similarity
 
 
 @pytest.fixture
@@ -21,24 +21,48 @@ def lev(a, b):
     return row[-1]
 
 
-def test_label_pairs_find_every_similar_pair(spark):
+def tidy(x):
+    return x.strip().lower().rstrip("*?!.,:;").strip()
+
+
+def alike(x, y):
+    x, y = tidy(x), tidy(y)
+    return round(1 - lev(x, y) / max(len(x), len(y)), 6) if x and y else 0
+
+
+def noisy_labels():
     import random
 
     rng = random.Random(4)
-    base = ["date of birth", "place of birth", "full name", "employer", "phone number", "ab", "a", "expected graduation"]
-    labels = base + ["".join(c if rng.random() > 0.25 else rng.choice("abcdef ") for c in b) for b in base for _ in range(4)]
-    left, right = [(1, i, x) for i, x in enumerate(labels) if i % 2], [(1, i, x) for i, x in enumerate(labels) if not i % 2] + [(2, 0, "employer")]
+    base = ["date of birth", "place of birth", "full name", "employer", "phone number", "ab", "a", "expected graduation", "naïve café 42", "", " * "]
+    return base + ["".join(c if rng.random() > 0.25 else rng.choice("abcdef é5") for c in b) for b in base for _ in range(4)]
+
+
+@pytest.mark.parametrize("tile", [1000, 5])
+def test_label_pairs_find_every_similar_pair(spark, tile):
+    labels = noisy_labels()
+    left, right = [(1, i, x) for i, x in enumerate(labels) if i % 2], [(1, i, x) for i, x in enumerate(labels) if not i % 2] + [(2, 0, "employer"), (None, 5, "employer")]
     schema = "block long, id long, label string"
-    for least in (0.55, 0.8):
-        got = {(r.a, r.b) for r in matching.label_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), least).collect()}
-        tidy = lambda x: x.strip().lower().rstrip("*?!.,:;").strip()
-        want = {(i, j) for (p, i, x), (q, j, y) in itertools.product(left, right) if p == q and tidy(x) and tidy(y) and round(1 - lev(tidy(x), tidy(y)) / max(len(tidy(x)), len(tidy(y))), 6) >= least}
-        assert got == want
+    for least in (0.55, 0.8, 1.0):
+        got = sorted((r.a, r.b, r.score) for r in similarity.label_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), least, tile=tile).collect())
+        assert got == sorted((i, j, alike(x, y)) for (p, i, x), (q, j, y) in itertools.product(left, right) if p == q and alike(x, y) >= least)
+
 
+@pytest.mark.parametrize("tile", [1000, 5])
+def test_pairs_of_one_table_are_given_once(spark, tile):
+    labels = list(enumerate(noisy_labels() + ["Employer:", "employer"]))
+    got = [(r.a, r.b, r.score) for r in similarity.fuzzy_pairs(spark.createDataFrame([(i, 1, x) for i, x in labels], "id long, block long, label string"), 0.6, tile=tile).collect()]
+    assert sorted(got) == [(i, j, alike(x, y)) for (i, x), (j, y) in itertools.combinations(labels, 2) if alike(x, y) >= 0.6]
 
-def test_assignment_is_greedy_and_uses_no_side_twice(spark, keep):
+
+@pytest.mark.parametrize("block_pairs", [100, 0])
+def test_assignment_is_greedy_and_uses_no_side_twice(spark, keep, block_pairs):
+    import random
+
+    rng = random.Random(7)
     pairs = [(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.6), (1, 3, 2, 0.7), (2, 1, 1, 0.5), (2, 2, 1, 0.5)]
-    got = sorted((r.block, r.a, r.b) for r in matching.assign(spark.createDataFrame(pairs, "block long, a long, b long, score double"), keep).collect())
+    pairs += [(3, a, b, rng.choice([0.6, 0.7, 0.8])) for a in range(9) for b in range(9) if rng.random() < 0.6]
+    got = sorted((r.block, r.a, r.b) for r in similarity.assign(spark.createDataFrame(pairs, "block long, a long, b long, score double"), keep, block_pairs).collect())
     left, want = sorted(pairs, key=lambda p: (-p[3], p[1], p[2])), []
     for block, a, b, _ in left:
         if not any(block == x and (a == y or b == z) for x, y, z in want):
@@ -46,6 +70,34 @@ def test_assignment_is_greedy_and_uses_no_side_twice(spark, keep):
     assert got == sorted(want)
 
 
+def test_options_of_a_set_by_equality_words_and_similarity(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    words = "electrical computer engineering science of and arts civil law a bc".split()
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    bend = lambda x: x.replace("e", "3", 1) if rng.random() < 0.4 else x.upper() + "!"
+    options = [(s, i, phrase(rng.randint(1, 4))) for s in (1, 2) for i in range(25)] + [(1, 99, "--"), (1, 98, "")]
+    values = [(i, 1 + i % 2, bend(rng.choice(options)[2]) if i % 3 else phrase(rng.randint(1, 5))) for i in range(60)] + [(100, 1, " "), (101, 1, None), (102, 7, "law")]
+    plain = lambda x: re.sub(r"[\W_]+", " ", (x or "").lower()).strip()
+    want = {}
+    for i, s, value in values:
+        v, best = plain(value), None
+        for t, pos, option in options:
+            o = plain(option)
+            if s != t or not v or not o:
+                continue
+            inside = min(len(v), len(o)) >= 3 and (f" {o} " in f" {v} " or f" {v} " in f" {o} ")
+            tier = 1 if v == o else 2 if inside else 3 if alike(v, o) >= 0.8 else None
+            if tier:
+                best = min(best or (9,), (tier, -alike(v, o), pos, option))
+        want[i] = best and (best[3], best[0])
+    got = questions.option_resolve(spark.createDataFrame(values, "id long, set_id long, value string"), spark.createDataFrame(options, "set_id long, pos long, option string"))
+    assert {r.id: r.option and (r.option, r.tier) for r in got.collect()} == want
+    assert len({x[1] for x in want.values() if x}) == 3
+
+
 def test_identity_refuses_on_doubt(spark, keep):
     q = spark.createDataFrame([("f", 1, "Employer", "k1"), ("f", 2, "Employer", "k2"), ("g", 1, "Hobby", None)], "form_id string, q_id long, label string, identity_key string")
     a = lambda rows: spark.createDataFrame(rows, "form_id string, a_id long, label string, value string, identity_key string, invalidated boolean")
