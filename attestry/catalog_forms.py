@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .catalog import events, job, read, written
-from .operators import audits, forms, ledgers, matching, similarity
+from .operators import audits, forms, ledgers, matching, questions, similarity
 from .sources import html
 
 
@@ -64,7 +64,30 @@ _QUESTIONS = f"""(select page_id, min(seq) as seq, case when type = 'radio' then
 @job("option_groups", f"""select page_id, seq, label, q.type, case when q.type = 'dropdown' then [c_mktsegment, 'Other'] when grouped then ['Small', 'Large'] else [] end as options, required, manual_reason
   from {_QUESTIONS} q join customer on c_custkey = page_id""")
 def option_groups(spark, sf_dir):
-    return forms.option_groups(forms.manual_only_flags(html.page_fields(_pages(spark, sf_dir))))
+    return forms.option_groups(forms.manual_only_flags(html.page_fields(_pages(spark, sf_dir)))).drop("rows")
+
+
+# Pages of grids, scales and list boxes whose sizes and kinds follow the customer; tags are left open as on real pages
+_ODD_PAGE = r"""concat('<html><body><h2>Part ', c_custkey % 3, '</h2><p>How good?<table><tr><th><th>Bad<th>Good',
+  array_join(transform(sequence(1, cast(1 + c_custkey % 4 as int)), i -> concat('<tr><th>Row ', i, if(c_custkey % 2 = 0, concat('<td><input type=radio name=r', i, '><td><input type=radio name=r', i, '>'), '<td><input type=checkbox><td><div role=checkbox></div>'))), ''),
+  '</table><fieldset><legend>Rate ', c_mktsegment, '</legend>', array_join(transform(sequence(1, cast(2 + c_custkey % 5 as int)), i -> concat('<label><input type=radio name=s>', i, if(c_custkey % 7 = 0 and i = 2, ' best', ''))), ''),
+  '</fieldset><ul role=listbox aria-label="City ', c_custkey, '"><li role=option>Choose<li role=option>', c_mktsegment, '<li role=option>Other</ul><input role=combobox aria-labelledby="t u"><span id=t>Town</span> <b id=u>now',
+  case when c_custkey % 3 = 0 then '<div>About you</div><li><div role=spinbutton></div>' else '</b><input name="freeText_2">' end)"""
+
+
+@job("page_structure", r"""with c as (select c_custkey as p, c_mktsegment as m, list_transform(range(1, 2 + c_custkey % 4), lambda i: 'Row ' || i) as rs, list_transform(range(1, 3 + c_custkey % 5), lambda i: i || case when c_custkey % 7 = 0 and i = 2 then ' best' else '' end) as ss from customer),
+  q as (select p, 0 as seq, 'How good?' as label, case when p % 2 = 0 then 'multiple_choice_grid' else 'checkbox_grid' end as type, ['Bad', 'Good'] as options, rs as rows from c
+    union all select p, 1, 'Rate ' || m, case when p % 7 = 0 then 'multiple_choice' else 'linear_scale' end, ss, [] from c
+    union all select p, 1 + len(ss), 'City ' || p, 'dropdown', [m, 'Other'], [] from c union all select p, 2 + len(ss), case when p % 3 = 0 then 'Town nowAbout you' else 'Town now' end, 'dropdown', [], [] from c
+    union all select p, 3 + len(ss), case when p % 3 = 0 then 'About you' else 'now' end, case when p % 3 = 0 then 'paragraph' else 'short_answer' end, [], [] from c)
+  select p as page_id, seq, label, type, options, rows, type not like '%grid' and seq <> 1 as open from q""")
+def page_structure(spark, sf_dir):
+    """Questions of those pages, and which of them are still open when the scale is answered: never a grid."""
+    pages = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(_ODD_PAGE).alias("html"))
+    asked = written(forms.option_groups(forms.manual_only_flags(html.page_fields(pages))), "asked")
+    form = asked.select(F.col("page_id").alias("form_id"), F.col("seq").alias("q_idx"), F.col("manual_reason").isNotNull().alias("manual_only"), F.col("type").alias("kind"))
+    left = questions.unresolved_questions(form, form.where("q_idx = 1")).select(F.col("form_id").alias("page_id"), F.col("q_idx").alias("seq"), F.lit(True).alias("left"))
+    return asked.join(left, ["page_id", "seq"], "left").select("page_id", "seq", "label", "type", "options", "rows", F.coalesce("left", F.lit(False)).alias("open"))
 
 
 @job("field_coverage", f"""select page_id, type, count(*) as n, cast(count(manual_reason) as bigint) as manual_only, cast(0 as bigint) as without_options, cast(grouping(page_id, type) as bigint) as level

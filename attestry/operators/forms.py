@@ -31,35 +31,37 @@ def manual_only_flags(fields: DataFrame) -> DataFrame:
 
 
 def option_groups(fields: DataFrame) -> DataFrame:
-    """Questions (page_id, seq, label, type, options, required, manual_reason) of fields with manual_reason.
+    """Questions (page_id, seq, label, type, options, rows, required, manual_reason) of fields with manual_reason.
 
     Radio buttons and checkboxes of one name, in one form or outside of all, are one question with their labels as options,
-    required if any is, manual for the first reason; its label is the legend, or the name. Others are questions of their own;
-    those without a label go. A nameless button is a group by itself.
+    required if any is, manual for the first reason; its label is the legend, or the name. Radio buttons whose labels are all
+    numbers are a linear_scale. Others are questions of their own, grids too; those without a label go. A nameless button is a group by
+    itself.
     """
     grouped = F.col("type").isin("radio", "checkbox")
     key = F.when(grouped & F.col("name").isNotNull() & (F.col("name") != ""), F.concat_ws(":", "type", F.when(F.col("form").isNotNull(), "in-form").otherwise("no-form"), "name")).otherwise(F.concat(F.lit("#"), F.col("seq").cast("string")))
-    rows = fields.select("page_id", key.alias("key"), "seq", "label", "type", "options", "required", "manual_reason", "legend", "name", grouped.alias("grouped"))
+    rows = fields.select("page_id", key.alias("key"), "seq", "label", "type", "options", "rows", "required", "manual_reason", "legend", "name", grouped.alias("grouped"))
     item = F.struct("seq", "label")
     reason = F.min(F.when(F.col("manual_reason").isNotNull(), F.struct("seq", "manual_reason")))["manual_reason"]
-    first = F.min(F.struct("seq", "label", "type", "legend", "name", "options", "grouped"))
+    first = F.min(F.struct("seq", "label", "type", "legend", "name", "options", "rows", "grouped"))
     out = rows.groupBy("page_id", "key").agg(
         first.alias("f"), F.max(F.col("required").cast("int")).alias("r"), reason.alias("manual_reason"), F.count("*").alias("n"), F.collect_list(F.when(F.col("grouped"), item)).alias("members")
     )
     labels = F.filter(F.transform(F.sort_array("members"), lambda x: x["label"]), lambda x: x != "")
     asked = F.when(F.col("f.grouped") & ((F.col("n") > 1) | (F.col("f.type") == "radio")), F.coalesce("f.legend", F.regexp_replace("f.name", "[_-]+", " "), "f.label")).otherwise(F.col("f.label"))
     kind = (
-        F.when(F.col("f.type") == "radio", "multiple_choice").when(F.col("f.type") == "checkbox", "checkboxes").when(F.col("f.type") == "select", "dropdown")
+        F.when(F.col("f.type").isin("multiple_choice_grid", "checkbox_grid"), F.col("f.type"))
+        .when((F.col("f.type") == "radio") & (F.size(labels) > 0) & F.forall(labels, lambda x: x.rlike("^[0-9]+$")), "linear_scale").when(F.col("f.type") == "radio", "multiple_choice").when(F.col("f.type") == "checkbox", "checkboxes").when(F.col("f.type") == "select", "dropdown")
         .when(F.col("f.type") == "paragraph", "paragraph").when(F.col("f.type").isin("date", "time"), F.col("f.type")).when(F.col("f.type") == "file", "file_upload").otherwise("short_answer")
     )
     options = F.when(F.col("f.grouped"), labels).otherwise(F.col("f.options"))
-    out = out.select("page_id", F.col("f.seq").alias("seq"), F.trim(asked).alias("label"), kind.alias("type"), options.alias("options"), (F.col("r") == 1).alias("required"), "manual_reason")
+    out = out.select("page_id", F.col("f.seq").alias("seq"), F.trim(asked).alias("label"), kind.alias("type"), options.alias("options"), F.col("f.rows").alias("rows"), (F.col("r") == 1).alias("required"), "manual_reason")
     return out.where(F.col("label") != "")
 
 
 def field_coverage(questions: DataFrame) -> DataFrame:
     """(page_id, type, n, manual_only, without_options, level): questions of each page by type, of each page, of all."""
-    choice = F.col("type").isin("multiple_choice", "checkboxes", "dropdown")
+    choice = F.col("type").isin("multiple_choice", "checkboxes", "dropdown", "linear_scale", "multiple_choice_grid", "checkbox_grid")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return questions.rollup("page_id", "type").agg(
         F.count("*").alias("n"), one(F.col("manual_reason").isNotNull()).alias("manual_only"), one(choice & (F.size("options") == 0)).alias("without_options"), F.grouping_id().cast("long").alias("level")

@@ -124,8 +124,8 @@ def fillable_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def unresolved_questions(questions: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Questions that still need an answer from elsewhere: no uploads, none for the person alone, none resolved."""
-    return questions.where(~F.col("manual_only") & (F.col("kind") != "file")).join(resolved.select("form_id", "q_idx"), ["form_id", "q_idx"], "left_anti")
+    """Questions that still need an answer from elsewhere: no uploads, no grids, none for the person alone, none resolved."""
+    return questions.where(~F.col("manual_only") & ~F.col("kind").isin("file", "file_upload", "multiple_choice_grid", "checkbox_grid")).join(resolved.select("form_id", "q_idx"), ["form_id", "q_idx"], "left_anti")
 
 
 def boundary_leak_check(outgoing: DataFrame, questions: DataFrame) -> DataFrame:

