@@ -6,6 +6,7 @@ errors carry observed limits in `value`, purchases the user's own); drafts are t
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import text as tx
 from .operators import audits, corpus, facts, forms, ledgers, pages, questions, reading, similarity
 from .plans import fact_pipeline as plans
 from .sources import facts as sources
+from .streaming import in_order as ordered
 from .streaming import ledger as streams
 from .work import work_folder, written
 
@@ -356,16 +358,20 @@ def retention_purge(spark, sf_dir):
 
 
 _VERSIONS = """with k as (select event_id, user_id as key, ts, case event_type when 'signup' then 'navigate' when 'view' then 'scan' when 'error' then 'remove' else 'answer' end as kind from events),
-  g as (select *, sum(case when kind = 'navigate' then 1 else 0 end) over (partition by key order by ts, event_id rows unbounded preceding) as generation from k),
-  s as (select *, last_value(case when kind = 'scan' then generation end ignore nulls) over w as s, last_value(case when kind = 'remove' then generation end ignore nulls) over w as r from g window w as (partition by key order by ts, event_id rows unbounded preceding))
-  select event_id, key, cast(generation as bigint) as generation, case when r = generation then 'gone' when s is null then 'not scanned' when s < generation then 'navigated' else 'current' end as verdict from s where kind = 'answer'"""
+  p as (select *, count(*) filter (kind = 'remove') over (partition by key order by ts, event_id rows between unbounded preceding and 1 preceding) as part from k),
+  l as (select *, epoch_ms(ts) - lag(epoch_ms(ts)) over w > 3 * 86400000 and count(*) filter (kind in ('navigate', 'scan')) over (w rows between unbounded preceding and 1 preceding) > 0 as late from p window w as (partition by key, part order by ts, event_id)),
+  f as (select *, sum(case when late then 1 else 0 end) over (partition by key, part order by ts, event_id rows unbounded preceding) as life from l),
+  g as (select *, count(*) filter (kind = 'navigate') over w as generation, count(*) filter (kind in ('navigate', 'scan')) over w as known from f window w as (partition by key, part, life order by ts, event_id rows unbounded preceding)),
+  s as (select *, last_value(case when kind = 'scan' then generation end ignore nulls) over (partition by key, part, life order by ts, event_id rows unbounded preceding) as s from g)
+  select event_id, key, case when known > 0 then generation end as generation, case when known = 0 then 'gone' when s is null then 'not scanned' when s < generation then 'navigated' else 'current' end as verdict from s where kind = 'answer'"""
+IDLE_MS = 3 * 86_400_000
 
 
 @job("version_check", _VERSIONS)
 def version_check(spark, sf_dir):
     t = F.col("event_type")
     kind = F.when(t == "signup", "navigate").when(t == "view", "scan").when(t == "error", "remove").otherwise("answer")
-    return ledgers.version_check(events(spark, sf_dir).withColumn("kind", kind))
+    return ledgers.version_check(events(spark, sf_dir).withColumn("kind", kind), IDLE_MS)
 
 
 @job("job_snapshot", """with l as (select user_id % 7 as run_id, user_id as job, ts, event_id, case event_type when 'view' then 'queued' when 'click' then 'running' else event_type end as state from events),
@@ -639,16 +645,31 @@ def file_inventory(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """The event table as a stream, and a folder for state and rows."""
-    schema = read(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return rows.select("event_id", F.col("user_id").alias("key"), "ts", "event_type"), work_folder(spark, "stream")
+    """The event table as a stream of five files, one a trigger, and a folder for state and rows.
+
+    Files follow each other in time, but a third of the rows of the last hour of each comes with the next. A sixth file has one event of no
+    key two days after all others, with which the watermark passes them.
+    """
+    path = work_folder(spark, "stream")
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    low, high = rows.agg(F.min("ts"), F.max("ts")).first()
+    span = F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1
+    slot = lambda t: F.floor((F.unix_micros(t) - F.unix_micros(F.lit(low))) * 5 / span).cast("int")
+    late = (F.col("event_id") % 3 == 0) & (slot(F.col("ts") + F.expr("interval 1 hour")) > slot(F.col("ts")))
+    rows = written(rows.withColumn("slot", slot(F.col("ts")) + late.cast("int")), "slots")
+    for i in range(6):
+        last = i == 5
+        part = rows.where(F.col("slot") >= i) if last else rows.where(F.col("slot") == i)
+        if last:
+            part = part.unionByName(rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("key"), F.lit(high + datetime.timedelta(days=2)).alias("ts"), F.lit("end").alias("event_type"), F.lit(5).alias("slot")))
+        part.drop("slot").coalesce(1).write.parquet(f"{path}/in/{i}")
+    return spark.readStream.schema(rows.drop("slot").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in"), path
 
 
 @job("stream_ledger", f"""select user_id as key, {DAY} as day, count(*) as used from events group by all""")
 def stream_ledger(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    out = streams.drained(spark, streams.day_counts(rows), path, "update")
+    out = streams.drained(spark, streams.day_counts(rows), path, "update").where("key is not null")
     return out.groupBy("key", F.col("day").cast("string").alias("day")).agg(F.max_by("used", "_batch").alias("used"))
 
 
@@ -657,15 +678,18 @@ def stream_ledger(spark, sf_dir):
   select key, cast(make_timestamp(start) as varchar) as start, n from c where n > 1""")
 def stream_rate(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    out = streams.drained(spark, streams.rate_alerts(rows, rpm=3, window="1 hour", slide="10 minutes"), path, "update")
+    out = streams.drained(spark, streams.rate_alerts(rows, rpm=3, window="1 hour", slide="10 minutes"), path, "update").where("key is not null")
     return out.groupBy("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")).agg(F.max_by("n", "_batch").alias("n"))
 
 
-@job("stream_dedupe", """select distinct user_id as key, event_type from events""")
+@job("stream_dedupe", """with recursive e as (select event_id, user_id || event_type as key, epoch_us(ts) // 1000 as ms, row_number() over (partition by user_id || event_type order by ts, event_id) as n from events),
+  r as (select key, event_id, ms, n from e where n = 1
+    union all select r.key, x.event_id, x.ms, x.n from r join lateral (select event_id, ms, n from e where e.key = r.key and e.n > r.n and e.ms - r.ms > 7200000 order by n limit 1) x on true)
+  select key, event_id from r""")
 def stream_dedupe(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    once = streams.admitted_once(rows.select("ts", "key", "event_type"), ["key", "event_type"])
-    return streams.drained(spark, once, path, "append").select("key", "event_type")
+    jobs = rows.select("event_id", F.concat(F.col("key").cast("string"), "event_type").alias("key"), "ts")
+    return streams.drained(spark, ordered.admitted_once(jobs, 7_200_000), path, "append").where("key is not null").select("key", "event_id")
 
 
 @job("stream_ttl", """with e as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as p from events),
@@ -673,7 +697,7 @@ def stream_dedupe(spark, sf_dir):
   select key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S') as expires_at, count(*) as n from i group by key, s""")
 def stream_ttl(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    out = streams.drained(spark, streams.lives(rows.select("key", "ts"), "6 hours"), path, "complete")
+    out = streams.drained(spark, streams.lives(rows.select("key", "ts"), "6 hours"), path, "complete").where("key is not null")
     last = out.join(out.agg(F.max("_batch").alias("_batch")), "_batch")
     return last.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"), "n")
 
@@ -683,7 +707,7 @@ def stream_versions(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
     t = F.col("event_type")
     kind = F.when(t == "signup", "navigate").when(t == "view", "scan").when(t == "error", "remove").otherwise("answer")
-    return streams.drained(spark, streams.versions(rows.withColumn("kind", kind)), path, "append").drop("_batch")
+    return streams.drained(spark, ordered.versions(rows.withColumn("kind", kind), IDLE_MS), path, "append").drop("_batch").where("key is not null")
 
 
 def queries() -> dict[str, Query]:

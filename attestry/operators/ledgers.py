@@ -87,27 +87,32 @@ def retention_purge(touches: DataFrame, now: str, days: int = 30) -> DataFrame:
     return last.where(F.col("last_used") < F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
-def version_check(events: DataFrame) -> DataFrame:
+def version_check(events: DataFrame, idle_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """Answers against the state of their frame at that moment: (event_id, key, generation, verdict).
 
-    events: (event_id, key, ts, kind) with kinds navigate (a new generation), scan, remove and answer. Verdict
-    of an answer: gone (removed after the last navigation), not scanned, navigated (the last scan is of an
-    earlier generation), or current.
+    events: (event_id, key, ts, kind) with kinds navigate (a new generation), scan, remove and answer. A frame is known from a
+    navigation or scan on, until it is removed or nothing is heard of it for `idle_ms`; generations count from there. Verdict of an
+    answer: gone (not known), not scanned, navigated (the last scan is of an earlier generation), or current.
     """
-    past = W.partitionBy("key").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    is_ = lambda k: F.col("kind") == k
-    generation = F.sum(F.when(is_("navigate"), 1).otherwise(0)).over(past)
-    seen = events.withColumn("generation", generation)
-    scanned = F.last(F.when(is_("scan"), F.col("generation")), ignorenulls=True).over(past)
-    removed = F.last(F.when(is_("remove"), F.col("generation")), ignorenulls=True).over(past)
-    out = seen.select("event_id", "key", "kind", "generation", scanned.alias("scanned"), removed.alias("removed")).where(is_("answer"))
-    verdict = (
-        F.when(F.col("removed") == F.col("generation"), "gone")
-        .when(F.col("scanned").isNull(), "not scanned")
-        .when(F.col("scanned") < F.col("generation"), "navigated")
-        .otherwise("current")
-    )
-    return out.select("event_id", "key", "generation", verdict.alias("verdict"))
+    by_time = W.partitionBy("key").orderBy("ts", "event_id")
+    is_ = lambda *k: F.col("kind").isin(*k)
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    # Lives end with a removal; what is not known doesn't begin one, so idleness counts between events of a known frame
+    seen = events.select("event_id", "key", "ts", "kind", ms.alias("ms"), F.coalesce(F.lag("kind").over(by_time) == "remove", F.lit(True)).alias("cut"))
+    seen = seen.withColumn("part", F.sum(F.col("cut").cast("int")).over(by_time))
+    of = W.partitionBy("key", "part").orderBy("ts", "event_id")
+    sofar = of.rowsBetween(W.unboundedPreceding, 0)
+    began = F.last(F.when(is_("navigate", "scan"), F.col("ms")), ignorenulls=True).over(of.rowsBetween(W.unboundedPreceding, -1))
+    late = (F.col("ms") - F.lag("ms").over(of) > idle_ms) & began.isNotNull()
+    seen = seen.withColumn("late", F.coalesce(late, F.lit(False))).withColumn("life", F.sum(F.col("late").cast("int")).over(sofar))
+    life = W.partitionBy("key", "part", "life").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    generation = F.sum(is_("navigate").cast("int")).over(life)
+    known = F.max(is_("navigate", "scan").cast("int")).over(life)
+    out = seen.select("event_id", "key", "part", "life", "ts", "kind", generation.alias("generation"), known.alias("known"))
+    scanned = F.last(F.when(is_("scan"), F.col("generation")), ignorenulls=True).over(life)
+    out = out.select("event_id", "key", "kind", "generation", "known", scanned.alias("scanned")).where(is_("answer"))
+    verdict = F.when(F.col("known") == 0, "gone").when(F.col("scanned").isNull(), "not scanned").when(F.col("scanned") < F.col("generation"), "navigated").otherwise("current")
+    return out.select("event_id", "key", F.when(F.col("known") == 1, F.col("generation")).cast("long").alias("generation"), verdict.alias("verdict"))
 
 
 def job_snapshot(log: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ time falls back in autumn.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +28,6 @@ def rate_alerts(requests: DataFrame, rpm: int, margin: int = 2, window: str = "6
     return counts.where(F.col("n") > max(1, rpm - margin)).select("key", F.col("w.start").alias("start"), "n")
 
 
-def admitted_once(jobs: DataFrame, keys: list[str]) -> DataFrame:
-    """Jobs (ts, keys...) of which each is let in once within the lateness."""
-    return jobs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(keys)
-
-
 def lives(touches: DataFrame, ttl: str) -> DataFrame:
     """(key, start, expires_at, n): cache entries of touches (key, ts); each touch extends an entry's life by `ttl`, and one
     that comes after it begins another. Append mode emits a life once the watermark has passed it, complete mode all."""
@@ -42,42 +36,22 @@ def lives(touches: DataFrame, ttl: str) -> DataFrame:
     return counts.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("expires_at"), "n")
 
 
-def versions(log: DataFrame) -> DataFrame:
-    """(event_id, key, generation, verdict) of answers in a log (event_id, key, ts, kind), as operators.ledgers.version_check says.
-
-    kind: navigate begins a generation, scan stores the current one, remove marks it gone, all else is an answer: current,
-    navigated, not scanned or gone. The state of a key is three numbers. Events of one trigger are taken in order of
-    ts and event_id; one that comes with a later trigger counts after those before it, as no answer is taken back.
-    """
-    out = "event_id bigint, key bigint, generation bigint, verdict string"
-
-    def run(key, batches, state):
-        generation, scanned, removed = state.get if state.exists else (0, -1, -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        found = []
-        for event, kind in zip(rows["event_id"], rows["kind"], strict=True):
-            if kind == "navigate":
-                generation += 1
-            elif kind == "scan":
-                scanned = generation
-            elif kind == "remove":
-                removed = generation
-            else:
-                verdict = "gone" if removed == generation else "not scanned" if scanned < 0 else "navigated" if scanned < generation else "current"
-                found.append((event, key[0], generation, verdict))
-        state.update((generation, scanned, removed))
-        yield pd.DataFrame(found, columns=["event_id", "key", "generation", "verdict"])
-
-    return log.groupBy("key").applyInPandasWithState(run, out, "generation bigint, scanned bigint, removed bigint", "append", "NoTimeout")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def drained(spark: SparkSession, stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """Runs the stream over what is there now and returns its final rows; state and rows lie under `path`."""
+    """Runs the stream over what is there now and returns its rows with the trigger that gave them, `_batch`; state and rows lie under `path`."""
     out = f"{path}/rows"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/b={number}")  # a repeated batch overwrites itself
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKSDB)  # what list states and timers are kept in
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(out).drop("b")

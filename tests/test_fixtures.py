@@ -62,7 +62,7 @@ def test_versions(spark):
     rows = [(1, "f", "2026-01-01 00:00:00", "answer"), (2, "f", "2026-01-01 00:00:01", "scan"), (3, "f", "2026-01-01 00:00:02", "answer"),
             (4, "f", "2026-01-01 00:00:03", "navigate"), (5, "f", "2026-01-01 00:00:04", "answer"), (6, "f", "2026-01-01 00:00:05", "remove"), (7, "f", "2026-01-01 00:00:06", "answer")]
     df = spark.createDataFrame(rows, "event_id long, key string, ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
-    assert [r.verdict for r in ledgers.version_check(df).orderBy("event_id").collect()] == ["not scanned", "current", "navigated", "gone"]
+    assert [r.verdict for r in ledgers.version_check(df).orderBy("event_id").collect()] == ["gone", "current", "navigated", "gone"]
 
 
 def test_keep_first_keeps_rows_without_key_and_is_idempotent(spark):
