@@ -53,7 +53,7 @@ def _encoder(blob: str, width: str, marks_as_text: bool) -> Encoder:
             return [np.array(x.ids, width).tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
         _made.clear()
-        _made[key] = Encoder(encode)
+        _made[key] = Encoder(encode, limit=600_000)
         _made[key].whole = each
     return _made[key]
 
