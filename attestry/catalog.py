@@ -550,12 +550,23 @@ def resolution_waterfall(spark, sf_dir):
     return questions.resolution_waterfall(_questions(spark, sf_dir), known, defaults, given)
 
 
-@job("evidence_agreement", """with e as (select o_custkey as a, lower(o_orderpriority) as v, o_orderkey from orders), g as (select a, count(distinct v) as n, count(distinct o_orderkey % 3) as files from e group by a)
-  select a as answer_id, n <= 1 as agree, files from g""")
+# Evidence of orders: the priority spelt out, and its initials from the same file or another; the documents of a third of the sets link them.
+
+@job("evidence_agreement", r"""with e as (select o_orderkey as id, o_custkey % 3 as s, o_orderkey % 4 as k, regexp_extract(o_orderpriority, '([A-Z])', 1) <> '' as lettered from orders)
+  select id as answer_id, case k when 0 then lettered when 1 then lettered and s = 0 when 2 then true else false end as agree, cast(case when k = 0 then 1 else 2 end as bigint) as files from e""")
 def evidence_agreement(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_custkey").alias("answer_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 3).alias("source"), F.col("o_orderpriority").alias("value"))
-    return questions.evidence_agreement(rows).select("answer_id", "agree", "files")
+    name = F.regexp_replace("o_orderpriority", "[^A-Za-z ]", "")
+    spelt = F.concat(F.lit("Office of "), F.trim(name), F.lit(" and Urgent Delivery"))
+    words = F.filter(F.split(F.lower(F.trim(name)), " +"), lambda w: w != "")
+    short = F.concat(F.lit("o"), F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), ""), F.lit("ud"))
+    k, row = F.col("o_orderkey") % 4, lambda i, source, value: F.struct(F.lit(i).cast("long").alias("seq"), F.lit(source).alias("source"), value.alias("value"))
+    told = F.when(k == 0, F.array(row(1, "cv.pdf", short), row(2, "cv.pdf", spelt))).when(k == 1, F.array(row(1, "cv.pdf", spelt), row(2, "b.pdf", F.upper(short)))).when(k == 2, F.array(row(1, "cv.pdf", spelt), row(2, "b.pdf", F.upper(spelt)))).otherwise(F.array(row(1, "cv.pdf", spelt), row(2, "b.pdf", F.lit("xyz"))))
+    orders = read(spark, sf_dir, "orders").withColumn("set_id", F.col("o_custkey") % 3)
+    rows = orders.select(F.col("o_orderkey").alias("answer_id"), "set_id", F.explode(told).alias("e")).select("answer_id", "set_id", "e.*")
+    far = F.when(F.col("set_id") == 0, F.lit(" (")).otherwise(F.lpad(F.lit(" "), 90, "."))
+    texts = orders.select("set_id", F.col("o_orderkey").alias("file_name"), F.concat(F.lit("At the "), F.upper(spelt), far, short, F.lit("), since 2001")).alias("text"))
+    links = questions.acronym_links(rows, texts.where("file_name % 4 = 2"))
+    return questions.evidence_agreement(rows, links).select("answer_id", "agree", "files")
 
 
 @job("commit_reviews", """with s as (select c_custkey as f, c_mktsegment as v from customer where c_custkey % 3 <> 0), r as (select c_custkey as f, case when c_custkey % 4 = 0 then ' ' when c_custkey % 4 = 1 then c_mktsegment else c_name end as v from customer where c_custkey % 2 = 0 or c_custkey % 4 = 1),

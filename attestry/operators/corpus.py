@@ -198,28 +198,54 @@ def grounding_check(claims: DataFrame, documents: DataFrame) -> DataFrame:
 STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "was", "are", "not", "yes", "no", "n/a", "na", "none")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters; none of a shorter text."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(parts: DataFrame, wholes: DataFrame, n: int) -> DataFrame:
+    """Of parts (set_id, part) those, of n characters or more, that some whole (set_id, whole) of their set contains; distinct.
+
+    A part is looked up by its rarest run of n characters among the wholes of its set, so it meets only wholes that have this run; one with a run that
+    no whole has meets none.
+    """
+    wanted = parts.where(F.length("part") >= n).distinct().withColumn("grams", _grams(F.col("part"), n))
+    runs = wanted.select("set_id", F.explode("grams").alias("gram")).distinct()
+    held = wholes.distinct().select("set_id", "whole", F.explode(_grams(F.col("whole"), n)).alias("gram")).join(runs, ["set_id", "gram"], "left_semi")
+    counts = held.groupBy("set_id", "gram").agg(F.count("*").alias("n"))
+    keyed = wanted.select("set_id", "part", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).join(counts, ["set_id", "gram"])
+    keyed = keyed.groupBy("set_id", "part", "n_grams").agg(F.count("*").alias("known"), F.min(F.struct("n", "gram"))["gram"].alias("gram")).where("known = n_grams")
+    return keyed.join(held, ["set_id", "gram"]).where(F.contains("whole", F.col("part"))).select("set_id", "part").distinct()
+
+
 def grounded_values(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """Which claims (claim_id, set_id, value) their set's texts support, by all rules: (claim_id, grounded, missing).
 
     Grounded is a value that a text contains after normalising; or with 5 digits or more that a text contains when
     both keep digits only; or whose tokens of more than 2 characters, stopwords aside, are all contained in the
     set's texts. missing has the first four tokens that are not. A blank value, and any value of a set without
-    text, is not grounded. Containment needs each value to meet the texts of its set.
+    text, is not grounded.
+
+    A text that contains a value contains its tokens, so the first rule follows from the third; and a token lies in one word of a text. So tokens
+    meet the set's vocabulary, and digits the digits of its texts, by equality or by runs of characters (see contained).
     """
     raw = F.coalesce("value", F.lit(""))
     norm = claims.select("claim_id", "set_id", tx.plain_words(raw).alias("v"), tx.digits_of(raw).alias("d"))
     text = F.coalesce("text", F.lit(""))
     texts = documents.select("set_id", tx.plain_words(text).alias("t"), tx.digits_of(text).alias("td")).where("t <> ''")
     values = norm.where("v <> ''").select("set_id", "v", "d").distinct()
-    whole = F.contains("t", F.col("v")) | ((F.length("d") >= 5) & F.contains("td", F.col("d")))
-    found = values.join(texts, "set_id").where(whole).select("set_id", "v", "d", F.lit(True).alias("whole")).distinct()
     split = F.filter(F.split("v", " "), lambda x: (F.length(x) > 2) & ~x.isin(*STOPWORDS))
     tokens = values.select("set_id", "v", "d", F.posexplode(split).alias("at", "token"))
-    wanted = tokens.select("set_id", "token").distinct()
-    held = wanted.join(texts, "set_id").where(F.contains("t", F.col("token"))).select("set_id", "token").distinct()
+    wanted = tokens.select("set_id", F.col("token").alias("part")).distinct()
+    vocabulary = texts.select("set_id", F.explode(F.array_distinct(F.split("t", " "))).alias("whole")).where("length(whole) > 2").distinct()
+    words = wanted.join(vocabulary.withColumn("part", F.col("whole")), ["set_id", "part"], "left_semi")
+    inside = contained(wanted.join(words, ["set_id", "part"], "left_anti"), vocabulary, 3)
+    held = words.unionByName(inside).select("set_id", F.col("part").alias("token"))
     absent = tokens.join(held, ["set_id", "token"], "left_anti").groupBy("set_id", "v", "d").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("absent"))
+    digits = contained(values.where("length(d) >= 5").select("set_id", F.col("d").alias("part")), texts.where("length(td) >= 5").select("set_id", F.col("td").alias("whole")), 5)
+    found = digits.select("set_id", F.col("part").alias("d"), F.lit(True).alias("digits"))
     known = texts.select("set_id", F.lit(True).alias("known")).distinct()
-    out = norm.join(found, ["set_id", "v", "d"], "left").join(absent, ["set_id", "v", "d"], "left").join(known, "set_id", "left")
-    grounded = (F.col("v") != "") & F.col("known").isNotNull() & (F.col("whole").isNotNull() | F.col("absent").isNull())
+    out = norm.join(found, ["set_id", "d"], "left").join(absent, ["set_id", "v", "d"], "left").join(known, "set_id", "left")
+    grounded = (F.col("v") != "") & F.col("known").isNotNull() & (F.col("digits").isNotNull() | F.col("absent").isNull())
     names = F.transform(F.slice(F.coalesce("absent", F.array().cast("array<struct<at:int,token:string>>")), 1, 4), lambda x: x["token"])
     return out.select("claim_id", grounded.alias("grounded"), F.when(grounded, F.array().cast("array<string>")).otherwise(names).alias("missing"))

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..rules import JOIN_WORDS
 from .facts import plausible
 from .similarity import assign, label_pairs
 
 # Least similarity of an answer's label to a question's, and of an attachment's.
 LABEL_MATCH, ATTACHMENT_MATCH = 0.55, 0.8
-# Words that acronyms leave out, and keys whose controls are lists of choices.
-JOIN_WORDS = ("and", "of", "the", "for", "in", "on", "with", "a", "an", "or", "to")
+# Keys whose controls are lists of choices.
 CHOICE_KEYS = ("dial_code", "dob_day", "dob_month", "dob_year", "country", "state", "gender", "nationality")
 
 
@@ -250,16 +250,16 @@ def attachment_match(questions: DataFrame, attachments: DataFrame) -> DataFrame:
     return questions.join(best.select(F.col("block").alias("form_id"), F.col("a").alias("q_id"), "a_id"), ["form_id", "q_id"], "left").select("form_id", "q_id", "a_id")
 
 
-def evidence_gate(evidence: DataFrame, answers: DataFrame) -> DataFrame:
+def evidence_gate(evidence: DataFrame, answers: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Answers (answer_id, status, value, confidence) after their evidence (answer_id, source, value, seq) was looked at.
 
     Only evidence from a file (a name with an extension) is cited. An answer without any needs input; one whose evidence
-    says different things is in conflict; files that agree raise the confidence; blank values need input.
+    says different things (see evidence_agreement, also for `links`) is in conflict; files that agree raise the confidence; blank values need input.
     """
     from .questions import evidence_agreement
 
     cited = evidence.where(F.trim(F.coalesce("source", F.lit(""))).rlike(r"\.[A-Za-z0-9]{2,5}$"))
-    told = evidence_agreement(cited).select("answer_id", "agree", "files")
+    told = evidence_agreement(cited, links).select("answer_id", "agree", "files")
     rows = answers.join(told, "answer_id", "left")
     empty = (F.col("status") == "needs_user_input") | (F.trim(F.coalesce("value", F.lit(""))) == "") | F.col("files").isNull()
     status = F.when(empty, "needs_user_input").when(~F.col("agree"), "conflicting_sources").otherwise(F.col("status"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import plain_words, similarity
+from ..rules import JOIN_WORDS
 from .similarity import similar_labels
 
 #: Patterns of declarations, in the order in which the first match wins.
@@ -85,22 +86,80 @@ def resolution_waterfall(questions: DataFrame, facts: DataFrame, defaults: DataF
     return joined.select("form_id", "q_idx", tier.alias("tier"), answer.alias("answer"))
 
 
-def evidence_agreement(evidence: DataFrame) -> DataFrame:
+# The longest acronym, and how near to its expansion a text writes an acronym that it links.
+ACRONYM, LINK_WINDOW = 6, 80
+
+
+def _said(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}+@]+", " "))
+
+
+def _initials(value: Column) -> Column:
+    """First letters of the words that join no others, without what stands in parentheses."""
+    words = F.filter(F.split(_said(F.regexp_replace(value, r"\([^)]*\)", " ")), " "), lambda w: (w != "") & ~w.isin(*JOIN_WORDS))
+    return F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")
+
+
+def acronym_links(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """(answer_id, link): pairs `acronym|expansion` among the values of an answer (answer_id, set_id, value) that a document of its set links.
+
+    A document (set_id, file_name, text) links them if it has the acronym as a word within LINK_WINDOW characters of the expansion, without regard to
+    case. Documents are found by words: those that hold the acronym and every word of the expansion, by joins on (set_id, word); only
+    their texts are searched.
+    """
+    values = evidence.select("answer_id", "set_id", _said(F.col("value")).alias("n"), _initials(F.col("value")).alias("initials"), F.trim(F.lower(F.regexp_replace("value", r"\s+", " "))).alias("phrase")).distinct()
+    short = values.where(~F.contains("n", F.lit(" ")) & F.length("n").between(1, ACRONYM)).select("answer_id", F.col("n").alias("acronym"))
+    pairs = values.where(F.contains("n", F.lit(" "))).select("answer_id", "set_id", F.col("initials").alias("acronym"), F.col("n").alias("expansion"), "phrase")
+    pairs = pairs.join(short.distinct(), ["answer_id", "acronym"])
+    wanted = pairs.select("set_id", "acronym", "expansion", "phrase").distinct()
+    needed = F.array_distinct(F.concat(F.array("acronym"), F.split("expansion", " ")))
+    words = wanted.select("set_id", "acronym", "expansion", "phrase", F.explode(needed).alias("word"), F.size(needed).alias("n_words"))
+    sought = words.select("set_id", "word").distinct()
+    held = documents.select("set_id", "file_name", F.explode(F.array_distinct(F.split(_said(F.coalesce("text", F.lit(""))), " "))).alias("word")).join(sought, ["set_id", "word"], "left_semi")
+    key = ["set_id", "acronym", "expansion", "phrase"]
+    files = words.join(held, ["set_id", "word"]).groupBy(*key, "n_words", "file_name").agg(F.countDistinct("word").alias("met")).where("met = n_words").select(*key, "file_name")
+    around = F.concat(F.lit("(?s)\\b"), F.col("acronym"), F.lit("\\b.{0,"), (F.lit(LINK_WINDOW) - F.length("acronym")).cast("string"), F.lit("}\\Q"), F.col("phrase"), F.lit("\\E|\\Q"), F.col("phrase"), F.lit("\\E.{0,"), (F.lit(LINK_WINDOW) - F.length("acronym")).cast("string"), F.lit("}\\b"), F.col("acronym"), F.lit("\\b"))
+    found = files.join(documents.select("set_id", "file_name", F.lower("text").alias("text")), ["set_id", "file_name"]).where(F.rlike("text", around)).select(*key).distinct()
+    return pairs.join(found, key).select("answer_id", F.concat_ws("|", "acronym", "expansion").alias("link")).distinct()
+
+
+def evidence_agreement(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(answer_id, agree, value, files): whether an answer's evidence says one thing.
 
-    Values are taken in order; equal or contained ones (without marks and case) are the same, the longest
-    spelling stays. More than one group is a conflict. evidence: (answer_id, seq, source, value).
+    Values are taken in order; equal or contained ones (without marks and case) are the same, the longest spelling stays. So are an acronym
+    and what it stands for, if all that says either is one file or if `links` (see acronym_links) has them: initials alone
+    may be of two things. More than one group is a conflict. Blank values say nothing. evidence: (answer_id, seq, source, value).
     """
-    norm = F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}+@]+", " ")
-    rows = evidence.select("answer_id", "source", F.struct("seq", F.trim(norm).alias("n"), "value").alias("e"))
-    same = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    longer = lambda a, b: F.when(F.length(b["n"]) > F.length(a["n"]), b).otherwise(a)
-    folded = F.aggregate(
-        F.sort_array(F.collect_list("e")),
-        F.array().cast("array<struct<seq:long,n:string,value:string>>"),
-        lambda groups, e: F.when(F.exists(groups, lambda g: same(g["n"], e["n"])), F.transform(groups, lambda g: F.when(same(g["n"], e["n"]), longer(g, e)).otherwise(g))).otherwise(F.concat(groups, F.array(e))),
-    )
-    out = rows.groupBy("answer_id").agg(folded.alias("groups"), F.countDistinct("source").alias("files"))
+    entry = F.struct("seq", _said(F.col("value")).alias("n"), "value", _initials(F.col("value")).alias("initials"), F.array(F.col("source").cast("string")).alias("files"))
+    rows = evidence.where(_said(F.coalesce("value", F.lit(""))) != "").select("answer_id", "source", entry.alias("e"))
+    told = rows.groupBy("answer_id").agg(F.sort_array(F.collect_list("e")).alias("said"), F.countDistinct("source").alias("files"))
+    none = F.array().cast("array<string>")
+    if links is None:
+        told = told.withColumn("links", none)
+    else:
+        told = told.join(links.groupBy("answer_id").agg(F.collect_list("link").alias("links")), "answer_id", "left").withColumn("links", F.coalesce("links", none))
+    seq = evidence.schema["seq"].dataType.simpleString()
+
+    def stands_for(short: Column, long: Column, one_file: Column) -> Column:
+        fits = ~F.contains(short["n"], F.lit(" ")) & (F.length(short["n"]) <= ACRONYM) & (long["initials"] == short["n"])
+        return fits & (one_file | F.array_contains("links", F.concat_ws("|", short["n"], long["n"])))
+
+    def same(g: Column, e: Column) -> Column:
+        one_file = (F.size(g["files"]) == 1) & (g["files"][0] == e["files"][0])
+        return F.contains(g["n"], e["n"]) | F.contains(e["n"], g["n"]) | stands_for(g, e, one_file) | stands_for(e, g, one_file)
+
+    def merged(g: Column, e: Column) -> Column:
+        longer = F.length(e["n"]) > F.length(g["n"])
+        pick = lambda c: F.when(longer, e[c]).otherwise(g[c]).alias(c)
+        return F.struct(g["seq"].alias("seq"), pick("n"), pick("value"), pick("initials"), F.array_union(g["files"], e["files"]).alias("files"))
+
+    def fold(groups: Column, e: Column) -> Column:
+        first = F.array_position(F.transform(groups, lambda g: same(g, e)), True)
+        joined = F.transform(groups, lambda g, i: F.when(i + 1 == first, merged(g, e)).otherwise(g))
+        return F.when(first > 0, joined).otherwise(F.concat(groups, F.array(e)))
+
+    folded = F.aggregate("said", F.array().cast(f"array<struct<seq:{seq},n:string,value:string,initials:string,files:array<string>>>"), fold)
+    out = told.withColumn("groups", folded)
     return out.select("answer_id", (F.size("groups") <= 1).alias("agree"), F.when(F.size("groups") == 1, F.col("groups")[0]["value"]).alias("value"), "files")
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Words that acronyms leave out.
+JOIN_WORDS = ("and", "of", "the", "for", "in", "on", "with", "a", "an", "or", "to")
+
 # Labels of "Label: value" rows (pattern, field), in order.
 LABELS = [
     (r"full\s*name|name in full", "name"),

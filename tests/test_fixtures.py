@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from attestry.functions import dates
-from attestry.operators import audits, corpus, facts, ledgers, pages
+from attestry.operators import audits, corpus, facts, ledgers, pages, similarity
 
 
 def test_dates_are_accepted_or_refused_with_a_reason(spark):
@@ -129,7 +129,7 @@ def test_values_are_grounded_by_every_rule(spark):
 
 def test_marks_do_not_count_for_the_length_of_labels(spark):
     labels = spark.createDataFrame([(1, "b", "Age"), (2, "b", "Age:*?!...;;"), (3, "b", "Name")], "id long, block string, label string")
-    assert [tuple(r) for r in audits.fuzzy_pairs(labels, 0.6).collect()] == [(1, 2, 1.0)]
+    assert [tuple(r) for r in similarity.fuzzy_pairs(labels, 0.6).collect()] == [(1, 2, 1.0)]
 
 
 def test_states_and_provenance(spark):
