@@ -383,6 +383,24 @@ def job_snapshot(spark, sf_dir):
     return ledgers.job_snapshot(log)
 
 
+_RUN_LOG = """select event_id, user_id % 50 as form_id, user_id % 50 + 1000 * (day(ts) // 3 + case when event_id % 17 = 0 then -1 else 0 end) as run_id, user_id as job, ts,
+  case event_type when 'signup' then 'start' when 'view' then 'queued' when 'click' then 'running' when 'error' then 'cancelled' else 'result' end as kind from {0}"""
+
+
+@job("job_results", f"""with l as ({_RUN_LOG.format("events")}),
+  w as (select *, last_value(case when kind = 'start' then run_id end ignore nulls) over (partition by form_id order by ts, event_id rows between unbounded preceding and 1 preceding) as live,
+    last_value(case when kind <> 'start' then kind end ignore nulls) over (partition by form_id, run_id, job order by ts, event_id rows between unbounded preceding and 1 preceding) as state from l)
+  select event_id, form_id, run_id, job, case when live is null then 'no run' when live <> run_id then 'superseded' when coalesce(state, '') <> 'running' then 'not running' else 'delivered' end as outcome from w where kind = 'result'""")
+def job_results(spark, sf_dir):
+    """Events as the log of forms' runs, a new run every three days."""
+    e = events(spark, sf_dir)
+    day = F.floor(F.dayofmonth("ts") / 3) + F.when(F.col("event_id") % 17 == 0, -1).otherwise(0)
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "start").when(t == "view", "queued").when(t == "click", "running").when(t == "error", "cancelled").otherwise("result")
+    form = F.col("key") % 50
+    return ledgers.job_results(e.select("event_id", form.alias("form_id"), (form + 1000 * day).alias("run_id"), F.col("key").alias("job"), "ts", kind.alias("kind")))
+
+
 @job("error_rollup", """with r as (select user_id % 3 as provider, case event_type when 'error' then 429 when 'view' then 500 when 'click' then 401 when 'signup' then 404 else 200 end as s, cast(floor(value) as bigint) as m from events)
   select provider, case s when 429 then 'rate limit' when 500 then 'server' when 401 then 'auth' when 404 then 'not found' else 'ok' end as kind, count(*) as n, max(s in (429, 500)) as retryable, max(m) as longest_retry_ms from r group by provider, s""")
 def error_rollup(spark, sf_dir):
@@ -471,21 +489,38 @@ def url_language_hint(spark, sf_dir):
     return pages.url_language_hint(read(spark, sf_dir, "pages"))
 
 
-@job("url_coverage", r"""with u as (select url, regexp_extract(url, '^([a-z]+)://', 1) as s, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as h from pages)
-  select s || '://' || h as origin, count(*) as n from u where not ((h = 'example.com' or ends_with(h, '.example.com')) and s = 'https') and not (h = 'example.org' or ends_with(h, '.example.org')) group by 1""")
+_PATTERNS = ["https://*.example.com/*", "*://*.example.org/en/*", "http://*.example.net/fr/*7", "HTTPS://thther.example.org", "no pattern", "*://*/es/4*.html"]
+
+
+@job("url_coverage", rf"""with p as (select regexp_extract(lower(unnest({_PATTERNS})), '^(\*|[a-z][a-z0-9+.-]*)://([^/]*)(/.*)?$', ['s', 'h', 'p']) as g),
+  q as (select g.s as s, g.h as h, '^' || replace(regexp_escape(case when g.p = '' then '/*' else g.p end), '\*', '.*') || '$' as re from p where g.s <> ''),
+  u as (select url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)', ['s', 'h', 'p']) as u from pages),
+  v as (select url, lower(u.s) as s, regexp_replace(lower(u.h), ':[0-9]+$', '') as h, case when u.p = '' then '/' else u.p end as p from u where u.s <> '')
+  select s || '://' || h as origin, count(*) as n from v where not exists (select 1 from q where (q.s = '*' or q.s = v.s) and (q.h = '*' or q.h = v.h or (starts_with(q.h, '*.') and (v.h = q.h[3:] or ends_with(v.h, q.h[2:])))) and regexp_matches(v.p, q.re)) group by 1""")
 def url_coverage(spark, sf_dir):
-    patterns = spark.createDataFrame([("https", "example.com"), ("*", "example.org")], "scheme string, suffix string")
+    patterns = spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string")
     return pages.url_coverage(read(spark, sf_dir, "pages").select("url"), patterns)
 
 
-@job("hierarchy_splice", """with n as (select 1 as depth, n_nationkey as id, n_regionkey as root, [n_nationkey] as p from nation),
-  a as (select 0 as depth, r_regionkey as id, r_regionkey as root, [-1, -1] as k from region union all select 1, id, root, [id, -1] from n
-    union all select 2, c_custkey, n_regionkey, [c_nationkey, c_custkey] from customer join nation on c_nationkey = n_nationkey)
-  select depth, id, root, row_number() over (partition by root order by k[1], k[2]) as position, false as orphan from a""")
+_NODES = """(select r_regionkey as id, cast(null as bigint) as parent, r_regionkey as ord from region union all select 1000000000 + n_nationkey, n_regionkey, 25 - n_nationkey from nation
+  union all select 2000000000 + c_custkey, 1000000000 + c_nationkey, case when c_custkey % 6 > 0 then c_custkey end from customer union all select 3000000000 + o_orderkey, 2000000000 + o_custkey + case when o_orderkey % 50 = 0 then 900000000 else 0 end, o_orderkey % 3 from orders
+  union all select 4000000000 + s_suppkey, case when s_suppkey % 10 < 2 then 4000000000 + s_suppkey + 1 - 2 * (s_suppkey % 2) when s_suppkey % 10 = 2 then 4000000000 + s_suppkey - 1 else 4000000000 + s_suppkey - 1 end, 1 from supplier)"""
+
+
+@job("hierarchy_splice", f"""with recursive t as materialized (select t.*, p.id is null and t.parent is not null as orphan from {_NODES} t left join (select id from {_NODES}) p on p.id = t.parent),
+  w as (select id, id as root, 0 as depth, orphan, ord, [[0, case when ord is null then 1 else 0 end, coalesce(ord, 0), id]] as path, parent from t where parent is null or orphan
+    union all select t.id, w.root, w.depth + 1, false, t.ord, list_append(w.path, [0, case when t.ord is null then 1 else 0 end, coalesce(t.ord, 0), t.id]), t.parent from w join t on t.parent = w.id)
+  select id, root, depth, row_number() over (partition by root order by path) as position, case when orphan then 'orphan' when ord is null and parent is not null then 'unplaced' end as note from w
+  union all select id, null, null, null, 'cycle' from t where id not in (select id from w)""")
 def hierarchy_splice(spark, sf_dir):
-    r, n, c = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    level = lambda d, i, p: d.select(F.col(i).cast("long").alias("id"), (F.col(p).cast("long") if p else F.lit(None).cast("long")).alias("parent"), F.col(i).cast("long").alias("ord"))
-    return pages.hierarchy_splice([level(r, "r_regionkey", None), level(n, "n_nationkey", "n_regionkey"), level(c, "c_custkey", "c_nationkey")])
+    """Regions, nations, customers, orders, some of them of unknown customers, and suppliers in chains that end in cycles of two."""
+    for t in ("region", "nation", "customer", "orders", "supplier"):
+        read(spark, sf_dir, t).createOrReplaceTempView(f"splice_{t}")
+    text = _NODES
+    for t in ("region", "nation", "customer", "orders", "supplier"):
+        text = text.replace(f"from {t}", f"from splice_{t}")
+    nodes = spark.sql(f"select * from {text}")
+    return pages.hierarchy_splice(nodes, lambda df: written(df, "splice"))
 
 
 @job("reading_order", """select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_tax = 0, case when l_tax <> 0 then round(l_quantity / 8) end, l_extendedprice, l_linenumber) as position from lineitem""")

@@ -126,6 +126,22 @@ def job_snapshot(log: DataFrame) -> DataFrame:
     return last.select("run_id", "job", "state", F.when(F.col("state") == "queued", place).cast("long").alias("position"))
 
 
+def job_results(log: DataFrame) -> DataFrame:
+    """What becomes of results (event_id, form_id, run_id, job, outcome) in a log (event_id, form_id, run_id, job, ts, kind).
+
+    kind: start begins a run of the form, which supersedes the one before; queued, running, cancelled change a job of a run; result delivers one.
+    outcome: delivered; superseded (another run is live at that time), not running (its job isn't, or was delivered before), no run (none
+    is live). Both are as-of lookups: the last start of the form, and the last change of the job, before the result by (ts, event_id).
+    """
+    is_ = lambda *k: F.col("kind").isin(*k)
+    before = lambda *by: W.partitionBy(*by).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    live = F.last(F.when(is_("start"), F.col("run_id")), ignorenulls=True).over(before("form_id"))
+    state = F.last(F.when(is_("queued", "running", "cancelled", "result"), F.col("kind")), ignorenulls=True).over(before("form_id", "run_id", "job"))
+    seen = log.withColumn("live", live).withColumn("state", state).where(is_("result"))
+    outcome = F.when(F.col("live").isNull(), "no run").when(F.col("live") != F.col("run_id"), "superseded").when(F.coalesce("state", F.lit("")) != "running", "not running").otherwise("delivered")
+    return seen.select("event_id", "form_id", "run_id", "job", outcome.alias("outcome"))
+
+
 def error_rollup(responses: DataFrame) -> DataFrame:
     """Responses (provider, status, retry_ms) by kind of error: (provider, kind, n, retryable, longest_retry_ms)."""
     s = F.col("status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,21 +11,38 @@ from pyspark.sql import Window as W
 from .corpus import numbered
 
 
-def url_coverage(urls: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Distinct origins of urls that no pattern covers: (origin, n). hosts: patterns (scheme, suffix), `*` any scheme.
+#: What is a URL with a host, and a pattern over such URLs.
+URL_PARTS = r"(?i)^([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+PATTERN_PARTS = r"(?i)^(\*|[a-z][a-z0-9+.-]*)://([^/]*)(/.*)?$"
+
 
-    A pattern `*.suffix` covers the suffix itself and every host under it; ports don't count. A host
-    meets patterns on its own suffixes, so the join is an equality.
+def url_coverage(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct origins of urls (url) that no pattern (pattern) covers: (origin, n).
+
+    Patterns are `scheme://host/path`, with `*` for any scheme or host, `*.suffix` for the suffix and every host under it, `*` in
+    paths for anything, no path for all paths, and `<all_urls>`. Ports don't count, other strings cover nothing. URLs without a host are covered: they
+    inherit access. A URL meets patterns by equality on (host or suffix, directory): a pattern is kept under the directory that its path
+    begins with before the first `*`, so only those whose literal beginning fits are tried as expressions.
     """
-    parts = urls.select(
-        "url", F.try_parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")
-    ).where(F.col("host").isNotNull())
-    labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = parts.select("url", "scheme", "host", F.explode(tails).alias("suffix"))
-    p = hosts.select("suffix", F.col("scheme").alias("wanted")).distinct()
-    covered = each.join(p, "suffix").where((F.col("wanted") == "*") | (F.col("wanted") == F.col("scheme"))).select("url").distinct()
-    missing = parts.join(covered, "url", "left_anti")
+    part = lambda c, p, i: F.lower(F.regexp_extract(c, p, i)) if i < 3 else F.regexp_extract(c, p, i)
+    host = lambda c, p: F.regexp_replace(part(c, p, 2), r":\d+$", "")
+    known = urls.where(F.col("url").rlike(URL_PARTS)).select("url", part("url", URL_PARTS, 1).alias("scheme"), host("url", URL_PARTS).alias("host"), F.regexp_extract("url", URL_PARTS, 3).alias("path"))
+    known = known.withColumn("path", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
+    distinct = known.select("scheme", "host", "path").distinct()
+    labels, pieces = F.split("host", r"\."), F.split("path", "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    hosts = F.concat(F.array(F.lit("*"), F.col("host")), tails)
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(pieces, 1, i), "/"), F.lit("/")))
+    each = distinct.select("*", F.explode(hosts).alias("at")).select("*", F.explode(folders).alias("folder"))
+    p = patterns.select(F.when(F.col("pattern") == "<all_urls>", "*://*/*").otherwise(F.col("pattern")).alias("pattern")).where(F.col("pattern").rlike(PATTERN_PARTS)).distinct()
+    path = F.regexp_extract("pattern", PATTERN_PARTS, 3)
+    p = p.select(part("pattern", PATTERN_PARTS, 1).alias("wanted"), host("pattern", PATTERN_PARTS).alias("at"), F.when(path == "", "/*").otherwise(path).alias("glob"))
+    literal = F.substring_index("glob", "*", 1)
+    folder = F.left(literal, F.length(literal) - F.length(F.substring_index(literal, "/", -1)))
+    expression = F.concat(F.lit("(?s)^\\Q"), F.replace("glob", F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
+    p = p.select("wanted", F.regexp_replace("at", r"^\*\.", ".").alias("at"), folder.alias("folder"), expression.alias("expression"))
+    covered = each.join(p, ["at", "folder"]).where(((F.col("wanted") == "*") | (F.col("wanted") == F.col("scheme"))) & F.rlike("path", F.col("expression")))
+    missing = known.join(covered.select("scheme", "host", "path").distinct(), ["scheme", "host", "path"], "left_anti")
     return missing.groupBy(F.concat("scheme", F.lit("://"), "host").alias("origin")).agg(F.count("*").alias("n"))
 
 
@@ -33,24 +52,39 @@ def url_language_hint(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.when(code != "", code).alias("language"))
 
 
-def hierarchy_splice(levels: list[DataFrame]) -> DataFrame:
-    """Depth-first order of a forest: every node right after its parent and earlier siblings' subtrees.
+def hierarchy_splice(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Depth-first order of a forest of any depth: every node right after its parent and earlier siblings' subtrees.
+
+    nodes: (id, parent, ord), ids unique, roots with a null parent. Returns (id, root, depth, position, note), position within the tree of
+    `root`. Siblings follow each other by ord, then id; those without ord come last, noted `unplaced`. A node whose parent isn't there
+    is a root, noted `orphan`. Nodes that hang on a cycle have neither root nor position and are noted `cycle`.
 
-    levels: from the roots down, each (id, parent, ord); ids are unique within a level, roots have a null
-    parent. Returns (depth, id, root, position, orphan). A node's sort key is the path of (ord, id) from its root, one
-    join for each level. A node whose parent isn't there is no less listed: it is a root of its own, flagged `orphan`.
+    Pointers double: each round a node takes over its pointer's pointer, so that depth d takes log2(d) rounds of one join each, and what
+    still has a pointer after log2(nodes) rounds hangs on a cycle. Paths are put together in the same way after that, for the others
+    only. `keep` writes a round's table.
     """
-    path = levels[0].select("id", F.array(F.struct(F.lit(0).alias("depth"), "ord", "id")).alias("path"))
-    every = path.select(F.lit(0).alias("depth"), "id", "path", F.lit(False).alias("orphan"))
-    for depth, level in enumerate(levels[1:], 1):
-        up = path.select(F.col("id").alias("parent"), F.col("path").alias("above"))
-        own = F.array(F.struct(F.lit(depth).alias("depth"), "ord", "id"))
-        joined = level.join(up, "parent", "left")
-        path = joined.select("id", F.when(F.col("above").isNull(), own).otherwise(F.concat("above", own)).alias("path"), F.col("above").isNull().alias("orphan"))
-        every = every.unionByName(path.select(F.lit(depth).alias("depth"), "id", "path", "orphan"))
-    root = F.col("path")[0]
-    rooted = every.withColumn("root", root["id"]).withColumn("tree", F.struct(root["depth"].alias("depth"), root["id"].alias("id")))
-    return numbered(rooted, "tree", "path", "position").select("depth", "id", "root", "position", "orphan")
+    ids = nodes.select(F.col("id").alias("known"))
+    rows = nodes.join(ids, F.col("parent") == F.col("known"), "left").select("id", "parent", "ord", F.col("known").alias("up"))
+    rows = keep(rows)
+    total, rounds = rows.count(), 0
+    hops = rows.select("id", "up")
+    while not hops.where("up is not null").isEmpty() and 1 << rounds <= total:
+        step = hops.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        hops, rounds = keep(hops.join(step, "up", "left").select("id", F.col("next").alias("up"))), rounds + 1
+    cyclic = hops.where("up is not null").select("id")
+    key = F.array(F.struct(F.col("ord").isNull().alias("unplaced"), F.coalesce("ord", F.lit(0)).alias("ord"), "id"))
+    note = F.when(F.col("parent").isNotNull() & F.col("up").isNull(), "orphan").when(F.col("parent").isNotNull() & F.col("ord").isNull(), "unplaced")
+    paths = keep(rows.join(cyclic, "id", "left_anti").select("id", "up", note.alias("note"), key.alias("path")))
+    for _ in range(rounds):
+        if paths.where("up is not null").isEmpty():
+            break
+        step = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        joined = paths.join(step, "up", "left")
+        paths = keep(joined.select("id", F.col("next").alias("up"), "note", F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path")))
+    rooted = keep(paths.select("id", F.col("path")[0]["id"].alias("root"), (F.size("path") - 1).alias("depth"), "note", "path"))
+    placed = numbered(rooted, "root", "path", "position").select("id", "root", "depth", "position", "note")
+    lost = rows.join(cyclic, "id", "left_semi").select("id", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("root", "depth", "position")], F.lit("cycle").alias("note"))
+    return placed.unionByName(lost)
 
 
 def reading_order(items: DataFrame, by: str) -> DataFrame:

@@ -139,9 +139,21 @@ def test_states_and_provenance(spark):
 
 
 def test_url_patterns(spark):
-    urls = spark.createDataFrame([("https://jobs.workday.com/x",), ("https://workday.com:8080/",), ("https://notworkday.com/",), ("http://a.org/",)], "url string")
-    hosts = spark.createDataFrame([("https", "workday.com")], "scheme string, suffix string")
-    assert sorted(r.origin for r in pages.url_coverage(urls, hosts).collect()) == ["http://a.org", "https://notworkday.com"]
+    cases = [
+        ("https://jobs.workday.com/x", "https://*.workday.com/*", True), ("https://workday.com:8080/", "https://*.workday.com", True), ("https://notworkday.com/", "https://*.workday.com/*", False), ("http://a.workday.com/", "https://*.workday.com/*", False),
+        ("http://a.org/", "*://a.org/*", True), ("http://b.a.org/", "*://a.org/*", False), ("HTTP://A.org", "*://a.org/*", True), ("http://a.org/x/y?q", "*://*/x/*", True), ("http://a.org/xx", "*://*/x/*", False), ("http://a.org/a.b", "*://a.org/a.b", True),
+        ("http://a.org/aXb", "*://a.org/a.b", False), ("http://a.org/a/b/c", "*://*.org/*/c", True), ("http://a.org/a/b/d", "*://*.org/*/c", False), ("http://a.org/", "<all_urls>", True), ("about:blank", "x", True), ("http://a.org/", "nonsense", False), ("http://a.org:1/", "http://a.org:2/*", True),
+    ]
+    for url, pattern, covered in cases:
+        left = pages.url_coverage(spark.createDataFrame([(url,), (None,)], "url string"), spark.createDataFrame([(pattern,)], "pattern string")).collect()
+        assert (not left) == covered, (url, pattern)
+
+
+def test_results_of_superseded_runs_are_told_apart(spark):
+    rows = [("r0", "j", 0, "result"), ("r1", "", 1, "start"), ("r1", "j", 2, "queued"), ("r1", "j", 3, "result"), ("r1", "j", 4, "running"), ("r1", "j", 5, "result"), ("r1", "j", 6, "result"), ("r1", "k", 7, "running"), ("r2", "", 8, "start"), ("r1", "k", 9, "result"), ("r2", "m", 10, "running"), ("r2", "m", 11, "cancelled"), ("r2", "m", 12, "result")]
+    log = spark.createDataFrame([(i, "f", *r) for i, r in enumerate(rows)] + [(99, "g", "r1", "k", 9, "result")], "event_id long, form_id string, run_id string, job string, ts long, kind string")
+    got = {r.event_id: r.outcome for r in ledgers.job_results(log).collect()}
+    assert got == {0: "no run", 3: "not running", 5: "delivered", 6: "not running", 9: "superseded", 12: "not running", 99: "no run"}
 
 
 def test_evidence_agrees_or_conflicts(spark):

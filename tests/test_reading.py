@@ -55,10 +55,35 @@ def test_file_names_of_any_kind_are_ordered(spark):
     assert {(r.field, r.value, r.corroboration, r.source) for r in found} == {("email", "a@b.org", 2, "cv.txt"), ("phone", "+44 20 7946 0000", 1, "cv.txt")}
 
 
-def test_orphans_are_listed(spark):
-    schema = "id long, parent long, ord long"
-    out = pages.hierarchy_splice([spark.createDataFrame([(1, None, 0)], schema), spark.createDataFrame([(2, 1, 0), (3, 9, 0)], schema), spark.createDataFrame([(4, 3, 0)], schema)])
-    assert sorted((r.depth, r.id, r.root, r.position, r.orphan) for r in out.collect()) == [(0, 1, 1, 1, False), (1, 2, 1, 2, False), (1, 3, 3, 1, True), (2, 4, 3, 2, False)]
+def test_forests_of_any_depth(spark):
+    import random
+
+    rng = random.Random(1)
+    chain = [(i, i - 1 if i else None, 0) for i in range(300)]
+    bushy = [(1000 + i, 1000 + rng.randrange(i) if i else None, rng.choice([0, 1, 2, None])) for i in range(120)]
+    odd = [(5000, 9999, 1), (5001, 5000, 1), (6000, 6001, 1), (6001, 6002, 1), (6002, 6000, 1), (6003, 6001, 1), (7000, 7000, 1)]
+    nodes = chain + bushy + odd
+    rng.shuffle(nodes)
+    keep = lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema)
+    got = {r.id: (r.root, r.depth, r.position, r.note) for r in pages.hierarchy_splice(spark.createDataFrame(nodes, "id long, parent long, ord long"), keep).collect()}
+    ids, below = {n[0] for n in nodes}, {}
+    for i, p, o in nodes:
+        below.setdefault(p, []).append((o is None, o or 0, i))
+    want = {}
+
+    def walk(root, note):
+        stack, at = [(root, 0, note)], 0
+        while stack:
+            i, depth, note = stack.pop()
+            at += 1
+            want[i] = (root, depth, at, note)
+            stack += [(c, depth + 1, "unplaced" if none else None) for none, _, c in sorted(below.get(i, []), reverse=True)]
+
+    for i, p, _ in nodes:
+        if p is None or p not in ids:
+            walk(i, None if p is None else "orphan")
+    want |= {i: (None, None, None, "cycle") for i in ids if i not in want}
+    assert got == want and sum(n == "cycle" for *_, n in want.values()) == 5
 
 
 def test_fields_of_html(spark):
