@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .catalog import events, job, read, written
 from .operators import audits, forms, ledgers, matching, questions, similarity
+from .plans import resolution
 from .sources import html
 
 
@@ -332,3 +333,41 @@ def quota_window_class(spark, sf_dir):
         .when(k == 3, "free_tier limit").when(k == 4, "free tier").when(k == 5, "slow down")
     )
     return ledgers.quota_window_class(e.select(F.col("event_id").alias("id"), body.alias("body"), F.when(k == 3, v * 1000).alias("retry_ms")))
+
+
+# Nine questions for each customer, whose facts, dossiers, answers and files follow the customer's number
+
+
+@job("resolve_questions", """with c as (select c_custkey as k, c_mktsegment as m, 'Town of ' || c_mktsegment as town from customer),
+  r as (select k, 0 as q, 'facts' as tier, case when k % 4 < 3 then 'from documents' end as state, town as answer, 'cv.pdf' as source, ['x'] as refused from c where k % 4 < 3
+    union all select k, 0, 'retry', 'error', null, null, ['facts: no fact', 'declaration: none', 'supplied: no answer'] from c where k % 4 = 3
+    union all select k, 1, 'facts', case k % 3 when 0 then 'from documents' else 'needs input' end, case k % 3 when 0 then 'Male' end, case k % 3 when 0 then 'cv.pdf' end, ['x'] from c
+    union all select k, 2, 'declaration', 'draft', 'Yes', null, ['facts: no key'] from c union all select k, 3, 'declaration', 'needs input', null, null, ['facts: no key'] from c
+    union all select k, 4, 'manual', 'manual only', null, null, [] from c union all select k, 5, 'file', case when k % 2 = 0 then 'file matched' else 'needs input' end, case when k % 2 = 0 then k || '.pdf' end, null, [] from c
+    union all select k, 6, case when k % 5 = 4 then 'retry' else 'supplied' end, case k % 5 when 0 then 'from documents' when 1 then 'conflict' when 4 then 'error' else 'needs input' end, case k % 5 when 0 then m end, case k % 5 when 0 then 'a.pdf,b.pdf' end,
+      case when k % 5 = 4 then ['facts: no key', 'declaration: none', 'supplied: no answer'] else ['facts: no key', 'declaration: none'] end from c
+    union all select k, 7, 'grid', 'needs input', null, null, [] from c
+    union all select k, 8, 'facts', case when k % 4 = 2 then 'conflict' else 'from documents' end, case k % 4 when 0 then m when 1 then m || ' Holdings' when 3 then m end, case k % 4 when 0 then 'form.txt' when 1 then 'sheet.pdf' when 3 then 'form.txt' end, ['x'] from c)
+  select k as form_id, q as q_idx, tier, state, answer, source, case when tier = 'facts' then [] else refused end as refused from r""")
+def resolve_questions(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    k, m = F.col("c_custkey"), F.col("c_mktsegment")
+    row = lambda cols, *rows: c.select(k.alias("k"), F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("k", *[F.col(f"x.{i}").alias(i) for i in cols.split()])
+    ask = lambda i, key, label, kind, manual=False, choice=False: F.struct(F.lit(i).alias("q_idx"), F.lit(key).cast("string").alias("key"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.lit(manual).alias("manual_only"), F.lit(choice).alias("is_choice"), (F.array(F.lit("Male"), F.lit("Female")) if choice else F.array().cast("array<string>")).alias("options"))
+    asked = row(
+        "q_idx key label kind manual_only is_choice options", ask(0, "city", "City", "short_answer"), ask(1, "gender", "Gender", "dropdown", choice=True), ask(2, None, "I hereby certify that this is true", "short_answer"), ask(3, None, "Any conflict of interest?", "paragraph"),
+        ask(4, "name", "Password", "short_answer", manual=True), ask(5, None, "Upload your transcript", "file_upload"), ask(6, None, "Tell us more", "paragraph"), ask(7, None, "Rate us", "multiple_choice_grid"), ask(8, "employer", "Employer", "short_answer"),
+    ).withColumn("form_id", F.col("k")).withColumnRenamed("k", "set_id")
+    fact = lambda ok, field, value, source, rank: F.when(ok, F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(source).alias("source"), F.lit("high").alias("confidence"), F.lit(1).alias("seq"), F.lit(rank).alias("rule_rank")))
+    known = row(
+        "field value source confidence seq rule_rank", fact(k % 4 < 3, "city", F.concat(F.lit("Town of "), m), "cv.pdf", 3), fact(k % 3 == 0, "gender", F.lit("male "), "cv.pdf", 3),
+        fact(k % 3 == 1, "gender", F.lit("undisclosed"), "cv.pdf", 3), fact(F.lit(True), "employer", m, "form.txt", 4),
+    ).withColumnRenamed("k", "set_id")
+    other = F.when(k % 4 == 0, F.lower(m)).when(k % 4 == 1, F.concat(m, F.lit(" Holdings"))).otherwise("Zzz")
+    dossier = c.select(k.alias("set_id"), F.lit("employer").alias("key"), other.alias("value"), F.lit("sheet.pdf").alias("source"), F.when(k % 4 == 2, "high").otherwise("low").alias("confidence"))
+    defaults = spark.createDataFrame([("certification", "Yes")], "declaration string, value string")
+    given = c.where("c_custkey % 5 < 4").select(k.alias("form_id"), F.lit(6).alias("q_idx"), F.lit("answered").alias("status"), F.when(k % 5 == 3, " ").otherwise(m).alias("value"), F.lit("low").alias("confidence"))
+    said = lambda source, value, seq: F.struct(source.alias("source"), value.alias("value"), F.lit(seq).cast("long").alias("seq"))
+    proof = row("source value seq", said(F.when(k % 5 == 2, "memory").otherwise("a.pdf"), m, 1), said(F.when(k % 5 == 2, "talk").otherwise("b.pdf"), F.when(k % 5 == 1, F.lit("something else")).otherwise(F.lower(m)), 2)).withColumnRenamed("k", "form_id").withColumn("q_idx", F.lit(6))
+    files = c.where("c_custkey % 2 = 0").select(k.alias("form_id"), F.lit(5).alias("q_idx"), F.concat(k.cast("string"), F.lit(".pdf")).alias("file_name"), F.lit("high").alias("confidence"))
+    return resolution.resolve_questions(asked, known, dossier, defaults, given, proof, files)
