@@ -234,7 +234,7 @@ class _Reader(HTMLParser):
         yield _tidy(at.get("placeholder"))
         for key in ("title", "data-label", "data-field-label", "data-testid"):
             value = _tidy(at.get(key))
-            yield "" if key == "data-testid" and re.fullmatch(r"(?i)input|field|control", value) else _pretty(value)
+            yield "" if key == "data-testid" and re.match(r"(?i)(?:input|field|control)$", value) else _pretty(value)
         yield _tidy("".join(self.texts[slice(*f["near"])])) if f["near"] else ""
         yield _tidy(at.get("aria-description")) or self._pointed(at.get("aria-describedby", ""))
         yield _pretty(at.get("name") or at.get("id") or "")
