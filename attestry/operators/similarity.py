@@ -92,14 +92,14 @@ def fuzzy_pairs(labels: DataFrame, threshold: float = 0.8, tile: int = TILE) ->
 def assign(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame], block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """Greedy one-to-one assignment of pairs (block, a, b, score): highest score first, smaller a then b on ties.
 
-    Blocks of few pairs are gone through in that order, each in one task. In others every round takes the pairs that are best for both
+    Blocks of few pairs are gone through in that order as they stream by, each in one task. In others every round takes the pairs that are best for both
     sides, which is what the greedy order would take, and drops all others of either side; `keep` writes a round's tables. There are as many rounds
     as the longest chain of pairs that each share a side with the next and fall in that order.
     """
     pairs = keep(pairs.select("block", "a", "b", "score"))
     large = keep(pairs.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_pairs).select("block"))
-    small = pairs.join(large, "block", "left_anti").groupBy("block").applyInArrow(_greedy, pairs.schema)
-    taken, left = [small], keep(pairs.join(large, "block", "left_semi"))
+    small = pairs.join(large, "block", "left_anti").repartition("block").sortWithinPartitions("block", F.desc("score"), "a", "b")
+    taken, left = [keep(small.mapInArrow(_greedy, pairs.schema))], keep(pairs.join(large, "block", "left_semi"))
     order = F.struct((-F.col("score")).alias("s"), "a", "b")
     while not left.isEmpty():
         by_a = left.groupBy("block", "a").agg(F.min(order).alias("x")).select("block", "a", F.col("x.b").alias("b"))
@@ -113,16 +113,16 @@ def assign(pairs: DataFrame, keep: Callable[[DataFrame], DataFrame], block_pairs
     return out
 
 
-def _greedy(block: pa.Table) -> pa.Table:
-    block = block.sort_by([("score", "descending"), ("a", "ascending"), ("b", "ascending")])
-    used_a, used_b = set(), set()
-
-    def free(rows: Iterator[tuple]) -> Iterator[bool]:
-        for a, b in rows:
-            ok = a not in used_a and b not in used_b
-            if ok:
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by block and in the greedy order those whose sides are free when they come."""
+    block, used_a, used_b = None, set(), set()
+    for batch in batches:
+        free = []
+        for at, a, b in zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b")), strict=True):
+            if at != block:
+                block, used_a, used_b = at, set(), set()
+            free.append(a not in used_a and b not in used_b)
+            if free[-1]:
                 used_a.add(a)
                 used_b.add(b)
-            yield ok
-
-    return block.filter(pa.array(free(zip(block.column("a").to_pylist(), block.column("b").to_pylist(), strict=True)), pa.bool_()))
+        yield batch.filter(pa.array(free, pa.bool_()))
