@@ -17,10 +17,12 @@ are the join keys. A single token would do with a shorter prefix, but the number
 frequent-enough token grows with the input, and their pairs with its square; two neighbours are rarely
 shared by chance.
 
-Pairs. Each key's lines meet one line of the key (its hub); lines that no hub removed meet the earlier lines of their
-keys. Pairs must pass the length bound, the positional bound, and a parity bound (sets differ in at
-least as many tokens as parities of hashed tokens do) before whole sets are compared. No group is expanded into
-all its pairs, and keys of very many lines are set apart so that no task gathers them.
+Pairs. Each key's sets meet one set of the key, its hub: that which most lines have (by powers of two), since what
+copies were made of is near to all of them, while two copies may each have their own changes. Sets that no hub removed meet a
+second hub, the earliest other set of the key. Those that are still there meet the earlier sets of their keys, once for each run of neighbouring keys that both have: at a key whose predecessor in both sets is the
+same key they have met already. Pairs must pass the length bound, the positional bound, and a parity bound (sets differ in at
+least as many tokens as parities of hashed tokens do) before whole sets are compared. Keys of very many
+sets are set apart so that no task gathers them.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from .common import BROADCAST_ROWS, forget, fresh, release, small_side, written
 #: So many tokens at most have a rank of their own, in a table that every task holds.
 RANKED = (1 << 12) - 1
 _SLOTS, _RANK_BITS = 1 << 14, 12
-#: Bits of a number that tell sets apart (partition and row), and the largest position beside it.
-SET_BITS, MAX_PLACE = 52, (1 << 11) - 1
+#: Bits of a number that tell sets apart (partition and row), of a position, and the largest position; the rest orders sets by their lines.
+SET_BITS, PLACE_BITS, MAX_PLACE, _CLASSES = 52, 7, (1 << 7) - 1, 15
+#: Sets of more tokens spread their parities over two numbers.
+LARGE = 100
 #: A key that this part of a sample of all sets shares is set apart. There are at most HOT_PART * keys a set of them.
 HOT_PART, _SAMPLE = 256, 64
 
@@ -117,7 +121,7 @@ def _codes(hashes: str, table: Column) -> Column:
 
 def _coded(lines: DataFrame, table: Column, shingle_words: int) -> DataFrame:
     """lines that have words, with their `codes` in place of `line`."""
-    at = lines.withColumn("words", line_words(F.col("line"))).where(F.size("words") > 0)
+    at = lines.where(F.trim("line") != "").withColumn("words", line_words(F.col("line")))
     return at.withColumn("hashes", _hashes("words", shingle_words)).withColumn("codes", _codes("hashes", table)).drop("line", "words", "hashes")
 
 
@@ -126,21 +130,26 @@ def _overlap(percent: int) -> Column:
     return F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _parity(codes: str, half: int) -> Column:
-    """64 of 128 places: whether an odd number of codes falls on each, by seven bits of their hash."""
+def _parities(codes: str) -> list[Column]:
+    """Whether an odd number of codes falls on each of 64 places: v0 by six bits of them; v1 by six others, or for large sets by the first six, over half the codes."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-    def bit(h: Column) -> Column:
-        place = F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-        return F.when(h.bitwiseAND(F.lit(64).cast("long")) == 64 * half, place).otherwise(none)
-
-    return F.aggregate(codes, none, lambda bits, h: bits.bitwiseXOR(bit(h)))
+    mask = lambda n: F.lit(n).cast("long")
+    flip = lambda place: lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, place(h).bitwiseAND(mask(63)).cast("int")))
+    first = flip(lambda h: h)
+    half = F.filter(codes, lambda h: h.bitwiseAND(mask(64)) != 0)
+    v1 = F.when(F.size(codes) > LARGE, F.aggregate(half, none, first)).otherwise(F.aggregate(codes, none, flip(lambda h: F.shiftright(h, 6))))
+    return [F.aggregate(codes, none, first).alias("v0"), v1.alias("v1")]
 
 
 def _may_match(percent: int) -> Column:
-    """Length bound; and parity bound: no more differences than the sizes allow."""
+    """Length bound; and parity bound: no more differences than the sizes allow, by either number, or for large sets by both halves' sum."""
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    apart = F.bit_count(F.col("v0a").bitwiseXOR(F.col("v0b"))) + F.bit_count(F.col("v1a").bitwiseXOR(F.col("v1b")))
+    v0, v1 = F.col("v0a").bitwiseXOR(F.col("v0b")), F.col("v1a").bitwiseXOR(F.col("v1b"))
+    apart = (
+        F.when(F.least("na", "nb") > LARGE, F.bit_count(v0.bitwiseXOR(v1)) + F.bit_count(v1))
+        .when(F.greatest("na", "nb") > LARGE, F.bit_count(v0))
+        .otherwise(F.greatest(F.bit_count(v0), F.bit_count(v1)))
+    )
     return sized & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
@@ -165,7 +174,7 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     reach = F.floor(n * (200 - 2 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 2
     wide = written(
         _coded(_split(docs), table, shingle_words).select(
-            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), _parity("codes", 0).alias("v0"), _parity("codes", 1).alias("v1"),
+            "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), *_parities("codes"),
             # Neighbours are hashed in pairs later; here 32 bits of each token are enough.
             F.transform(F.slice("codes", 1, reach), lambda c: F.hash(c)).alias("prefix"),
         ),
@@ -173,18 +182,23 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     )
     lines = written(wide.select("doc_id", "text_key", "line_no", "k1", "k2"), "lines")
     place = F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
-    sets = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("n", "v0", "v1", "prefix")])
-    sets = written(sets.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
+    sets = wide.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "v0", "v1", "prefix")])
+    rare = _CLASSES - F.least(F.length(F.bin("lines")), F.lit(_CLASSES))  # 0 for the sets that most lines have
+    sets = written(sets.withColumn("rare", rare).drop("lines").withColumn("sid", F.monotonically_increasing_id()), "line-sets")
     forget(wide)
     release(docs.sparkSession)
 
+    key_at = lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1))
+
     def keys(some: DataFrame) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(0), F.size("prefix") - 2), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
-        # Set and position share a number, for narrow rows. A position beyond the limit has no bound.
-        rows = some.where(F.size("prefix") > 1).select("sid", F.posexplode(pairs).alias("p", "key"))
-        return rows.select("key", F.shiftleft(F.least("p", F.lit(MAX_PLACE)).cast("long"), SET_BITS).bitwiseOR(F.col("sid")).alias("set_place"))
+        pairs = F.transform(F.sequence(F.lit(0), F.size("prefix") - 2), key_at)
+        # Rarity, position and set share a number, for narrow rows; the least of a key is its hub. A position beyond the limit has no bound.
+        rows = some.where(F.size("prefix") > 1).select("sid", "rare", F.posexplode(pairs).alias("p", "key"))
+        high = F.shiftleft(F.col("rare"), PLACE_BITS).bitwiseOR(F.least("p", F.lit(MAX_PLACE)))
+        return rows.select("key", F.shiftleft(high.cast("long"), SET_BITS).bitwiseOR(F.col("sid")).alias("set_place"))
 
-    sid, place_of = F.col("set_place").bitwiseAND(F.lit((1 << SET_BITS) - 1).cast("long")), F.shiftright("set_place", SET_BITS)
+    sid = F.col("set_place").bitwiseAND(F.lit((1 << SET_BITS) - 1).cast("long"))
+    place_of = F.shiftright("set_place", SET_BITS).bitwiseAND(F.lit(MAX_PLACE).cast("long"))
 
     sampled = sets.where(F.pmod("k1", F.lit(_SAMPLE)) == 0)
     least = max(64, sampled.count() // HOT_PART)
@@ -194,7 +208,7 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     if any_hot := not hot.isEmpty():
         hot, _ = small_side(hot, broadcast_rows)
         met = met.join(hot, "key", "left_anti")
-    # A key stands once in a set, so that two rows of it are two sets. (The hub is any one of them.)
+    # A key stands once in a set, so that two rows of it are two sets.
     met = met.select("*", F.min("set_place").over(by_key).alias("first_row"), F.count("*").over(by_key).alias("size")).where("size > 1")
     if any_hot:
         hot_rows = written(keys(sets).join(hot, "key", "left_semi"), "hot-rows")
@@ -230,13 +244,25 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     star = named(star.select("hub", "n", "v0", "v1", "at"), "a", ["hub"]).join(named(facts.withColumnRenamed("sid", "hub"), "b", ["hub"]), "hub")
     gone = losers(star.where(_may_match(percent)), "star")
 
-    # In keys of more than two sets, those that stand meet the earlier ones (all have met the hub).
-    members = met.where("size > 2 and sid <> hub").select("key", "sid", "p").join(facts, "sid").join(gone.withColumn("out", F.lit(True)), "sid", "left")
-    members = written(members.drop("sid"), "members")
+    # In keys of more than two sets, those that stand meet the earliest set, then the others before them (all have met the hub).
+    members = met.where("size > 2 and sid <> hub").select("key", "sid", "p")
+    out, _ = small_side(gone, broadcast_rows)
+    asked, _ = small_side(written(members.join(out, "sid", "left_anti").select("key").distinct(), "asked"), broadcast_rows)
+    before = F.when(F.col("p").between(1, MAX_PLACE - 1), key_at(F.col("p") - 1)).alias("before")
+    known = sets.select("sid", "n", "v0", "v1", "prefix", F.struct("first", "k1", "k2", "sid").alias("at"))
+    members = members.join(asked, "key", "left_semi").join(known, "sid").join(out.withColumn("out", F.lit(True)), "sid", "left")
+    members = written(members.select("key", "sid", "p", "n", "v0", "v1", "at", before, "out"), "members")
+    forget(met)
     release(docs.sparkSession)
-    left = named(members.where("out is null").drop("out"), "a", ["key"])
-    rest = left.join(named(members.drop("out"), "b", ["key"]), "key").where((F.col("atb") < F.col("ata")) & _may_match(percent) & _in_place(percent))
-    gone = gone.unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
+    right = named(members.drop("sid", "out"), "b", ["key"])
+    standing = named(members.where("out is null").drop("out"), "a", ["key", "sid"])
+    earliest = right.groupBy("key").agg(F.min(F.struct("atb", "nb", "v0b", "v1b")).alias("h")).select("key", "h.*")
+    second = losers(standing.join(earliest, "key").where((F.col("atb") < F.col("ata")) & _may_match(percent)), "second")
+    out, _ = small_side(second, broadcast_rows)
+    new_run = ~F.coalesce(F.col("beforea") == F.col("beforeb"), F.lit(False))
+    rest = standing.join(out, "sid", "left_anti").drop("sid").join(right, "key")
+    rest = rest.where((F.col("atb") < F.col("ata")) & new_run & _may_match(percent) & _in_place(percent))
+    gone = gone.unionByName(second).unionByName(losers(rest, "rest")).distinct().withColumn("gone", F.lit(True))
 
     judged = lines.join(sets.join(gone, "sid", "left").select("k1", "k2", "first", "gone"), ["k1", "k2"])
     first = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
