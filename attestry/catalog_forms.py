@@ -10,6 +10,7 @@ from .catalog import events, job, read, written
 from .operators import audits, forms, ledgers, matching, questions, similarity
 from .plans import resolution
 from .sources import html
+from .work import spread
 
 
 def _keep(df: DataFrame) -> DataFrame:
@@ -26,8 +27,13 @@ _HTML = r"""concat('<html><body><input name="q" placeholder="Search">',
   case when c_custkey % 2 = 0 then '<form><input name="card_number" placeholder="Card number"></form>' else '' end, '</body></html>')"""
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers spread over all tasks before pages are made of them: a page is a hundred times its customer and takes a parser's time."""
+    return spread(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(_HTML).alias("html"))
+    return _customers(spark, sf_dir).select(F.col("c_custkey").alias("page_id"), F.expr(_HTML).alias("html"))
 
 
 # (page, seq, form, type, name, label): the fields that the pages above hold
@@ -84,7 +90,7 @@ _ODD_PAGE = r"""concat('<html><body><h2>Part ', c_custkey % 3, '</h2><p>How good
   select p as page_id, seq, label, type, options, rows, type not like '%grid' and seq <> 1 as open from q""")
 def page_structure(spark, sf_dir):
     """Questions of those pages, and which of them are still open when the scale is answered: never a grid."""
-    pages = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.expr(_ODD_PAGE).alias("html"))
+    pages = _customers(spark, sf_dir).select(F.col("c_custkey").alias("page_id"), F.expr(_ODD_PAGE).alias("html"))
     asked = written(forms.option_groups(forms.manual_only_flags(html.page_fields(pages))), "asked")
     form = asked.select(F.col("page_id").alias("form_id"), F.col("seq").alias("q_idx"), F.col("manual_reason").isNotNull().alias("manual_only"), F.col("type").alias("kind"))
     left = questions.unresolved_questions(form, form.where("q_idx = 1")).select(F.col("form_id").alias("page_id"), F.col("q_idx").alias("seq"), F.lit(True).alias("left"))

@@ -20,6 +20,16 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores by `by`, in a number of partitions that isn't cut by their bytes: for rows that are few bytes and much work.
+
+    A table of small rows lies in one file and is read by one task, whatever is made of its rows after that.
+    """
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *by)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back: its lineage ends there."""
     path = work_folder(df.sparkSession, label)
