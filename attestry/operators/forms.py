@@ -12,22 +12,23 @@ PAYMENT = r"(?i)card[\s_-]?number|cc[\s_-]?num|cvv|cvc|security[\s_-]?code|expir
 
 def substantial_forms(fields: DataFrame) -> DataFrame:
     """fields of forms with two fields or more, on pages that have such a form; all fields of other pages."""
-    sizes = fields.where(F.col("form").isNotNull()).groupBy("page_id", "form").agg(F.count("*").alias("n")).where("n >= 2")
-    sizes = sizes.select("page_id", "form", F.lit(True).alias("large"))
-    pages = sizes.select("page_id", F.lit(True).alias("has")).distinct()
-    joined = fields.join(sizes, ["page_id", "form"], "left").join(pages, "page_id", "left")
-    return joined.where(F.col("has").isNull() | F.col("large")).select(*fields.columns)
+    form, page = W.partitionBy("page_id", "form"), W.partitionBy("page_id")
+    large = F.col("form").isNotNull() & (F.count("*").over(form) >= 2)
+    seen = fields.repartition("page_id").withColumn("_large", large)
+    seen = seen.withColumn("_has", F.max(F.col("_large").cast("int")).over(page))
+    return seen.where((F.col("_has") == 0) | F.col("_large")).select(*fields.columns)
 
 
 def manual_only_flags(fields: DataFrame) -> DataFrame:
     """fields with `manual_reason` of those that only the person may fill: passwords, payment cards, and all fields of a form
     with a password and at most four fields; null for others."""
-    logins = fields.where(F.col("form").isNotNull()).groupBy("page_id", "form").agg(F.count("*").alias("n"), F.max((F.col("type") == "password").cast("int")).alias("secret"))
-    logins = logins.where("secret = 1 and n <= 4").select("page_id", "form", F.lit(True).alias("login"))
+    form = W.partitionBy("page_id", "form")
+    login = F.col("form").isNotNull() & (F.max((F.col("type") == "password").cast("int")).over(form) == 1) & (F.count("*").over(form) <= 4)
     words = F.concat_ws(" ", "autocomplete", "name", "label")
     card = F.coalesce(F.startswith("autocomplete", F.lit("cc-")), F.lit(False)) | words.rlike(PAYMENT)
-    reason = F.when(F.col("type") == "password", "password field").when(card, "payment card field").when(F.col("login"), "part of a login form")
-    return fields.join(logins, ["page_id", "form"], "left").select(*fields.columns, reason.alias("manual_reason"))
+    reason = F.when(F.col("type") == "password", "password field").when(card, "payment card field").when(F.col("_login"), "part of a login form")
+    seen = fields.repartition("page_id").withColumn("_login", login)
+    return seen.select(*fields.columns, reason.alias("manual_reason"))
 
 
 def option_groups(fields: DataFrame) -> DataFrame:
