@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..work import sorted_side
+
 # Names of fields that hold payment cards.
 PAYMENT = r"(?i)card[\s_-]?number|cc[\s_-]?num|cvv|cvc|security[\s_-]?code|expir"
 
@@ -86,16 +88,16 @@ def slot_placement(frames: DataFrame, slots: DataFrame) -> DataFrame:
     else unresolved: `ambiguous`, `no match`, or `parent silent`. Ambiguity is never guessed away.
     """
     scanned = frames.where("scanned").select("page_id", F.col("frame_id").alias("parent_frame_id"), F.lit(True).alias("parent_known"))
-    f = frames.join(scanned, ["page_id", "parent_frame_id"], "left")
+    f = frames.join(sorted_side(scanned), ["page_id", "parent_frame_id"], "left")
     s = slots.select("page_id", F.col("frame_id").alias("parent_frame_id"), F.col("slot_idx"), "src", "ord")
-    exact = f.where("scanned and self_slot is not null").join(s.withColumnRenamed("slot_idx", "self_slot"), ["page_id", "parent_frame_id", "self_slot"])
+    exact = f.where("scanned and self_slot is not null").join(sorted_side(s.withColumnRenamed("slot_idx", "self_slot")), ["page_id", "parent_frame_id", "self_slot"])
     exact = exact.select("page_id", "frame_id", F.col("self_slot").alias("x_slot"), F.col("ord").alias("x_ord"))
     tiered = lambda df, url, keep: df.select(*keep, F.posexplode(F.array(*url_tiers(F.col(url)))).alias("tier", "at")).where(F.col("at").isNotNull())
     wanted = tiered(f.where("parent_frame_id >= 0"), "url", ["page_id", "parent_frame_id", "frame_id"])
     offered = tiered(s, "src", ["page_id", "parent_frame_id", "slot_idx", "ord"])
-    hits = wanted.join(offered, ["page_id", "parent_frame_id", "tier", "at"]).groupBy("page_id", "frame_id", "tier").agg(F.count("*").alias("n"), F.min(F.struct("slot_idx", "ord")).alias("slot"))
+    hits = wanted.join(sorted_side(offered), ["page_id", "parent_frame_id", "tier", "at"]).groupBy("page_id", "frame_id", "tier").agg(F.count("*").alias("n"), F.min(F.struct("slot_idx", "ord")).alias("slot"))
     first = hits.groupBy("page_id", "frame_id").agg(F.min(F.struct("tier", "n", "slot")).alias("hit"))
-    out = f.join(exact, ["page_id", "frame_id"], "left").join(first, ["page_id", "frame_id"], "left")
+    out = f.join(sorted_side(exact), ["page_id", "frame_id"], "left").join(sorted_side(first), ["page_id", "frame_id"], "left")
     method = (
         F.when(F.col("parent_frame_id") < 0, "root").when(F.col("parent_known").isNull(), "parent silent").when(F.col("x_slot").isNotNull(), "frame-element")
         .when(F.col("hit.n") == 1, "src-match").when(F.col("hit.n") > 1, "ambiguous").otherwise("no match")

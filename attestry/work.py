@@ -30,6 +30,15 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(parts, *by)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of joins that is shuffled and sorted, never sent to the driver.
+
+    Spark estimates what is exploded or aggregated from a table by the bytes of its file and would broadcast it, a hundred times
+    larger, through the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back: its lineage ends there."""
     path = work_folder(df.sparkSession, label)
