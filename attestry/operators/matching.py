@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..rules import JOIN_WORDS
+from ..work import sorted_side
 from .facts import plausible
 from .similarity import assign, label_pairs
 
@@ -117,7 +118,7 @@ def profile_match(questions: DataFrame, facts: DataFrame) -> DataFrame:
     best = best.where((F.col("field") != "name") | (F.col("f.r") < -1)).select("set_id", "field", "f.value", "f.source")
     key = F.col("key")
     base = F.when(key.isin("first_name", "middle_name", "last_name"), "name").when(key.isin("dob_day", "dob_month", "dob_year"), "dob").when(key == "dial_code", "phone").otherwise(key)
-    q = questions.withColumn("field", base).join(best, ["set_id", "field"], "left")
+    q = questions.withColumn("field", base).join(sorted_side(best), ["set_id", "field"], "left")
     words = F.split(F.trim("value"), r"\s+")
     date = lambda i: F.coalesce(
         *[F.when(F.regexp_extract("value", p, 1) != "", F.regexp_extract("value", p, g)) for p, g in ((r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b", (3, 2, 1)[i]), (r"\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})\b", (1, 2, 3)[i]))]
@@ -260,7 +261,7 @@ def evidence_gate(evidence: DataFrame, answers: DataFrame, links: DataFrame | No
 
     cited = evidence.where(F.trim(F.coalesce("source", F.lit(""))).rlike(r"\.[A-Za-z0-9]{2,5}$"))
     told = evidence_agreement(cited, links).select("answer_id", "agree", "files")
-    rows = answers.join(told, "answer_id", "left")
+    rows = answers.join(sorted_side(told), "answer_id", "left")
     empty = (F.col("status") == "needs_user_input") | (F.trim(F.coalesce("value", F.lit(""))) == "") | F.col("files").isNull()
     status = F.when(empty, "needs_user_input").when(~F.col("agree"), "conflicting_sources").otherwise(F.col("status"))
     confidence = F.when(F.col("agree") & (F.col("files") > 1), "high").otherwise(F.coalesce("confidence", F.lit("low")))

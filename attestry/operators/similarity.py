@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..work import sorted_side
 
 #: Labels of one side in a tile.
 TILE = 1000
@@ -61,7 +62,7 @@ def similar_labels(left: DataFrame, right: DataFrame, least: float, same: bool =
     sa, sb = sizes(a, "tiles_a"), sizes(b, "tiles_b")
     # A tile is few bytes and much work, so partitions aren't merged by their size: the number is given.
     spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ta", "tb")
-    met = spread(tiled(a, "a", sa, sb)).join(spread(tiled(b, "b", sb, sa)), ["block", "ta", "tb"])
+    met = spread(tiled(a, "a", sa, sb)).join(sorted_side(spread(tiled(b, "b", sb, sa))), ["block", "ta", "tb"])
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in (0, 1)), F.lit(0))
     # round(1 - edits / longer, 6) >= least
     edits = f"cast(floor(greatest(na, nb) * {1 - least + 5e-7!r}D + 1e-9D) as int)"
@@ -77,14 +78,14 @@ def label_pairs(left: DataFrame, right: DataFrame, least: float, tile: int = TIL
     """(block, a, b, score): ids of labels (block, id, label) of both sides in one block with similarity of at least `least`."""
     side = lambda df, x: df.select("block", F.col("id").alias(x), tx.cleaned(F.col("label")).alias(f"l{x}"))
     pairs = similar_labels(left, right, least, tile=tile)
-    return pairs.join(side(left, "a"), ["block", "la"]).join(side(right, "b"), ["block", "lb"]).select("block", "a", "b", "score")
+    return pairs.join(sorted_side(side(left, "a")), ["block", "la"]).join(sorted_side(side(right, "b")), ["block", "lb"]).select("block", "a", "b", "score")
 
 
 def fuzzy_pairs(labels: DataFrame, threshold: float = 0.8, tile: int = TILE) -> DataFrame:
     """Pairs (a, b, score), a < b, of labels (id, block, label) in one block with similarity of at least `threshold`."""
     pairs = similar_labels(labels, labels, threshold, same=True, tile=tile)
     side = lambda x: labels.select("block", F.col("id").alias(x), tx.cleaned(F.col("label")).alias(f"l{x}"))
-    found = pairs.join(side("a"), ["block", "la"]).join(side("b"), ["block", "lb"])
+    found = pairs.join(sorted_side(side("a")), ["block", "la"]).join(sorted_side(side("b")), ["block", "lb"])
     found = found.where((F.col("la") < F.col("lb")) | (F.col("a") < F.col("b")))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 

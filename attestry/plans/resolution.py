@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import matching
 from ..operators.questions import declaration_kind
+from ..work import sorted_side
 
 GRIDS = ("multiple_choice_grid", "checkbox_grid")
 FILES = ("file", "file_upload")
@@ -42,9 +43,10 @@ def resolve_questions(questions: DataFrame, facts: DataFrame, dossier: DataFrame
     kept = defaults.select("declaration", F.col("value").alias("default"))
     found = uploads.select(at.alias("q_id"), "file_name", F.col("confidence").alias("fit"))
 
-    rows = q.withColumn("declaration", F.when(F.col("plain"), declaration_kind(F.col("label")))).join(told, "q_id", "left")
-    rows = rows.join(rank, ["set_id", "asked", "fact_source"], "left").join(others, ["set_id", "asked"], "left").join(kept, "declaration", "left")
-    rows = rows.join(gated, "q_id", "left").join(cited, "q_id", "left").join(found, "q_id", "left")
+    rows = q.withColumn("declaration", F.when(F.col("plain"), declaration_kind(F.col("label"))))
+    for side in (told, gated, cited, found):
+        rows = rows.join(sorted_side(side), "q_id", "left")
+    rows = rows.join(sorted_side(rank), ["set_id", "asked", "fact_source"], "left").join(sorted_side(others), ["set_id", "asked"], "left").join(kept, "declaration", "left")
 
     a, b = tx.reduced(F.col("fact")), tx.reduced(F.col("other"))
     alike = F.col("other").isNull() | (a == b)

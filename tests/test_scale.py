@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestry import catalog_forms
+from attestry import catalog, catalog_forms
 from attestry.operators import forms
 from attestry.sources import html
 
@@ -28,3 +28,15 @@ def test_forms_of_pages_apart_and_together(spark):
     assert sorted((r.page_id, r.seq) for r in forms.substantial_forms(fields).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
     flags = {(r.page_id, r.seq): r.manual_reason for r in forms.manual_only_flags(fields).collect()}
     assert flags == {(1, 0): "part of a login form", (1, 1): "password field", (1, 2): None, (1, 3): None, (2, 0): None, (2, 1): "password field"}
+
+
+@pytest.mark.parametrize("job", ["slot_placement", "profile_match", "attachment_match"])
+def test_derived_sides_are_not_broadcast(spark, job):
+    _, physical = plan(catalog.queries()[job](spark, SF))
+    broadcast = [line for line in physical.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert all("tiles_" in line or "[block#" in line for line in broadcast), broadcast  # numbers of tiles are a row for each large block
+
+
+def test_of_the_questions_only_the_defaults_are_broadcast(spark):
+    _, physical = plan(catalog.queries()["resolve_questions"](spark, SF))
+    assert physical.count("BroadcastHashJoin") <= 1
