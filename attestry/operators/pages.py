@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..work import sorted_side
 from .corpus import numbered
 
 
@@ -59,31 +61,39 @@ def hierarchy_splice(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -
     `root`. Siblings follow each other by ord, then id; those without ord come last, noted `unplaced`. A node whose parent isn't there
     is a root, noted `orphan`. Nodes that hang on a cycle have neither root nor position and are noted `cycle`.
 
-    Pointers double: each round a node takes over its pointer's pointer, so that depth d takes log2(d) rounds of one join each, and what
-    still has a pointer after log2(nodes) rounds hangs on a cycle. Paths are put together in the same way after that, for the others
-    only. `keep` writes a round's table.
+    Pointers double: each round a node takes over its pointer's pointer, and those that reach a root drop out, so that depth d takes log2(d)
+    rounds of one join of what is left. While a node that leads to a root is left, so was one of half its depth, which drops out; a round in which
+    none does leaves only what hangs on cycles. Paths are put together in the same way after that, for the others only. `keep` writes a round's table.
     """
     ids = nodes.select(F.col("id").alias("known"))
     rows = nodes.join(ids, F.col("parent") == F.col("known"), "left").select("id", "parent", "ord", F.col("known").alias("up"))
     rows = keep(rows)
-    total, rounds = rows.count(), 0
-    hops = rows.select("id", "up")
-    while not hops.where("up is not null").isEmpty() and 1 << rounds <= total:
+    hops, waiting, before, rounds = rows.where("up is not null").select("id", "up"), None, None, 0
+    while True:
+        waiting = hops.count()
+        if waiting in (0, before):
+            break
         step = hops.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        hops, rounds = keep(hops.join(step, "up", "left").select("id", F.col("next").alias("up"))), rounds + 1
-    cyclic = hops.where("up is not null").select("id")
+        hops, before, rounds = keep(hops.join(sorted_side(step), "up").select("id", F.col("next").alias("up"))), waiting, rounds + 1
+    cyclic = hops.select("id")
     key = F.array(F.struct(F.col("ord").isNull().alias("unplaced"), F.coalesce("ord", F.lit(0)).alias("ord"), "id"))
     note = F.when(F.col("parent").isNotNull() & F.col("up").isNull(), "orphan").when(F.col("parent").isNotNull() & F.col("ord").isNull(), "unplaced")
-    paths = keep(rows.join(cyclic, "id", "left_anti").select("id", "up", note.alias("note"), key.alias("path")))
+    acyclic = rows if waiting == 0 else rows.join(sorted_side(cyclic), "id", "left_anti")
+    paths = keep(acyclic.select("id", "up", note.alias("note"), key.alias("path")))
+    done, paths = [paths.where("up is null")], paths.where("up is not null")
+    above, cols = done[0].unionByName(paths), ["id", "up", "note", "path"]
     for _ in range(rounds):
-        if paths.where("up is not null").isEmpty():
+        if paths.isEmpty():
             break
-        step = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        joined = paths.join(step, "up", "left")
-        paths = keep(joined.select("id", F.col("next").alias("up"), "note", F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path")))
+        step = above.join(sorted_side(paths.select(F.col("up").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        now = keep(paths.join(sorted_side(step), "up").select("id", F.col("next").alias("up"), "note", F.concat("above", "path").alias("path")).select(cols))
+        done.append(now.where("up is null"))
+        paths = now.where("up is not null")
+        above = reduce(DataFrame.unionByName, done).unionByName(paths)
+    paths = reduce(DataFrame.unionByName, done)
     rooted = keep(paths.select("id", F.col("path")[0]["id"].alias("root"), (F.size("path") - 1).alias("depth"), "note", "path"))
     placed = numbered(rooted, "root", "path", "position").select("id", "root", "depth", "position", "note")
-    lost = rows.join(cyclic, "id", "left_semi").select("id", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("root", "depth", "position")], F.lit("cycle").alias("note"))
+    lost = rows.join(sorted_side(cyclic), "id", "left_semi").select("id", *[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in ("root", "depth", "position")], F.lit("cycle").alias("note"))
     return placed.unionByName(lost)
 
 
