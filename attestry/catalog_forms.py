@@ -106,19 +106,24 @@ def field_coverage(spark, sf_dir):
 # Options and answers: parts and orders
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts spread over all tasks: an answer is compared with every option of its row, in all their forms."""
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"), "p_partkey")
+
+
 @job("option_choice", """select p_partkey as id, case p_partkey % 5 when 0 then 'Brand ' || p_size when 1 then '4+ Years' when 2 then 'ECE' when 3 then 'Computer Science' end as chosen from part""")
 def option_choice(spark, sf_dir):
     k = F.col("p_partkey") % 5
     value = F.when(k == 0, F.concat(F.lit("brand  "), "p_size", F.lit("!"))).when(k == 1, "4th Year").when(k == 2, "Electrical and Computer Engineering").when(k == 3, "computer sciense").otherwise("JavaScript")
     options = F.array(F.lit("Java"), F.concat(F.lit("Brand "), "p_size"), F.lit("4+ Years"), F.lit("ECE"), F.lit("Computer Science"))
-    return matching.option_choice(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("value"), options.alias("options")))
+    return matching.option_choice(_parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), value.alias("value"), options.alias("options")))
 
 
 @job("option_choices", """select p_partkey as id, case when p_partkey % 2 = 0 then ['Python', p_type] else ['JS'] end as chosen from part""")
 def option_choices(spark, sf_dir):
     value = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("python, and "), F.lower("p_type"), F.lit("; Cobol / python"))).otherwise("JavaScript")
     options = F.array(F.lit("Java"), F.lit("JS"), F.lit("Python"), F.col("p_type"))
-    return matching.option_choice(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), value.alias("value"), options.alias("options")), many=True)
+    return matching.option_choice(_parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), value.alias("value"), options.alias("options")), many=True)
 
 
 @job("option_exact", """select p_partkey as id, case p_partkey % 6 when 0 then 1 when 1 then 0 when 2 then 0 when 3 then 2 end as position,
@@ -147,7 +152,7 @@ def choice_repair(spark, sf_dir):
     case key when 'first_name' then case when s > 0 then 'cv.pdf' end when 'last_name' then case when s > 0 then 'cv.pdf' end when 'dob_year' then 'id.png' when 'phone' then 'cv.pdf' when 'dial_code' then 'cv.pdf' when 'gender' then case when s = 1 then 'id.png' end end as source,
     case key when 'first_name' then case when s = 0 then 'no fact' else 'matched' end when 'last_name' then case when s = 0 then 'no fact' else 'matched' end when 'email' then 'implausible' when 'gender' then case when s = 1 then 'matched' else 'no option' end when 'other_key' then 'no fact' else 'matched' end as outcome from q""")
 def profile_match(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").withColumn("set_id", F.col("c_custkey"))
+    c = _customers(spark, sf_dir).withColumn("set_id", F.col("c_custkey"))
     low = F.when(F.col("c_custkey") % 4 == 0, "low").otherwise("high")
     row = lambda field, value, source, conf, seq: F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(source).alias("source"), conf.alias("confidence"), F.lit(seq).alias("seq"))
     high, mid = F.lit("high"), F.lit("medium")

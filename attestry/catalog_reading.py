@@ -11,7 +11,7 @@ from .catalog import _FILES, _HEADERS, _typed_sql, documents, job, read
 from .operators import dossier, reading
 from .plans.fact_pipeline import FactStore
 from .sources import facts as sources
-from .work import work_folder, written
+from .work import spread, work_folder, written
 
 _ZONE = "concat('P<UTODOE<<JANE<QUINN<<<<<<<<<<<<<<<<\\nEQ', lpad(cast(c_custkey as string), 7, '0'), '0UTO0001010M30010100<<<<<<<<<<<00\\nThis letter is to certify that Jane Quinn, ID No: UGR/', c_custkey, '/00 is an active 4th Year')"
 
@@ -24,7 +24,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
       when 3 then concat('Full Name ....... ', c_name, '\nDepartment | ', c_mktsegment, '\nand Design')
       when 4 then concat('Languages spoken include many things\nEmail address book of ', c_name, '\nnothing')
       else {_ZONE} end""")
-    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("file_name"), text.alias("text"))
+    customers = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")
+    return customers.select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("file_name"), text.alias("text"))
 
 
 LABELLED = """select c_nationkey as set_id, c_custkey as file, 'name' as field, c_name as value from customer where c_custkey % 6 < 4

@@ -1,5 +1,7 @@
 """Work is spread over tasks, done once, and no derived table passes the driver."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,23 @@ def test_derived_sides_are_not_broadcast(spark, job):
 def test_of_the_questions_only_the_defaults_are_broadcast(spark):
     _, physical = plan(catalog.queries()["resolve_questions"](spark, SF))
     assert physical.count("BroadcastHashJoin") <= 1
+
+
+@pytest.mark.parametrize("job", ["option_choice", "option_choices", "all_candidates", "labelled_pairs", "profile_match"])
+def test_few_bytes_of_much_work_are_spread(spark, job):
+    logical, _ = plan(catalog.queries()[job](spark, SF))
+    assert re.search(r"RepartitionByExpression \[[cp]_", logical)
+
+
+def test_splice_stops_when_only_cycles_are_left(spark):
+    """A chain of 40 nodes, a cycle with a tail: rounds follow the depth, not the number of nodes."""
+    from attestry.operators import pages
+    from attestry.work import written
+
+    rows = [(i, i - 1 if i else None, 0) for i in range(40)] + [(100, 101, 0), (101, 100, 0), (102, 101, 0)] + [(1000 + i, None, 0) for i in range(3000)]
+    kept = []
+    out = {r.id: r for r in pages.hierarchy_splice(spark.createDataFrame(rows, "id long, parent long, ord long"), lambda df: kept.append(0) or written(df, "t")).collect()}
+    assert len(out) == len(rows)
+    assert [out[i].position for i in range(40)] == list(range(1, 41)) and out[39].root == 0 and out[39].depth == 39
+    assert {i for i, r in out.items() if r.note == "cycle"} == {100, 101, 102}
+    assert len(kept) <= 17
