@@ -1,12 +1,13 @@
 """Work is spread over tasks, done once, and no derived table passes the driver."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry import catalog, catalog_forms
-from attestry.operators import forms
+from attestry.operators import corpus, forms
 from attestry.sources import html
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +63,11 @@ def test_splice_stops_when_only_cycles_are_left(spark):
     assert [out[i].position for i in range(40)] == list(range(1, 41)) and out[39].root == 0 and out[39].depth == 39
     assert {i for i, r in out.items() if r.note == "cycle"} == {100, 101, 102}
     assert len(kept) <= 17
+
+
+def test_fingerprint_of_a_set_is_the_digest_of_all_its_entries(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [("a", i, f"text {i}") for i in range(3000)] + [("b", 1, None), ("b", 2, "x"), (None, 3, "y")]
+    want = {s: sha("|".join(sorted(sha(f"{i}#{len(t or '')}:{sha(t or '')}") for x, i, t in rows if x == s))) for s in ("a", "b", None)}
+    docs = spark.createDataFrame(rows, "set_id string, file_name long, text string").repartition(3)
+    assert {r.set_id: r.fingerprint for r in corpus.digest_fingerprint(docs).collect()} == want
