@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..work import sorted_side
+
 PACIFIC = "America/Los_Angeles"
 
 
@@ -44,11 +46,26 @@ def limit_carry_forward(daily: DataFrame) -> DataFrame:
 
 
 def rolling_rate(requests: DataFrame, rpm: int, margin: int = 2, window_ms: int = 60_000) -> DataFrame:
-    """(event_id, key, in_window, over, wait_ms): requests in the minute up to each, and the wait that would have kept the rate."""
+    """(event_id, key, in_window, over, wait_ms): requests in the minute up to each, and the wait that would have kept the rate.
+
+    Times are counted in slots as long as the window, each with the slot before: how many came up to a request, less how many before its window
+    began, are two running counts. No row looks through its window, and no task holds more of a key than two windows at a time.
+    """
     at = requests.select("event_id", "key", millis(F.col("ts")).alias("ms"))
-    minute = W.partitionBy("key").orderBy("ms").rangeBetween(-window_ms, 0)
     allowed = max(1, rpm - margin)
-    out = at.select("event_id", "key", "ms", F.count("*").over(minute).alias("in_window"), F.min("ms").over(minute).alias("oldest"))
+    slot = F.floor(F.col("ms") / window_ms).cast("long")
+    ticks = at.groupBy("key", "ms").agg(F.count("*").alias("n"))
+    mark = lambda at, slot, t, n: ticks.select("key", slot.alias("slot"), at.alias("at"), t.alias("t"), n.alias("n"), (n == F.col("n")).cast("int").alias("kind"))
+    told, none = F.col("ms"), F.lit(None).cast("long")
+    marks = mark(told, slot, told, F.col("n")).unionByName(mark(none, slot + 1, told, F.col("n")).where("slot is not null")).unionByName(mark(told, slot, told - window_ms, F.lit(0)))
+    of = W.partitionBy("key", "slot")
+    so_far = lambda *by: of.orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
+    up, down = so_far("t", "kind"), so_far(F.desc("t"), F.desc("kind"))
+    marks = marks.withColumn("upto", F.sum("n").over(up)).withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(down))
+    one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    seen = marks.where("at is not null or slot is null").groupBy("key", "slot", "at").agg((one(1, "upto") - one(0, "upto")).alias("in_window"), one(0, "next").alias("oldest"))
+    seen = seen.select(F.col("key").alias("_key"), F.col("at").alias("_at"), "in_window", "oldest")
+    out = at.join(sorted_side(seen), F.col("key").eqNullSafe(F.col("_key")) & F.col("ms").eqNullSafe(F.col("_at")))
     over = F.col("in_window") > allowed
     wait = F.when(over, F.greatest(F.lit(250).cast("long"), F.col("oldest") + window_ms - F.col("ms") + 50)).otherwise(F.lit(0).cast("long"))
     return out.select("event_id", "key", "in_window", over.alias("over"), wait.alias("wait_ms"))

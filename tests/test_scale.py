@@ -1,14 +1,16 @@
 """Work is spread over tasks, done once, and no derived table passes the driver."""
 
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from attestry import catalog, catalog_forms
-from attestry.operators import corpus, forms
+from attestry.operators import corpus, forms, ledgers
 from attestry.sources import html
+from attestry.streaming import in_order
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +73,24 @@ def test_fingerprint_of_a_set_is_the_digest_of_all_its_entries(spark):
     want = {s: sha("|".join(sorted(sha(f"{i}#{len(t or '')}:{sha(t or '')}") for x, i, t in rows if x == s))) for s in ("a", "b", None)}
     docs = spark.createDataFrame(rows, "set_id string, file_name long, text string").repartition(3)
     assert {r.set_id: r.fingerprint for r in corpus.digest_fingerprint(docs).collect()} == want
+
+
+def test_streams_keep_state_by_groups_of_keys(spark):
+    log = spark.readStream.schema("event_id long, key long, ts timestamp, kind string").parquet(f"{SF}/events.parquet")
+    out = in_order.versions(log)
+    assert "[group#" in out._jdf.queryExecution().analyzed().toString().split("TransformWithState")[1] and dict(out.dtypes)["key"] == "bigint"
+
+
+def test_rate_of_a_busy_key_is_counted_without_a_sliding_frame(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab") if i % 9 else None, rng.randrange(-3000, 9000) if i % 50 else None) for i in range(600)]
+    log = spark.createDataFrame(rows, "event_id long, key string, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = ledgers.rolling_rate(log, rpm=4, window_ms=700)
+    near = lambda k, m: [x for _, y, x in rows if y == k and (x is m if m is None or x is None else m - 700 <= x <= m)]
+    for r in got.collect():
+        _, key, ms = rows[r.event_id]
+        seen = near(key, ms)
+        wait = 0 if len(seen) <= 2 else 250 if ms is None else max(250, min(seen) + 700 - ms + 50)
+        assert (r.key, r.in_window, r.over, r.wait_ms) == (key, len(seen), len(seen) > 2, wait)
+    assert got.count() == len(rows)
+    assert "RangeFrame" not in plan(got)[0]
