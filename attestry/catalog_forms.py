@@ -224,8 +224,8 @@ _NOISY = """case p_partkey % 5 when 0 then p_name when 1 then left(p_name, 2) ||
 def fuzzy_assign(spark, sf_dir):
     """Parts with even and odd keys paired one to one within a size by the similarity of their noisy names."""
     p = read(spark, sf_dir, "part").select(F.col("p_size").alias("block"), F.col("p_partkey").alias("id"), F.expr(_NOISY).alias("label"))
-    pairs = similarity.label_pairs(p.where("id % 2 = 0"), p.where("id % 2 = 1"), matching.LABEL_MATCH)
-    return similarity.assign(pairs, _keep)
+    p = _keep(p)
+    return similarity.assign_labels(p.where("id % 2 = 0"), p.where("id % 2 = 1"), matching.LABEL_MATCH, _keep)
 
 
 @job("identity_match", """select c_custkey as form_id, a.i as a_id, case when a.i = 2 then 2 when a.i = 3 and c_custkey % 2 = 0 then 4 when a.i = 4 then 5 end as q_id,

@@ -9,10 +9,12 @@ only if its lengths and its letters allow the similarity, and the score stops at
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as tx
 from ..work import sorted_side
@@ -22,6 +24,9 @@ TILE = 1000
 #: Blocks with so many pairs at most are assigned in one task each; the others in rounds over all tasks, with the same result.
 BLOCK_PAIRS = 100_000
 
+#: Similarities down which `assign_labels` goes.
+LEVELS = (0.9, 0.8, 0.7, 0.6)
+
 _LETTERS = "abcdefghijklmnopqrstuvwxyz "
 
 
@@ -81,6 +86,31 @@ def label_pairs(left: DataFrame, right: DataFrame, least: float, tile: int = TIL
     return pairs.join(sorted_side(side(left, "a")), ["block", "la"]).join(sorted_side(side(right, "b")), ["block", "lb"]).select("block", "a", "b", "score")
 
 
+def equal_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, a, b, score): what the greedy order of `assign` takes of the pairs of equal cleaned labels: ids of each label in order, side by side."""
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        labels = df.select("block", F.col("id").alias(x), tx.cleaned(F.col("label")).alias("l")).where("l <> ''")
+        return labels.withColumn("_n", F.row_number().over(W.partitionBy("block", "l").orderBy(x)))
+
+    return side(left, "a").join(sorted_side(side(right, "b")), ["block", "l", "_n"]).select("block", "a", "b", F.lit(1.0).alias("score"))
+
+
+def assign_labels(left: DataFrame, right: DataFrame, least: float, keep: Callable[[DataFrame], DataFrame], levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """assign(label_pairs(left, right, least)), for ids (block, id, label) that are unique in their block and side.
+
+    The greedy order takes high scores first, so it goes down in levels: equal labels, then pairs of at least each level among the ids that
+    are still free. Pairs of a level are made only of those, not of all that resemble each other at all.
+    """
+    taken, sides = [keep(equal_pairs(left, right))], [left, right]
+    for level in [*(x for x in levels if x > least), least]:
+        for i, x in enumerate("ab"):
+            gone = taken[-1].select("block", F.col(x).alias("id"))
+            sides[i] = keep(sides[i].join(sorted_side(gone), ["block", "id"], "left_anti"))
+        taken.append(keep(assign(label_pairs(*sides, level), keep)))
+    return reduce(DataFrame.unionByName, taken)
+
+
 def fuzzy_pairs(labels: DataFrame, threshold: float = 0.8, tile: int = TILE) -> DataFrame:
     """Pairs (a, b, score), a < b, of labels (id, block, label) in one block with similarity of at least `threshold`."""
     pairs = similar_labels(labels, labels, threshold, same=True, tile=tile)

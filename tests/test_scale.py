@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry import catalog, catalog_forms
-from attestry.operators import corpus, forms, ledgers
+from attestry.operators import corpus, forms, ledgers, similarity
 from attestry.sources import html
 from attestry.streaming import in_order
+from attestry.work import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,7 +57,7 @@ def test_few_bytes_of_much_work_are_spread(spark, job):
 def test_splice_stops_when_only_cycles_are_left(spark):
     """A chain of 40 nodes, a cycle with a tail: rounds follow the depth, not the number of nodes."""
     from attestry.operators import pages
-    from attestry.work import written
+
 
     rows = [(i, i - 1 if i else None, 0) for i in range(40)] + [(100, 101, 0), (101, 100, 0), (102, 101, 0)] + [(1000 + i, None, 0) for i in range(3000)]
     kept = []
@@ -94,3 +95,14 @@ def test_rate_of_a_busy_key_is_counted_without_a_sliding_frame(spark):
         assert (r.key, r.in_window, r.over, r.wait_ms) == (key, len(seen), len(seen) > 2, wait)
     assert got.count() == len(rows)
     assert "RangeFrame" not in plan(got)[0]
+
+
+def test_assignment_by_levels_makes_fewer_pairs_of_the_same_result(spark):
+    rng, keep = random.Random(7), lambda df: written(df, "t")
+    side = lambda: spark.createDataFrame([(i % 2, i, "".join(rng.choice("abc") for _ in range(rng.randrange(0, 6)))) for i in range(160)], "block int, id long, label string")
+    left, right = keep(side()), keep(side())
+    pairs = similarity.label_pairs(left, right, 0.55)
+    want = sorted(tuple(r) for r in similarity.assign(pairs, keep).collect())
+    rows = []
+    assert sorted(tuple(r) for r in similarity.assign_labels(left, right, 0.55, lambda df: rows.append(df.count()) or keep(df)).collect()) == want
+    assert max(rows) < pairs.count() / 2
