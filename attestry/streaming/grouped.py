@@ -90,6 +90,43 @@ class _Rates(_Grouped):
         return pd.DataFrame({"key": np.asarray(keys, dtype=object)[found["code"]], "us": found["start"].to_numpy() * self.slide, "n": found["size"].astype("int64").to_numpy()})
 
 
+class _Lives(_Grouped):
+    """Remembered: the lives that the watermark hasn't passed."""
+
+    kept = pa.schema([("key", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([pd.DataFrame({"key": b["key"], "start": b["us"], "end": b["us"] + self.ttl, "n": 1}) for b in rows], ignore_index=True)
+        self._remember(self._joined(pd.concat([self._load(), new], ignore_index=True)))
+        yield new.iloc[:0]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        lives = self._load()
+        over = lives["end"] <= timerValues.getCurrentWatermarkInMs() * 1000
+        if over.any():
+            self._remember(lives[~over])
+        yield lives[over]
+
+    def _remember(self, lives: pd.DataFrame) -> None:
+        self._store(lives)
+        if len(lives):
+            self.handle.registerTimer(-(-int(lives["end"].min()) // 1000) + 1)
+
+    @staticmethod
+    def _joined(lives: pd.DataFrame) -> pd.DataFrame:
+        """Lives that begin before another of their key has ended are one."""
+        codes, keys = pd.factorize(lives["key"], use_na_sentinel=False)
+        rows = lives.assign(code=codes).sort_values(["code", "start"], kind="stable", ignore_index=True)
+        ended = rows.groupby("code", sort=False)["end"].cummax().groupby(rows["code"], sort=False).shift()
+        # a key's first life has no end before it
+        own = (ended.isna() | (rows["start"] >= ended.fillna(0).astype("int64"))).cumsum()
+        out = rows.groupby(own, sort=False).agg(code=("code", "first"), start=("start", "first"), end=("end", "max"), n=("n", "sum"))
+        return pd.DataFrame({"key": np.asarray(keys, dtype=object)[out["code"]], **{c: out[c].to_numpy() for c in ("start", "end", "n")}})
+
+
 def _run(touches: DataFrame, processor: _Grouped, schema: str, mode: str) -> DataFrame:
     kind, at = touches.schema["key"].dataType, F.col("ts").cast("timestamp")
     rows = touches.where(at.isNotNull()).select(F.col("key").cast("string").alias("key"), at.alias("ts"), F.unix_micros(at).alias("us"))
@@ -102,3 +139,11 @@ def rate_alerts(requests: DataFrame, rpm: int, margin: int = 2, window: str = "6
     spark = requests.sparkSession
     job = _Rates(micros(spark, window), micros(spark, slide), max(1, rpm - margin))
     return _run(requests, job, "key string, us bigint, n bigint", "Update").select("key", F.timestamp_micros("us").alias("start"), "n")
+
+
+def lives(touches: DataFrame, ttl: str) -> DataFrame:
+    """(key, start, expires_at, n): cache entries of touches (key, ts); each touch extends an entry's life by `ttl`, and one
+    that comes after it begins another. Append mode: a life is given once the watermark has passed it, and forgotten."""
+    job = _Lives(micros(touches.sparkSession, ttl))
+    out = _run(touches, job, "key string, start bigint, end bigint, n bigint", "Append")
+    return out.select("key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("expires_at"), "n")

@@ -21,14 +21,6 @@ def day_counts(requests: DataFrame) -> DataFrame:
     return counts.select("key", F.to_date("w.start").alias("day"), "used")
 
 
-def lives(touches: DataFrame, ttl: str) -> DataFrame:
-    """(key, start, expires_at, n): cache entries of touches (key, ts); each touch extends an entry's life by `ttl`, and one
-    that comes after it begins another. Append mode emits a life once the watermark has passed it, complete mode all."""
-    seen = touches.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
-    counts = seen.groupBy("key", F.session_window("ts", ttl).alias("w")).agg(F.count("*").alias("n"))
-    return counts.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("expires_at"), "n")
-
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

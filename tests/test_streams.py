@@ -129,6 +129,23 @@ def test_rate_windows_need_no_row_of_state_each(spark, tmp_path, touches, a_trig
     assert got == {k: n for k, n in want.items() if n > 1}
 
 
+def test_a_life_is_given_once_when_it_is_over(spark, tmp_path, touches):
+    from attestry.streaming import grouped
+
+    rows, files = touches
+    out = drain(spark, tmp_path, files, lambda s: grouped.lives(s, "6 hours"), "append", 1)
+    want = []
+    for key in [None, *range(30)]:
+        for s in sorted(r[2] + 1_699_999_200 for r in rows if r[1] == key):
+            if want and want[-1][0] == key and s < want[-1][2]:
+                want[-1] = (key, want[-1][1], s + 6 * 3600, want[-1][3] + 1)
+            else:
+                want.append((key, s, s + 6 * 3600, 1))
+    got = [(r.key, int(r.start.timestamp()), int(r.expires_at.timestamp()), r.n) for r in out if r.key != -1]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({r["_batch"] for r in out}) > 2  # not all at the end
+
+
 def test_a_part_of_a_stream_is_read_by_many_tasks(spark, monkeypatch):
     import glob
 
