@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import plain_words, similarity
 from ..rules import JOIN_WORDS
+from ..work import counted_side, sorted_side, spread, written
 from .similarity import similar_labels
 
 #: Patterns of declarations, in the order in which the first match wins.
@@ -104,23 +105,30 @@ def acronym_links(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """(answer_id, link): pairs `acronym|expansion` among the values of an answer (answer_id, set_id, value) that a document of its set links.
 
     A document (set_id, file_name, text) links them if it has the acronym as a word within LINK_WINDOW characters of the expansion, without regard to
-    case. Documents are found by words: those that hold the acronym and every word of the expansion, by joins on (set_id, word); only
-    their texts are searched.
+    case. Documents are found by the rarest of these words in their set, by a join on (set_id, word); of theirs only the texts that hold all of them
+    are searched.
     """
-    values = evidence.select("answer_id", "set_id", _said(F.col("value")).alias("n"), _initials(F.col("value")).alias("initials"), F.trim(F.lower(F.regexp_replace("value", r"\s+", " "))).alias("phrase")).distinct()
-    short = values.where(~F.contains("n", F.lit(" ")) & F.length("n").between(1, ACRONYM)).select("answer_id", F.col("n").alias("acronym"))
-    pairs = values.where(F.contains("n", F.lit(" "))).select("answer_id", "set_id", F.col("initials").alias("acronym"), F.col("n").alias("expansion"), "phrase")
-    pairs = pairs.join(short.distinct(), ["answer_id", "acronym"])
-    wanted = pairs.select("set_id", "acronym", "expansion", "phrase").distinct()
-    needed = F.array_distinct(F.concat(F.array("acronym"), F.split("expansion", " ")))
-    words = wanted.select("set_id", "acronym", "expansion", "phrase", F.explode(needed).alias("word"), F.size(needed).alias("n_words"))
-    sought = words.select("set_id", "word").distinct()
-    held = documents.select("set_id", "file_name", F.explode(F.array_distinct(F.split(_said(F.coalesce("text", F.lit(""))), " "))).alias("word")).join(sought, ["set_id", "word"], "left_semi")
+    said = F.struct("set_id", _said(F.col("value")).alias("n"), _initials(F.col("value")).alias("initials"), F.trim(F.lower(F.regexp_replace("value", r"\s+", " "))).alias("phrase"))
+    told = spread(evidence.where(F.col("value").isNotNull()).select("answer_id", "set_id", "value"), "answer_id").groupBy("answer_id").agg(F.collect_set(said).alias("said"))
+    short = F.transform(F.filter("said", lambda x: ~F.contains(x["n"], F.lit(" ")) & F.length(x["n"]).between(1, ACRONYM)), lambda x: x["n"])
+    long = F.filter("said", lambda x: F.contains(x["n"], F.lit(" ")) & F.array_contains("short", x["initials"]))
+    pairs = told.withColumn("short", short).select("answer_id", F.explode(long).alias("x"))
+    pairs = written(pairs.select("answer_id", "x.set_id", F.col("x.initials").alias("acronym"), F.col("x.n").alias("expansion"), "x.phrase"), "pairs")
     key = ["set_id", "acronym", "expansion", "phrase"]
-    files = words.join(held, ["set_id", "word"]).groupBy(*key, "n_words", "file_name").agg(F.countDistinct("word").alias("met")).where("met = n_words").select(*key, "file_name")
+    needed = F.array_distinct(F.concat(F.array("acronym"), F.split("expansion", " ")))
+    wanted = written(pairs.select(*key).distinct().withColumn("needed", needed), "wanted")
+    held = documents.select("set_id", "file_name", F.explode(F.array_distinct(F.split(_said(F.coalesce("text", F.lit(""))), " "))).alias("word"))
+    counts = held.groupBy("set_id", "word").agg(F.count("*").alias("n"))
+    words = wanted.select(*key, F.size("needed").alias("n_words"), F.explode("needed").alias("word")).join(sorted_side(counts), ["set_id", "word"])
+    rare = words.groupBy(*key, "n_words").agg(F.count("*").alias("met"), F.min(F.struct("n", "word"))["word"].alias("word")).where("met = n_words").select(*key, "word")
+    files = held.join(counted_side(written(rare, "rare")), ["set_id", "word"]).select("file_name", *key)
     around = F.concat(F.lit("(?s)\\b"), F.col("acronym"), F.lit("\\b.{0,"), (F.lit(LINK_WINDOW) - F.length("acronym")).cast("string"), F.lit("}\\Q"), F.col("phrase"), F.lit("\\E|\\Q"), F.col("phrase"), F.lit("\\E.{0,"), (F.lit(LINK_WINDOW) - F.length("acronym")).cast("string"), F.lit("}\\b"), F.col("acronym"), F.lit("\\b"))
-    found = files.join(documents.select("set_id", "file_name", F.lower("text").alias("text")), ["set_id", "file_name"]).where(F.rlike("text", around)).select(*key).distinct()
-    return pairs.join(found, key).select("answer_id", F.concat_ws("|", "acronym", "expansion").alias("link")).distinct()
+    texts = documents.select("set_id", "file_name", F.lower("text").alias("text"), F.split(_said(F.col("text")), " ").alias("words"))
+    spelt = F.forall(F.array_distinct(F.concat(F.array("acronym"), F.split("expansion", " "))), lambda w: F.array_contains("words", w))
+    near = F.when(spelt, F.rlike("text", around)).otherwise(False)
+    found = texts.join(sorted_side(files), ["set_id", "file_name"]).where(near).select(*key).distinct()
+    linked = pairs.join(counted_side(written(found, "found")), key).groupBy("answer_id").agg(F.collect_set(F.concat_ws("|", "acronym", "expansion")).alias("links"))
+    return linked.select("answer_id", F.explode("links").alias("link"))
 
 
 def evidence_agreement(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -131,8 +139,10 @@ def evidence_agreement(evidence: DataFrame, links: DataFrame | None = None) -> D
     may be of two things. More than one group is a conflict. Blank values say nothing. evidence: (answer_id, seq, source, value).
     """
     entry = F.struct("seq", _said(F.col("value")).alias("n"), "value", _initials(F.col("value")).alias("initials"), F.array(F.col("source").cast("string")).alias("files"))
-    rows = evidence.where(_said(F.coalesce("value", F.lit(""))) != "").select("answer_id", "source", entry.alias("e"))
-    told = rows.groupBy("answer_id").agg(F.sort_array(F.collect_list("e")).alias("said"), F.countDistinct("source").alias("files"))
+    rows = spread(evidence.select("answer_id", "seq", "source", "value"), "answer_id").where(_said(F.coalesce("value", F.lit(""))) != "").select("answer_id", entry.alias("e"))
+    # counted in the list: a distinct count beside it would collect and shuffle the lists once for each source
+    told = rows.groupBy("answer_id").agg(F.sort_array(F.collect_list("e")).alias("said"))
+    told = told.withColumn("files", F.size(F.array_distinct(F.array_compact(F.transform("said", lambda x: x["files"][0])))).cast("long"))
     none = F.array().cast("array<string>")
     if links is None:
         told = told.withColumn("links", none)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession, label: str) -> str:
@@ -39,6 +40,13 @@ def sorted_side(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def counted_side(df: DataFrame, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """df, of strings and numbers, as a side of joins: broadcast if it was counted to have at most `rows` rows and `size` bytes, else a sorted side."""
+    width = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields), F.lit(32))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("long")).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["size"] or 0) <= size else sorted_side(df)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once and read back: its lineage ends there."""
     path = work_folder(df.sparkSession, label)

@@ -43,3 +43,26 @@ def test_contained_equals_a_scan(spark):
     assert {(r.set_id, r.part) for r in got.collect()} == want and len(want) > 20
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Cartesian" not in plan and plan.count("Join Inner, (set_id") == 0  # nothing meets by its set alone
+
+
+def test_links_of_a_set_of_any_size_meet_by_rare_words(spark, monkeypatch):
+    from attestry.operators import questions as q
+
+    rows, files = [], []
+    for i in range(40):
+        a, b = chr(97 + i % 20), chr(97 + i // 20)
+        rows += [(i, 0, "a.pdf", 1, f"o{a}{b}".upper()), (i, 0, "b.pdf", 2, f"Office of {a}xd {b}elta")]
+        files += [(0, 10 * i + j, f"office of x and y; o{a}{b}: Office of {a}xd {b}elta" if i % 3 and not j else f"office of {a}xd") for j in range(5)]
+    evidence = spark.createDataFrame(rows, "answer_id long, set_id long, source string, seq long, value string")
+    docs = spark.createDataFrame(files, "set_id long, file_name long, text string")
+    seen = []
+    monkeypatch.setattr(q, "written", lambda df, label: seen.append((label, df.count())) or df)
+    for side in (q.counted_side, q.sorted_side):  # broadcast or not
+        monkeypatch.setattr(q, "counted_side", side)
+        got = {r.answer_id for r in q.acronym_links(evidence, docs).collect()}
+        assert got == {i for i in range(40) if i % 3}
+    assert dict(seen)["rare"] <= 40
+    agreed = {r.answer_id: (r.agree, r.files) for r in q.evidence_agreement(evidence, q.acronym_links(evidence, docs)).collect()}
+    assert all(agreed[i] == (i in got, 2) for i in range(40))
+    plan = q.evidence_agreement(evidence)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Aggregate") == 1  # sources are not counted by another grouping
