@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code point ranges of scripts with the language each stands for, in tie order.
@@ -30,6 +30,19 @@ def letters_of(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, "[^" + pattern[1:-1] + "]+", "")).cast("long")
 
 
+def letters_by_script(df: DataFrame, text: str) -> DataFrame:
+    """df with a column of counts for each of SCRIPTS instead of `text`; null counts as empty.
+
+    ASCII is searched once, for its letters; the scripts only in what is left without it, which of most texts is little.
+    """
+    plain = F.coalesce(F.col(text), F.lit(""))
+    rest = F.when(F.octet_length(plain) == F.length(plain), F.lit("")).otherwise(F.regexp_replace(plain, r"[\x00-\x7f]+", ""))
+    ascii_letters = F.length(plain).cast("long") - F.length(F.regexp_replace(plain, "[A-Za-z]+", "")).cast("long")
+    parts = df.select(*[c for c in df.columns if c != text], ascii_letters.alias("_ascii"), rest.alias("_rest"))
+    counts = [letters_of(F.col("_rest"), p) + (F.col("_ascii") if "A-Za-z" in p else F.lit(0)) for _, p in SCRIPTS]
+    return parts.select(*[c for c in df.columns if c != text], *[n.alias(code) for n, (code, _) in zip(counts, SCRIPTS, strict=True)])
+
+
 def odd_characters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[" + ODD[2:-1] + "]+", "")).cast("long")
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry import catalog, catalog_forms
+from attestry.functions import text as tx
 from attestry.operators import corpus, forms, ledgers, similarity
 from attestry.sources import html
 from attestry.streaming import in_order
@@ -106,3 +107,13 @@ def test_assignment_by_levels_makes_fewer_pairs_of_the_same_result(spark):
     rows = []
     assert sorted(tuple(r) for r in similarity.assign_labels(left, right, 0.55, lambda df: rows.append(df.count()) or keep(df)).collect()) == want
     assert max(rows) < pairs.count() / 2
+
+
+def test_scripts_are_counted_by_all_tasks_and_most_of_a_text_once(spark):
+    texts = [None, "", "abc déf", "Ā1 ɏɐ ÀÿABC", "שלום hello", "привет, мир", "日本 ひら x", "\x00\x7f\x80é", "𝒜b\n", "አማ ar العربية Ελ हिन्दी"]
+    docs = spark.createDataFrame([(f"s{i % 4}", i, t) for i, t in enumerate(texts)], "set_id string, file_name long, text string").coalesce(1)
+    got = tx.letters_by_script(docs, "text")
+    want = docs.select("set_id", "file_name", *[tx.letters_of(F.coalesce("text", F.lit("")), p).alias(code) for code, p in tx.SCRIPTS])
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    logical, _ = plan(corpus.language_by_script(docs))
+    assert "RepartitionByExpression [file_name" in logical
