@@ -117,3 +117,14 @@ def test_scripts_are_counted_by_all_tasks_and_most_of_a_text_once(spark):
     assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
     logical, _ = plan(corpus.language_by_script(docs))
     assert "RepartitionByExpression [file_name" in logical
+
+
+def test_texts_of_asked_sets_are_normalised_once_after_they_are_spread(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(corpus, "written", lambda df, label: kept.append(df) or written(df, label))
+    docs = spark.createDataFrame([("a", 1, "Jane Quinn, 55-01 23"), ("a", 2, None), ("b", 3, "nothing"), ("c", 4, " ,")], "set_id string, file_name long, text string")
+    claims = spark.createDataFrame([(1, "a", "quinn JANE"), (2, "a", "5501-23"), (3, "b", "Jane"), (4, "c", "Jane"), (5, "d", "x"), (6, "a", " ")], "claim_id long, set_id string, value string")
+    got = {r.claim_id: (r.grounded, r.missing) for r in corpus.grounded_values(claims, docs).collect()}
+    assert got == {1: (True, []), 2: (True, []), 3: (False, ["jane"]), 4: (False, ["jane"]), 5: (False, []), 6: (False, [])}
+    logical, _ = plan(kept[0])
+    assert len(kept) == 1 and "regexp_replace" in logical.split("RepartitionByExpression")[0] and "regexp_replace" not in logical.split("RepartitionByExpression")[1]
