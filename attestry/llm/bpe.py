@@ -16,12 +16,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .pieces import Encoder, batches_of
+from .pieces import Encoder
 
 LONG = 256  # bytes
+#: Entries of a worker's caches at most. They are emptied when full: memory is bounded, and what comes again is encoded again.
+CHUNKS, PIECES = 120_000, 60_000
 _NONE = np.int32(2**31 - 1)
 _CELLS = 1 << 19  # of a matrix
 
@@ -52,7 +55,7 @@ class Bpe:
                     values.append(i)
         self._build(np.array(keys, np.uint64), np.array(values, np.int32))
         self.cache: dict[str, bytes] = {}
-        self.texts = Encoder(self._chunks, limit=400_000)
+        self.texts = Encoder(self._chunks, limit=CHUNKS)
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Open addressing with linear probing, at most a quarter full."""
@@ -187,7 +190,7 @@ class Bpe:
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.pattern.findall(c) for c in chunks]
         new = list({p for parts in split for p in parts if p not in self.cache})
-        if len(self.cache) + len(new) > 200_000:
+        if len(self.cache) + len(new) > PIECES:
             self.cache.clear()
             new = list({p for parts in split for p in parts})
         self.cache.update(zip(new, self.pieces(new), strict=True))
@@ -212,6 +215,17 @@ def _worker(shared, pattern: str) -> Bpe:
     return _made[key]
 
 
+def text_runs(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list]]:
+    """(start, end, texts) of runs of about `size` bytes of a column of texts; only one run is turned into strings at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        end = min(len(column), int(np.searchsorted(ends, before + size)) + 1)
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+
+
 def encode(documents: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """Per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 (of the ids decoded again), and token_ids.
 
@@ -225,9 +239,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, with_ids: bool =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(shared, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in batches_of(texts, 1 << 20):
-                coded = bpe.encode([t or "" for t in texts[lo:hi]])
+            for lo, hi, texts in text_runs(batch.column(1)):
+                coded = bpe.encode([t or "" for t in texts])
                 ids = [np.frombuffer(c, "<u4") for c in coded]
                 columns = [
                     batch.column(0).slice(lo, hi - lo),

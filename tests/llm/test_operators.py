@@ -662,3 +662,24 @@ def test_field_finds_unseen_spans_and_keeps_base_ones(spark):
     assert len(rows) == 6 and [r.n_phone for r in rows] == [0, 0, 0, 1, 1, 0]
     assert pii.scan(odd.limit(0), model).count() == 0
     assert pii.find("count 912 555 4321 items", pii.train(docs.limit(0)))[0] == []
+
+
+def test_byte_bpe_keeps_its_caches_small_and_strings_by_runs(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+
+    from attestry.llm import bpe
+
+    column = pa.array(["ab", None, "", "é" * 40, "x" * 9, None, "yz"] * 3).slice(1)
+    runs = list(bpe.text_runs(column, 10))
+    assert [t for _, _, texts in runs for t in texts] == column.to_pylist()
+    assert [lo for lo, _, _ in runs] == [0, *[hi for _, hi, _ in runs][:-1]] and runs[-1][1] == len(column) and len(runs) > 3
+    assert list(bpe.text_runs(column.slice(0, 0))) == []
+    assert bpe.CHUNKS <= 120_000 and bpe.PIECES <= 60_000  # two workers of an executor hold them beside its heap
+    texts = [" ".join(f"w{i}{j}é," for j in range(30)) for i in range(30)]
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    want = bpe.Bpe(tokens, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(bpe, "CHUNKS", 40)
+    monkeypatch.setattr(bpe, "PIECES", 25)
+    small = bpe.Bpe(tokens, public_tokenizers.PATTERN)
+    assert [x for t in texts for x in small.encode([t])] == want and len(small.texts.spaced) <= 40 + 61
