@@ -10,12 +10,13 @@ ranks a more frequent token holds.) Tokens of a set are sorted by that order. An
 this one keeps frequent tokens out of prefixes, and neighbours below are rare without a finer one.
 
 Prefix. Sets of na and nb tokens with similarity t share o >= t (na + nb) / (1 + t) tokens, so that d = na + nb - 2 o
-are in one of both only. These d cut the shared tokens, taken in order, into d + 1 runs at most: of any d + 2
-shared tokens some two are neighbours in both sets. The first d + 2 shared tokens stand among the first
-(na - o) + d + 2 <= 2 na (1 - t) + 2 of a set. So similar sets share a pair of neighbours within that prefix, and such pairs
-are the join keys. A single token would do with a shorter prefix, but the number of lines that share one
-frequent-enough token grows with the input, and their pairs with its square; two neighbours are rarely
-shared by chance.
+are in one of both only. These d cut the shared tokens, taken in order, into d + 1 runs at most: of any 2 d + 3
+shared tokens some three are neighbours in both sets. The first 2 d + 3 shared tokens stand among the first
+(na - o) + 2 d + 3 <= 3 na (1 - t) + 3 of a set. So similar sets that share as many have three neighbours within that prefix in
+common, and such threes are the join keys. Only small sets may share fewer (at 0.8 those of 4 and 5 tokens): of d + 2 shared tokens two are neighbours, within
+the first 2 na (1 - t) + 2 of a set, so those of `small_sets` tokens or less have pairs for keys too. A single token would do with a shorter
+prefix, but the number of lines that share one frequent-enough token grows with the input, and their pairs with its square; so does, later, that of
+lines which share two neighbours. Sets too small to resemble an unequal one have no keys.
 
 Pairs. Each key's sets meet one set of the key, its hub: that which most lines have (by powers of two), since what
 copies were made of is near to all of them, while two copies may each have their own changes. Sets that no hub removed meet a
@@ -159,23 +160,44 @@ def _in_place(percent: int) -> Column:
     return (most >= _overlap(percent)) | (F.greatest("pa", "pb") >= MAX_PLACE)
 
 
+def small_sets(percent: int) -> int:
+    """Sets of more tokens than this have 2 d + 3 tokens in common with every similar one: o >= d t / (1 - t) leaves o < 2 d + 3 to few d."""
+    most = 2 * (100 - percent) // (3 * percent - 200)
+    return 3 * most + 2 if most else 0
+
+
+def _with_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """The columns of sets (n, prefix, others) that have keys, with p and key of each: a row for each three neighbours of the prefix, and of small sets for each two."""
+    threes = F.transform(F.sequence(F.lit(0), F.size("prefix") - 3), lambda i: F.struct(F.least(i, F.lit(MAX_PLACE)).alias("p"), _key_at(i).alias("key")))
+    # Keys of two have no place: they don't bound what sets have in common.
+    two = lambda i: F.struct(F.lit(MAX_PLACE).alias("p"), F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)).alias("key"))
+    twos = F.transform(F.sequence(F.lit(0), F.least(F.size("prefix"), F.floor(F.col("n") * (200 - 2 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 2) - 2), two)
+    able = sets.where((F.col("n") * (100 - percent) >= percent) & (F.size("prefix") > 2))
+    keyed = able.withColumn("at", F.explode(F.when(F.col("n") <= small_sets(percent), F.concat(threes, twos)).otherwise(threes)))
+    return keyed.select(*sets.columns, "at.p", "at.key")
+
+
+def _key_at(i: Column) -> Column:
+    return F.xxhash64(*[F.get("prefix", i + j) for j in range(3)])
+
+
 def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Lines to remove: (doc_id, text_key, dropped array of line numbers), a row for each document with any.
 
     Null texts have no lines. Lines without words stay. Of repeated rows each loses the same lines. The
     order of documents is that of doc_id, null first; equal ids with other texts tie by their sets. Texts and lines may
-    be of any length; other columns are ignored. `percent` is 70 or more (below, small sets may share no neighbours).
+    be of any length; other columns are ignored. `percent` is 70 or more (below, the bounds of prefixes do not hold).
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent from 70 to 100")
     docs = documents.select("doc_id", "text")
     table = _ranks(docs, shingle_words)
     n = F.size("codes")
-    reach = F.floor(n * (200 - 2 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 2
+    reach = F.floor(n * (300 - 3 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 3
     wide = written(
         _coded(_split(docs), table, shingle_words).select(
             "doc_id", "text_key", "line_no", n.alias("n"), F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), *_parities("codes"),
-            # Neighbours are hashed in pairs later; here 32 bits of each token are enough.
+            # Neighbours are hashed in threes later; here 32 bits of each token are enough.
             F.transform(F.slice("codes", 1, reach), lambda c: F.hash(c)).alias("prefix"),
         ),
         "wide-lines",
@@ -188,13 +210,10 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     forget(wide)
     release(docs.sparkSession)
 
-    key_at = lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1))
-
     def keys(some: DataFrame) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(0), F.size("prefix") - 2), key_at)
         # Rarity, position and set share a number, for narrow rows; the least of a key is its hub. A position beyond the limit has no bound.
-        rows = some.where(F.size("prefix") > 1).select("sid", "rare", F.posexplode(pairs).alias("p", "key"))
-        high = F.shiftleft(F.col("rare"), PLACE_BITS).bitwiseOR(F.least("p", F.lit(MAX_PLACE)))
+        rows = _with_keys(some.select("sid", "rare", "n", "prefix"), percent)
+        high = F.shiftleft(F.col("rare"), PLACE_BITS).bitwiseOR(F.col("p"))
         return rows.select("key", F.shiftleft(high.cast("long"), SET_BITS).bitwiseOR(F.col("sid")).alias("set_place"))
 
     sid = F.col("set_place").bitwiseAND(F.lit((1 << SET_BITS) - 1).cast("long"))
@@ -231,7 +250,9 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
         rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("wanted", _once(F.split(_plain(F.col("text")), "\n")).alias("all"))
         rows = rows.select(F.explode(F.transform("wanted", lambda x: F.struct(x.alias("at"), F.get("all", x["first"]["l"]).alias("line")))).alias("x"))
         rows = rows.select("x.*").where("line is not null")  # (another text of that id may have fewer lines)
-        known = _coded(rows, table, shingle_words).where((F.xxhash64("codes") == F.col("at.k1")) & (F.hash("codes") == F.col("at.k2")))
+        # (once: a condition on them would have the codes made anew for each of its parts, and the table of ranks in the plan as often)
+        known = _coded(rows, table, shingle_words).select("at", _once(F.col("codes")).alias("codes"))
+        known = known.where((F.xxhash64("codes") == F.col("at.k1")) & (F.hash("codes") == F.col("at.k2")))
         known = known.select(F.col("at.sid").alias("sid"), "codes").dropDuplicates(["sid"])
         known = written(known, f"{label}-codes")
         side = lambda x: known.select(F.col("sid").alias(x), F.col("codes").alias(f"{x}codes"))
@@ -248,7 +269,7 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     members = met.where("size > 2 and sid <> hub").select("key", "sid", "p")
     out, _ = small_side(gone, broadcast_rows)
     asked, _ = small_side(written(members.join(out, "sid", "left_anti").select("key").distinct(), "asked"), broadcast_rows)
-    before = F.when(F.col("p").between(1, MAX_PLACE - 1), key_at(F.col("p") - 1)).alias("before")
+    before = F.when(F.col("p").between(1, MAX_PLACE - 1), _key_at(F.col("p") - 1)).alias("before")
     known = sets.select("sid", "n", "v0", "v1", "prefix", F.struct("first", "k1", "k2", "sid").alias("at"))
     members = members.join(asked, "key", "left_semi").join(known, "sid").join(out.withColumn("out", F.lit(True)), "sid", "left")
     members = written(members.select("key", "sid", "p", "n", "v0", "v1", "at", before, "out"), "members")

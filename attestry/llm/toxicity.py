@@ -113,21 +113,33 @@ class Problem:
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, pairs: list[Pair], swap_weight: float):
         self.y, self.weight, n = np.asarray(labels, np.float64), swap_weight, len(rows)
         every = [*rows, *[np.concatenate(p) for p in pairs]]
-        self.used, self.flat = np.unique(np.concatenate(every), return_inverse=True)
+        flat = np.concatenate(every)
+        place = np.zeros(DIMENSIONS, np.int64)
+        place[flat] = 1
+        self.used = np.flatnonzero(place)
+        place[self.used] = np.arange(len(self.used))
+        self.flat = place[flat]  # as np.unique's inverse, without its sorted copies
         self.of = np.repeat(np.arange(len(every)), [len(r) for r in every])
-        signs = [np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in pairs]
-        self.sign = np.concatenate([np.ones(sum(map(len, rows))), *signs])
+        self.sign = np.ones(len(flat))
+        if pairs:
+            self.sign[sum(map(len, rows)) :] = np.concatenate([np.repeat([1.0, -1.0], [len(a), len(b)]) for a, b in pairs])
         self.n, self.m = n, len(pairs)
+        self.terms = np.empty(len(self.flat))  # one number for each entry, made anew in every step
         self.balance = np.where(self.y == 1, 0.5 / self.y.sum(), 0.5 / (n - self.y.sum()))
 
     def slope(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
         """(value, its gradient by w, by the bias)."""
-        sums = np.bincount(self.of, w[self.flat] * self.sign, self.n + self.m)
+        sums = np.bincount(self.of, self._signed(w, self.flat), self.n + self.m)
         logit, change = np.clip(sums[: self.n] + bias, -40, 40), sums[self.n :]
         p = 1 / (1 + np.exp(-logit))
         value = (self.balance * (np.logaddexp(0, logit) - self.y * logit)).sum() + self.weight * (change**2).sum() / max(self.m, 1)
         pull = np.concatenate((self.balance * (p - self.y), 2 * self.weight * change / max(self.m, 1)))
-        return value, np.bincount(self.flat, pull[self.of] * self.sign, len(self.used)), pull[: self.n].sum()
+        return value, np.bincount(self.flat, self._signed(pull, self.of), len(self.used)), pull[: self.n].sum()
+
+    def _signed(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        np.take(values, at, out=self.terms, mode="clip")  # (with "raise" numpy makes a copy; all places exist)
+        self.terms *= self.sign
+        return self.terms
 
 
 def fit(

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -139,6 +141,24 @@ def test_word_hashes_do_not_depend_on_batches():
         assert len(s) == len(shingles(spaced(lower(t))))
 
 
+def test_a_step_of_the_fit_takes_little_memory_beyond_the_problem():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 20_000, 300).astype(np.int32)) for _ in range(1000)]
+    problem = toxicity.Problem(rows, np.arange(1000) % 2, [(rows[0][:2], rows[1][:1]), (rows[2][:1], rows[3][:0])], 1.0)
+    w, bias = rng.normal(size=len(problem.used)), 0.3
+    problem.slope(w, bias)
+    tracemalloc.start()
+    value, slope, bias_slope = problem.slope(w, bias)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(problem.flat)
+    sums = np.bincount(problem.of, w[problem.flat] * problem.sign, problem.n + problem.m)
+    p = 1 / (1 + np.exp(-np.clip(sums[: problem.n] + bias, -40, 40)))
+    pull = np.concatenate((problem.balance * (p - problem.y), 2 * sums[problem.n :] / problem.m))
+    assert np.array_equal(slope, np.bincount(problem.flat, pull[problem.of] * problem.sign, len(problem.used)))
+    assert bias_slope == pull[: problem.n].sum()
+
+
 # Line dedup
 
 
@@ -198,6 +218,51 @@ def test_similar_lines_share_neighbours():
                     assert pairs[0] & pairs[1], (percent, na, nb)
 
 
+def test_similar_lines_share_three_neighbours_or_are_small():
+    """For all sizes and sets that differ as much as they may, or less."""
+    rng = np.random.default_rng(4)
+    for percent in (70, 80, 90):
+        few, met = line_dedup.small_sets(percent), 0
+        for na in range(1, 45):
+            for nb in range(na, na * 100 // percent + 1):
+                for o in range(-(-(na + nb) * percent // (100 + percent)), na + 1):
+                    if na == nb == o:
+                        continue
+                    assert na * (100 - percent) >= percent  # smaller sets have no keys
+                    for _ in range(4):
+                        order = rng.permutation(na + nb - o)
+                        x, y = np.sort(order[:na]).tolist(), np.sort(np.concatenate((order[:o], order[na:]))).tolist()
+                        runs = [{tuple(s[i : i + k]) for i in range(min(len(s), len(s) * k * (100 - percent) // 100 + k) - k + 1)} for s in (x, y) for k in (2, 3)]
+                        assert runs[1] & runs[3] or (nb <= few and runs[0] & runs[2]), (percent, na, nb, o)
+                        met += not runs[1] & runs[3]
+        assert bool(met) == bool(few)
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_line_dedup_of_lines_of_any_size(spark, percent):
+    """Among lines of 1 to 40 words of a small vocabulary, with copies that lack or gain some words."""
+    rng, lines = np.random.default_rng(percent), []
+    for n in range(1, 41):
+        for _ in range(3):
+            words = rng.permutation(60)[:n].tolist()
+            lines.append(words)
+            for less, more in ((1, 0), (0, 1), (1, 1), (2, 1), (0, 3), (4, 0)):
+                lines.append(rng.permutation([*words[min(less, n - 1) :], *(100 + rng.permutation(20)[:more])]).tolist())
+    sets = [frozenset(x) for x in lines]
+    want = {i for i, s in enumerate(sets) if any(100 * len(s & o) >= percent * len(s | o) for o in sets[:i])}
+    docs = spark.createDataFrame([(i, " ".join(f"v{w}" for w in x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.decisions(docs, percent=percent).collect()} == want
+
+
+def test_lines_that_share_two_neighbours_only_do_not_meet(spark):
+    """Keys of many unlike lines that have two words in common, next to each other, and of two similar ones."""
+    sets = spark.createDataFrame([(i, 20, [0, 1, *range(100 * i, 100 * i + 13)]) for i in range(1, 9)] + [(9, 20, [7, 8, 9, *range(900, 912)]), (10, 20, [6, 7, 8, 9, *range(1000, 1011)])], "sid long, n int, prefix array<int>")
+    shared = line_dedup._with_keys(sets, 80).groupBy("key").agg(F.sort_array(F.collect_list("sid")).alias("of")).where("size(of) > 1").collect()
+    assert [r.of for r in shared] == [[9, 10]]
+    small = spark.createDataFrame([(1, 3, [1, 2, 3]), (2, 4, [1, 2, 3, 4]), (3, 5, [1, 2, 9, 3, 4]), (4, 5, [1, 2, 3, 8, 9])], "sid long, n int, prefix array<int>")
+    assert {r.sid for r in line_dedup._with_keys(small, 80).where(f"p = {line_dedup.MAX_PLACE}").collect()} == {2, 3, 4}
+
+
 def test_rank_table_keeps_the_most_frequent_of_a_slot():
     rng = np.random.default_rng(9)
     hashes = [int(x) for x in rng.integers(-(2**63), 2**63, line_dedup.RANKED, dtype=np.int64)]
