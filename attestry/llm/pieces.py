@@ -32,7 +32,7 @@ class Encoder:
     """Encodes texts to bytes of ids by way of chunks; `encode` maps distinct strings to id bytes.
 
     A mark that follows a letter at a chunk's end is a piece of its own, so such a chunk is put together from
-    its word and the mark. The cache holds about `limit` chunks and is emptied when full, which changes no
+    its word and the mark. The cache holds about `limit` chunks; when it is full, those of the texts at hand stay, which changes no
     result.
     """
 
@@ -58,14 +58,17 @@ class Encoder:
         if len(self.spaced) > self.limit:
             self.spaced.clear()
         found = [list(map(self.spaced.get, parts[1:])) for parts in split]
-        gaps = [(parts, ids) for parts, ids in zip(split, found, strict=True) if None in ids]
-        self._learn({c for parts, ids in gaps for c, x in zip(parts[1:], ids, strict=True) if x is None})
-        for parts, ids in gaps:
-            ids[:] = map(self.spaced.__getitem__, parts[1:])
+        gaps = [(parts, ids, [i for i, x in enumerate(ids) if x is None]) for parts, ids in zip(split, found, strict=True) if None in ids]
+        self._learn({parts[i + 1] for parts, _, holes in gaps for i in holes})
+        for parts, ids, holes in gaps:
+            for i in holes:
+                ids[i] = self.spaced[parts[i + 1]]
         if len(self.heads) > self.limit // 4:
             self.heads.clear()
         new = list({parts[0] for parts in split if parts[0] not in self.heads})
         self.heads.update(zip(new, self.encode(new), strict=True))
+        if len(self.spaced) > self.limit:
+            self.spaced = {c: x for parts, ids in zip(split, found, strict=True) for c, x in zip(parts[1:], ids, strict=True)}
         return [self.heads[parts[0]] + b"".join(ids) for parts, ids in zip(split, found, strict=True)]
 
 

@@ -25,6 +25,11 @@ SEGMENT = 1 << 20
 
 SCHEMA = "part int, seq int, n_docs bigint, n_null bigint, id_base bigint, base bigint, n_ids bigint, width int, doc_ids binary, bounds binary, ids binary"
 
+#: Distinct chunks that the library gets at once.
+RUN = 8192
+#: A space in the tokens of a byte-level vocabulary.
+_SPACE = "\u0120"
+
 _made: dict[str, Encoder] = {}
 
 
@@ -37,16 +42,38 @@ def _encoder(blob: str, width: str, marks_as_text: bool) -> Encoder:
         tokenizer = Tokenizer.from_str(blob)
         tokenizer.encode_special_tokens = marks_as_text
 
+        # A token that begins with a space; added tokens are matched as they stand and hold none.
+        added = set(tokenizer.get_added_tokens_decoder())
+        spaced = np.zeros(1 + max([0, *added, *tokenizer.get_vocab().values()]), bool)
+        spaced[[i for token, i in tokenizer.get_vocab().items() if token.startswith(_SPACE) and i not in added]] = True
+
+        def cut(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+            flat, cuts = ids.tobytes(), (at * ids.itemsize).tolist()
+            return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        def apart(some: list[str]) -> list[bytes]:
+            coded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            of = np.array(coded.word_ids, np.int64)  # ascending
+            return cut(np.array(coded.ids, width), np.searchsorted(of, np.arange(len(some) + 1)))
+
+        def joined(some: list[str]) -> list[bytes]:
+            """Of chunks with their only space in front, none white beside it, as one text: each begins with the token that holds its space."""
+            ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, width)
+            at = np.flatnonzero(spaced[ids])
+            return cut(ids, np.append(at, len(ids))) if len(at) == len(some) and at[0] == 0 else apart(some)
+
         def encode(chunks: list[str]) -> list[bytes]:
             out: list[bytes] = []
-            for at in range(0, len(chunks), 8192):
-                some = chunks[at : at + 8192]
-                coded = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-                ids = np.array(coded.ids, width)
-                of = np.array(coded.word_ids, np.int64)  # ascending
-                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * ids.itemsize).tolist()
-                flat = ids.tobytes()
-                out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            for at in range(0, len(chunks), RUN):
+                some = chunks[at : at + RUN]
+                odd = [c for c in some if c.rfind(" ") or len(c) < 2 or c[1].isspace() or c[-1].isspace()]
+                if not odd:
+                    out += joined(some)
+                    continue
+                known = dict(zip(odd, apart(odd), strict=True))
+                lone = [c for c in some if c not in known]
+                known.update(zip(lone, joined(lone) if lone else [], strict=True))
+                out += map(known.__getitem__, some)
             return out
 
         def each(texts: list[str]) -> list[bytes]:
@@ -64,7 +91,7 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, end_id: int = 0,
     Ids are those of the tokenizers library for the whole text, add_special_tokens=False. A string of the file's special
     tokens in a text becomes the special id, as the library does by default; with `marks_as_text` it is ordinary
     text. The library is not called for every text: texts are split at lone spaces, which neither the pattern of the
-    pre-tokenizer nor a special token crosses, every distinct piece is encoded once a task and remembered
+    pre-tokenizer nor a special token crosses, every distinct piece is encoded once a task, many as one text, and remembered
     (see pieces.Encoder). `whole` calls the library for every whole text; the ids are the same.
 
     Null text is the empty text: only the end id. Null doc_ids come first; rows with one doc_id are ordered

@@ -419,6 +419,51 @@ def test_token_file_round_trip(spark, corpus, as_text):
     assert [r.doc_id for r in one] == [w[0] for w in want] and sorted(bytes(r.token_ids) for r in one) == sorted(all_ids)
 
 
+def test_token_file_encodes_lone_chunks_as_one_text(monkeypatch):
+    """The library gets new chunks by the thousand, not one by one; odd ones apart; ids are those of whole texts."""
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        blob = f.read()
+    real, apart = tokenizers.Tokenizer.from_str(blob), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode(self, some, **kw):
+            apart.extend(some)
+            return real.encode(some, **kw)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_str": staticmethod(lambda _: Counted())}))
+    monkeypatch.setattr(token_file, "_made", {})
+    texts = [
+        "a b c the.\nThe <|endoftext|> x<|endoftext|>y don't (it's) 日本語 🎉 é\x00 \u0120a \u0120", " lead  two\n \nlines end ", "", " ", "one", "x \x1c y\x1f z\u00a0 w \u2003v", "12 34,5 $$$ a$$$ \t b",
+        " ".join(f"w{i}q{i * 7}" for i in range(20_000)),
+    ]
+    got = token_file._encoder(blob, "<u2", False)(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(apart) < 100 and not any(c.startswith(" w1") for c in apart)
+
+
+def test_full_cache_of_chunks_keeps_those_at_hand():
+    from attestry.llm.pieces import Encoder
+
+    asked = []
+
+    def encode(some):
+        asked.extend(some)
+        return [c.encode() for c in some]
+
+    encoder = Encoder(encode, limit=30)
+    for i in range(40):
+        text = "head " + " ".join([*(f"often{j}" for j in range(20)), *(f"x{i}y{j}" for j in range(5))])
+        assert encoder([text]) == [text.encode()]
+        assert len(encoder.spaced) <= 30
+    assert asked.count(" often7") == 1
+
+
 def test_token_file_of_nothing(spark, corpus):
     path = f"{work_dir(spark)}/nothing-{np.random.default_rng().integers(1 << 60)}"
     token_file.write(corpus.limit(0), public_tokenizers.path("byte_bpe_50k.json"), path)
