@@ -4,10 +4,10 @@ A line's set holds its distinct words (or, with `shingle_words` over 1, its dist
 line with fewer is one shingle). Lines with equal sets collapse first. A line with words is removed if an
 earlier line, by (doc_id, line number), has an equal or similar set.
 
-Rarity. The documents that hold a token are counted for every token (lines, for shingles). The RANKED most frequent
-tokens are ordered by their counts, ties by hash; all others come before them, by hash. (So do the few whose place in the table of
-ranks a more frequent token holds.) Tokens of a set are sorted by that order. Any total order gives the same result;
-this one keeps frequent tokens out of prefixes, and neighbours below are rare without a finer one.
+Rarity. Words are ordered by length, longest first, ties by hash: long words are rare in any language, and none need be counted.
+For shingles, the lines that hold one are counted. The RANKED most frequent are ordered by their counts, ties by hash; all others come
+before them, by hash. (So do the few whose place in the table of ranks a more frequent one holds.) Tokens of a set are sorted by that
+order. Any total order gives the same result; these keep frequent tokens out of prefixes, and neighbours below are rare without a finer one.
 
 Prefix. Sets of na and nb tokens with similarity t share o >= t (na + nb) / (1 + t) tokens, so that d = na + nb - 2 o
 are in one of both only. These d cut the shared tokens, taken in order, into d + 1 runs at most: of any 2 d + 3
@@ -39,9 +39,11 @@ from .common import BROADCAST_ROWS, forget, fresh, release, small_side, written
 #: So many tokens at most have a rank of their own, in a table that every task holds.
 RANKED = (1 << 12) - 1
 _SLOTS, _RANK_BITS = 1 << 14, 12
+#: Words of so many bytes or more count as equally long.
+LONG, _LONG_BITS = (1 << 5) - 1, 5
 #: Bits of a number that tell sets apart (partition and row), of a position, and the largest position; the rest orders sets by their lines.
 SET_BITS, PLACE_BITS, MAX_PLACE, _CLASSES = 52, 7, (1 << 7) - 1, 15
-#: Sets of more tokens spread their parities over two numbers.
+#: Sets of more tokens have parities of half of them too.
 LARGE = 100
 #: A key that this part of a sample of all sets shares is set apart. There are at most HOT_PART * keys a set of them.
 HOT_PART, _SAMPLE = 256, 64
@@ -75,9 +77,7 @@ def _once(array: Column) -> Column:
 
 
 def _hashes(words: str, shingle_words: int) -> Column:
-    """Hashes of the tokens of an array of words."""
-    if shingle_words == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of the shingles of an array of words."""
     count = F.greatest(F.size(words) - shingle_words + 1, F.lit(1))
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(shingle_words)]))
 
@@ -92,14 +92,9 @@ def rank_table(hashes: list[int]) -> list[int]:
 
 
 def _ranks(docs: DataFrame, shingle_words: int) -> Column:
-    """The rank table of the RANKED most frequent tokens of all lines, as a column of one array."""
-    plain = _plain(F.col("text"))
-    if shingle_words == 1:
-        words = F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " ")
-        tokens = docs.select(F.explode(F.array_distinct(words)).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("h"))
-    else:
-        at = docs.select(F.explode(F.split(plain, "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
-        tokens = at.where(F.size("words") > 0).select(F.explode(F.array_distinct(_hashes("words", shingle_words))).alias("h"))
+    """The rank table of the RANKED most frequent shingles of all lines, as a column of one array."""
+    at = docs.select(F.explode(F.split(_plain(F.col("text")), "\n")).alias("line")).select(line_words(F.col("line")).alias("words"))
+    tokens = at.where(F.size("words") > 0).select(F.explode(F.array_distinct(_hashes("words", shingle_words))).alias("h"))
     top = tokens.groupBy("h").count().orderBy(F.desc("count"), "h").limit(RANKED)
     hashes = [r["h"] for r in top.select("h").collect()][::-1]  # RANKED numbers at most
     release(docs.sparkSession)
@@ -120,9 +115,21 @@ def _codes(hashes: str, table: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(hashes), coded))
 
 
-def _coded(lines: DataFrame, table: Column, shingle_words: int) -> DataFrame:
-    """lines that have words, with their `codes` in place of `line`."""
+def _word_codes(words: str) -> Column:
+    """The distinct words as sorted codes, longest first: what the length lacks of LONG in the upper bits, the hash's upper bits below."""
+
+    def coded(w: Column) -> Column:
+        lack = F.greatest(LONG - F.octet_length(w), F.lit(0)).cast("long")
+        return F.shiftleft(lack, 63 - _LONG_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), _LONG_BITS + 1))  # (the sign stays free)
+
+    return F.sort_array(F.array_distinct(F.transform(words, coded)))
+
+
+def _coded(lines: DataFrame, table: Column | None, shingle_words: int) -> DataFrame:
+    """lines that have words, with their `codes` in place of `line`; for shingles by the table of ranks."""
     at = lines.where(F.trim("line") != "").withColumn("words", line_words(F.col("line")))
+    if table is None:
+        return at.withColumn("codes", _word_codes("words")).drop("line", "words")
     return at.withColumn("hashes", _hashes("words", shingle_words)).withColumn("codes", _codes("hashes", table)).drop("line", "words", "hashes")
 
 
@@ -132,25 +139,21 @@ def _overlap(percent: int) -> Column:
 
 
 def _parities(codes: str) -> list[Column]:
-    """Whether an odd number of codes falls on each of 64 places: v0 by six bits of them; v1 by six others, or for large sets by the first six, over half the codes."""
+    """Whether an odd number of codes falls on each of 64 places, by six bits of them: v0 of all codes; v1, for large sets, of half of them, else 0."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     mask = lambda n: F.lit(n).cast("long")
     flip = lambda place: lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, place(h).bitwiseAND(mask(63)).cast("int")))
     first = flip(lambda h: h)
     half = F.filter(codes, lambda h: h.bitwiseAND(mask(64)) != 0)
-    v1 = F.when(F.size(codes) > LARGE, F.aggregate(half, none, first)).otherwise(F.aggregate(codes, none, flip(lambda h: F.shiftright(h, 6))))
+    v1 = F.when(F.size(codes) > LARGE, F.aggregate(half, none, first)).otherwise(none)
     return [F.aggregate(codes, none, first).alias("v0"), v1.alias("v1")]
 
 
 def _may_match(percent: int) -> Column:
-    """Length bound; and parity bound: no more differences than the sizes allow, by either number, or for large sets by both halves' sum."""
+    """Length bound; and parity bound: no more differences than the sizes allow, for large sets by both halves' sum."""
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     v0, v1 = F.col("v0a").bitwiseXOR(F.col("v0b")), F.col("v1a").bitwiseXOR(F.col("v1b"))
-    apart = (
-        F.when(F.least("na", "nb") > LARGE, F.bit_count(v0.bitwiseXOR(v1)) + F.bit_count(v1))
-        .when(F.greatest("na", "nb") > LARGE, F.bit_count(v0))
-        .otherwise(F.greatest(F.bit_count(v0), F.bit_count(v1)))
-    )
+    apart = F.when(F.least("na", "nb") > LARGE, F.bit_count(v0.bitwiseXOR(v1)) + F.bit_count(v1)).otherwise(F.bit_count(v0))
     return sized & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
@@ -191,7 +194,7 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     if not 70 <= percent <= 100:
         raise ValueError("percent from 70 to 100")
     docs = documents.select("doc_id", "text")
-    table = _ranks(docs, shingle_words)
+    table = _ranks(docs, shingle_words) if shingle_words > 1 else None
     n = F.size("codes")
     reach = F.floor(n * (300 - 3 * percent) / F.lit(100.0) + F.lit(1e-9)).cast("int") + 3
     wide = written(
@@ -271,7 +274,10 @@ def decisions(documents: DataFrame, shingle_words: int = 1, percent: int = 80, b
     asked, _ = small_side(written(members.join(out, "sid", "left_anti").select("key").distinct(), "asked"), broadcast_rows)
     before = F.when(F.col("p").between(1, MAX_PLACE - 1), _key_at(F.col("p") - 1)).alias("before")
     known = sets.select("sid", "n", "v0", "v1", "prefix", F.struct("first", "k1", "k2", "sid").alias("at"))
-    members = members.join(asked, "key", "left_semi").join(known, "sid").join(out.withColumn("out", F.lit(True)), "sid", "left")
+    members = members.join(asked, "key", "left_semi")
+    # (prefixes are wide: only those of sets in question pass the shuffle)
+    some, _ = small_side(written(members.select("sid").distinct(), "asked-sets"), broadcast_rows)
+    members = members.join(known.join(some, "sid", "left_semi"), "sid").join(out.withColumn("out", F.lit(True)), "sid", "left")
     members = written(members.select("key", "sid", "p", "n", "v0", "v1", "at", before, "out"), "members")
     forget(met)
     release(docs.sparkSession)
