@@ -231,7 +231,7 @@ def fuzzy_assign(spark, sf_dir):
 @job("identity_match", """select c_custkey as form_id, a.i as a_id, case when a.i = 2 then 2 when a.i = 3 and c_custkey % 2 = 0 then 4 when a.i = 4 then 5 end as q_id,
     case a.i when 2 then 'key' when 3 then case when c_custkey % 2 = 0 then 'label' else 'refused' end else 'similar' end as how from customer, (select unnest([2, 3, 4]) as i) a""")
 def identity_match(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("form_id"))
+    c = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("form_id")), "form_id")
     q = lambda i, label, key: F.struct(F.lit(i).alias("q_id"), label.alias("label"), F.lit(key).cast("string").alias("identity_key"))
     a = lambda i, label, value, key, lost: F.struct(F.lit(i).alias("a_id"), F.lit(label).alias("label"), F.lit(value).alias("value"), F.lit(key).cast("string").alias("identity_key"), F.lit(lost).alias("invalidated"))
     even = F.col("form_id") % 2 == 0

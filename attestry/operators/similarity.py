@@ -21,6 +21,8 @@ from ..work import sorted_side
 
 #: Labels of one side in a tile.
 TILE = 1000
+#: Letters are counted for blocks in which a side has more labels than this; in smaller ones a pair's distance is sooner computed.
+FEW = 16
 #: Blocks with so many pairs at most are assigned in one task each; the others in rounds over all tasks, with the same result.
 BLOCK_PAIRS = 100_000
 
@@ -42,9 +44,9 @@ def letter_marks(label: Column) -> list[Column]:
 
 
 def _sides(df: DataFrame, x: str) -> DataFrame:
-    """Distinct cleaned labels of a side with their marks."""
+    """Distinct cleaned labels of a side."""
     labels = df.select("block", tx.cleaned(F.col("label")).alias(f"l{x}")).where(f"l{x} <> ''").distinct()
-    return labels.select("block", f"l{x}", F.length(f"l{x}").alias(f"n{x}"), *[m.alias(f"{x}{i}") for i, m in enumerate(letter_marks(F.col(f"l{x}")))])
+    return labels.select("block", f"l{x}", F.length(f"l{x}").alias(f"n{x}"))
 
 
 def similar_labels(left: DataFrame, right: DataFrame, least: float, same: bool = False, tile: int = TILE) -> DataFrame:
@@ -53,17 +55,19 @@ def similar_labels(left: DataFrame, right: DataFrame, least: float, same: bool =
     With `same` the sides are one table, and of two labels only the pair with la <= lb is given. Blank labels and null blocks have no pairs.
     """
     a, b = _sides(left, "a"), _sides(right, "b")
-    sizes = lambda df, name: df.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias(name)).where(f"{name} > 1")
+    sizes = lambda df, name: df.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > min(FEW, tile)).select("block", F.ceil(F.col("n") / tile).cast("int").alias(name))
 
     def tiled(df: DataFrame, x: str, own: DataFrame, other: DataFrame) -> DataFrame:
-        """Its own tile by hash, and one row for each tile of the other side."""
+        """Its own tile by hash, one row for each tile of the other side, and the label's marks (null in blocks of few labels)."""
         many = lambda c: F.coalesce(c, F.lit(1))
         out = df.join(own, "block", "left").join(other, "block", "left")
         mine = F.pmod(F.xxhash64(f"l{x}"), many(F.col(f"tiles_{x}"))).cast("int")
         y = "b" if x == "a" else "a"
-        return out.select(*df.columns, mine.alias(f"t{x}"), F.explode(F.sequence(F.lit(0), many(F.col(f"tiles_{y}")) - 1)).alias(f"t{y}"))
+        listed = F.col("tiles_a").isNotNull() | F.col("tiles_b").isNotNull()
+        marks = [F.when(listed, m).alias(f"{x}{i}") for i, m in enumerate(letter_marks(F.col(f"l{x}")))]
+        return out.select(*df.columns, mine.alias(f"t{x}"), *marks, F.explode(F.sequence(F.lit(0), many(F.col(f"tiles_{y}")) - 1)).alias(f"t{y}"))
 
-    # only blocks of several tiles are listed
+    # only blocks of more than FEW labels are listed
     sa, sb = sizes(a, "tiles_a"), sizes(b, "tiles_b")
     # A tile is few bytes and much work, so partitions aren't merged by their size: the number is given.
     spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "ta", "tb")
@@ -71,7 +75,7 @@ def similar_labels(left: DataFrame, right: DataFrame, least: float, same: bool =
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in (0, 1)), F.lit(0))
     # round(1 - edits / longer, 6) >= least
     edits = f"cast(floor(greatest(na, nb) * {1 - least + 5e-7!r}D + 1e-9D) as int)"
-    near = (F.abs(F.col("na") - F.col("nb")) <= F.expr(edits)) & (F.greatest(only("a", "b"), only("b", "a")) <= F.expr(edits))
+    near = (F.abs(F.col("na") - F.col("nb")) <= F.expr(edits)) & F.coalesce(F.greatest(only("a", "b"), only("b", "a")) <= F.expr(edits), F.lit(True))
     if same:
         near = near & (F.col("la") <= F.col("lb"))
     # As a case: of conditions joined by "and" the optimizer might put the dear one first.

@@ -132,3 +132,19 @@ def test_frames_of_one_source_are_ambiguous_unless_they_know_their_slot(spark):
     both = [(1, 0, -1, "https://a.org", None, True), (1, 1, 0, "https://a.org/x", 1, True), (1, 2, 0, "https://a.org/x", None, True)]
     got = {r.frame_id: (r.method, r.slot_idx, r.ord) for r in forms.slot_placement(spark.createDataFrame(both, frames), s).collect()}
     assert got == {0: ("root", None, None), 1: ("frame-element", 1, 2), 2: ("ambiguous", None, None)}
+
+
+def test_letters_are_counted_in_larger_blocks_only(spark, monkeypatch):
+    """Counting costs more than a few distances do; pairs are the same with and without."""
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([(b, b * 10 + i, x) for b in range(3) for i, x in enumerate(["Date of birth", "Date of birht", "Employer", "Name"])], "block long, id long, label string")
+    many = spark.createDataFrame([(9, i, f"label number {i}") for i in range(similarity.FEW + 4)], "block long, id long, label string")
+    pairs = lambda x: sorted(tuple(r) for r in similarity.label_pairs(x, x, 0.8).collect())
+    want = pairs(few.unionByName(many))
+    monkeypatch.setattr(similarity, "FEW", 0)
+    assert pairs(few.unionByName(many)) == want
+    monkeypatch.setattr(similarity, "FEW", 16)
+    refused = lambda _: [F.raise_error(F.lit("letters were counted")).cast("long")] * 2
+    monkeypatch.setattr(similarity, "letter_marks", refused)
+    assert pairs(few) == [p for p in want if p[0] < 3] and len(pairs(few)) == 18
