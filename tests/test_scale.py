@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,15 @@ def test_texts_of_asked_sets_are_normalised_once_after_they_are_spread(spark, mo
     assert got == {1: (True, []), 2: (True, []), 3: (False, ["jane"]), 4: (False, ["jane"]), 5: (False, []), 6: (False, [])}
     logical, _ = plan(kept[0])
     assert len(kept) == 1 and "regexp_replace" in logical.split("RepartitionByExpression")[0] and "regexp_replace" not in logical.split("RepartitionByExpression")[1]
+
+
+def test_fingerprints_are_the_sqls_where_names_or_texts_are_missing(spark, tmp_path):
+    rows = [("unnamed", None, "x"), ("unnamed", None, "y"), ("mixed", None, "x"), ("mixed", 5, None), ("mixed", 6, ""), (None, 7, "z"), (None, None, None), ("twice", 3, "s"), ("twice", 3, "s")]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = catalog.JOBS["set_fingerprint"]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(f"select set_id, n_files, fingerprint from ({sql})").fetchall()}
+    assert want["unnamed"] == (2, None) and len(want) == 4
+    assert {r.set_id: (r.n_files, r.fingerprint) for r in query(spark, str(tmp_path)).collect()} == want
